@@ -38,3 +38,7 @@ ORACLE = {
     "symbolic_veto_by_source": _symbolic_veto_by_source(),
     "pii_redact_regex": _pii_redact_regex(),
 }
+
+from riskframe.plans import o_eval  # noqa: E402
+
+ORACLE.update(o_eval.ORACLE)

@@ -33,3 +33,7 @@ QUERIES = {
     "symbolic_veto_by_source": symbolic_veto_by_source,
     "pii_redact_regex": pii_redact_regex,
 }
+
+from riskframe.plans import q_eval  # noqa: E402
+
+QUERIES.update(q_eval.QUERIES)
