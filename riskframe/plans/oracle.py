@@ -42,3 +42,7 @@ ORACLE = {
 from riskframe.plans import o_eval  # noqa: E402
 
 ORACLE.update(o_eval.ORACLE)
+
+from riskframe.plans import o_corpus  # noqa: E402
+
+ORACLE.update(o_corpus.ORACLE)

@@ -37,3 +37,7 @@ QUERIES = {
 from riskframe.plans import q_eval  # noqa: E402
 
 QUERIES.update(q_eval.QUERIES)
+
+from riskframe.plans import q_corpus  # noqa: E402
+
+QUERIES.update(q_corpus.QUERIES)
