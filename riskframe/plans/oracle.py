@@ -46,3 +46,7 @@ ORACLE.update(o_eval.ORACLE)
 from riskframe.plans import o_corpus  # noqa: E402
 
 ORACLE.update(o_corpus.ORACLE)
+
+from riskframe.plans import o_vectors  # noqa: E402
+
+ORACLE.update(o_vectors.ORACLE)

@@ -41,3 +41,7 @@ QUERIES.update(q_eval.QUERIES)
 from riskframe.plans import q_corpus  # noqa: E402
 
 QUERIES.update(q_corpus.QUERIES)
+
+from riskframe.plans import q_vectors  # noqa: E402
+
+QUERIES.update(q_vectors.QUERIES)
