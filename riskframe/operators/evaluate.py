@@ -209,8 +209,8 @@ def best_grid_point(grid: DataFrame, budget: float = C.DEFAULT_FPR_BUDGET) -> Da
 
 # --- E18 union-FPR budget ---------------------------------------------------------
 
-def union_fpr_budget(df: DataFrame, class_scores: list[str], label: str, budget: float = C.DEFAULT_FPR_BUDGET
-                     ) -> DataFrame:
+def union_fpr_budget(df: DataFrame, class_scores: list[str], label: str, id_col: str,
+                     budget: float = C.DEFAULT_FPR_BUDGET) -> DataFrame:
     """E18 in closed form (replaces a bisection over the shared budget).
 
     With ``thr_c(alpha) = neg_desc_c[int(n*alpha)]`` a benign row is flagged by
@@ -218,40 +218,42 @@ def union_fpr_budget(df: DataFrame, class_scores: list[str], label: str, budget:
     ``k = int(n*alpha)``.  The union FPR at k is ``#{m <= k}/n`` with
     ``m = min_c g_c``; it only grows with k, so the answer is the largest
     ``k <= int(n*budget)`` before the first ``m`` whose running count exceeds
-    the budget.  Returns ``k``, ``alpha = k/n``, the union FPR there and each
-    class threshold ``thr_c``."""
+    the budget (at least 0).  Returns ``k``, ``alpha = k/n``, the union FPR
+    there and each class threshold ``thr_<class>``.
+
+    The class scores are unpivoted into one long table so a single keyed
+    score table serves every class."""
     negs = df.where(F.col(label).cast("int") == 0)
-    rows = negs.select(F.lit(0).alias(ALL), *class_scores)
-    tables = {}
-    for c in class_scores:
-        t = roc.score_table(negs.select(F.col(c).alias("s"), F.lit(0).alias("y")), "s", "y")
-        tables[c] = t
-        g = t.select(F.col("score").alias(c), (F.col("N") - F.col("neg_lt") - F.col("neg")).alias(f"g_{c}"))
-        rows = rows.join(g, [c], "left")
-    m = F.least(*[F.col(f"g_{c}") for c in class_scores])
-    hist = rows.groupBy(ALL, m.alias("m")).agg(F.count(F.lit(1)).alias("c"))
+    stack = ", ".join(f"'{c}', `{c}`" for c in class_scores)
+    long = negs.selectExpr(f"`{id_col}` AS __id",
+                           f"stack({len(class_scores)}, {stack}) AS (cls, s)").withColumn("y", F.lit(0))
+    t = roc.score_table(long, "s", "y", ["cls"])
+    g = t.select("cls", F.col("score").alias("s"),
+                 (F.col("N") - F.col("neg_lt") - F.col("neg")).alias("g"), "neg", "N")
+    m = long.join(g.select("cls", "s", "g"), ["cls", "s"]).groupBy("__id").agg(F.min("g").alias("m"))
+    hist = m.groupBy(F.lit(0).alias(ALL), "m").agg(F.count(F.lit(1)).alias("c"))
     cum = roc.prefix_before(hist, [ALL], "m", ["c"]).withColumn("upto", F.col("c_lt") + F.col("c"))
     n = F.col("c_total")
     kmax = F.floor(n * F.lit(budget)).cast("long")
     over = F.col("upto") > F.lit(budget) * n
-    s = cum.groupBy(ALL).agg(F.first("c_total").alias("c_total"),
-                             F.min(F.when(over, F.col("m"))).alias("m_over"))
-    k = F.when(F.col("m_over").isNull(), kmax).otherwise(F.least(kmax, F.col("m_over") - 1))
-    s = s.select(ALL, k.alias("k"), F.col("c_total").alias("n_neg"))
-    flagged = cum.join(s, [ALL]).where(F.col("m") <= F.col("k")).groupBy(ALL) \
+    kk = F.when(F.col("m_over").isNull(), kmax).otherwise(F.least(kmax, F.col("m_over") - 1))
+    summ = cum.groupBy(ALL).agg(F.first("c_total").alias("c_total"),
+                                F.min(F.when(over, F.col("m"))).alias("m_over"))
+    # one row by construction (aggregate over the constant key): broadcast
+    summ = F.broadcast(summ.select(ALL, F.greatest(kk, F.lit(0)).alias("k"), F.col("c_total").alias("n_neg")))
+    flagged = cum.join(summ, [ALL]).where(F.col("m") <= F.col("k")).groupBy(ALL) \
         .agg(F.max("upto").alias("flagged"))
-    out = s.join(flagged, [ALL], "left").select(
+    out = summ.join(F.broadcast(flagged), [ALL], "left").select(
         ALL, "k", "n_neg", (F.col("k") / F.col("n_neg")).alias("alpha"),
         (F.coalesce("flagged", F.lit(0)) / F.col("n_neg")).alias("union_fpr"))
+    kc = g.withColumn(ALL, F.lit(0)).join(F.broadcast(out.select(ALL, "k")), [ALL])
+    kc = kc.withColumn("__k", F.when(F.col("k") < F.col("N"), F.col("k")).otherwise(F.col("N") - 1))
+    gt = F.col("g")
+    thr = kc.where((F.col("neg") > 0) & (gt <= F.col("__k")) & (F.col("__k") < gt + F.col("neg"))) \
+        .groupBy(ALL).pivot("cls", class_scores).agg(F.first("s"))
     for c in class_scores:
-        t = tables[c]
-        kk = t.join(out.select(ALL, "k"), [ALL])
-        kk = kk.withColumn("__k", F.when(F.col("k") < F.col("N"), F.col("k")).otherwise(F.col("N") - 1))
-        gt = F.col("N") - F.col("neg_lt") - F.col("neg")
-        thr = kk.where((F.col("neg") > 0) & (gt <= F.col("__k")) & (F.col("__k") < gt + F.col("neg"))) \
-            .select(ALL, F.col("score").alias(f"thr_{c}"))
-        out = out.join(thr, [ALL], "left")
-    return _done(out)
+        thr = thr.withColumnRenamed(c, f"thr_{c}")
+    return _done(out.join(thr, [ALL], "left"))
 
 
 # --- E11/E12 hash splits ------------------------------------------------------------

@@ -63,13 +63,18 @@ def prefix_before(g: DataFrame, keys, order_col: str, value_cols, buckets: int =
     span = F.col("__hi") - F.col("__lo")
     bucket = F.when(span <= 0, F.lit(0)).otherwise(
         F.least(F.lit(buckets - 1), F.floor((x - F.col("__lo")) / span * buckets).cast("int")))
-    gb = g.join(rng, ks, "inner").withColumn("__b", bucket.cast("int"))
+    # With the constant key the range table is one row and the bucket table
+    # at most `buckets` rows: broadcast them (sizes fixed by construction)
+    # rather than hash the whole input onto one key.  Keyed ranges have one
+    # row per key; AQE picks the join from their measured size.
+    glob = ks == [ALL]
+    gb = g.join(F.broadcast(rng) if glob else rng, ks, "inner").withColumn("__b", bucket.cast("int"))
     bt = gb.groupBy(*ks, "__b").agg(*[F.sum(v).alias(f"__bt_{v}") for v in vals])
     w_off = Window.partitionBy(*ks).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.select(*ks, "__b", *[F.coalesce(F.sum(f"__bt_{v}").over(w_off), F.lit(0)).alias(f"__off_{v}")
                                  for v in vals])
     w_in = Window.partitionBy(*ks, "__b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    out = gb.join(bt, ks + ["__b"], "inner")
+    out = gb.join(F.broadcast(bt) if glob else bt, ks + ["__b"], "inner")
     for v in vals:
         out = out.withColumn(f"{v}_lt", F.col(f"__off_{v}") + F.coalesce(F.sum(v).over(w_in), F.lit(0)))
     return out.drop("__lo", "__hi", "__b", *[f"__off_{v}" for v in vals])

@@ -50,3 +50,7 @@ ORACLE.update(o_corpus.ORACLE)
 from riskframe.plans import o_vectors  # noqa: E402
 
 ORACLE.update(o_vectors.ORACLE)
+
+from riskframe.plans import o_ops  # noqa: E402
+
+ORACLE.update(o_ops.ORACLE)

@@ -194,7 +194,7 @@ def best_grid_point(spark, sf_dir):
 def union_fpr_budget(spark, sf_dir):
     s = signals(spark, sf_dir)
     return EV.union_fpr_budget(s, ["harmful_content_score", "prompt_injection_score", "jailbreak_score"],
-                               "attack", C.DEFAULT_FPR_BUDGET)
+                               "attack", "vec_id", C.DEFAULT_FPR_BUDGET)
 
 
 QUERIES = {

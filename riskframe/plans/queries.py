@@ -45,3 +45,7 @@ QUERIES.update(q_corpus.QUERIES)
 from riskframe.plans import q_vectors  # noqa: E402
 
 QUERIES.update(q_vectors.QUERIES)
+
+from riskframe.plans import q_ops  # noqa: E402
+
+QUERIES.update(q_ops.QUERIES)
