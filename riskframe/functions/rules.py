@@ -23,14 +23,14 @@ def any_substring(c, keywords) -> Column:
     return out
 
 
-def symbolic_violation(normalized, rules: RulePack | None = None) -> Column:
+def symbolic_violation(normalized, rules: RulePack | None = None, lowered: bool = False) -> Column:
     """First matching kind on already-normalised text, else null:
     jailbreak regex -> instruction-override regex -> hard-ban substring.
     A pack that failed to load fails closed with SYMBOLIC_POLICY_MISSING."""
     rules = rules or RulePack()
     if not rules.loaded:
         return F.lit("SYMBOLIC_POLICY_MISSING")
-    t = F.lower(_col(normalized))
+    t = _col(normalized) if lowered else F.lower(_col(normalized))
     out = F.when(F.lit(False), F.lit(None).cast("string"))
     if rules.jailbreak:
         out = out.when(t.rlike(alternation(rules.jailbreak)), "JAILBREAK_DETECTED")

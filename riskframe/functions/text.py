@@ -19,6 +19,25 @@ from pyspark.sql import types as T
 from riskframe import config as C
 
 NON_ASCII = "[^\\x00-\\x7F]"
+# Characters that no Unicode normalisation form changes and that cannot
+# compose with a neighbour: C0/C1 controls, ASCII and the precomposed Latin-1
+# letters.  Text made only of these skips the Python helper entirely.
+NFKC_MAYBE_CHANGES = "[^\\x00-\\x9F\\xC0-\\xFF]"
+
+
+def _fold_char(ch: str) -> str:
+    d = unicodedata.normalize("NFKD", ch)
+    return "".join(c for c in d if not unicodedata.combining(c))
+
+
+# Accent folding of the Latin-1 supplement derived from the Unicode database
+# (not transcribed): characters folding to exactly one character are handled
+# by a native ``translate``; any other non-ASCII character routes the row to
+# the Python helper.
+_L1 = [chr(c) for c in range(0x80, 0x100) if len(_fold_char(chr(c))) == 1]
+LATIN1_FROM = "".join(_L1)
+LATIN1_TO = "".join(_fold_char(c) for c in _L1)
+FOLD_NEEDS_PYTHON = "[^\\x00-\\x7F" + "".join(f"\\x{ord(c):02X}" for c in _L1) + "]"
 
 
 def _col(c) -> Column:
@@ -44,13 +63,17 @@ def _fold_marks(s: pd.Series) -> pd.Series:
 
 
 def nfkc(c) -> Column:
+    """NFKC; only rows holding a character that might change reach Python."""
     c = _col(c)
-    return F.coalesce(_nfkc(F.when(c.rlike(NON_ASCII), c)), c)
+    return F.coalesce(_nfkc(F.when(c.rlike(NFKC_MAYBE_CHANGES), c)), c)
 
 
 def fold_accents(c) -> Column:
+    """NFKD without combining marks.  Latin-1 rows fold natively; rows with
+    other non-ASCII characters go through the Python helper."""
     c = _col(c)
-    return F.coalesce(_fold_marks(F.when(c.rlike(NON_ASCII), c)), c)
+    return F.coalesce(_fold_marks(F.when(c.rlike(FOLD_NEEDS_PYTHON), c)),
+                      F.translate(c, LATIN1_FROM, LATIN1_TO))
 
 
 # --- N1 normalize_prompt ------------------------------------------------------
@@ -141,7 +164,10 @@ def with_redaction(df, text_col: str, out_text: str = "clean_text",
         mcol = f"__pii_m{i}"
         nxt = f"__pii_t{i + 1}"
         mask = F.lit(f"[REDACTED:{label}]")
-        df = df.withColumn(mcol, F.regexp_extract_all(F.col(cur), F.lit(pat), 0))
+        found = F.regexp_extract_all(F.col(cur), F.lit(pat), 0)
+        if label == "EMAIL":   # an address needs '@': skip the regex scan otherwise
+            found = F.when(F.instr(F.col(cur), "@") > 0, found).otherwise(F.array().cast("array<string>"))
+        df = df.withColumn(mcol, found)
         df = df.withColumn(out_items, F.concat(
             F.col(out_items), F.transform(F.col(mcol), _prefixer(label + ":"))))
         df = df.withColumn(nxt, F.aggregate(F.col(mcol), F.col(cur), _masker(mask)))

@@ -17,7 +17,8 @@ def screen_prompts(df: DataFrame, text_col: str = "text", rules: RulePack | None
     df = X.with_redaction(df, text_col)
     df = df.withColumn("pii_found", F.size("redacted_items") > 0)
     df = df.withColumn("normalized", X.normalize_prompt("clean_text", unicode_forms))
-    return df.withColumn("violation", R.symbolic_violation("normalized", rules))
+    # normalized text is already lower-case (lower is idempotent on it)
+    return df.withColumn("violation", R.symbolic_violation("normalized", rules, lowered=True))
 
 
 def veto_tally(screened: DataFrame, key: str = "source") -> DataFrame:
