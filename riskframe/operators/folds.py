@@ -64,6 +64,57 @@ def _segments(df: DataFrame, key: str, t_us: str, reset: Callable) -> DataFrame:
         w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+# --- step functions shared by the batch folds and the streaming processors ------------
+# Each takes (state, row) with row fields rid, k, t (µs) [, ok] and returns
+# (new_state, output tuple).  State is a plain tuple (JSON-serialisable).
+
+TTL_SCHEMA = "rid long, k string, hit boolean, origin_id long"
+BUCKET_SCHEMA = "rid long, k string, allowed boolean, retry_after double"
+BREAKER_SCHEMA = "rid long, k string, skipped boolean, open_after boolean, failures_after int"
+
+
+def ttl_step(ttl_us: int):
+    def step(state, r):
+        if state is not None and r.t - state[0] < ttl_us:
+            return state, (r.rid, r.k, True, state[1])
+        return (int(r.t), int(r.rid)), (r.rid, r.k, False, r.rid)
+    return step
+
+
+def bucket_step(cap: float, rate: float):
+    def step(state, r):
+        if state is None:
+            tokens, last = cap, int(r.t)
+        else:
+            tokens, last = state
+            elapsed = (r.t - last) / 1e6
+            if elapsed > 0:
+                tokens = min(cap, tokens + elapsed * rate)
+                last = int(r.t)
+        if tokens >= 1.0:
+            return (float(tokens - 1.0), last), (r.rid, r.k, True, 0.0)
+        return (float(tokens), last), (r.rid, r.k, False, (1.0 - tokens) / rate)
+    return step
+
+
+def breaker_step(threshold: int, cd_us: int):
+    def step(state, r):
+        fails, opened = state if state is not None else (0, None)
+        if opened is not None:
+            if r.t - opened >= cd_us:
+                fails, opened = 0, None
+            else:
+                return (fails, opened), (r.rid, r.k, True, True, fails)
+        if r.ok:
+            fails, opened = 0, None
+        else:
+            fails += 1
+            if fails >= threshold and opened is None:
+                opened = int(r.t)
+        return (fails, opened), (r.rid, r.k, False, opened is not None, fails)
+    return step
+
+
 # --- T1 verdict reuse within TTL ----------------------------------------------------
 
 def ttl_reuse(df: DataFrame, key: str, ts: str, id_col: str, ttl_seconds: float = C.CACHE_TTL_SECONDS
@@ -77,14 +128,7 @@ def ttl_reuse(df: DataFrame, key: str, ts: str, id_col: str, ttl_seconds: float
     x = df.select(F.col(id_col).cast("long").alias("rid"), F.col(key).cast("string").alias("k"),
                   _micros(ts).alias("t"))
     x = _segments(x, "k", "t", lambda g: g >= ttl_us)
-
-    def step(state, r):
-        if state is not None and r.t - state[0] < ttl_us:
-            return state, (r.rid, r.k, True, state[1])
-        return (r.t, r.rid), (r.rid, r.k, False, r.rid)
-
-    out = sorted_fold(x, ["k", "seg"], ["t", "rid"], step,
-                      "rid long, k string, hit boolean, origin_id long")
+    out = sorted_fold(x, ["k", "seg"], ["t", "rid"], ttl_step(ttl_us), TTL_SCHEMA)
     return out.select(F.col("rid").alias(id_col), F.col("k").alias(key), "hit", "origin_id")
 
 
@@ -113,22 +157,7 @@ def token_bucket(df: DataFrame, identity: str, ts: str, id_col: str, capacity: f
                         F.lit(True).alias("allowed"), F.lit(0.0).alias("retry_after"))
     cap, rate = float(capacity), float(refill)
     x = _segments(x, "k", "t", lambda g: (g / F.lit(1e6)) * F.lit(rate) >= F.lit(cap))
-
-    def step(state, r):
-        if state is None:
-            tokens, last = cap, r.t
-        else:
-            tokens, last = state
-            elapsed = (r.t - last) / 1e6
-            if elapsed > 0:
-                tokens = min(cap, tokens + elapsed * rate)
-                last = r.t
-        if tokens >= 1.0:
-            return (tokens - 1.0, last), (r.rid, r.k, True, 0.0)
-        return (tokens, last), (r.rid, r.k, False, (1.0 - tokens) / rate)
-
-    out = sorted_fold(x, ["k", "seg"], ["t", "rid"], step,
-                      "rid long, k string, allowed boolean, retry_after double")
+    out = sorted_fold(x, ["k", "seg"], ["t", "rid"], bucket_step(cap, rate), BUCKET_SCHEMA)
     return out.select(F.col("rid").alias(id_col), F.col("k").alias(identity), "allowed", "retry_after")
 
 
@@ -146,23 +175,7 @@ def circuit_breaker(df: DataFrame, backend: str, ts: str, id_col: str, ok: str,
     x = df.select(F.col(id_col).cast("long").alias("rid"), F.col(backend).cast("string").alias("k"),
                   _micros(ts).alias("t"), F.col(ok).cast("boolean").alias("ok"))
 
-    def step(state, r):
-        fails, opened = state if state is not None else (0, None)
-        if opened is not None:
-            if r.t - opened >= cd_us:
-                fails, opened = 0, None
-            else:
-                return (fails, opened), (r.rid, r.k, True, True, fails)
-        if r.ok:
-            fails, opened = 0, None
-        else:
-            fails += 1
-            if fails >= threshold and opened is None:
-                opened = r.t
-        return (fails, opened), (r.rid, r.k, False, opened is not None, fails)
-
-    out = sorted_fold(x, ["k"], ["t", "rid"], step,
-                      "rid long, k string, skipped boolean, open_after boolean, failures_after int")
+    out = sorted_fold(x, ["k"], ["t", "rid"], breaker_step(threshold, cd_us), BREAKER_SCHEMA)
     return out.select(F.col("rid").alias(id_col), F.col("k").alias(backend), "skipped", "open_after",
                       "failures_after")
 
