@@ -54,3 +54,7 @@ ORACLE.update(o_vectors.ORACLE)
 from riskframe.plans import o_ops  # noqa: E402
 
 ORACLE.update(o_ops.ORACLE)
+
+from riskframe.plans import o_detect  # noqa: E402
+
+ORACLE.update(o_detect.ORACLE)

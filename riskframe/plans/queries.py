@@ -49,3 +49,7 @@ QUERIES.update(q_vectors.QUERIES)
 from riskframe.plans import q_ops  # noqa: E402
 
 QUERIES.update(q_ops.QUERIES)
+
+from riskframe.plans import q_detect  # noqa: E402
+
+QUERIES.update(q_detect.QUERIES)
