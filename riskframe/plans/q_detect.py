@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from riskframe.operators import corpus, detectors as D
 from riskframe.operators import roc
+from riskframe.session import cut_lineage
 from riskframe.sources.tables import table
 
 CLASSES = ["harmful_content", "jailbreak"]
@@ -42,7 +43,8 @@ def suite(spark, sf_dir):
 
 
 def scored(spark, sf_dir):
-    return D.score_long(suite(spark, sf_dir), "doc_id", DETECTORS, keep=KEEP)
+    """The score store (S4): written once, then read by every report."""
+    return cut_lineage(D.score_long(suite(spark, sf_dir), "doc_id", DETECTORS, keep=KEEP))
 
 
 def registry(spark):
