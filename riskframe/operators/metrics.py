@@ -44,7 +44,12 @@ def latency_summary(df: DataFrame, keys: list[str], value: str, quantiles=(0.5,
 
     ``method='index'``: ``sorted[min(int(n*p), n-1)]``;
     ``method='minus_one'``: ``sorted[int(n*p)-1]`` when n >= 20 else the last
-    value."""
+    value; ``method='exclusive'``: the exclusive-method 100-quantiles
+    (``m = n+1``, ``j = clamp(i*m//100, 1, n-1)``, interpolated between
+    ``sorted[j-1]`` and ``sorted[j]`` with weight ``(i*m - j*100)/100``;
+    needs n >= 2)."""
+    if method == "exclusive":
+        return _exclusive_summary(df, keys, value, quantiles)
     base = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("avg"),
                                  F.min(value).alias("min"), F.max(value).alias("max"))
     rk = []
@@ -67,6 +72,34 @@ def latency_summary(df: DataFrame, keys: list[str], value: str, quantiles=(0.5,
     return base.join(wide, keys, "left")
 
 
+def _exclusive_summary(df: DataFrame, keys: list[str], value: str, quantiles) -> DataFrame:
+    base = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("avg"),
+                                 F.min(value).alias("min"), F.max(value).alias("max"))
+    rk, names = [], []
+    for q in quantiles:
+        i = int(round(q * 100))
+        name = f"p{i}"
+        m = F.col("n") + 1
+        j = F.least(F.greatest(F.floor(F.lit(i) * m / 100).cast("long"), F.lit(1)), F.col("n") - 1)
+        names += [f"{name}_a", f"{name}_b"]
+        rk.append(base.select(*keys, F.lit(f"{name}_a").alias("rank_name"), (j - 1).alias("r")))
+        rk.append(base.select(*keys, F.lit(f"{name}_b").alias("rank_name"), j.alias("r")))
+    ranks = rk[0]
+    for x in rk[1:]:
+        ranks = ranks.unionByName(x)
+    picked = value_at_ranks(df, keys, value, ranks.where(F.col("r") >= 0))
+    wide = picked.groupBy(*keys).pivot("rank_name", names).agg(F.first("value"))
+    out = base.join(wide, keys, "left")
+    cols = []
+    for q in quantiles:
+        i = int(round(q * 100))
+        m = F.col("n") + 1
+        j = F.least(F.greatest(F.floor(F.lit(i) * m / 100).cast("long"), F.lit(1)), F.col("n") - 1)
+        delta = F.lit(i) * m - j * 100
+        cols.append(((F.col(f"p{i}_a") * (100 - delta) + F.col(f"p{i}_b") * delta) / 100.0).alias(f"p{i}"))
+    return out.select(*keys, "n", "avg", "min", "max", *cols)
+
+
 def stage_histogram(df: DataFrame, stage: str, ms: str, buckets=None) -> DataFrame:
     """Cumulative histogram of stage latency in seconds (``ms/1000``),
     missing or negative observations skipped; ``le`` over the bounds plus

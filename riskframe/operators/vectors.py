@@ -108,47 +108,59 @@ def centroids(df: DataFrame, group: str, vec: str, normalize: bool = False) -> D
 def nearest_neighbour(df: DataFrame, id_col: str, vec: str, extra: list | None = None,
                       block_rows: int = NN_BLOCK_ROWS) -> DataFrame:
     """For every row, the most similar *other* row (cosine, ties to the
-    smaller id).  Exact.
-
-    Rows are hashed into ``B = ceil(n / block_rows)`` blocks; every (query
-    block, candidate block) pair becomes one group holding two blocks — each
-    row is replicated B times, never all pairs — and one Arrow GEMM per group
-    keeps each query's best candidate.  A ``max_by`` over the B partial
-    answers gives the result.  Work is O(n^2 d) by definition of the exact
-    operator; memory per task is O(block_rows * d)."""
+    smaller id).  Exact; see :func:`nearest_between`."""
+    return nearest_between(df, df, id_col, vec, extra, block_rows, exclude_self=True)
+
+
+def nearest_between(queries: DataFrame, candidates: DataFrame, id_col: str, vec: str,
+                    extra: list | None = None, block_rows: int = NN_BLOCK_ROWS,
+                    exclude_self: bool = False) -> DataFrame:
+    """For every query row, the most similar candidate row (cosine,
+    ties to the smaller id; the same id is skipped when ``exclude_self``).
+
+    Both sides are hashed into blocks of about ``block_rows``; every
+    (query block, candidate block) pair is one group holding those two
+    blocks — each row is replicated once per block of the other side, never
+    paired row by row — and one Arrow GEMM per group keeps each query's best
+    candidate.  A ``max_by`` over the partial answers gives the result.
+    Work is O(|Q|·|C|·d) by definition of the exact operator; memory per
+    task is O(block_rows·d)."""
     extra = extra or []
-    n = df.count()
-    blocks = max(1, math.ceil(n / block_rows))
-    base = df.select(F.col(id_col).cast("long").alias("id"), as_double_array(vec).alias("v"),
-                     *[F.col(c) for c in extra]) \
-        .withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    side_q = base.select("id", "v", "blk", F.col("blk").alias("qb"),
-                         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"),
-                         F.lit(True).alias("is_q"))
-    side_c = base.select("id", "v", "blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"),
-                         F.col("blk").alias("cb"), F.lit(False).alias("is_q"))
+    nq = queries.count()
+    nc = candidates.count()
+    bq = max(1, math.ceil(nq / block_rows))
+    bc = max(1, math.ceil(nc / block_rows))
+
+    def prep(df):
+        return df.select(F.col(id_col).cast("long").alias("id"), as_double_array(vec).alias("v"))
+    q = prep(queries).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(bq)).cast("int"))
+    c = prep(candidates).withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(bc)).cast("int"))
+    side_q = q.select("id", "v", "qb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1))).alias("cb"),
+                      F.lit(True).alias("is_q"))
+    side_c = c.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"), "cb",
+                      F.lit(False).alias("is_q"))
     both = side_q.unionByName(side_c)
+    skip_self = bool(exclude_self)
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = pdf[pdf.is_q]
-        c = pdf[~pdf.is_q]
-        if len(q) == 0 or len(c) == 0:
+        qq = pdf[pdf.is_q]
+        cc = pdf[~pdf.is_q]
+        if len(qq) == 0 or len(cc) == 0:
             return pd.DataFrame({"id": pd.Series([], dtype="int64"), "nn_id": pd.Series([], dtype="int64"),
                                  "sim": pd.Series([], dtype="float64")})
-        Q = np.vstack(q.v.to_numpy()).astype(np.float64)
-        Cm = np.vstack(c.v.to_numpy()).astype(np.float64)
+        Q = np.vstack(qq.v.to_numpy()).astype(np.float64)
+        Cm = np.vstack(cc.v.to_numpy()).astype(np.float64)
         qn = np.linalg.norm(Q, axis=1)
         cn = np.linalg.norm(Cm, axis=1)
         Qn = np.divide(Q, qn[:, None], out=np.zeros_like(Q), where=qn[:, None] > 0)
         Cn = np.divide(Cm, cn[:, None], out=np.zeros_like(Cm), where=cn[:, None] > 0)
-        S = Qn @ Cn.T
-        qid = q.id.to_numpy()
-        cid = c.id.to_numpy()
-        S[qid[:, None] == cid[None, :]] = -np.inf
-        # ties -> smaller id: order candidates by id so argmax picks the first
-        order = np.argsort(cid, kind="stable")
-        S = S[:, order]
+        qid = qq.id.to_numpy()
+        cid = cc.id.to_numpy()
+        order = np.argsort(cid, kind="stable")      # ties -> smaller id (argmax takes the first)
         cid = cid[order]
+        S = Qn @ Cn[order].T
+        if skip_self:
+            S[qid[:, None] == cid[None, :]] = -np.inf
         j = np.argmax(S, axis=1)
         sim = S[np.arange(len(qid)), j]
         ok = np.isfinite(sim)
@@ -160,7 +172,7 @@ def nearest_neighbour(df: DataFrame, id_col: str, vec: str, extra: list | None =
                                           F.struct(F.col("sim"), -F.col("nn_id"))).alias("b"))
     res = res.select("id", F.col("b.nn_id").alias("nn_id"), F.col("b.sim").alias("sim"))
     if extra:
-        ex = base.select("id", *extra)
-        res = res.join(ex, "id").join(
-            ex.select(F.col("id").alias("nn_id"), *[F.col(c).alias(f"nn_{c}") for c in extra]), "nn_id")
+        res = res.join(queries.select(F.col(id_col).cast("long").alias("id"), *extra), "id").join(
+            candidates.select(F.col(id_col).cast("long").alias("nn_id"), *[F.col(x).alias(f"nn_{x}") for x in extra]),
+            "nn_id")
     return res.withColumnRenamed("id", id_col)

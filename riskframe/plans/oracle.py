@@ -58,3 +58,7 @@ ORACLE.update(o_ops.ORACLE)
 from riskframe.plans import o_detect  # noqa: E402
 
 ORACLE.update(o_detect.ORACLE)
+
+from riskframe.plans import o_more  # noqa: E402
+
+ORACLE.update(o_more.ORACLE)

@@ -53,3 +53,7 @@ QUERIES.update(q_ops.QUERIES)
 from riskframe.plans import q_detect  # noqa: E402
 
 QUERIES.update(q_detect.QUERIES)
+
+from riskframe.plans import q_more  # noqa: E402
+
+QUERIES.update(q_more.QUERIES)
