@@ -57,3 +57,7 @@ QUERIES.update(q_detect.QUERIES)
 from riskframe.plans import q_more  # noqa: E402
 
 QUERIES.update(q_more.QUERIES)
+
+from riskframe.plans import q_learn  # noqa: E402
+
+QUERIES.update(q_learn.QUERIES)
