@@ -38,7 +38,17 @@ def symbolic_violation(normalized, rules: RulePack | None = None, lowered: bool
         out = out.when(t.rlike(alternation(rules.override)), "INSTRUCTION_OVERRIDE_DETECTED")
     if rules.hard_ban:
         out = out.when(any_substring(t, rules.hard_ban), "HARD_BAN_DETECTED")
-    return out
+    # One scan with the union of every rule decides "no violation" for the
+    # bulk of rows; only rows that match something evaluate the priority
+    # order above.  Exact: any kind matching implies the union matches.
+    union = rules.jailbreak + rules.override + [_quote(k) for k in rules.hard_ban]
+    if not union:
+        return out
+    return F.when(t.rlike(alternation(union)), out)
+
+
+def _quote(literal: str) -> str:
+    return "".join("\\" + ch if not ch.isalnum() and ch != " " else ch for ch in literal)
 
 
 def phrase_intent(text, rules: RulePack | None = None) -> Column:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from riskframe import config as C
 from riskframe.operators import evaluate as EV
 from riskframe.operators import roc
+from riskframe.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -196,7 +197,9 @@ def ensemble_vs_single(scored: DataFrame, id_col: str = "id", replicates: int =
     do not overlap, else 'overlap'."""
     ens = max_ensemble(scored)
     both = scored.unionByName(ens.select(*scored.columns))
-    ci = EV.bootstrap_auc(both, id_col, "score", "label", ["detector"], replicates=replicates, seed=seed)
+    # a few rows per configuration, read three times below: write once
+    ci = cut_lineage(EV.bootstrap_auc(both, id_col, "score", "label", ["detector"], replicates=replicates,
+                                      seed=seed))
     singles = ci.where(F.col("detector") != "max_ensemble")
     best = singles.agg(F.max_by(F.struct("detector", "point", "ci_lo", "ci_hi"), "point").alias("b")) \
         .withColumn("__one", F.lit(0))

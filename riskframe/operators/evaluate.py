@@ -110,10 +110,18 @@ def bootstrap_auc(df: DataFrame, id_col: str, score: str, label: str, keys=None,
     """
     ks = [] if not keys else ([keys] if isinstance(keys, str) else list(keys))
     point = roc.auc(roc.score_table(df, score, label, ks or None), ks or None)
-    rep = df.select(*ks, id_col, score, label,
+    # the replicate explosion multiplies rows by `replicates`: spread the
+    # input over the cluster first when it arrives in few partitions
+    par = df.sparkSession.sparkContext.defaultParallelism
+    src = df.select(*ks, id_col, score, label)
+    if src.rdd.getNumPartitions() < par:
+        src = src.repartition(par, id_col)
+    rep = src.select(*ks, id_col, score, label,
                     F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    rep = rep.withColumn("w", poisson1_draw(hash_uniform(F.col(id_col), F.lit(seed), F.col("rep")))) \
-        .where(F.col("w") > 0)
+    # the uniform is its own projection so the 13-way inverse CDF reads a
+    # column instead of re-hashing per branch
+    rep = rep.withColumn("__u", hash_uniform(F.col(id_col), F.lit(seed), F.col("rep"))) \
+        .withColumn("w", poisson1_draw(F.col("__u"))).where(F.col("w") > 0).drop("__u")
     rep_auc = roc.auc(roc.score_table(rep, score, label, ks + ["rep"], weight="w"), ks + ["rep"])
     valid = rep_auc.where(~F.isnan("auc"))
     if not ks:
