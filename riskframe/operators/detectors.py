@@ -106,20 +106,19 @@ def carry_over(stores: list[DataFrame]) -> DataFrame:
 
 def complete_on_sample(store: DataFrame, sample: DataFrame, id_col: str) -> DataFrame:
     """Detectors that scored every row of the sample."""
-    n = sample.agg(F.countDistinct(id_col).alias("n_scored"))     # one row
+    n = sample.agg(F.countDistinct(id_col)).scalar()
     cov = store.join(sample.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi") \
         .groupBy("detector").agg(F.countDistinct("id").alias("n_scored"))
-    return cov.join(F.broadcast(n), "n_scored").select("detector", "n_scored")
+    return cov.where(F.col("n_scored") == n).select("detector", "n_scored")
 
 
 def coverage(store: DataFrame, suite: DataFrame, id_col: str, registry: DataFrame) -> DataFrame:
     """Per detector done / total and the rate."""
-    total = suite.agg(F.countDistinct(id_col).alias("total")).withColumn("__one", F.lit(0))
+    total = suite.agg(F.countDistinct(id_col)).scalar()
     done = store.join(suite.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi") \
         .groupBy("detector").agg(F.countDistinct("id").alias("done"))
-    reg = registry.select("detector", F.lit(0).alias("__one"))
-    # `total` is one row (a global aggregate): broadcast on a constant key
-    out = reg.join(done, "detector", "left").fillna(0, subset=["done"]).join(F.broadcast(total), "__one")
+    out = registry.select("detector").join(done, "detector", "left").fillna(0, subset=["done"]) \
+        .withColumn("total", total)
     return out.select("detector", "done", "total", (F.col("done") / F.col("total")).alias("rate"))
 
 
@@ -201,15 +200,12 @@ def ensemble_vs_single(scored: DataFrame, id_col: str = "id", replicates: int =
     ci = cut_lineage(EV.bootstrap_auc(both, id_col, "score", "label", ["detector"], replicates=replicates,
                                       seed=seed))
     singles = ci.where(F.col("detector") != "max_ensemble")
-    best = singles.agg(F.max_by(F.struct("detector", "point", "ci_lo", "ci_hi"), "point").alias("b")) \
-        .withColumn("__one", F.lit(0))
-    e = ci.where(F.col("detector") == "max_ensemble").withColumn("__one", F.lit(0)) \
-        .join(F.broadcast(best), "__one")           # one-row side
-    verdict = (F.when(F.col("ci_lo") > F.col("b.ci_hi"), "ensemble better")
-               .when(F.col("ci_hi") < F.col("b.ci_lo"), "single better").otherwise("overlap"))
-    v = e.select(F.lit("max_ensemble").alias("detector"), verdict.alias("verdict"),
-                 F.col("b.detector").alias("best_single"))
-    return ci.join(v, "detector", "left")
+    best = singles.agg(F.max_by(F.struct("detector", "point", "ci_lo", "ci_hi"), "point")).scalar()
+    ens = ci.where(F.col("detector") == "max_ensemble").select(F.struct("ci_lo", "ci_hi")).scalar()
+    verdict = (F.when(ens["ci_lo"] > best["ci_hi"], "ensemble better")
+               .when(ens["ci_hi"] < best["ci_lo"], "single better").otherwise("overlap"))
+    is_ens = F.col("detector") == "max_ensemble"
+    return ci.withColumns({"verdict": F.when(is_ens, verdict), "best_single": F.when(is_ens, best["detector"])})
 
 
 def run_diff(old: DataFrame, new: DataFrame, id_col: str, label: str = "label") -> DataFrame:

@@ -65,8 +65,9 @@ def evaluate_slices(df: DataFrame, score: str, label: str, keys=None, budget: fl
     out_keys = [] if ks == [ALL] else ks
     if out_keys:
         res = a.join(r, out_keys, "left")
-    else:
-        res = a.withColumn(ALL, F.lit(0)).join(r.withColumn(ALL, F.lit(0)), [ALL], "left").drop(ALL)
+    else:   # one row each: attach as scalar subqueries
+        rs = r.select(F.struct("recall", "threshold").alias("s")).scalar()
+        res = a.withColumns({"recall": rs["recall"], "threshold": rs["threshold"]})
     n = F.col("n_pos") + F.col("n_neg")
     note = (F.when(F.col("n_pos") == 0, F.lit("no positives: FPR only"))
             .when(F.col("n_neg") == 0, F.lit("no negatives: recall only")))
@@ -76,8 +77,11 @@ def evaluate_slices(df: DataFrame, score: str, label: str, keys=None, budget: fl
                                     out_keys or None)
         cm = cm.select(*out_keys, "TP", "FP", "TN", "FN", F.col("recall").alias("recall_at_threshold"),
                        F.col("fpr").alias("fpr_at_threshold"))
-        res = res.join(cm, out_keys, "left") if out_keys else \
-            res.withColumn(ALL, F.lit(0)).join(cm.withColumn(ALL, F.lit(0)), [ALL]).drop(ALL)
+        if out_keys:
+            res = res.join(cm, out_keys, "left")
+        else:
+            cs = cm.select(F.struct(*[c for c in cm.columns]).alias("s")).scalar()
+            res = res.withColumns({c: cs[c] for c in cm.columns})
     return res.withColumnRenamed("threshold", "threshold_at_budget")
 
 
@@ -124,10 +128,8 @@ def bootstrap_auc(df: DataFrame, id_col: str, score: str, label: str, keys=None,
         .withColumn("w", poisson1_draw(F.col("__u"))).where(F.col("w") > 0).drop("__u")
     rep_auc = roc.auc(roc.score_table(rep, score, label, ks + ["rep"], weight="w"), ks + ["rep"])
     valid = rep_auc.where(~F.isnan("auc"))
-    if not ks:
-        valid = valid.withColumn(ALL, F.lit(0))
-        point = point.withColumn(ALL, F.lit(0))
-    gk = ks or [ALL]
+    gk = ks
+    # per key at most `replicates` values: the sorted list is bounded
     dist = valid.groupBy(*gk).agg(F.array_sort(F.collect_list("auc")).alias("__s"),
                                   F.count(F.lit(1)).alias("n_boot_effective"))
     m = F.col("n_boot_effective")
@@ -136,7 +138,12 @@ def bootstrap_auc(df: DataFrame, id_col: str, score: str, label: str, keys=None,
     dist = dist.select(*gk, "n_boot_effective",
                        F.element_at("__s", lo_i + 1).alias("ci_lo"),
                        F.element_at("__s", (hi_i + 1).cast("int")).alias("ci_hi"))
-    out = point.join(dist, gk, "left")
+    if gk:
+        out = point.join(dist, gk, "left")
+    else:
+        ds = dist.select(F.struct("n_boot_effective", "ci_lo", "ci_hi").alias("s")).scalar()
+        out = point.withColumns({"n_boot_effective": ds["n_boot_effective"], "ci_lo": ds["ci_lo"],
+                                 "ci_hi": ds["ci_hi"]})
     return _done(out.select(*gk, F.col("auc").alias("point"), "ci_lo", "ci_hi",
                             (F.col("n_pos") + F.col("n_neg")).alias("n"),
                             F.coalesce("n_boot_effective", F.lit(0)).alias("n_boot_effective"),
@@ -167,27 +174,26 @@ def grid_sweep(df: DataFrame, meta: str, threat: str, symbolic: str, label: str,
     m = F.coalesce(F.col(meta).cast("double"), F.lit(float("-inf")))
     t = F.coalesce(F.col(threat).cast("double"), F.lit(float("-inf")))
     hist = (df.select(
-        F.lit(0).alias(ALL),
         (F.col(label).cast("int") == 1).alias("y"),
         F.coalesce(F.col(symbolic).cast("boolean"), F.lit(False)).alias("sym"),
         F.size(F.filter(meta_arr, lambda v: v <= m)).alias("i"),
         F.size(F.filter(med_arr, lambda v: v <= t)).alias("j"))
-        .groupBy(ALL, "y", "sym", "i", "j").agg(F.count(F.lit(1)).alias("c")))
-    totals = hist.groupBy(ALL).agg(
+        .groupBy("y", "sym", "i", "j").agg(F.count(F.lit(1)).alias("c")))
+    totals = hist.agg(F.struct(
         F.sum(F.when(F.col("y"), F.col("c")).otherwise(0)).cast("long").alias("P"),
-        F.sum(F.when(~F.col("y"), F.col("c")).otherwise(0)).cast("long").alias("N"))
+        F.sum(F.when(~F.col("y"), F.col("c")).otherwise(0)).cast("long").alias("N")).alias("t")).scalar()
     quiet = (hist.where(~F.col("sym") & (F.col("i") < n_meta) & (F.col("j") < n_med))
              .withColumn("a", F.explode(F.sequence(F.col("i"), F.lit(n_meta - 1))))
              .withColumn("b", F.explode(F.sequence(F.col("j"), F.lit(n_med - 1))))
-             .groupBy(ALL, "a", "b").agg(
+             .groupBy("a", "b").agg(
                  F.sum(F.when(F.col("y"), F.col("c")).otherwise(0)).cast("long").alias("qp"),
                  F.sum(F.when(~F.col("y"), F.col("c")).otherwise(0)).cast("long").alias("qn")))
     pts = spark.range(0, n_med * n_meta).select(
-        F.lit(0).alias(ALL), F.col("id").cast("int").alias("grid_order"),
+        F.col("id").cast("int").alias("grid_order"),
         (F.col("id") % n_meta).cast("int").alias("a"), (F.col("id") / n_meta).cast("int").alias("b"))
     pts = pts.withColumn("t_meta", F.element_at(meta_arr, F.col("a") + 1)) \
         .withColumn("t_med", F.element_at(med_arr, F.col("b") + 1))
-    g = pts.join(quiet, [ALL, "a", "b"], "left").join(totals, [ALL], "inner")
+    g = pts.join(quiet, ["a", "b"], "left").withColumns({"P": totals["P"], "N": totals["N"]})
     qp, qn = F.coalesce("qp", F.lit(0)), F.coalesce("qn", F.lit(0))
     g = g.select("grid_order", "t_med", "t_meta",
                  (F.col("P") - qp).alias("TP"), (F.col("N") - qn).alias("FP"),
@@ -230,7 +236,9 @@ def union_fpr_budget(df: DataFrame, class_scores: list[str], label: str, id_col:
     there and each class threshold ``thr_<class>``.
 
     The class scores are unpivoted into one long table so a single keyed
-    score table serves every class."""
+    score table serves every class; the handful of global numbers are
+    scalar subqueries (no joins with one-row tables)."""
+    spark = df.sparkSession
     negs = df.where(F.col(label).cast("int") == 0)
     stack = ", ".join(f"'{c}', `{c}`" for c in class_scores)
     long = negs.selectExpr(f"`{id_col}` AS __id",
@@ -239,29 +247,21 @@ def union_fpr_budget(df: DataFrame, class_scores: list[str], label: str, id_col:
     g = t.select("cls", F.col("score").alias("s"),
                  (F.col("N") - F.col("neg_lt") - F.col("neg")).alias("g"), "neg", "N")
     m = long.join(g.select("cls", "s", "g"), ["cls", "s"]).groupBy("__id").agg(F.min("g").alias("m"))
-    hist = m.groupBy(F.lit(0).alias(ALL), "m").agg(F.count(F.lit(1)).alias("c"))
+    hist = m.groupBy("m").agg(F.count(F.lit(1)).alias("c")).withColumn(ALL, F.lit(0))
     cum = roc.prefix_before(hist, [ALL], "m", ["c"]).withColumn("upto", F.col("c_lt") + F.col("c"))
-    n = F.col("c_total")
+    over = F.col("upto") > F.lit(budget) * F.col("c_total")
+    summ = cum.agg(F.struct(F.max("c_total").alias("n"), F.min(F.when(over, F.col("m"))).alias("m_over"))
+                   .alias("s")).scalar()
+    n = summ["n"]
     kmax = F.floor(n * F.lit(budget)).cast("long")
-    over = F.col("upto") > F.lit(budget) * n
-    kk = F.when(F.col("m_over").isNull(), kmax).otherwise(F.least(kmax, F.col("m_over") - 1))
-    summ = cum.groupBy(ALL).agg(F.first("c_total").alias("c_total"),
-                                F.min(F.when(over, F.col("m"))).alias("m_over"))
-    # one row by construction (aggregate over the constant key): broadcast
-    summ = F.broadcast(summ.select(ALL, F.greatest(kk, F.lit(0)).alias("k"), F.col("c_total").alias("n_neg")))
-    flagged = cum.join(summ, [ALL]).where(F.col("m") <= F.col("k")).groupBy(ALL) \
-        .agg(F.max("upto").alias("flagged"))
-    out = summ.join(F.broadcast(flagged), [ALL], "left").select(
-        ALL, "k", "n_neg", (F.col("k") / F.col("n_neg")).alias("alpha"),
-        (F.coalesce("flagged", F.lit(0)) / F.col("n_neg")).alias("union_fpr"))
-    kc = g.withColumn(ALL, F.lit(0)).join(F.broadcast(out.select(ALL, "k")), [ALL])
-    kc = kc.withColumn("__k", F.when(F.col("k") < F.col("N"), F.col("k")).otherwise(F.col("N") - 1))
-    gt = F.col("g")
-    thr = kc.where((F.col("neg") > 0) & (gt <= F.col("__k")) & (F.col("__k") < gt + F.col("neg"))) \
-        .groupBy(ALL).pivot("cls", class_scores).agg(F.first("s"))
-    for c in class_scores:
-        thr = thr.withColumnRenamed(c, f"thr_{c}")
-    return _done(out.join(thr, [ALL], "left"))
+    k = F.greatest(F.when(summ["m_over"].isNull(), kmax).otherwise(F.least(kmax, summ["m_over"] - 1)), F.lit(0))
+    flagged = cum.where(F.col("m") <= k).agg(F.coalesce(F.max("upto"), F.lit(0))).scalar()
+    kk = F.when(k < F.col("N"), k).otherwise(F.col("N") - 1)
+    hit = (F.col("neg") > 0) & (F.col("g") <= kk) & (kk < F.col("g") + F.col("neg"))
+    thr = {c: g.where((F.col("cls") == c) & hit).agg(F.max("s")).scalar() for c in class_scores}
+    return spark.range(1).select(k.alias("k"), n.alias("n_neg"), (k / n).alias("alpha"),
+                                 (flagged / n).alias("union_fpr"),
+                                 *[thr[c].alias(f"thr_{c}") for c in class_scores])
 
 
 # --- E11/E12 hash splits ------------------------------------------------------------

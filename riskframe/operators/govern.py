@@ -5,11 +5,11 @@ prompt/response pairing (J14).
 Grant and tenant tables grow with customers and can be large, so they are
 plain equi-joins (AQE turns them into broadcasts when measured small).  The
 policy matrix is configuration whose size is fixed by the config itself; it
-is built on the driver and broadcast.
+compiles to literal lookups.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe import config as C
@@ -59,40 +59,47 @@ def policy_frame(spark: SparkSession, policy: dict | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "p_tenant string, p_capability string, p_risk string, p_action string")
 
 
+SEP = "\u0001"
+
+
+def _key(*cols) -> Column:
+    return F.concat_ws(SEP, *cols)
+
+
 def policy_decision(df: DataFrame, policy: dict | None = None, default_action: str = C.DEFAULT_ACTION,
                     tenant: str = "tenant", capability: str = "capability", risk: str = "risk") -> DataFrame:
-    """Adds ``action`` and ``reason``.
+    """Adds ``tenant_resolved``, ``action`` and ``reason``.
 
     Tenant fallback: a tenant without its own policy resolves to the
     'default' tenant (the reason says so).  A capability the resolved
     tenant does not define, or a risk level missing under it, goes to the
     global ``default_action`` — not to the default tenant's row.  No usable
-    policy at all fails safe to BLOCK."""
-    spark = df.sparkSession
+    policy at all fails safe to BLOCK.
+
+    The matrix is configuration, so it compiles to map/set literals looked
+    up row by row (JVM-side, no join)."""
     policy = policy if policy is not None else C.DEFAULT_POLICY
     if not policy or C.DEFAULT_TENANT not in policy:
         return df.withColumn("action", F.lit("BLOCK")).withColumn(
             "reason", F.lit("System Error: Policies not loaded"))
-    pf = policy_frame(spark, policy)
-    # config-sized tables: broadcast (their size is that of the policy file)
-    tenants = F.broadcast(pf.select(F.col("p_tenant").alias("__pt")).distinct())
-    caps = F.broadcast(pf.select(F.col("p_tenant").alias("__ct"), F.col("p_capability").alias("__cc")).distinct())
-    rules = F.broadcast(pf)
-    j = df.join(tenants, df[tenant] == F.col("__pt"), "left") \
-        .withColumn("tenant_resolved", F.coalesce(F.col("__pt"), F.lit(C.DEFAULT_TENANT))).drop("__pt")
-    j = j.join(caps, (F.col("tenant_resolved") == F.col("__ct")) & (F.col(capability) == F.col("__cc")), "left")
-    j = j.join(rules, (F.col("tenant_resolved") == F.col("p_tenant")) & (F.col(capability) == F.col("p_capability"))
-               & (F.col(risk) == F.col("p_risk")), "left")
+    rows = [(t, c, r, a) for t, caps in policy.items() for c, risks in caps.items()
+            for r, a in risks.items() if a in C.ACTIONS]
+    tenants = sorted(policy)
+    caps = sorted({f"{t}{SEP}{c}" for t, cs in policy.items() for c in cs})
+    rule_map = F.create_map(*[x for t, c, r, a in rows for x in (F.lit(f"{t}{SEP}{c}{SEP}{r}"), F.lit(a))])
+    tr = F.when(F.col(tenant).isin(*tenants), F.col(tenant)).otherwise(F.lit(C.DEFAULT_TENANT))
+    df = df.withColumn("tenant_resolved", tr)
+    cap_ok = _key(F.col("tenant_resolved"), F.col(capability)).isin(*caps)
+    act = F.try_element_at(rule_map, _key(F.col("tenant_resolved"), F.col(capability), F.col(risk))) \
+        if rows else F.lit(None).cast("string")
     note = F.when(F.col("tenant_resolved") == F.col(tenant), F.col("tenant_resolved")).otherwise(
         F.concat(F.col(tenant), F.lit(" -> "), F.col("tenant_resolved"), F.lit(" (fallback)")))
-    cap_missing = F.col("__cc").isNull()
-    action = F.when(cap_missing, F.lit(default_action)).otherwise(F.coalesce("p_action", F.lit(default_action)))
-    reason = F.when(cap_missing, F.concat(F.lit("Role '"), F.col(capability), F.lit("' not defined for tenant '"),
-                                          note, F.lit("'"))).otherwise(
+    action = F.when(~cap_ok, F.lit(default_action)).otherwise(F.coalesce(act, F.lit(default_action)))
+    reason = F.when(~cap_ok, F.concat(F.lit("Role '"), F.col(capability), F.lit("' not defined for tenant '"),
+                                      note, F.lit("'"))).otherwise(
         F.concat(F.lit("Policy applied for "), F.col(capability), F.lit(" (Risk: "), F.col(risk),
                  F.lit(", Tenant: "), note, F.lit(")")))
-    return j.withColumn("action", action).withColumn("reason", reason) \
-        .drop("__ct", "__cc", "p_tenant", "p_capability", "p_risk", "p_action")
+    return df.withColumn("action", action).withColumn("reason", reason)
 
 
 def pair_turns(conv: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",

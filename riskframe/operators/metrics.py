@@ -158,8 +158,9 @@ def concurrency_peaks(df: DataFrame, start: str, duration_s: str, id_col: str, b
         F.struct(st.alias("t"), F.lit(1).alias("d")), F.struct(end.alias("t"), F.lit(-1).alias("d")))).alias("e"))
     d = d.select("rid", "e.t", "e.d").withColumn("b", F.date_trunc(bucket.split()[-1], "t"))
     per_b = d.groupBy("b").agg(F.sum("d").alias("net"), F.count_if(F.col("d") == 1).alias("n_starts"))
-    wb = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)   # one row per bucket
-    per_b = per_b.withColumn("level_in", F.coalesce(F.sum("net").over(wb), F.lit(0)))
+    # level entering each bucket: running sum over buckets (bucketed prefix, no global window)
+    per_b = roc.prefix_before(per_b.withColumn("__all", F.lit(0)).withColumn("__bt", F.unix_micros("b")),
+                              ["__all"], "__bt", ["net"]).withColumn("level_in", F.col("net_lt"))
     wi = Window.partitionBy("b").orderBy("t", "d", "rid").rowsBetween(Window.unboundedPreceding, 0)
     inside = d.withColumn("run", F.sum("d").over(wi)).groupBy("b").agg(F.max("run").alias("max_run"))
     out = per_b.join(inside, "b")

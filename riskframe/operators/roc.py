@@ -58,17 +58,21 @@ def prefix_before(g: DataFrame, keys, order_col: str, value_cols, buckets: int =
     ks = _keys(keys)
     vals = list(value_cols)
     x = F.col(order_col)
-    rng = g.groupBy(*ks).agg(F.min(order_col).alias("__lo"), F.max(order_col).alias("__hi"),
-                             *[F.sum(v).alias(f"{v}_total") for v in vals])
+    stats = [F.min(order_col).alias("__lo"), F.max(order_col).alias("__hi"),
+             *[F.sum(v).alias(f"{v}_total") for v in vals]]
+    glob = ks == [ALL]
+    if glob:
+        # one global range: a scalar subquery (computed once), no join
+        sc = g.agg(F.struct(*stats).alias("s")).scalar()
+        gb = g.withColumns({"__lo": sc["__lo"], "__hi": sc["__hi"],
+                            **{f"{v}_total": sc[f"{v}_total"] for v in vals}})
+    else:
+        # one row per key; AQE picks the join from the measured size
+        gb = g.join(g.groupBy(*ks).agg(*stats), ks, "inner")
     span = F.col("__hi") - F.col("__lo")
     bucket = F.when(span <= 0, F.lit(0)).otherwise(
         F.least(F.lit(buckets - 1), F.floor((x - F.col("__lo")) / span * buckets).cast("int")))
-    # With the constant key the range table is one row and the bucket table
-    # at most `buckets` rows: broadcast them (sizes fixed by construction)
-    # rather than hash the whole input onto one key.  Keyed ranges have one
-    # row per key; AQE picks the join from their measured size.
-    glob = ks == [ALL]
-    gb = g.join(F.broadcast(rng) if glob else rng, ks, "inner").withColumn("__b", bucket.cast("int"))
+    gb = gb.withColumn("__b", bucket.cast("int"))
     bt = gb.groupBy(*ks, "__b").agg(*[F.sum(v).alias(f"__bt_{v}") for v in vals])
     w_off = Window.partitionBy(*ks).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.select(*ks, "__b", *[F.coalesce(F.sum(f"__bt_{v}").over(w_off), F.lit(0)).alias(f"__off_{v}")
@@ -148,20 +152,17 @@ def recall_at_fpr(table: DataFrame, budget: float = 0.05, keys=None) -> DataFram
 def threshold_at_fpr_rank(table: DataFrame, budget: float = 0.05, keys=None) -> DataFrame:
     """E4 (rank rule): negatives sorted descending, ``k = int(n*budget)``,
     threshold = ``neg_desc[k]`` (last one when k is out of range, +inf when
-    there are no negatives).  Selects the score group holding rank k — no
-    sort of the negatives."""
+    there are no negatives).  The score group holding rank k is found by a
+    row-local test inside one aggregate — no sort, no join."""
     ks = _keys(keys)
-    negs = table.where(F.col("neg") > 0)
     n = F.col("N")
     k = F.floor(n * F.lit(budget)).cast("long")
     k = F.when(k < n, k).otherwise(n - 1)
     gt = n - F.col("neg_lt") - F.col("neg")        # negatives strictly above this score
-    hit = negs.where((gt <= k) & (k < gt + F.col("neg")))
-    sel = hit.select(*ks, F.col("score").alias("threshold"))
-    all_keys = table.select(*ks, "N").distinct()
-    out = all_keys.join(sel, ks, "left")
-    return _done(out.select(*ks, F.when(F.col("N") == 0, F.lit(float("inf")))
-                            .otherwise(F.col("threshold")).alias("threshold")))
+    hit = (F.col("neg") > 0) & (gt <= k) & (k < gt + F.col("neg"))
+    out = table.groupBy(*ks).agg(F.max("N").alias("__n"), F.max(F.when(hit, F.col("score"))).alias("__t"))
+    return _done(out.select(*ks, F.when(F.col("__n") == 0, F.lit(float("inf")))
+                            .otherwise(F.col("__t")).alias("threshold")))
 
 
 def roc_trapezoid(table: DataFrame, keys=None) -> DataFrame:
