@@ -176,3 +176,37 @@ def nearest_between(queries: DataFrame, candidates: DataFrame, id_col: str, vec:
             candidates.select(F.col(id_col).cast("long").alias("nn_id"), *[F.col(x).alias(f"nn_{x}") for x in extra]),
             "nn_id")
     return res.withColumnRenamed("id", id_col)
+
+
+# --- J11 broadcast-matrix anchor scores ----------------------------------------------
+
+def anchor_max_arrow(df: DataFrame, vec: str, anchors: np.ndarray, out_col: str = "threat_score",
+                     empty_value: float = 0.0) -> DataFrame:
+    """J11/N8 for wide vectors: ``max_a cos(v, a)`` per row as one Arrow GEMM
+    per batch against the anchor matrix, shipped once per executor as a
+    broadcast variable.  The anchor matrix must come from
+    :func:`collect_small` (its size is checked)."""
+    spark = df.sparkSession
+    A = np.asarray(anchors, dtype=np.float64)
+    if A.size:
+        n = np.linalg.norm(A, axis=1, keepdims=True)
+        A = np.divide(A, n, out=np.zeros_like(A), where=n > 0)
+    bc = spark.sparkContext.broadcast(A)
+    cols = df.columns
+    schema = df.select(*cols).schema.add(out_col, "double")
+
+    def run(batches):
+        M = bc.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            if M.size == 0:
+                s = np.full(len(pdf), float(empty_value))
+            else:
+                X = np.vstack(pdf[vec].to_numpy()).astype(np.float64)
+                xn = np.linalg.norm(X, axis=1, keepdims=True)
+                X = np.divide(X, xn, out=np.zeros_like(X), where=xn > 0)
+                s = (X @ M.T).max(axis=1)
+            yield pdf.assign(**{out_col: s})
+
+    return df.mapInPandas(run, schema)

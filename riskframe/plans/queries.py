@@ -61,3 +61,7 @@ QUERIES.update(q_more.QUERIES)
 from riskframe.plans import q_learn  # noqa: E402
 
 QUERIES.update(q_learn.QUERIES)
+
+from riskframe.plans import q_assess  # noqa: E402
+
+QUERIES.update(q_assess.QUERIES)

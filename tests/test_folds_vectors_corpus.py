@@ -135,3 +135,17 @@ def test_slice_counts_grouping_sets(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "y")], "c1 string, c2 string")
     got = {(r.slice_kind, r.slice_value): r.n for r in corpus.slice_counts(df, ["c1", "c2"], {"n": F.count(F.lit(1))}).collect()}
     assert got == {("c1", "a"): 2, ("c1", "b"): 1, ("c2", "x"): 1, ("c2", "y"): 2, ("all", None): 3}
+
+
+def test_anchor_max_arrow_matches_numpy(spark):
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(60, 16))
+    A = rng.normal(size=(7, 16))
+    df = spark.createDataFrame([(i, [float(x) for x in X[i]]) for i in range(60)], "id long, v array<double>")
+    got = {r.id: r.s for r in V.anchor_max_arrow(df, "v", A, "s").collect()}
+    Xn = X / np.linalg.norm(X, axis=1, keepdims=True)
+    An = A / np.linalg.norm(A, axis=1, keepdims=True)
+    exp = (Xn @ An.T).max(axis=1)
+    assert all(abs(got[i] - exp[i]) < 1e-12 for i in range(60))
+    empty = V.anchor_max_arrow(df, "v", np.zeros((0, 16)), "s").collect()
+    assert all(r.s == 0.0 for r in empty)
