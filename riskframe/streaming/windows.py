@@ -94,3 +94,46 @@ def upsert_writer(table_path: str, key: str = "prompt_hash"):
             merged = batch
         merged.write.mode("overwrite").parquet(os.path.join(table_path, f"v={epoch}"))
     return write
+
+
+def fuzzy_reuse(requests: DataFrame, cache: DataFrame, threshold: float = 0.99,
+                ttl_seconds: float = 24 * 3600.0, id_col: str = "request_id", vec: str = "vector",
+                ts: str = "ts") -> DataFrame:
+    """The nearest cached vector (exact blocked search) is reused
+    when its cosine is strictly above ``threshold`` *and* that entry is still
+    within its TTL; otherwise the request is a miss (an expired best match
+    is not replaced by a worse live one).  ``cache`` holds
+    ``prompt_hash, vector, risk, score, timestamp_epoch``."""
+    from riskframe.operators.vectors import nearest_between
+    # a stable integer id per cache entry, derived from its hash (not from
+    # partition layout, which may differ between recomputations)
+    c = cache.select(F.xxhash64("prompt_hash").alias("__cid"), "prompt_hash", F.col("vector").alias("__v"),
+                     "risk", "score", "timestamp_epoch")
+    q = requests.select(F.col(id_col).cast("long").alias("__qid"), F.col(vec).alias("__v"), F.col(ts).alias("__ts"))
+    nn = nearest_between(q.withColumnRenamed("__qid", "__id"), c.withColumnRenamed("__cid", "__id"),
+                         "__id", "__v")
+    j = nn.withColumnRenamed("__id", "__qid").join(q.select("__qid", "__ts"), "__qid") \
+        .join(c.withColumnRenamed("__cid", "nn_id").drop("__v"), "nn_id")
+    live = (F.unix_micros(F.col("__ts").cast("timestamp")) / 1e6 - F.col("timestamp_epoch")) < ttl_seconds
+    hit = (F.col("sim") > threshold) & live
+    res = j.select(F.col("__qid").alias(id_col), hit.alias("hit"), F.when(hit, F.col("risk")).alias("cached_risk"),
+                   F.when(hit, F.col("prompt_hash")).alias("cached_hash"), F.col("sim"))
+    return requests.select(F.col(id_col).cast("long").alias(id_col)).join(res, id_col, "left") \
+        .fillna(False, subset=["hit"])
+
+
+def fuzzy_reuse_writer(cache_path: str, out_path: str, threshold: float = 0.99, ttl_seconds: float = 24 * 3600.0,
+                       id_col: str = "request_id", vec: str = "vector", ts: str = "ts"):
+    """``foreachBatch`` function: each micro-batch is matched against the
+    current cache snapshot and written under its epoch (replays overwrite
+    their own epoch only)."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        from riskframe.sources.io import CACHE_SCHEMA
+        try:
+            cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
+        except Exception:  # noqa: BLE001 - no snapshot yet: every request misses
+            cache = spark.createDataFrame([], CACHE_SCHEMA)
+        out = fuzzy_reuse(batch, cache, threshold, ttl_seconds, id_col, vec, ts)
+        out.write.mode("overwrite").parquet(os.path.join(out_path, f"epoch={epoch}"))
+    return write

@@ -101,3 +101,22 @@ def test_escalate_only(spark):
     got = {r.prompt_hash: (r.risk, r.source) for r in windows.escalate_verdicts(cur, upd).collect()}
     assert got == {"h1": ("HIGH", "llama_guard_async_escalation"), "h2": ("HIGH", "symbolic_rule"),
                    "h3": ("LOW", "clean_pass")}
+
+
+def test_fuzzy_reuse_threshold_and_ttl(spark):
+    import math
+    base = [1.0, 0.0, 0.0]
+
+    def at(cos):
+        return [cos, math.sqrt(1 - cos * cos), 0.0]
+    cache = spark.createDataFrame([("h_live", "LOW", 0.1, 1000.0, "x", base),
+                                   ("h_old", "HIGH", 0.9, 1000.0 - 200000, "x", [0.0, 0.0, 1.0])],
+                                  "prompt_hash string, risk string, score double, timestamp_epoch double, "
+                                  "source string, vector array<float>")
+    reqs = spark.createDataFrame([(1, at(0.995)), (2, at(0.95)), (3, [0.0, 0.001, 1.0])],
+                                 "request_id long, vector array<float>").withColumn(
+        "ts", F.timestamp_seconds(F.lit(2000)))
+    got = {r.request_id: (r.hit, r.cached_risk) for r in windows.fuzzy_reuse(reqs, cache).collect()}
+    assert got[1] == (True, "LOW")          # above 0.99, live
+    assert got[2] == (False, None)          # below the threshold
+    assert got[3] == (False, None)          # nearest entry expired
