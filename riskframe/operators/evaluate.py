@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from riskframe import config as C
 from riskframe.operators import roc
 from riskframe.operators.roc import ALL, _done, _keys
+from riskframe.session import cut_lineage
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -244,11 +245,12 @@ def union_fpr_budget(df: DataFrame, class_scores: list[str], label: str, id_col:
     long = negs.selectExpr(f"`{id_col}` AS __id",
                            f"stack({len(class_scores)}, {stack}) AS (cls, s)").withColumn("y", F.lit(0))
     t = roc.score_table(long, "s", "y", ["cls"])
-    g = t.select("cls", F.col("score").alias("s"),
-                 (F.col("N") - F.col("neg_lt") - F.col("neg")).alias("g"), "neg", "N")
+    # two stage outputs read by several subqueries below: write each once
+    g = cut_lineage(t.select("cls", F.col("score").alias("s"),
+                             (F.col("N") - F.col("neg_lt") - F.col("neg")).alias("g"), "neg", "N"))
     m = long.join(g.select("cls", "s", "g"), ["cls", "s"]).groupBy("__id").agg(F.min("g").alias("m"))
     hist = m.groupBy("m").agg(F.count(F.lit(1)).alias("c")).withColumn(ALL, F.lit(0))
-    cum = roc.prefix_before(hist, [ALL], "m", ["c"]).withColumn("upto", F.col("c_lt") + F.col("c"))
+    cum = cut_lineage(roc.prefix_before(hist, [ALL], "m", ["c"]).withColumn("upto", F.col("c_lt") + F.col("c")))
     over = F.col("upto") > F.lit(budget) * F.col("c_total")
     summ = cum.agg(F.struct(F.max("c_total").alias("n"), F.min(F.when(over, F.col("m"))).alias("m_over"))
                    .alias("s")).scalar()
