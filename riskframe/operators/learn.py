@@ -8,6 +8,7 @@ artifact that compiles to a plain column expression for scoring.
 """
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline
@@ -22,6 +23,7 @@ from riskframe.operators import evaluate as EV
 from riskframe.operators import roc
 from riskframe.session import cut_lineage
 
+FIT_PARALLELISM = 4     # independent fits submitted concurrently (as CrossValidator does)
 HIGH_FPR_BUDGET = 0.05
 MEDIUM_FPR_BUDGET = 0.20
 PER_CLASS_HIGH_FPR_BUDGET = 0.0224
@@ -72,17 +74,18 @@ def fit_fusion_policy(df: DataFrame, features: list[str], label: str, class_col:
     pol["threshold_high"], pol["threshold_medium"] = _thresholds(usable, prob, label,
                                                                  (HIGH_FPR_BUDGET, MEDIUM_FPR_BUDGET))
     if class_col and classes:
-        pol["per_class"] = {}
-        for c in classes:
+        def fit_class(c):
             part = usable.where((F.col(label) == 0) | (F.col(class_col) == c)) \
                 .withColumn("__y", (F.col(class_col) == c).cast("int"))
             if part.where("__y = 1").limit(1).count() == 0:
-                continue
+                return c, None
             p = _fit_linear(part, features, "__y")
-            full = dict(pol, **p)
-            pc_prob = K.fused_score(fmap, full)
+            pc_prob = K.fused_score(fmap, dict(pol, **p))
             hi, md = _thresholds(part, pc_prob, "__y", (PER_CLASS_HIGH_FPR_BUDGET, PER_CLASS_MEDIUM_FPR_BUDGET))
-            pol["per_class"][c] = dict(p, threshold_high=hi, threshold_medium=md)
+            return c, dict(p, threshold_high=hi, threshold_medium=md)
+        with ThreadPoolExecutor(FIT_PARALLELISM) as ex:
+            fitted = list(ex.map(fit_class, classes))
+        pol["per_class"] = {c: p for c, p in fitted if p is not None}
     return pol
 
 
@@ -93,12 +96,13 @@ def oof_scores(df: DataFrame, features: list[str], label: str, id_col: str, k: i
     ``(id, label, fold, score)``."""
     if folded is None:
         folded = EV.kfold(df.dropna(subset=features), id_col, label, k, seed)
-    parts = []
     fmap = {f: f for f in features}
-    for i in range(k):
+
+    def fold(i):
         pol = dict(feature_order=features, **_fit_linear(folded.where(F.col("fold") != i), features, label))
-        parts.append(folded.where(F.col("fold") == i).select(
-            id_col, label, "fold", K.fused_score(fmap, pol).alias("score")))
+        return folded.where(F.col("fold") == i).select(id_col, label, "fold", K.fused_score(fmap, pol).alias("score"))
+    with ThreadPoolExecutor(FIT_PARALLELISM) as ex:
+        parts = list(ex.map(fold, range(k)))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -107,12 +111,13 @@ def marginal_value(df: DataFrame, features: list[str], label: str, id_col: str,
     configs = [("all", features)] + [(f"without_{f}", [g for g in features if g != f]) for f in features]
     # one fold assignment for every configuration, written once
     folded = cut_lineage(EV.kfold(df.dropna(subset=features), id_col, label, k))
-    out = None
-    for name, fs in configs:
+    def one(cfg):
+        name, fs = cfg
         s = oof_scores(df, fs, label, id_col, k, folded=folded)
-        a = roc.auc(roc.score_table(s, "score", label)).select(F.lit(name).alias("config"), "auc", "n_pos", "n_neg")
-        out = a if out is None else out.unionByName(a)
-    return out
+        return roc.auc(roc.score_table(s, "score", label)).select(F.lit(name).alias("config"), "auc", "n_pos", "n_neg")
+    with ThreadPoolExecutor(2) as ex:
+        parts = list(ex.map(one, configs))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def hashed_tfidf_embedder(text_col: str = "text", num_features: int = 1 << 14, ngram_pattern: str = r"\W+"

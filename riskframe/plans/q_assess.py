@@ -13,6 +13,7 @@ the tenant policy and projects the audit row.
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -28,7 +29,9 @@ DIMS = 1 << 10
 
 def assess_prompts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    s = screening.screen_prompts(docs)
+    # screened rows feed both routes and the embedder fit: keep them (lineage
+    # stays intact, so lost blocks are recomputed)
+    s = screening.screen_prompts(docs).persist(StorageLevel.MEMORY_AND_DISK)
     vetoed = s.where(F.col("violation").isNotNull())
     rest = s.where(F.col("violation").isNull())
     emb = learn.hashed_tfidf_embedder("clean_text", DIMS).fit(s.select("clean_text"))
