@@ -221,3 +221,24 @@ def bearer_credential(header) -> Column:
     parts = F.split(F.trim(_col(header)), r"\s+")
     return F.when((F.size(parts) == 2) & (F.lower(parts[0]) == "bearer") & (F.length(parts[1]) > 0),
                   parts[1])
+
+
+# --- U-3 pluggable entity tagger --------------------------------------------------
+
+def tag_entities(df, id_col: str, text_col: str, tagger, labels=None):
+    """U-3: run a tagger ``text -> [(start, end, label), ...]`` over Arrow
+    batches and emit one span row per entity ``(id, start, end, label)``
+    (labels outside ``labels`` are dropped).  Feed the spans to
+    :func:`redact_spans` after ``groupBy(id).agg(collect_list(struct))`` —
+    spans per text are bounded by the text's length."""
+    keep = set(labels or C.ENTITY_LABELS)
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(i, s, e, lab) for i, t in zip(pdf["id"], pdf["text"]) if t is not None
+                    for s, e, lab in tagger(t) if lab in keep]
+            yield pd.DataFrame(rows, columns=["id", "start", "end", "label"]).astype(
+                {"id": "int64", "start": "int32", "end": "int32"})
+
+    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return src.mapInPandas(run, "id long, start int, end int, label string")

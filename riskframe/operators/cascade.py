@@ -160,6 +160,13 @@ def fusion_available(features: dict, pol: dict) -> Column:
     return ok
 
 
+def fusion_detail(features: dict, pol: dict) -> Column:
+    """The first missing detector in declared order (null when all
+    are present)."""
+    return F.coalesce(*[F.when(_col(features[n]).isNull(), F.lit(f"{n} unavailable"))
+                        for n in pol["feature_order"]], F.lit(None).cast("string"))
+
+
 def per_class_verdict(features: dict, pol: dict) -> Column:
     """Score every class policy; the winner is the max of
     (tier, score/threshold_high), first in artifact order on ties.  Returns

@@ -12,6 +12,28 @@ from riskframe.functions import text as X
 HASH_BUCKETS = 65536      # 16-bit prefix of the md5 order key
 
 
+def load_sources(spark, registry: dict, columns: list[str]):
+    """Build every registered source (``name -> callable(spark) ->
+    DataFrame`` already mapped to ``columns``); a source that fails to load
+    is skipped and recorded, never fatal.  Returns (union, provenance)."""
+    frames, prov = {}, []
+    for name, build in registry.items():
+        try:
+            df = build(spark).select(*columns)
+            df.schema  # noqa: B018 - forces analysis, so a missing path fails here
+            frames[name] = df
+            prov.append((name, "ok", None))
+        except Exception as e:  # noqa: BLE001 - recorded in the provenance table
+            prov.append((name, "skipped", f"{type(e).__name__}: {str(e)[:200]}"))
+    provenance = spark.createDataFrame(prov, "source string, status string, reason string")
+    return (union_sources(frames, columns) if frames else None), provenance
+
+
+def shuffle_key(id_col: str, seed: int = 0):
+    """K3: deterministic shuffle order column ``md5(id:seed)``."""
+    return F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
+
+
 def union_sources(frames: dict, columns: list[str]) -> DataFrame:
     """Union per-source frames (already mapped to ``columns``) with
     ``source`` and ``priority`` (registry order).  Frames that fail to build
@@ -75,9 +97,11 @@ def manifest(df: DataFrame, priority: str, ordinal: str, source: str = "source",
                       *(["attacks", "benign"] if label else []))
 
 
-def capped_sample(df: DataFrame, key: str, id_col: str, cap: int, seed: int = 0) -> DataFrame:
+def capped_sample(df: DataFrame, key: str, id_col: str, cap, seed: int = 0) -> DataFrame:
     """At most ``cap`` rows per ``key`` — the ones with the
     smallest ``md5(id:seed)`` — exact, without sorting any key's rows.
+    ``cap`` is an int or a dict ``{key value: cap}`` (a missing key or a
+    ``None`` cap keeps that stratum whole).
 
     A 16-bit prefix of the hash buckets the rows; bucket counts (at most
     65 536 per key) give, per key, the bucket where the running count
@@ -85,11 +109,17 @@ def capped_sample(df: DataFrame, key: str, id_col: str, cap: int, seed: int = 0)
     that one boundary bucket are ranked."""
     h = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
     b = F.conv(F.substring(h, 1, 4), 16, 10).cast("int")
-    hd = df.withColumn("__h", h).withColumn("__b", b)
-    counts = hd.groupBy(key, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    if isinstance(cap, dict):
+        pairs = [x for k, v in cap.items() if v is not None for x in (F.lit(k), F.lit(int(v)))]
+        capc = F.try_element_at(F.create_map(*pairs), F.col(key).cast("string")) if pairs else F.lit(None)
+        capc = F.coalesce(capc.cast("long"), F.lit((1 << 62)))
+    else:
+        capc = F.lit(int(cap)).cast("long")
+    hd = df.withColumn("__h", h).withColumn("__b", b).withColumn("__cap", capc)
+    counts = hd.groupBy(key, "__b", "__cap").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     cum = counts.withColumn("__cum", F.sum("__n").over(w))
-    boundary = cum.where(F.col("__cum") >= cap).groupBy(key).agg(
+    boundary = cum.where(F.col("__cum") >= F.col("__cap")).groupBy(key).agg(
         F.min_by(F.struct(F.col("__b").alias("bb"), (F.col("__cum") - F.col("__n")).alias("before")),
                  F.col("__b")).alias("__bd"))
     j = hd.join(boundary, key, "left")
@@ -97,8 +127,8 @@ def capped_sample(df: DataFrame, key: str, id_col: str, cap: int, seed: int = 0)
     edge = j.where(F.col("__b") == F.col("__bd.bb"))
     we = Window.partitionBy(key, "__b").orderBy("__h")
     edge = edge.withColumn("__r", F.row_number().over(we)) \
-        .where(F.col("__r") <= cap - F.col("__bd.before")).drop("__r")
-    return below.unionByName(edge).drop("__h", "__b", "__bd")
+        .where(F.col("__r") <= F.col("__cap") - F.col("__bd.before")).drop("__r")
+    return below.unionByName(edge).drop("__h", "__b", "__bd", "__cap")
 
 
 def slice_counts(df: DataFrame, slices: list[str], measures: dict) -> DataFrame:

@@ -84,6 +84,18 @@ def model_scores(df: DataFrame, id_col: str, text_col: str, det: Detector) -> Da
     return src.mapInPandas(run, "detector string, id long, score double")
 
 
+def feature_matrix(store: DataFrame, detectors: list[str]):
+    """Long score store -> one row per id with a column per detector
+    (``groupBy(id).pivot``, values fixed up front so no extra pass); rows
+    missing any detector are dropped and counted.  Returns (matrix, dropped
+    count as a one-row DataFrame)."""
+    wide = store.where(F.col("detector").isin(*detectors)).groupBy("id").pivot("detector", detectors) \
+        .agg(F.first("score"))
+    complete = wide.dropna(subset=detectors)
+    dropped = wide.agg(F.count_if(F.greatest(*[F.col(d).isNull() for d in detectors])).alias("dropped"))
+    return complete, dropped
+
+
 def todo(suite: DataFrame, store: DataFrame, id_col: str, detector: str) -> DataFrame:
     """Suite rows without a score from ``detector`` (left anti join)."""
     done = store.where(F.col("detector") == detector).select(F.col("id").alias(id_col))

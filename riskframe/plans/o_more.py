@@ -102,7 +102,40 @@ UNION ALL SELECT 'requests', CAST(authenticated AS VARCHAR), CAST(count(*) AS BI
 UNION ALL SELECT 'unknown_source', substr(coalesce(source, 'None'), 1, {C.UNKNOWN_SOURCE_TRUNCATE}), CAST(count(*) AS BIGINT)
   FROM v WHERE source IS NULL OR source NOT IN {o_ops.KNOWN} GROUP BY 2"""
 
+RUN_SUMMARY = f"""
+WITH {o_vectors.SIG},
+{o_vectors._PC},
+{o_vectors._cascade_body()},
+m AS (SELECT risk, source, topicality, GROUPING(risk, source, topicality) AS gid, CAST(count(*) AS BIGINT) AS n,
+             CAST(count(*) FILTER (WHERE judge_invoked) AS BIGINT) AS n_judge,
+             CAST(count(*) FILTER (WHERE attack = 0 AND topicality = 'OUT_OF_DOMAIN') AS BIGINT) AS n_benign_out_of_domain
+      FROM v GROUP BY GROUPING SETS ((risk), (source), (topicality), ()))
+SELECT CASE WHEN gid = 3 THEN 'risk' WHEN gid = 5 THEN 'source' WHEN gid = 6 THEN 'topicality' ELSE 'all' END AS slice_kind,
+       CASE WHEN gid = 3 THEN risk WHEN gid = 5 THEN source WHEN gid = 6 THEN topicality END AS slice_value,
+       n, n_judge, n_benign_out_of_domain FROM m"""
+
+BENIGN_CAP = f"""
+WITH {SUITE}
+SELECT doc_id, label FROM suite WHERE label <> 0
+UNION ALL
+SELECT doc_id, label FROM (SELECT doc_id, label, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42')) AS rn
+                           FROM suite WHERE label = 0) WHERE rn <= {Q.BENIGN_CAP}"""
+
+STRATIFIED = f"""
+WITH {SUITE}
+SELECT doc_id, attack_class FROM (
+  SELECT doc_id, attack_class, row_number() OVER (PARTITION BY attack_class ORDER BY md5(CAST(doc_id AS VARCHAR) || ':3')) AS rn
+  FROM suite) WHERE attack_class NOT IN ('benign', 'harmful_content') OR rn <= 40"""
+
+TOP_COLLISIONS = f"""
+WITH {o_vectors.NN_CTE}
+SELECT vec_id, nn_id, round(sim, 6) AS sim FROM nn ORDER BY sim DESC, vec_id LIMIT 8"""
+
 ORACLE = {
+    "run_summary": RUN_SUMMARY,
+    "benign_cap_suite": BENIGN_CAP,
+    "stratified_sample": STRATIFIED,
+    "top_collisions": TOP_COLLISIONS,
     "exact_cache_lookup": EXACT,
     "fuzzy_cache_lookup": FUZZY,
     "cache_speedup": SPEEDUP,

@@ -19,6 +19,7 @@ from riskframe.operators import vectors as V
 from riskframe.plans import q_detect, q_ops, q_vectors
 from riskframe.sources.tables import table
 
+BENIGN_CAP = 150
 ABLATION_SETS = {"harmful": [0, 1], "harmful_injection": [0, 1, 2, 3], "all_threat": [0, 1, 2, 3, 4, 5, 6]}
 
 
@@ -129,7 +130,43 @@ def event_counters(spark, sf_dir):
     return reduce(lambda a, b: a.unionByName(b), [limited, reqs, unk]).select("counter", "label", "n")
 
 
+def run_summary(spark, sf_dir):
+    """Risk, source and topicality distributions of one run with the
+    judge count and benign out-of-domain rows — one grouping-sets pass."""
+    from riskframe.operators import corpus
+    v = q_vectors.verdicts(spark, sf_dir)
+    return corpus.slice_counts(v, ["risk", "source", "topicality"], {
+        "n": F.count(F.lit(1)),
+        "n_judge": F.count_if("judge_invoked"),
+        "n_benign_out_of_domain": F.count_if((F.col("attack") == 0) & (F.col("topicality") == "OUT_OF_DOMAIN"))})
+
+
+def benign_cap_suite(spark, sf_dir):
+    """L2: attacks kept whole, benign rows capped (hash order)."""
+    from riskframe.operators import corpus
+    s = q_detect.suite(spark, sf_dir).select("doc_id", "label")
+    return corpus.capped_sample(s, "label", "doc_id", {"0": BENIGN_CAP}, seed=42)
+
+
+def stratified_sample(spark, sf_dir):
+    """One class whole, the others capped."""
+    from riskframe.operators import corpus
+    s = q_detect.suite(spark, sf_dir).select("doc_id", "attack_class")
+    return corpus.capped_sample(s, "attack_class", "doc_id", {"benign": 40, "harmful_content": 40}, seed=3)
+
+
+def top_collisions(spark, sf_dir):
+    """L3: the eight most similar nearest-neighbour pairs (a top-k report)."""
+    emb = table(spark, sf_dir, "embeddings")
+    nn = V.nearest_neighbour(emb, "vec_id", "embedding")
+    return nn.orderBy(F.desc("sim"), "vec_id").limit(8).select("vec_id", "nn_id", F.round("sim", 6).alias("sim"))
+
+
 QUERIES = {
+    "run_summary": run_summary,
+    "benign_cap_suite": benign_cap_suite,
+    "stratified_sample": stratified_sample,
+    "top_collisions": top_collisions,
     "exact_cache_lookup": exact_cache_lookup,
     "fuzzy_cache_lookup": fuzzy_cache_lookup,
     "cache_speedup": cache_speedup,
