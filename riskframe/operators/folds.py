@@ -187,3 +187,71 @@ def open_intervals(breaker_out: DataFrame, backend: str, ts_df: DataFrame, id_co
     j = breaker_out.join(ts_df.select(id_col, ts), id_col)
     return j.groupBy(backend, F.date_trunc(bucket.split()[-1], F.col(ts)).alias("bucket_start")).agg(
         F.max_by("open_after", F.struct(F.col(ts), F.col(id_col))).alias("open"))
+
+
+# --- T1 without a sequential fold: pointer doubling --------------------------------
+
+def _next_pointer(x: DataFrame, w_us: int) -> DataFrame:
+    """``(rid, nx)``: the first request of the same key at or after
+    ``t + ttl`` (in (t, rid) order), null when there is none.
+
+    With windows of the TTL width, the probe ``t_i + ttl`` lies in window
+    ``b_i + 1``: the answer is the first request there at or after the probe
+    (a running "first following" inside that (key, window) partition), else
+    the first request of the next non-empty window after ``b_i + 1`` — which
+    is the successor of window ``b_i + 1`` if it has requests, or of window
+    ``b_i`` if it is empty.  Successors come from one row per (key, window)."""
+    firsts = x.groupBy("k", "b").agg(F.min(F.struct("t", "rid")).alias("f"))
+    wn = Window.partitionBy("k").orderBy("b")          # one row per (key, window)
+    firsts = firsts.withColumn("nf", F.lead(F.col("f.rid")).over(wn))
+    probes = x.select("k", (F.col("b") + 1).alias("b"), (F.col("t") + w_us).alias("t"),
+                      F.lit(0).alias("kind"), F.col("rid").alias("src"), F.lit(None).cast("long").alias("rid"))
+    reqs = x.select("k", "b", "t", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("src"), "rid")
+    after = Window.partitionBy("k", "b").orderBy("t", "kind", "rid").rowsBetween(0, Window.unboundedFollowing)
+    found = probes.unionByName(reqs) \
+        .withColumn("hit", F.first(F.when(F.col("kind") == 1, F.col("rid")), ignorenulls=True).over(after)) \
+        .where(F.col("kind") == 0).select("k", "b", "src", "hit")
+    here = firsts.select("k", "b", F.col("nf").alias("nf_here"), F.lit(True).alias("nonempty"))
+    prev = firsts.select("k", (F.col("b") + 1).alias("b"), F.col("nf").alias("nf_prev"))
+    j = found.join(here, ["k", "b"], "left").join(prev, ["k", "b"], "left")
+    fallback = F.when(F.col("nonempty"), F.col("nf_here")).otherwise(F.col("nf_prev"))
+    return j.select(F.col("src").alias("rid"), F.coalesce(F.col("hit"), fallback).alias("nx"))
+
+
+def ttl_reuse_doubling(df: DataFrame, key: str, ts: str, id_col: str, ttl_seconds: float = C.CACHE_TTL_SECONDS,
+                       max_levels: int = 62) -> DataFrame:
+    """T1 for keys that never pause (a hot prompt), with no per-key
+    sequential pass; same output as :func:`ttl_reuse`.
+
+    The misses of a key are the chain ``h, nxt(h), nxt(nxt(h)), ...`` from its
+    first request ``h`` (:func:`_next_pointer`).  The chain is enumerated by
+    pointer doubling: jump tables ``J_k = nxt^(2^k)`` until one is empty, then
+    ``S <- S ∪ J_k(S)`` over all levels — ``log2(chain length)`` joins, each
+    written once to the checkpoint folder.  A hit's origin is the latest miss
+    before it (the as-of lookup).  Work is O(n log L) with no key ever
+    processed in one task."""
+    from riskframe.operators.lookup import asof_cache_lookup
+    from riskframe.session import cut_lineage
+    w_us = int(round(ttl_seconds * 1_000_000))
+    x = df.select(F.col(id_col).cast("long").alias("rid"), F.col(key).cast("string").alias("k"),
+                  _micros(ts).alias("t")).withColumn("b", F.floor(F.col("t") / w_us).cast("long"))
+    tables = [cut_lineage(_next_pointer(x, w_us))]
+    for _ in range(max_levels):
+        j = tables[-1]
+        nxt2 = cut_lineage(j.alias("a").join(j.alias("c"), F.col("a.nx") == F.col("c.rid"), "left")
+                           .select(F.col("a.rid").alias("rid"), F.col("c.nx").alias("nx")))
+        if nxt2.where(F.col("nx").isNotNull()).limit(1).count() == 0:
+            break
+        tables.append(nxt2)
+    misses = x.groupBy("k").agg(F.min(F.struct("t", "rid")).alias("h")).select(F.col("h.rid").alias("rid"))
+    for j in reversed(tables):
+        step = misses.join(j, "rid").where(F.col("nx").isNotNull()).select(F.col("nx").alias("rid"))
+        misses = cut_lineage(misses.unionByName(step).distinct())
+    lab = x.join(misses.withColumn("miss", F.lit(True)), "rid", "left") \
+        .withColumn("miss", F.coalesce("miss", F.lit(False)))
+    req = lab.select("k", F.timestamp_micros("t").alias("ts_"), "rid")
+    ent = lab.where("miss").select("k", F.timestamp_micros("t").alias("ts_"), "rid")
+    org = asof_cache_lookup(req, ent, "k", "ts_", "rid", "rid", ttl_seconds)
+    out = lab.join(org.select("rid", "origin_id"), "rid", "left")
+    return out.select(F.col("rid").alias(id_col), F.col("k").alias(key), (~F.col("miss")).alias("hit"),
+                      F.when(F.col("miss"), F.col("rid")).otherwise(F.col("origin_id")).alias("origin_id"))

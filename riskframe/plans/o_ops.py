@@ -214,5 +214,6 @@ ORACLE = {
     "concurrency_peak": CONC,
     "quota_token_bucket": QUOTA,
     "verdict_reuse_within_ttl": REUSE,
+    "verdict_reuse_doubling": REUSE,
     "failure_run_intervals": BREAKER,
 }

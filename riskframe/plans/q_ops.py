@@ -170,6 +170,14 @@ def verdict_reuse_within_ttl(spark, sf_dir):
     return folds.ttl_reuse(ev, "prompt_hash", "ts", "event_id", TTL)
 
 
+def verdict_reuse_doubling(spark, sf_dir):
+    """T1 again, computed by pointer doubling (no per-key sequential pass);
+    must equal ``verdict_reuse_within_ttl``."""
+    ev = table(spark, sf_dir, "events").withColumn(
+        "prompt_hash", F.sha2(F.concat_ws(":", F.col("user_id").cast("string"), "event_type"), 256))
+    return folds.ttl_reuse_doubling(ev, "prompt_hash", "ts", "event_id", TTL)
+
+
 def failure_run_intervals(spark, sf_dir):
     ev = table(spark, sf_dir, "events").withColumn("ok", F.col("event_type") != "error")
     out = folds.circuit_breaker(ev, "user_id", "ts", "event_id", "ok", C.BREAKER_FAILURE_THRESHOLD,
@@ -191,5 +199,6 @@ QUERIES = {
     "concurrency_peak": concurrency_peak,
     "quota_token_bucket": quota_token_bucket,
     "verdict_reuse_within_ttl": verdict_reuse_within_ttl,
+    "verdict_reuse_doubling": verdict_reuse_doubling,
     "failure_run_intervals": failure_run_intervals,
 }

@@ -149,3 +149,15 @@ def test_anchor_max_arrow_matches_numpy(spark):
     assert all(abs(got[i] - exp[i]) < 1e-12 for i in range(60))
     empty = V.anchor_max_arrow(df, "v", np.zeros((0, 16)), "s").collect()
     assert all(r.s == 0.0 for r in empty)
+
+
+def test_ttl_doubling_equals_fold(spark):
+    rng = random.Random(8)
+    rows, t = [], 0.0
+    for i in range(800):
+        t += rng.choice([1.0, 5.0, 20.0, 60.0, 400.0])
+        rows.append((i, rng.choice(["hot", "hot", "hot", "b", "c"]), round(t, 3)))
+    ev = _events(spark, rows)
+    a = {r.id: (r.hit, r.origin_id) for r in folds.ttl_reuse(ev, "k", "ts", "id", 300.0).collect()}
+    b = {r.id: (r.hit, r.origin_id) for r in folds.ttl_reuse_doubling(ev, "k", "ts", "id", 300.0).collect()}
+    assert a == b and sum(h for h, _ in a.values()) > 100
