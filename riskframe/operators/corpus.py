@@ -73,7 +73,7 @@ def dedup_first_wins(df: DataFrame, priority: str, ordinal: str, payload: list[s
     g = v.groupBy(key.alias("key_sha1")).agg(
         F.min_by(pay, F.struct(F.col(priority), F.col(ordinal))).alias("w"),
         F.count(F.lit(1)).alias("copies"))
-    return g.select(F.substring("key_sha1", 1, 16).alias("id"), "w.*", "copies")
+    return g.select(F.substring("key_sha1", 1, 16).alias("id"), "w.*", "copies")   # == text.row_id(key)
 
 
 def manifest(df: DataFrame, priority: str, ordinal: str, source: str = "source",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe import config as C
 from riskframe.config import RulePack
 from riskframe.functions import rules as R
 from riskframe.functions import text as X
@@ -39,6 +40,6 @@ def validate_requests(df: DataFrame, text_col: str = "text") -> DataFrame:
     """accepted/rejected split as a ``reason`` column (null = accepted)."""
     n = F.length(F.col(text_col))
     reason = (F.when(F.col(text_col).isNull(), "missing")
-              .when(n < 1, "too_short")
-              .when(n > 50_000, "too_long"))
+              .when(n < C.MIN_PROMPT_CHARS, "too_short")
+              .when(n > C.MAX_PROMPT_CHARS, "too_long"))
     return df.withColumn("reject_reason", reason)

@@ -69,7 +69,7 @@ SELECT source, CASE WHEN text IS NULL THEN 'missing' WHEN length(text) < 1 THEN
                     WHEN length(text) > 50000 THEN 'too_long' ELSE 'accepted' END AS status,
        CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY ALL"""
 
-TODO = "SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)"
+TODO_SQL = "SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)"
 
 ORACLE = {
     "language_tag_crosstab": LANG_CROSSTAB,
@@ -78,5 +78,5 @@ ORACLE = {
     "source_cap_sample": CAP,
     "slice_report": SLICES,
     "request_validation": VALIDATION,
-    "incremental_todo": TODO,
+    "incremental_todo": TODO_SQL,
 }

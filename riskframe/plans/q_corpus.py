@@ -59,11 +59,10 @@ def slice_report(spark, sf_dir):
 
 
 def request_validation(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    n = F.length("text")
-    reason = (F.when(F.col("text").isNull(), "missing").when(n < 1, "too_short")
-              .when(n > 50_000, "too_long").otherwise("accepted"))
-    return d.groupBy("source", reason.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    from riskframe.operators.screening import validate_requests
+    d = validate_requests(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    status = F.coalesce(F.col("reject_reason"), F.lit("accepted"))
+    return d.groupBy("source", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def incremental_todo(spark, sf_dir):
