@@ -19,6 +19,7 @@ floats.
 """
 from __future__ import annotations
 
+import math
 from typing import Callable, Iterator
 
 import pandas as pd
@@ -56,12 +57,28 @@ def sorted_fold(df: DataFrame, keys: list[str], order: list[str], step: Callable
     return ordered.mapInPandas(run, schema)
 
 
-def _segments(df: DataFrame, key: str, t_us: str, reset: Callable) -> DataFrame:
-    """Adds ``seg``: running count of gaps for which ``reset(gap)`` holds."""
-    w = Window.partitionBy(key).orderBy(t_us, "rid")
-    gap = F.col(t_us) - F.lag(t_us).over(w)
-    return df.withColumn("seg", F.sum(F.when(gap.isNotNull() & reset(gap), 1).otherwise(0)).over(
-        w.rowsBetween(Window.unboundedPreceding, 0)))
+def _segments(df: DataFrame, key: str, t_us: str, reset: Callable, width_us: int) -> DataFrame:
+    """Adds ``seg``: the number of state resets at or before each row of its
+    key (a reset = ``reset(gap to the previous request)`` or no previous
+    request), without ordering any key's whole history in one task.
+
+    Time is cut into windows of ``width_us`` — chosen so that any gap of at
+    least one window is a reset.  The previous request is found inside the
+    (key, window) partition or is the previous window's last request;
+    anything older is a reset anyway.  The running count of resets is the
+    bucketed prefix sum over (key, time).  Rows at equal times share a
+    segment (a zero gap never resets)."""
+    from riskframe.operators.roc import prefix_before
+    x = df.withColumn("__w", F.floor(F.col(t_us) / width_us).cast("long"))
+    inside = Window.partitionBy(key, "__w").orderBy(t_us, "rid")
+    last_prev = x.groupBy(key, (F.col("__w") + 1).alias("__w")).agg(F.max(t_us).alias("__lp"))
+    x = x.withColumn("__prev", F.lag(t_us).over(inside)).join(last_prev, [key, "__w"], "left")
+    prev = F.coalesce(F.col("__prev"), F.col("__lp"))
+    x = x.withColumn("__r", F.when(prev.isNull(), 1).when(reset(F.col(t_us) - prev), 1).otherwise(0))
+    per_t = x.groupBy(key, t_us).agg(F.sum("__r").alias("__r"))
+    pre = prefix_before(per_t, [key], t_us, ["__r"]).select(
+        key, t_us, (F.col("__r_lt") + F.col("__r")).alias("seg"))
+    return x.drop("__w", "__prev", "__lp", "__r").join(pre, [key, t_us])
 
 
 # --- step functions shared by the batch folds and the streaming processors ------------
@@ -127,7 +144,7 @@ def ttl_reuse(df: DataFrame, key: str, ts: str, id_col: str, ttl_seconds: float
     ttl_us = int(round(ttl_seconds * 1_000_000))
     x = df.select(F.col(id_col).cast("long").alias("rid"), F.col(key).cast("string").alias("k"),
                   _micros(ts).alias("t"))
-    x = _segments(x, "k", "t", lambda g: g >= ttl_us)
+    x = _segments(x, "k", "t", lambda g: g >= ttl_us, ttl_us)
     out = sorted_fold(x, ["k", "seg"], ["t", "rid"], ttl_step(ttl_us), TTL_SCHEMA)
     return out.select(F.col("rid").alias(id_col), F.col("k").alias(key), "hit", "origin_id")
 
@@ -156,7 +173,10 @@ def token_bucket(df: DataFrame, identity: str, ts: str, id_col: str, capacity: f
         return x.select(F.col("rid").alias(id_col), F.col("k").alias(identity),
                         F.lit(True).alias("allowed"), F.lit(0.0).alias("retry_after"))
     cap, rate = float(capacity), float(refill)
-    x = _segments(x, "k", "t", lambda g: (g / F.lit(1e6)) * F.lit(rate) >= F.lit(cap))
+    # any gap of at least `width` refills the bucket (2 µs of slack over cap/rate
+    # keeps the float test true there); shorter gaps are tested exactly
+    width = int(math.ceil(cap / rate * 1_000_000)) + 2
+    x = _segments(x, "k", "t", lambda g: (g / F.lit(1e6)) * F.lit(rate) >= F.lit(cap), width)
     out = sorted_fold(x, ["k", "seg"], ["t", "rid"], bucket_step(cap, rate), BUCKET_SCHEMA)
     return out.select(F.col("rid").alias(id_col), F.col("k").alias(identity), "allowed", "retry_after")
 
