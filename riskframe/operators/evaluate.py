@@ -102,8 +102,18 @@ def poisson1_draw(u: Column, kmax: int = 12) -> Column:
     return reduce(lambda a, b: a + b, [F.when(u > F.lit(c), 1).otherwise(0) for c in cdf])
 
 
+def _poisson_weights(ids, seed: int, replicates: int, cdf) -> "np.ndarray":
+    """``len(ids) x replicates`` Poisson(1) weights from ``md5(id:seed:r)`` —
+    the same draws as :func:`poisson1_draw` over :func:`hash_uniform`."""
+    import hashlib
+    import numpy as np
+    u = np.array([[int(hashlib.md5(f"{i}:{seed}:{r}".encode()).hexdigest()[:13], 16) for r in range(replicates)]
+                  for i in ids], dtype=np.float64).reshape(len(ids), replicates) / float(2 ** 52)
+    return np.searchsorted(np.asarray(cdf), u, side="left").astype(np.int64)
+
+
 def bootstrap_auc(df: DataFrame, id_col: str, score: str, label: str, keys=None, replicates: int = 200,
-                  alpha: float = 0.05, seed: int = 0) -> DataFrame:
+                  alpha: float = 0.05, seed: int = 0, buckets: int = 1024, chunk_rows: int = 20000) -> DataFrame:
     """Percentile interval of the AUC under a Poisson(1) bootstrap.
 
     Row *i* gets weight Poisson(1) in replicate *r*, drawn from
@@ -112,40 +122,100 @@ def bootstrap_auc(df: DataFrame, id_col: str, score: str, label: str, keys=None,
     counted (``n_boot_effective``).  Interval indices are
     ``int(alpha/2*m)`` and ``min(int((1-alpha/2)*m), m-1)`` over the sorted
     valid replicates.
-    """
+
+    Rows are shuffled once, to their (key, score bucket) — never one copy per
+    replicate.  Each bucket draws its rows' R weights in the task and folds
+    them in score order (tie groups get half credit), returning three
+    R-vectors: its weighted positives, negatives and the within-bucket
+    numerator ``sum pos*(2*neg_below + neg_tied)``.  Per key, at most
+    ``buckets`` such rows are combined with the negatives of lower buckets.
+    Memory per task is O(chunk_rows x R); all sums are exact integers."""
+    import numpy as np
+    import pandas as pd
     ks = [] if not keys else ([keys] if isinstance(keys, str) else list(keys))
     point = roc.auc(roc.score_table(df, score, label, ks or None), ks or None)
-    # the replicate explosion multiplies rows by `replicates`: spread the
-    # input over the cluster first when it arrives in few partitions
-    par = df.sparkSession.sparkContext.defaultParallelism
-    src = df.select(*ks, id_col, score, label)
-    if src.rdd.getNumPartitions() < par:
-        src = src.repartition(par, id_col)
-    rep = src.select(*ks, id_col, score, label,
-                    F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    # the uniform is its own projection so the 13-way inverse CDF reads a
-    # column instead of re-hashing per branch
-    rep = rep.withColumn("__u", hash_uniform(F.col(id_col), F.lit(seed), F.col("rep"))) \
-        .withColumn("w", poisson1_draw(F.col("__u"))).where(F.col("w") > 0).drop("__u")
-    rep_auc = roc.auc(roc.score_table(rep, score, label, ks + ["rep"], weight="w"), ks + ["rep"])
-    valid = rep_auc.where(~F.isnan("auc"))
-    gk = ks
-    # per key at most `replicates` values: the sorted list is bounded
-    dist = valid.groupBy(*gk).agg(F.array_sort(F.collect_list("auc")).alias("__s"),
-                                  F.count(F.lit(1)).alias("n_boot_effective"))
-    m = F.col("n_boot_effective")
-    lo_i = F.floor(F.lit(alpha / 2.0) * m).cast("int")
-    hi_i = F.least(F.floor(F.lit(1.0 - alpha / 2.0) * m).cast("int"), m - 1)
-    dist = dist.select(*gk, "n_boot_effective",
-                       F.element_at("__s", lo_i + 1).alias("ci_lo"),
-                       F.element_at("__s", (hi_i + 1).cast("int")).alias("ci_hi"))
-    if gk:
-        out = point.join(dist, gk, "left")
+    gk = ks or [ALL]
+    base = df.where(F.col(score).isNotNull()).select(
+        *(ks or [F.lit(0).alias(ALL)]), F.col(id_col).alias("__id"), F.col(score).cast("double").alias("__s"),
+        (F.col(label).cast("int") == 1).cast("int").alias("__y"))
+    stats = [F.min("__s").alias("__lo"), F.max("__s").alias("__hi")]
+    if ks:
+        base = base.join(base.groupBy(*gk).agg(*stats), gk)
+    else:
+        sc = base.agg(F.struct(*stats).alias("s")).scalar()
+        base = base.withColumns({"__lo": sc["__lo"], "__hi": sc["__hi"]})
+    span = F.col("__hi") - F.col("__lo")
+    base = base.withColumn("__b", F.when(span <= 0, F.lit(0)).otherwise(
+        F.least(F.lit(buckets - 1), F.floor((F.col("__s") - F.col("__lo")) / span * buckets).cast("int"))))
+    cdf = C.poisson1_cdf(12)
+    R = int(replicates)
+    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*gk).schema.fields)
+
+    def per_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__s", kind="stable")
+        s = pdf["__s"].to_numpy()
+        y = pdf["__y"].to_numpy().astype(np.int64)
+        ids = pdf["__id"].tolist()
+        A = np.zeros(R, dtype=np.int64)
+        cum_neg = np.zeros(R, dtype=np.int64)
+        pos_tot = np.zeros(R, dtype=np.int64)
+        pos_g = np.zeros(R, dtype=np.int64)
+        neg_g = np.zeros(R, dtype=np.int64)
+        cur = None
+        for lo in range(0, len(s), chunk_rows):
+            W = _poisson_weights(ids[lo:lo + chunk_rows], seed, R, cdf)
+            sv = s[lo:lo + chunk_rows]
+            yv = y[lo:lo + chunk_rows][:, None]
+            starts = np.flatnonzero(np.r_[True, sv[1:] != sv[:-1]])
+            P = np.add.reduceat(W * yv, starts, axis=0)
+            N = np.add.reduceat(W * (1 - yv), starts, axis=0)
+            pos_tot += P.sum(axis=0)
+            for g in range(len(starts)):
+                val = sv[starts[g]]
+                if cur is not None and val != cur:         # close the previous tie group
+                    A += pos_g * (2 * cum_neg + neg_g)
+                    cum_neg += neg_g
+                    pos_g[:] = 0
+                    neg_g[:] = 0
+                cur = val
+                pos_g += P[g]
+                neg_g += N[g]
+        A += pos_g * (2 * cum_neg + neg_g)
+        cum_neg += neg_g
+        out = {k: [pdf[k].iloc[0]] for k in gk}
+        out.update({"__b": [int(pdf["__b"].iloc[0])], "A": [A.tolist()], "NEG": [cum_neg.tolist()],
+                    "POS": [pos_tot.tolist()]})
+        return pd.DataFrame(out)
+
+    part = base.groupBy(*gk, "__b").applyInPandas(
+        per_bucket, f"{key_schema}, __b int, A array<long>, NEG array<long>, POS array<long>")
+    lo_f, hi_f = alpha / 2.0, 1.0 - alpha / 2.0
+
+    def per_key(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__b")
+        A = np.vstack(pdf["A"].to_numpy()).astype(np.int64)
+        NEG = np.vstack(pdf["NEG"].to_numpy()).astype(np.int64)
+        POS = np.vstack(pdf["POS"].to_numpy()).astype(np.int64)
+        off = np.cumsum(NEG, axis=0) - NEG                # negatives in lower buckets
+        num2 = (A + 2 * POS * off).sum(axis=0)
+        Pt, Nt = POS.sum(axis=0), NEG.sum(axis=0)
+        ok = (Pt > 0) & (Nt > 0)
+        aucs = np.sort(num2[ok] / (2.0 * Pt[ok] * Nt[ok]))
+        m = len(aucs)
+        out = {k: [pdf[k].iloc[0]] for k in gk}
+        out["n_boot_effective"] = [m]
+        out["ci_lo"] = [float(aucs[int(np.floor(lo_f * m))]) if m else None]
+        out["ci_hi"] = [float(aucs[min(int(np.floor(hi_f * m)), m - 1)]) if m else None]
+        return pd.DataFrame(out)
+
+    dist = part.groupBy(*gk).applyInPandas(per_key, f"{key_schema}, n_boot_effective long, ci_lo double, ci_hi double")
+    if ks:
+        out = point.join(dist, ks, "left")
     else:
         ds = dist.select(F.struct("n_boot_effective", "ci_lo", "ci_hi").alias("s")).scalar()
         out = point.withColumns({"n_boot_effective": ds["n_boot_effective"], "ci_lo": ds["ci_lo"],
                                  "ci_hi": ds["ci_hi"]})
-    return _done(out.select(*gk, F.col("auc").alias("point"), "ci_lo", "ci_hi",
+    return _done(out.select(*ks, F.col("auc").alias("point"), "ci_lo", "ci_hi",
                             (F.col("n_pos") + F.col("n_neg")).alias("n"),
                             F.coalesce("n_boot_effective", F.lit(0)).alias("n_boot_effective"),
                             F.lit(1.0 - alpha).alias("ci_level")))
