@@ -22,13 +22,13 @@ from riskframe.operators import cascade as K
 from riskframe.operators import govern, learn, screening
 from riskframe.operators import vectors as V
 from riskframe.sources import io
-from riskframe.sources.tables import table
+from riskframe.sources.tables import table, text_table
 
 DIMS = 1 << 10
 
 
 def assess_prompts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "source", "text")
     # screened rows feed both routes and the embedder fit: keep them (lineage
     # stays intact, so lost blocks are recomputed)
     s = screening.screen_prompts(docs).persist(StorageLevel.MEMORY_AND_DISK)

@@ -10,19 +10,19 @@ from pyspark.sql import functions as F
 from riskframe.functions import rules as R
 from riskframe.functions import text as X
 from riskframe.operators import corpus
-from riskframe.sources.tables import table
+from riskframe.sources.tables import table, text_table
 
 CAP_PER_SOURCE = 20
 SEED = 42
 
 
 def _docs(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = text_table(spark, sf_dir, "documents", "doc_id")
     return d.withColumn("priority", F.regexp_extract("source", r"(\d+)$", 1).cast("int"))
 
 
 def language_tag_crosstab(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("lang", "text")
+    d = text_table(spark, sf_dir, "documents", "doc_id").select("lang", "text")
     return d.groupBy("lang", X.detect_language("text").alias("language")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -44,7 +44,7 @@ def source_cap_sample(spark, sf_dir):
 
 
 def slice_report(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    d = text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "source", "text")
     lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     x = d.join(lab, "doc_id").select(
         "source", X.detect_language("text").alias("language"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from riskframe.operators import corpus, detectors as D
 from riskframe.operators import roc
 from riskframe.session import cut_lineage
-from riskframe.sources.tables import table
+from riskframe.sources.tables import table, text_table
 
 CLASSES = ["harmful_content", "jailbreak"]
 SWEEP = [0.01, 0.05, 0.1, 0.2]
@@ -34,7 +34,7 @@ KEEP = ["source", "lang", "label", "attack_class"]
 
 
 def suite(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = text_table(spark, sf_dir, "documents", "doc_id")
     lab = table(spark, sf_dir, "labels")
     cls = (F.when((F.col("toxic") == 1) & (F.col("quality") == 0), "jailbreak")
            .when(F.col("toxic") == 1, "harmful_content").otherwise("benign"))

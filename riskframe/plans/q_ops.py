@@ -21,7 +21,7 @@ from riskframe.functions import rules as R
 from riskframe.functions import text as X
 from riskframe.operators import cascade as K
 from riskframe.operators import folds, govern, metrics
-from riskframe.sources.tables import table
+from riskframe.sources.tables import table, text_table
 
 OVERRIDE_POLICY = {
     "default": C.DEFAULT_POLICY["default"],
@@ -75,7 +75,7 @@ def _screen(col):
 
 
 def combined_output_decision(spark, sf_dir):
-    conv = table(spark, sf_dir, "conversations")
+    conv = text_table(spark, sf_dir, "conversations", "conv_id")
     pairs = govern.pair_turns(conv)
     pairs = X.with_redaction(pairs, "prompt", "clean_prompt", "prompt_items")
     pairs = X.with_redaction(pairs, "response", "clean_response", "response_items")

@@ -9,16 +9,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskframe.operators import screening
-from riskframe.sources.tables import table
+from riskframe.sources.tables import table, text_table
 
 
 def symbolic_veto_by_source(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "source", "text")
     return screening.veto_tally(screening.screen_prompts(docs), "source")
 
 
 def pii_redact_regex(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
     from riskframe.functions.text import with_redaction
     r = with_redaction(docs, "text")
     return r.select(

@@ -55,3 +55,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if missing:
             raise ValueError(f"table {name} lacks columns {missing}")
     return df
+
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Spreads rows for CPU-heavy per-row work (regexes over long texts)
+    when the scan yields fewer splits than the cluster has cores — e.g. a
+    file holding one large row group, where a single task would get every
+    row.  Hash-partitions by ``key`` (deterministic on retry, no sort); a
+    no-op for inputs already split wider than the cluster."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= par:
+        return df
+    return df.repartition(par, key) if key else df.repartition(par)
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """:func:`table` followed by :func:`spread` on ``key``."""
+    return spread(table(spark, sf_dir, name), key)
