@@ -96,6 +96,59 @@ def feature_matrix(store: DataFrame, detectors: list[str]):
     return complete, dropped
 
 
+def incremental_score(suite: DataFrame, store_path: str, id_col: str, det: Detector, text_col: str = "text",
+                      max_tries: int = 3, abort_after: int = 15) -> int:
+    """K4: score the rows of ``suite`` the store lacks for ``det`` and append
+    them (partitioned by detector).  Each row gets up to ``max_tries``
+    attempts; a row that keeps failing stays unscored (never 0).  A task that
+    sees ``abort_after`` consecutive failed rows stops scoring — the model is
+    down — and its remaining rows stay to-do for the next run.  Returns the
+    number of rows appended."""
+    from riskframe.sources import io
+    spark = suite.sparkSession
+    try:
+        store = io.read_scores(spark, store_path, [det.name])
+        work = todo(suite, store, id_col, det.name)
+    except Exception:  # noqa: BLE001 - empty store: everything is to do
+        work = suite
+    fn, name = det.batch_fn, det.name
+
+    def run(batches):
+        streak = 0
+        for pdf in batches:
+            ids, scores = [], []
+            for i, t in zip(pdf["id"], pdf["text"]):
+                if streak >= abort_after:
+                    break
+                val = None
+                for _ in range(max_tries):
+                    try:
+                        r = fn(pd.Series([t]))
+                        v = r.iloc[0] if hasattr(r, "iloc") else r[0]
+                    except Exception:  # noqa: BLE001 - retried, then left unscored
+                        v = None
+                    if v is not None and v == v:
+                        val = float(v)
+                        break
+                if val is None:
+                    streak += 1
+                    continue
+                streak = 0
+                ids.append(int(i))
+                scores.append(val)
+            yield pd.DataFrame({"detector": name, "id": pd.Series(ids, dtype="int64"),
+                                "score": pd.Series(scores, dtype="float64")})
+
+    src = work.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    out = src.mapInPandas(run, "detector string, id long, score double")
+    from riskframe.session import cut_lineage
+    out = cut_lineage(out)            # scored once, then counted and appended
+    n = out.count()
+    if n:
+        io.append_scores(out, store_path)
+    return n
+
+
 def todo(suite: DataFrame, store: DataFrame, id_col: str, detector: str) -> DataFrame:
     """Suite rows without a score from ``detector`` (left anti join)."""
     done = store.where(F.col("detector") == detector).select(F.col("id").alias(id_col))

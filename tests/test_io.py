@@ -82,3 +82,25 @@ def test_fixture_checks(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "id int, prompt string")
     r = io.fixture_checks(df, "id", "prompt").first()
     assert r.ids_sequential and not r.text_unique
+
+
+def test_incremental_scoring_retries_and_resumes(spark, tmp_path):
+    suite = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string").coalesce(1)
+    store = str(tmp_path / "store")
+
+    def flaky(texts):
+        t = texts.iloc[0]
+        n = int(t.split()[1])
+        if n % 5 == 0:
+            raise RuntimeError("model hiccup")        # always fails: stays unscored
+        return [n / 100.0]
+    det = D.Detector("m", batch_fn=flaky)
+    assert D.incremental_score(suite, store, "doc_id", det) == 16
+    assert D.incremental_score(suite, store, "doc_id", det) == 0   # failed rows retried, still failing
+    s = io.read_scores(spark, store, ["m"])
+    assert s.count() == 16 and s.where("score = 0").count() == 0
+
+    def down(texts):
+        raise RuntimeError("server down")
+    assert D.incremental_score(suite, str(tmp_path / "s2"), "doc_id", D.Detector("d", batch_fn=down),
+                               abort_after=3) == 0
