@@ -45,6 +45,7 @@ def _fit_linear(df: DataFrame, features: list[str], label: str, C: float = 1.0,
          for f, mu, sc in zip(features, means, scales)]
     x = df.select(*z, F.col(label).cast("double").alias("y"))
     x = VectorAssembler(inputCols=[f"z_{f}" for f in features], outputCol="features").transform(x)
+    x = _sized(x, n)
     lr = LogisticRegression(featuresCol="features", labelCol="y", regParam=1.0 / (C * max(n, 1)),
                             elasticNetParam=0.0, standardization=False, fitIntercept=True,
                             maxIter=max_iter, tol=1e-8)
@@ -53,12 +54,29 @@ def _fit_linear(df: DataFrame, features: list[str], label: str, C: float = 1.0,
             "coefficients": [float(c) for c in m.coefficients.toArray()], "intercept": float(m.intercept)}
 
 
+ROWS_PER_FIT_PARTITION = 100_000
+
+
+def _sized(df: DataFrame, n_rows: int) -> DataFrame:
+    """Iterative optimisers pay per task on every iteration: give the
+    training set about one partition per 100k rows (at most the cluster's
+    parallelism, at least one)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    want = max(1, min(par, -(-n_rows // ROWS_PER_FIT_PARTITION)))
+    return df.coalesce(want) if df.rdd.getNumPartitions() > want else df
+
+
 def _thresholds(df: DataFrame, prob: F.Column, label: str, budgets: tuple[float, float]) -> tuple[float, float]:
-    p = df.select(prob.alias("p"), F.col(label).alias("y"))
-    t = roc.score_table(p, "p", "y")
-    hi = roc.recall_at_fpr(t, budgets[0]).first()["threshold"]
-    md = roc.recall_at_fpr(t, budgets[1]).first()["threshold"]
-    return float(hi), float(md)
+    """ROC-rule thresholds for two FPR budgets from one score table and one
+    aggregate: the feasible point with the largest (tpr, threshold), the
+    origin (0, +inf) included."""
+    t = roc.score_table(df.select(prob.alias("p"), F.col(label).alias("y")), "p", "y")
+    t = t.where((F.col("P") > 0) & (F.col("N") > 0))
+    fpr = (F.col("N") - F.col("neg_lt")) / F.col("N")
+    pt = F.struct(((F.col("P") - F.col("pos_lt")) / F.col("P")).alias("tpr"), F.col("score").alias("thr"))
+    origin = F.struct(F.lit(0.0).alias("tpr"), F.lit(float("inf")).alias("thr"))
+    r = t.agg(*[F.greatest(F.max(F.when(fpr <= b, pt)), origin).alias(f"b{i}") for i, b in enumerate(budgets)]).first()
+    return float(r["b0"]["thr"]), float(r["b1"]["thr"])
 
 
 def fit_fusion_policy(df: DataFrame, features: list[str], label: str, class_col: str | None = None,
