@@ -184,7 +184,7 @@ def coverage(store: DataFrame, suite: DataFrame, id_col: str, registry: DataFram
         .groupBy("detector").agg(F.countDistinct("id").alias("done"))
     out = registry.select("detector").join(done, "detector", "left").fillna(0, subset=["done"]) \
         .withColumn("total", total)
-    return out.select("detector", "done", "total", (F.col("done") / F.col("total")).alias("rate"))
+    return out.select("detector", "done", "total", F.try_divide(F.col("done"), F.col("total")).alias("rate"))
 
 
 # --- reports ---------------------------------------------------------------------------
@@ -201,8 +201,8 @@ def comparison(scored: DataFrame, registry: DataFrame, budget: float = C.DEFAULT
     r = roc.recall_at_fpr(t, budget, ["detector"])
     thr = r.select("detector", F.col("threshold").alias("thr"))
     fpr = kept.join(thr, "detector").groupBy("detector").agg(
-        (F.count_if((F.col("label") == 0) & (F.col("score") >= F.col("thr")))
-         / F.count_if(F.col("label") == 0)).alias("actual_fpr"))
+        F.try_divide(F.count_if((F.col("label") == 0) & (F.col("score") >= F.col("thr"))),
+                     F.count_if(F.col("label") == 0)).alias("actual_fpr"))
     return (total.join(a, "detector", "left").join(r, "detector", "left").join(fpr, "detector", "left")
             .select("detector", (F.col("__all") - F.col("n_pos") - F.col("n_neg")).alias("rows_excluded"),
                     (F.col("n_pos") + F.col("n_neg")).alias("n"), "n_pos", "n_neg", "auc", "recall",

@@ -331,8 +331,8 @@ def union_fpr_budget(df: DataFrame, class_scores: list[str], label: str, id_col:
     kk = F.when(k < F.col("N"), k).otherwise(F.col("N") - 1)
     hit = (F.col("neg") > 0) & (F.col("g") <= kk) & (kk < F.col("g") + F.col("neg"))
     thr = {c: g.where((F.col("cls") == c) & hit).agg(F.max("s")).scalar() for c in class_scores}
-    return spark.range(1).select(k.alias("k"), n.alias("n_neg"), (k / n).alias("alpha"),
-                                 (flagged / n).alias("union_fpr"),
+    return spark.range(1).select(k.alias("k"), n.alias("n_neg"), F.try_divide(k, n).alias("alpha"),
+                                 F.try_divide(flagged, n).alias("union_fpr"),
                                  *[thr[c].alias(f"thr_{c}") for c in class_scores])
 
 

@@ -18,7 +18,7 @@ SEED = 42
 
 def _docs(spark, sf_dir):
     d = text_table(spark, sf_dir, "documents", "doc_id")
-    return d.withColumn("priority", F.regexp_extract("source", r"(\d+)$", 1).cast("int"))
+    return d.withColumn("priority", F.regexp_extract("source", r"(\d+)$", 1).try_cast("int"))
 
 
 def language_tag_crosstab(spark, sf_dir):

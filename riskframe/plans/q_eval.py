@@ -24,7 +24,7 @@ def scored_events(spark, sf_dir):
         "event_id", "ts", "user_id",
         F.col("value").alias("score"),
         (F.col("event_type") == "error").cast("int").alias("label"),
-        (F.get_json_object("props", "$.k").cast("int") / 25).cast("int").alias("k_band"))
+        (F.get_json_object("props", "$.k").try_cast("int") / 25).cast("int").alias("k_band"))
 
 
 def _table(spark, sf_dir):

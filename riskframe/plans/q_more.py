@@ -51,7 +51,7 @@ def cache_speedup(spark, sf_dir):
                                     F.avg("warm_ms").alias("avg_warm"))
     return g.select("event_type", "n_pairs", F.round("avg_cold", 9).alias("avg_cold"),
                     F.round("avg_warm", 9).alias("avg_warm"),
-                    F.round(F.col("avg_cold") / F.col("avg_warm"), 9).alias("speedup"))
+                    F.round(F.try_divide(F.col("avg_cold"), F.col("avg_warm")), 9).alias("speedup"))
 
 
 def safe_harbour_impact(spark, sf_dir):
@@ -105,7 +105,7 @@ def decision_accuracy(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("n_correct"))
     allr = x.agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("n_correct")).select(
         F.lit("all").alias("slice"), "n", "n_correct")
-    return per.unionByName(allr).withColumn("accuracy", F.col("n_correct") / F.col("n"))
+    return per.unionByName(allr).withColumn("accuracy", F.try_divide(F.col("n_correct"), F.col("n")))
 
 
 def latency_exclusive_percentiles(spark, sf_dir):

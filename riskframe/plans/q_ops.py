@@ -98,7 +98,7 @@ def _verdict_log(spark, sf_dir):
     risk = F.when(F.col("value") >= 300, "HIGH").when(F.col("value") >= 100, "MEDIUM").otherwise("LOW")
     source = (F.when(F.col("event_type") == "view", "cache").when(F.col("event_type") == "click", "clean_pass")
               .when(F.col("event_type") == "purchase", "fusion_clean_pass").otherwise(F.col("event_type")))
-    tenant = F.concat(F.lit("k"), (F.get_json_object("props", "$.k").cast("int") / 25).cast("int").cast("string"))
+    tenant = F.concat(F.lit("k"), (F.get_json_object("props", "$.k").try_cast("int") / 25).cast("int").cast("string"))
     return ev.select("event_id", "ts", "user_id", "event_type", "value", decision.alias("decision"),
                      risk.alias("risk_level"), source.alias("source"), tenant.alias("tenant"))
 

@@ -106,7 +106,7 @@ def collision_sweep(spark, sf_dir):
     pct_same = F.when(F.col("n_hits") > 0, F.col("n_same") / F.col("n_hits"))
     return agg.select("threshold", "n_hits", F.round(pct_same, ROUND).alias("pct_same"),
                       F.round(1 - pct_same, ROUND).alias("pct_diff"),
-                      F.round(F.col("n_hits") / F.lit(n), ROUND).alias("hit_rate"),
+                      F.round(F.try_divide(F.col("n_hits"), F.lit(n)), ROUND).alias("hit_rate"),
                       F.coalesce((1 - pct_same) > 0.01, F.lit(False)).alias("unsafe"))
 
 
