@@ -145,3 +145,21 @@ def slice_counts(df: DataFrame, slices: list[str], measures: dict) -> DataFrame:
         kind = F.when(bit_clear, F.lit(s)).otherwise(kind)
         value = F.when(bit_clear, F.col(s).cast("string")).otherwise(value)
     return g.select(kind.alias("slice_kind"), value.alias("slice_value"), *measures.keys())
+
+
+def build_suite(df: DataFrame, priority: str, ordinal: str, source_caps=None, benign_cap: int | None = None,
+                seed: int = 42, text_col: str = "text", label: str = "label", payload=None) -> DataFrame:
+    """K2: per-source cap (before dedup) -> drop short rows -> dedup key ->
+    first-wins dedup across sources -> language tag and row id -> global
+    benign cap (attacks kept whole) -> deterministic shuffle key.  Returns
+    ``id, language, shuffle_key`` and the payload columns."""
+    payload = list(payload or [])
+    x = df
+    if source_caps is not None:
+        x = capped_sample(x, "source", ordinal, source_caps, seed)
+    keep = list(dict.fromkeys([ordinal, "source", label, text_col] + payload))
+    kept = dedup_first_wins(x, priority, ordinal, keep, text_col)
+    kept = kept.withColumn("language", X.detect_language(text_col)).drop(text_col)
+    if benign_cap is not None:
+        kept = capped_sample(kept, label, ordinal, {"0": benign_cap}, seed)
+    return kept.withColumn("shuffle_key", shuffle_key("id", seed))

@@ -71,7 +71,25 @@ SELECT source, CASE WHEN text IS NULL THEN 'missing' WHEN length(text) < 1 THEN
 
 TODO_SQL = "SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)"
 
+BUILD_SUITE = f"""
+WITH d0 AS (SELECT d.*, l.toxic AS label, CAST(regexp_extract(d.source, '(\\d+)$', 1) AS INTEGER) AS priority
+            FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source
+              ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42')) AS rn FROM d0) WHERE rn <= 45),
+k AS (SELECT *, {KEY} AS dedup_key FROM capped),
+v AS (SELECT * FROM k WHERE length(trim(text)) >= 3 AND length(dedup_key) > 0),
+w AS (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY priority, doc_id) AS r2 FROM v),
+kept AS (SELECT substr(sha1(dedup_key), 1, 16) AS id, doc_id, source, label, {lang_expr('text')} AS language
+         FROM w WHERE r2 = 1),
+bc AS (SELECT * FROM kept WHERE label <> 0
+       UNION ALL
+       SELECT id, doc_id, source, label, language FROM (
+         SELECT *, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42')) AS r3 FROM kept WHERE label = 0)
+       WHERE r3 <= 120)
+SELECT id, doc_id, source, label, language, md5(id || ':42') AS shuffle_key FROM bc"""
+
 ORACLE = {
+    "build_suite": BUILD_SUITE,
     "language_tag_crosstab": LANG_CROSSTAB,
     "dedup_first_wins": DEDUP,
     "suite_manifest": MANIFEST,

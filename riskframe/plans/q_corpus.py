@@ -72,7 +72,21 @@ def incremental_todo(spark, sf_dir):
     return d.join(scored, "doc_id", "left_anti")
 
 
+SUITE_SOURCE_CAP = 45
+SUITE_BENIGN_CAP = 120
+
+
+def build_suite(spark, sf_dir):
+    """K2 over the labelled corpus: 45 rows per source (hash order), dedup,
+    language, then at most 120 benign rows."""
+    d = _docs(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")),
+                                  "doc_id")
+    out = corpus.build_suite(d, "priority", "doc_id", SUITE_SOURCE_CAP, SUITE_BENIGN_CAP, SEED)
+    return out.select("id", "doc_id", "source", "label", "language", "shuffle_key")
+
+
 QUERIES = {
+    "build_suite": build_suite,
     "language_tag_crosstab": language_tag_crosstab,
     "dedup_first_wins": dedup_first_wins,
     "suite_manifest": suite_manifest,
