@@ -11,7 +11,8 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark import StorageLevel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -158,6 +159,21 @@ def text_classifier(text_col: str = "text", label: str = "label", num_features:
         LogisticRegression(featuresCol="__tf", labelCol=label, regParam=1e-3, maxIter=50)])
 
 
+def fit_text_classifier(df: DataFrame, text_col: str = "text", label: str = "label",
+                        num_features: int = 1 << 16) -> PipelineModel:
+    """Fits :func:`text_classifier` with the tokenising done once, in
+    parallel, and the optimiser's iterations over a training set sized to
+    its rows (featurised rows are kept for the iterations)."""
+    pipe = text_classifier(text_col, label, num_features)
+    tok, tf, lr = pipe.getStages()
+    feats = tf.transform(tok.transform(df)).select("__tf", F.col(label).cast("double").alias(label))
+    feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
+    n = feats.count()
+    model = lr.fit(_sized(feats, n))
+    feats.unpersist()
+    return PipelineModel(stages=[tok, tf, model])
+
+
 def classifier_scores(model, df: DataFrame, id_col: str, name: str = "text_classifier") -> DataFrame:
     """Applies a fitted classifier: ``(detector, id, score)`` with score =
     P(label = 1)."""

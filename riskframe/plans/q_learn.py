@@ -47,8 +47,7 @@ def text_classifier_holdout_auc(spark, sf_dir):
     """U-6 + E11: train on the hash-split training part, AUC per language
     on the held-out part."""
     s = EV.holdout_split(q_detect.suite(spark, sf_dir), "doc_id", 0.3, 42)
-    model = learn.text_classifier("text", "label").fit(s.where("split = 'train'").withColumn(
-        "label", F.col("label").cast("double")))
+    model = learn.fit_text_classifier(s.where("split = 'train'"), "text", "label")
     test = s.where("split = 'test'")
     sc = learn.classifier_scores(model, test, "doc_id").join(
         test.select(F.col("doc_id").alias("id"), "label", "lang"), "id")
