@@ -23,7 +23,7 @@ import math
 from typing import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe import config as C
@@ -57,7 +57,7 @@ def sorted_fold(df: DataFrame, keys: list[str], order: list[str], step: Callable
     return ordered.mapInPandas(run, schema)
 
 
-def _segments(df: DataFrame, key: str, t_us: str, reset: Callable, width_us: int) -> DataFrame:
+def _segments(df: DataFrame, key: str, t_us: str, reset: Callable, width_us) -> DataFrame:
     """Adds ``seg``: the number of state resets at or before each row of its
     key (a reset = ``reset(gap to the previous request)`` or no previous
     request), without ordering any key's whole history in one task.
@@ -69,7 +69,8 @@ def _segments(df: DataFrame, key: str, t_us: str, reset: Callable, width_us: int
     bucketed prefix sum over (key, time).  Rows at equal times share a
     segment (a zero gap never resets)."""
     from riskframe.operators.roc import prefix_before
-    x = df.withColumn("__w", F.floor(F.col(t_us) / width_us).cast("long"))
+    wcol = F.col(width_us) if isinstance(width_us, str) else F.lit(int(width_us))
+    x = df.withColumn("__w", F.floor(F.col(t_us) / wcol).cast("long"))
     inside = Window.partitionBy(key, "__w").orderBy(t_us, "rid")
     last_prev = x.groupBy(key, (F.col("__w") + 1).alias("__w")).agg(F.max(t_us).alias("__lp"))
     x = x.withColumn("__prev", F.lag(t_us).over(inside)).join(last_prev, [key, "__w"], "left")
@@ -98,22 +99,30 @@ def ttl_step(ttl_us: int):
     return step
 
 
-def bucket_step(cap: float, rate: float):
+def bucket_step(cap: float | None, rate: float | None):
+    """``cap``/``rate`` None: read per-row ``r.cap``/``r.rate`` (constant per
+    identity, e.g. chosen per principal)."""
     def step(state, r):
-        if state is None:
-            tokens, last = cap, int(r.t)
-        else:
-            tokens, last = state
-            elapsed = (r.t - last) / 1e6
-            if elapsed > 0:
-                tokens = min(cap, tokens + elapsed * rate)
-                last = int(r.t)
-        if tokens >= 1.0:
-            return (float(tokens - 1.0), last), (r.rid, r.k, True, 0.0)
-        return (float(tokens), last), (r.rid, r.k, False, (1.0 - tokens) / rate)
+        if cap is None:
+            return _bucket(state, r, float(r.cap), float(r.rate))
+        return _bucket(state, r, cap, rate)
     return step
 
 
+def _bucket(state, r, cap, rate):
+    if state is None:
+        tokens, last = cap, int(r.t)
+    else:
+        tokens, last = state
+        elapsed = (r.t - last) / 1e6
+        if elapsed > 0:
+            tokens = min(cap, tokens + elapsed * rate)
+            last = int(r.t)
+    if tokens >= 1.0:
+        return (float(tokens - 1.0), last), (r.rid, r.k, True, 0.0)
+    return (float(tokens), last), (r.rid, r.k, False, (1.0 - tokens) / rate)
+
+
 def breaker_step(threshold: int, cd_us: int):
     def step(state, r):
         fails, opened = state if state is not None else (0, None)
@@ -157,28 +166,58 @@ def bucket_parameters(rpm: float, burst_seconds: float = C.BURST_SECONDS) -> tup
     return max(1.0, refill * burst_seconds), refill
 
 
-def token_bucket(df: DataFrame, identity: str, ts: str, id_col: str, capacity: float, refill: float
-                 ) -> DataFrame:
+def token_bucket(df: DataFrame, identity: str, ts: str, id_col: str, capacity, refill) -> DataFrame:
     """Per identity: a new identity starts full; ``tokens = min(cap, tokens +
     elapsed*refill)`` on every request (allowed or denied); allowed when at
     least one token, which is spent; otherwise ``retry_after = (1 -
     tokens)/refill``.  Non-positive configuration allows everything.
 
-    A pause with ``elapsed*refill >= cap`` (float, as the fold computes it)
-    refills the bucket completely whatever came before, so it starts an
-    independent segment."""
+    ``capacity``/``refill`` are numbers, or column names holding per-row
+    values that are constant per identity (T3b: parameters chosen per
+    principal).  A pause with ``elapsed*refill >= cap`` (float, as the fold
+    computes it) refills the bucket completely whatever came before, so it
+    starts an independent segment."""
+    per_row = isinstance(capacity, str)
+    cap_c = F.col(capacity).cast("double") if per_row else F.lit(float(capacity))
+    rate_c = F.col(refill).cast("double") if per_row else F.lit(float(refill))
     x = df.select(F.col(id_col).cast("long").alias("rid"), F.col(identity).cast("string").alias("k"),
-                  _micros(ts).alias("t"))
-    if refill <= 0 or capacity <= 0:
-        return x.select(F.col("rid").alias(id_col), F.col("k").alias(identity),
-                        F.lit(True).alias("allowed"), F.lit(0.0).alias("retry_after"))
-    cap, rate = float(capacity), float(refill)
+                  _micros(ts).alias("t"), cap_c.alias("cap"), rate_c.alias("rate"))
+    unlimited = (F.col("cap") <= 0) | (F.col("rate") <= 0)
+    free = x.where(unlimited).select(F.col("rid").alias(id_col), F.col("k").alias(identity),
+                                     F.lit(True).alias("allowed"), F.lit(0.0).alias("retry_after"))
+    lim = x.where(~unlimited)
     # any gap of at least `width` refills the bucket (2 µs of slack over cap/rate
     # keeps the float test true there); shorter gaps are tested exactly
-    width = int(math.ceil(cap / rate * 1_000_000)) + 2
-    x = _segments(x, "k", "t", lambda g: (g / F.lit(1e6)) * F.lit(rate) >= F.lit(cap), width)
-    out = sorted_fold(x, ["k", "seg"], ["t", "rid"], bucket_step(cap, rate), BUCKET_SCHEMA)
-    return out.select(F.col("rid").alias(id_col), F.col("k").alias(identity), "allowed", "retry_after")
+    lim = lim.withColumn("__width", (F.ceil(F.try_divide(F.col("cap"), F.col("rate")) * 1_000_000) + 2).cast("long"))
+    lim = _segments(lim, "k", "t", lambda g: (g / F.lit(1e6)) * F.col("rate") >= F.col("cap"), "__width")
+    out = sorted_fold(lim, ["k", "seg"], ["t", "rid"], bucket_step(None, None), BUCKET_SCHEMA)
+    return out.select(F.col("rid").alias(id_col), F.col("k").alias(identity), "allowed", "retry_after") \
+        .unionByName(free)
+
+
+def retry_after_header(seconds) -> Column:
+    """Whole seconds for a ``Retry-After`` header, at least 1."""
+    s = F.col(seconds) if isinstance(seconds, str) else seconds
+    return F.greatest(F.lit(1), F.floor(s + 0.999).cast("int"))
+
+
+def quota_identity(authenticated, key_id, client_ip) -> Column:
+    """``key:<id>`` for authenticated callers, else ``ip:<address>``."""
+    return F.when(F.col(authenticated), F.concat(F.lit("key:"), F.col(key_id))) \
+        .otherwise(F.concat(F.lit("ip:"), F.col(client_ip)))
+
+
+def quota_rpm(authenticated, tenant_rpm) -> Column:
+    """Tenant override or the keyed default for authenticated callers,
+    the anonymous default otherwise."""
+    return F.when(F.col(authenticated), F.coalesce(F.col(tenant_rpm).cast("double"), F.lit(C.KEYED_RPM))) \
+        .otherwise(F.lit(C.ANONYMOUS_RPM))
+
+
+def bucket_columns(rpm, burst_seconds: float = C.BURST_SECONDS) -> tuple[Column, Column]:
+    """N20 as columns: (capacity, refill per second)."""
+    r = (F.col(rpm) if isinstance(rpm, str) else rpm) / 60.0
+    return F.greatest(F.lit(1.0), r * F.lit(float(burst_seconds))), r
 
 
 # --- T4 failure runs (circuit breaker) -------------------------------------------------------

@@ -169,6 +169,32 @@ r AS (SELECT user_id, rn, event_id, t AS last, CAST({CAP!r} AS DOUBLE) - 1.0 AS
       FROM r JOIN ev e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
 SELECT event_id, user_id, allowed, round(retry, 6) AS retry_after FROM r"""
 
+TKP = ("(CASE WHEN (e.t - r.last) / 1e6 > 0 THEN least(e.cap, r.tokens + ((e.t - r.last) / 1e6) * e.rate) "
+       "ELSE r.tokens END)")
+
+QUOTA_PRINCIPAL = f"""
+WITH RECURSIVE p0 AS (
+  SELECT e.event_id, epoch_us(e.ts) AS t,
+         c.c_name IS NOT NULL AS authenticated,
+         CASE WHEN c.c_name IS NOT NULL THEN 'key:' || c.c_name ELSE 'ip:user-' || CAST(e.user_id AS VARCHAR) END AS identity,
+         CASE WHEN c.c_name IS NOT NULL THEN coalesce(CASE WHEN n.n_regionkey = 0 THEN 30.0 END, {C.KEYED_RPM!r})
+              ELSE {C.ANONYMOUS_RPM!r} END AS rpm
+  FROM events e LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) c ON e.user_id = c.c_custkey
+  LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey),
+ev AS (SELECT *, CAST(rpm AS DOUBLE) / 60.0 AS rate,
+              greatest(CAST(1.0 AS DOUBLE), (CAST(rpm AS DOUBLE) / 60.0) * {float(C.BURST_SECONDS)!r}) AS cap,
+              row_number() OVER (PARTITION BY identity ORDER BY t, event_id) AS rn FROM p0),
+r AS (SELECT identity, rn, event_id, t AS last, cap - 1.0 AS tokens, true AS allowed, CAST(0.0 AS DOUBLE) AS retry
+      FROM ev WHERE rn = 1
+      UNION ALL
+      SELECT e.identity, e.rn, e.event_id, CASE WHEN (e.t - r.last) / 1e6 > 0 THEN e.t ELSE r.last END,
+             CASE WHEN {TKP} >= 1.0 THEN {TKP} - 1.0 ELSE {TKP} END,
+             {TKP} >= 1.0,
+             CASE WHEN {TKP} >= 1.0 THEN CAST(0.0 AS DOUBLE) ELSE (1.0 - {TKP}) / e.rate END
+      FROM r JOIN ev e ON e.identity = r.identity AND e.rn = r.rn + 1)
+SELECT event_id, identity, allowed, round(retry, 6) AS retry_after,
+       CASE WHEN NOT allowed THEN greatest(1, CAST(floor(retry + 0.999) AS INTEGER)) END AS retry_header FROM r"""
+
 TTL_US = int(round(Q.TTL * 1_000_000))
 
 REUSE = f"""
@@ -213,6 +239,7 @@ ORACLE = {
     "rate_5m": RATE,
     "concurrency_peak": CONC,
     "quota_token_bucket": QUOTA,
+    "quota_by_principal": QUOTA_PRINCIPAL,
     "verdict_reuse_within_ttl": REUSE,
     "verdict_reuse_doubling": REUSE,
     "failure_run_intervals": BREAKER,

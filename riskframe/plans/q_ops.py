@@ -164,6 +164,28 @@ def quota_token_bucket(spark, sf_dir):
                       F.round("retry_after", 6).alias("retry_after"))
 
 
+def quota_by_principal(spark, sf_dir):
+    """T3b + T3: callers with a live grant are ``key:<name>`` with their
+    tenant's override (region-0 tenants: 30 rpm) or 120 rpm; others are
+    anonymous ``ip:`` identities at 20 rpm; 10 s burst."""
+    ev = table(spark, sf_dir, "events")
+    c = table(spark, sf_dir, "customer").where(F.col("c_acctbal") >= 0).select(
+        F.col("c_custkey").alias("user_id"), F.col("c_name").alias("key_id"), "c_nationkey")
+    n = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("c_nationkey"),
+        F.when(F.col("n_regionkey") == 0, F.lit(30.0)).alias("tenant_rpm"))
+    p = ev.join(c, "user_id", "left").join(n, "c_nationkey", "left") \
+        .withColumn("authenticated", F.col("key_id").isNotNull()) \
+        .withColumn("client_ip", F.concat(F.lit("user-"), F.col("user_id").cast("string")))
+    p = p.withColumn("identity", folds.quota_identity("authenticated", "key_id", "client_ip")) \
+        .withColumn("rpm", folds.quota_rpm("authenticated", "tenant_rpm"))
+    cap, refill = folds.bucket_columns("rpm", C.BURST_SECONDS)
+    p = p.withColumn("cap", cap).withColumn("rate", refill)
+    out = folds.token_bucket(p, "identity", "ts", "event_id", "cap", "rate")
+    return out.select("event_id", "identity", "allowed", F.round("retry_after", 6).alias("retry_after"),
+                      F.when(~F.col("allowed"), folds.retry_after_header("retry_after")).alias("retry_header"))
+
+
 def verdict_reuse_within_ttl(spark, sf_dir):
     ev = table(spark, sf_dir, "events").withColumn(
         "prompt_hash", F.sha2(F.concat_ws(":", F.col("user_id").cast("string"), "event_type"), 256))
@@ -198,6 +220,7 @@ QUERIES = {
     "rate_5m": rate_5m,
     "concurrency_peak": concurrency_peak,
     "quota_token_bucket": quota_token_bucket,
+    "quota_by_principal": quota_by_principal,
     "verdict_reuse_within_ttl": verdict_reuse_within_ttl,
     "verdict_reuse_doubling": verdict_reuse_doubling,
     "failure_run_intervals": failure_run_intervals,

@@ -161,3 +161,16 @@ def test_ttl_doubling_equals_fold(spark):
     a = {r.id: (r.hit, r.origin_id) for r in folds.ttl_reuse(ev, "k", "ts", "id", 300.0).collect()}
     b = {r.id: (r.hit, r.origin_id) for r in folds.ttl_reuse_doubling(ev, "k", "ts", "id", 300.0).collect()}
     assert a == b and sum(h for h, _ in a.values()) > 100
+
+
+def test_token_bucket_per_principal_parameters(spark):
+    rows = [(i, "key:a" if i < 6 else "ip:1.2.3.4", 0.0) for i in range(12)]
+    df = _events(spark, rows).withColumn("auth", F.col("k").startswith("key:"))
+    cap, refill = folds.bucket_columns(F.when(F.col("auth"), F.lit(120.0)).otherwise(F.lit(6.0)))
+    df = df.withColumn("cap", cap).withColumn("rate", refill)
+    out = {r.id: r.allowed for r in folds.token_bucket(df, "k", "ts", "id", "cap", "rate").collect()}
+    # keyed: capacity 20 -> all six allowed; anonymous 6 rpm: capacity max(1, 0.1*10)=1 -> one allowed
+    assert [out[i] for i in range(6)] == [True] * 6
+    assert [out[i] for i in range(6, 12)] == [True] + [False] * 5
+    r = spark.createDataFrame([(0.2,), (2.0,), (2.5,)], "s double").select(folds.retry_after_header("s")).collect()
+    assert [x[0] for x in r] == [1, 2, 3]
