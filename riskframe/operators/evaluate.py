@@ -47,6 +47,13 @@ def confusion_at_threshold(df: DataFrame, score: str, label: str, threshold: flo
     return derived_metrics(confusion(df, F.coalesce(F.col(score) >= threshold, F.lit(False)), label, keys))
 
 
+def format_ci(point, lo, hi, digits: int = 3) -> Column:
+    """``point [lo, hi]`` with ``digits`` decimals."""
+    f = f"%.{digits}f"
+    c = [F.col(x) if isinstance(x, str) else x for x in (point, lo, hi)]
+    return F.format_string(f"{f} [{f}, {f}]", *c)
+
+
 def prevalence_adjusted_precision(tpr: Column, fpr: Column, prevalence: float) -> Column:
     """Precision at an assumed base rate ``prevalence``."""
     num = F.lit(prevalence) * tpr

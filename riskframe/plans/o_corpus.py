@@ -88,7 +88,15 @@ bc AS (SELECT * FROM kept WHERE label <> 0
        WHERE r3 <= 120)
 SELECT id, doc_id, source, label, language, md5(id || ':42') AS shuffle_key FROM bc"""
 
+REQUEST_IDS = """
+WITH p AS (SELECT page_id, trim(regexp_extract(url, '[^/]*$', 0)) AS raw,
+                  substr(sha256('page:' || CAST(page_id AS VARCHAR)), 1, 32) AS minted FROM pages),
+q AS (SELECT page_id, minted, CASE WHEN length(raw) > 0 AND length(raw) <= 64 AND regexp_full_match(raw, '[A-Za-z0-9._:-]+')
+                               THEN raw ELSE minted END AS request_id FROM p)
+SELECT page_id, request_id, request_id = minted AS minted FROM q"""
+
 ORACLE = {
+    "request_ids": REQUEST_IDS,
     "build_suite": BUILD_SUITE,
     "language_tag_crosstab": LANG_CROSSTAB,
     "dedup_first_wins": DEDUP,

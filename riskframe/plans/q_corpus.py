@@ -65,6 +65,17 @@ def request_validation(spark, sf_dir):
     return d.groupBy("source", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def request_ids(spark, sf_dir):
+    """The last path segment of each page URL is an incoming request id;
+    it is kept when it is a clean token (trimmed, at most 64 characters of
+    [A-Za-z0-9._:-]) and otherwise replaced by a replayable minted id."""
+    pg = table(spark, sf_dir, "pages").select("page_id", "url")
+    raw = F.regexp_extract("url", r"[^/]*$", 0)
+    minted = F.substring(F.sha2(F.concat(F.lit("page:"), F.col("page_id").cast("string")), 256), 1, 32)
+    rid = X.sanitize_request_id(raw, minted)
+    return pg.select("page_id", rid.alias("request_id"), (rid == minted).alias("minted"))
+
+
 def incremental_todo(spark, sf_dir):
     """Rows not scored yet (``labels`` plays the score store)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
@@ -94,4 +105,5 @@ QUERIES = {
     "slice_report": slice_report,
     "request_validation": request_validation,
     "incremental_todo": incremental_todo,
+    "request_ids": request_ids,
 }

@@ -89,3 +89,8 @@ def test_fuzzy_reuse_writer(spark, tmp_path):
     windows.fuzzy_reuse_writer(str(tmp_path / "cache"), str(tmp_path / "out"))(reqs, 0)
     got = {r.request_id: r.hit for r in spark.read.parquet(str(tmp_path / "out" / "epoch=0")).collect()}
     assert got == {1: True, 2: False}
+
+
+def test_format_ci(spark):
+    df = spark.createDataFrame([(0.9441, 0.9362, 0.9512)], "p double, lo double, hi double")
+    assert df.select(EV.format_ci("p", "lo", "hi")).first()[0] == "0.944 [0.936, 0.951]"
