@@ -59,8 +59,9 @@ def sorted_fold(df: DataFrame, keys: list[str], order: list[str], step: Callable
 
 def _segments(df: DataFrame, key: str, t_us: str, reset: Callable, width_us) -> DataFrame:
     """Adds ``seg``: the number of state resets at or before each row of its
-    key (a reset = ``reset(gap to the previous request)`` or no previous
-    request), without ordering any key's whole history in one task.
+    key (a reset = ``reset(gap to the previous request)``, which may also
+    read the row's own columns), without ordering any key's whole history in
+    one task.
 
     Time is cut into windows of ``width_us`` — chosen so that any gap of at
     least one window is a reset.  The previous request is found inside the
@@ -75,7 +76,9 @@ def _segments(df: DataFrame, key: str, t_us: str, reset: Callable, width_us) ->
     last_prev = x.groupBy(key, (F.col("__w") + 1).alias("__w")).agg(F.max(t_us).alias("__lp"))
     x = x.withColumn("__prev", F.lag(t_us).over(inside)).join(last_prev, [key, "__w"], "left")
     prev = F.coalesce(F.col("__prev"), F.col("__lp"))
-    x = x.withColumn("__r", F.when(prev.isNull(), 1).when(reset(F.col(t_us) - prev), 1).otherwise(0))
+    # no previous request within reach: the gap is at least one window
+    gap = F.when(prev.isNull(), F.lit(1 << 62)).otherwise(F.col(t_us) - prev)
+    x = x.withColumn("__r", F.when(reset(gap), 1).otherwise(0))
     per_t = x.groupBy(key, t_us).agg(F.sum("__r").alias("__r"))
     pre = prefix_before(per_t, [key], t_us, ["__r"]).select(
         key, t_us, (F.col("__r_lt") + F.col("__r")).alias("seg"))
@@ -229,7 +232,9 @@ def circuit_breaker(df: DataFrame, backend: str, ts: str, id_col: str, ok: str,
     failures open the breaker; while open (``t - opened < cooldown``) calls
     are skipped and record nothing; the first call at or past the cooldown
     is a probe that starts from a zero failure count.  Returns
-    ``(id, backend, skipped, open_after, failures_after)``."""
+    ``(id, backend, skipped, open_after, failures_after)``.  Backends are cut
+    into independent segments at successful calls that follow a pause of at
+    least one cooldown."""
     cd_us = int(round(cooldown_seconds * 1_000_000))
     x = df.select(F.col(id_col).cast("long").alias("rid"), F.col(backend).cast("string").alias("k"),
                   _micros(ts).alias("t"), F.col(ok).cast("boolean").alias("ok"))

@@ -174,3 +174,38 @@ def test_token_bucket_per_principal_parameters(spark):
     assert [out[i] for i in range(6, 12)] == [True] + [False] * 5
     r = spark.createDataFrame([(0.2,), (2.0,), (2.5,)], "s double").select(folds.retry_after_header("s")).collect()
     assert [x[0] for x in r] == [1, 2, 3]
+
+
+def _sim_breaker(calls, threshold, cd):
+    fails, opened, out = 0, None, []
+    for t, ok in calls:
+        if opened is not None:
+            if t - opened >= cd:
+                fails, opened = 0, None
+            else:
+                out.append((True, True, fails))
+                continue
+        if ok:
+            fails, opened = 0, None
+        else:
+            fails += 1
+            if fails >= threshold and opened is None:
+                opened = t
+        out.append((False, opened is not None, fails))
+    return out
+
+
+def test_breaker_segments_equal_sequential(spark):
+    rng = random.Random(12)
+    rows, t = [], 0.0
+    for i in range(700):
+        t += rng.choice([1.0, 2.0, 5.0, 40.0, 100.0])
+        rows.append((i, rng.choice("xy"), round(t, 3), rng.random() < 0.55))
+    df = spark.createDataFrame(rows, "id long, k string, sec double, ok boolean").select(
+        "id", "k", "ok", F.timestamp_micros((F.col("sec") * 1e6).cast("long")).alias("ts"))
+    got = {r.id: (r.skipped, r.open_after, r.failures_after)
+           for r in folds.circuit_breaker(df, "k", "ts", "id", "ok", 3, 30.0).collect()}
+    for k in "xy":
+        mine = [r for r in rows if r[1] == k]
+        exp = _sim_breaker([(r[2], r[3]) for r in mine], 3, 30.0)
+        assert [got[r[0]] for r in mine] == exp
