@@ -4,10 +4,12 @@ The three online state machines (verdict reuse within a TTL, the per-identity
 token bucket and the per-backend failure breaker) are folds over each key's
 requests in event-time order.  Two things keep them distributed:
 
-* **Exact segmentation.**  Where a long enough pause provably resets the
-  state (a TTL gap empties the cache entry; a gap of ``capacity/refill``
-  refills the bucket), rows are cut into independent segments with a
-  ``lag`` window, and segments — not whole keys — are the unit of work.
+* **Exact segmentation.**  Where a row provably resets the state (a TTL
+  gap empties the cache entry; a gap of ``capacity/refill`` refills the
+  bucket; a successful call a cooldown after the previous one closes the
+  breaker), rows are cut into independent segments — found per (key, time
+  window) and numbered by a bucketed prefix count, so no key's history is
+  ordered in one task — and segments, not whole keys, are the unit of work.
 * **Streaming fold.**  Rows are hash-partitioned by (key, segment), sorted
   within partitions, and streamed through ``mapInPandas`` carrying O(1)
   state across Arrow batches.  No group is ever materialised in memory, so
