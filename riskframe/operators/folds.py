@@ -59,32 +59,22 @@ def sorted_fold(df: DataFrame, keys: list[str], order: list[str], step: Callable
     return ordered.mapInPandas(run, schema)
 
 
-def _segments(df: DataFrame, key: str, t_us: str, reset: Callable, width_us) -> DataFrame:
+def _segments(df: DataFrame, key: str, t_us: str, reset: Callable) -> DataFrame:
     """Adds ``seg``: the number of state resets at or before each row of its
     key (a reset = ``reset(gap to the previous request)``, which may also
-    read the row's own columns), without ordering any key's whole history in
-    one task.
-
-    Time is cut into windows of ``width_us`` — chosen so that any gap of at
-    least one window is a reset.  The previous request is found inside the
-    (key, window) partition or is the previous window's last request;
-    anything older is a reset anyway.  The running count of resets is the
-    bucketed prefix sum over (key, time).  Rows at equal times share a
-    segment (a zero gap never resets)."""
-    from riskframe.operators.roc import prefix_before
-    wcol = F.col(width_us) if isinstance(width_us, str) else F.lit(int(width_us))
-    x = df.withColumn("__w", F.floor(F.col(t_us) / wcol).cast("long"))
-    inside = Window.partitionBy(key, "__w").orderBy(t_us, "rid")
-    last_prev = x.groupBy(key, (F.col("__w") + 1).alias("__w")).agg(F.max(t_us).alias("__lp"))
-    x = x.withColumn("__prev", F.lag(t_us).over(inside)).join(last_prev, [key, "__w"], "left")
-    prev = F.coalesce(F.col("__prev"), F.col("__lp"))
-    # no previous request within reach: the gap is at least one window
-    gap = F.when(prev.isNull(), F.lit(1 << 62)).otherwise(F.col(t_us) - prev)
+    read the row's own columns; the first request sees an unbounded gap),
+    without ordering any key's whole history in one task: the previous
+    request comes from the bucketed running-last scan and the reset count
+    from the bucketed prefix sum.  Rows at equal times share a segment (a
+    zero gap never resets)."""
+    from riskframe.operators.roc import last_before, prefix_before
+    x = last_before(df, [key], t_us, ["rid"], F.col(t_us), "__prev", inclusive=False)
+    gap = F.when(F.col("__prev").isNull(), F.lit(1 << 62)).otherwise(F.col(t_us) - F.col("__prev"))
     x = x.withColumn("__r", F.when(reset(gap), 1).otherwise(0))
     per_t = x.groupBy(key, t_us).agg(F.sum("__r").alias("__r"))
     pre = prefix_before(per_t, [key], t_us, ["__r"]).select(
         key, t_us, (F.col("__r_lt") + F.col("__r")).alias("seg"))
-    return x.drop("__w", "__prev", "__lp", "__r").join(pre, [key, t_us])
+    return x.drop("__prev", "__r").join(pre, [key, t_us])
 
 
 # --- step functions shared by the batch folds and the streaming processors ------------
@@ -158,7 +148,7 @@ def ttl_reuse(df: DataFrame, key: str, ts: str, id_col: str, ttl_seconds: float
     ttl_us = int(round(ttl_seconds * 1_000_000))
     x = df.select(F.col(id_col).cast("long").alias("rid"), F.col(key).cast("string").alias("k"),
                   _micros(ts).alias("t"))
-    x = _segments(x, "k", "t", lambda g: g >= ttl_us, ttl_us)
+    x = _segments(x, "k", "t", lambda g: g >= ttl_us)
     out = sorted_fold(x, ["k", "seg"], ["t", "rid"], ttl_step(ttl_us), TTL_SCHEMA)
     return out.select(F.col("rid").alias(id_col), F.col("k").alias(key), "hit", "origin_id")
 
@@ -193,8 +183,7 @@ def token_bucket(df: DataFrame, identity: str, ts: str, id_col: str, capacity, r
     lim = x.where(~unlimited)
     # any gap of at least `width` refills the bucket (2 µs of slack over cap/rate
     # keeps the float test true there); shorter gaps are tested exactly
-    lim = lim.withColumn("__width", (F.ceil(F.try_divide(F.col("cap"), F.col("rate")) * 1_000_000) + 2).cast("long"))
-    lim = _segments(lim, "k", "t", lambda g: (g / F.lit(1e6)) * F.col("rate") >= F.col("cap"), "__width")
+    lim = _segments(lim, "k", "t", lambda g: (g / F.lit(1e6)) * F.col("rate") >= F.col("cap"))
     out = sorted_fold(lim, ["k", "seg"], ["t", "rid"], bucket_step(None, None), BUCKET_SCHEMA)
     return out.select(F.col("rid").alias(id_col), F.col("k").alias(identity), "allowed", "retry_after") \
         .unionByName(free)
@@ -259,29 +248,19 @@ def open_intervals(breaker_out: DataFrame, backend: str, ts_df: DataFrame, id_co
 
 def _next_pointer(x: DataFrame, w_us: int) -> DataFrame:
     """``(rid, nx)``: the first request of the same key at or after
-    ``t + ttl`` (in (t, rid) order), null when there is none.
-
-    With windows of the TTL width, the probe ``t_i + ttl`` lies in window
-    ``b_i + 1``: the answer is the first request there at or after the probe
-    (a running "first following" inside that (key, window) partition), else
-    the first request of the next non-empty window after ``b_i + 1`` — which
-    is the successor of window ``b_i + 1`` if it has requests, or of window
-    ``b_i`` if it is empty.  Successors come from one row per (key, window)."""
-    firsts = x.groupBy("k", "b").agg(F.min(F.struct("t", "rid")).alias("f"))
-    wn = Window.partitionBy("k").orderBy("b")          # one row per (key, window)
-    firsts = firsts.withColumn("nf", F.lead(F.col("f.rid")).over(wn))
-    probes = x.select("k", (F.col("b") + 1).alias("b"), (F.col("t") + w_us).alias("t"),
-                      F.lit(0).alias("kind"), F.col("rid").alias("src"), F.lit(None).cast("long").alias("rid"))
-    reqs = x.select("k", "b", "t", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("src"), "rid")
-    after = Window.partitionBy("k", "b").orderBy("t", "kind", "rid").rowsBetween(0, Window.unboundedFollowing)
-    found = probes.unionByName(reqs) \
-        .withColumn("hit", F.first(F.when(F.col("kind") == 1, F.col("rid")), ignorenulls=True).over(after)) \
-        .where(F.col("kind") == 0).select("k", "b", "src", "hit")
-    here = firsts.select("k", "b", F.col("nf").alias("nf_here"), F.lit(True).alias("nonempty"))
-    prev = firsts.select("k", (F.col("b") + 1).alias("b"), F.col("nf").alias("nf_prev"))
-    j = found.join(here, ["k", "b"], "left").join(prev, ["k", "b"], "left")
-    fallback = F.when(F.col("nonempty"), F.col("nf_here")).otherwise(F.col("nf_prev"))
-    return j.select(F.col("src").alias("rid"), F.coalesce(F.col("hit"), fallback).alias("nx"))
+    ``t + ttl`` (in (t, rid) order), null when there is none — the bucketed
+    running-last scan run backwards in time over requests and probes
+    (probes sort after requests at equal times in the reversed order, so a
+    request exactly at ``t + ttl`` qualifies)."""
+    from riskframe.operators.roc import last_before
+    probes = x.select("k", (-(F.col("t") + w_us)).alias("rt"), F.lit(0).alias("rkind"),
+                      F.col("rid").alias("src"), F.lit(None).cast("long").alias("nrid"))
+    reqs = x.select("k", (-F.col("t")).alias("rt"), F.lit(-1).alias("rkind"),
+                    F.lit(None).cast("long").alias("src"), (-F.col("rid")).alias("nrid"))
+    u = probes.unionByName(reqs)
+    nxt = last_before(u, ["k"], "rt", ["rkind", "nrid"], F.when(F.col("rkind") == -1, -F.col("nrid")), "nx",
+                      inclusive=True)
+    return nxt.where(F.col("rkind") == 0).select(F.col("src").alias("rid"), "nx")
 
 
 def ttl_reuse_doubling(df: DataFrame, key: str, ts: str, id_col: str, ttl_seconds: float = C.CACHE_TTL_SECONDS,
@@ -300,7 +279,7 @@ def ttl_reuse_doubling(df: DataFrame, key: str, ts: str, id_col: str, ttl_second
     from riskframe.session import cut_lineage
     w_us = int(round(ttl_seconds * 1_000_000))
     x = df.select(F.col(id_col).cast("long").alias("rid"), F.col(key).cast("string").alias("k"),
-                  _micros(ts).alias("t")).withColumn("b", F.floor(F.col("t") / w_us).cast("long"))
+                  _micros(ts).alias("t"))
     tables = [cut_lineage(_next_pointer(x, w_us))]
     for _ in range(max_levels):
         j = tables[-1]

@@ -1,18 +1,14 @@
 """As-of lookups against a verdict cache (J9) without pairing rows.
 
 For each request, the latest cache entry of the same key written at or
-before the request time, valid while ``t_request - t_entry < ttl``.
-
-Time is cut into windows of the TTL width.  A live entry for a request in
-window ``b`` was written in window ``b`` (found by a running "last entry"
-inside the (key, window) partition) or is the last entry of window ``b-1``
-(one row per key and window, joined by equality).  Anything older has
-expired, so no partition ever spans more than one TTL window of one key and
-no request is paired with more than one candidate.
+before the request time, valid while ``t_request - t_entry < ttl``.  The
+latest entry is a bucketed running "last value" over the key's time range,
+so no request is paired with more than one candidate and a hot key is split
+over its time buckets.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,21 +16,18 @@ def asof_cache_lookup(requests: DataFrame, entries: DataFrame, key: str, ts: str
                       ttl_seconds: float) -> DataFrame:
     """Returns ``(req_id, hit, origin_id)``; entries at the same timestamp as
     a request count as written before it; among equal times the larger
-    entry id is the later one."""
+    entry id is the later one.  The latest entry comes from the bucketed
+    running-last scan (:func:`riskframe.operators.roc.last_before`), so a
+    hot key is spread over its time buckets."""
+    from riskframe.operators.roc import last_before
     w_us = int(round(ttl_seconds * 1_000_000))
     t = F.unix_micros(F.col(ts).cast("timestamp"))
     r = requests.select(F.col(key).alias("k"), t.alias("t"), F.lit(1).alias("kind"),
                         F.col(req_id).cast("long").alias("rid"), F.lit(None).cast("long").alias("eid"))
     e = entries.select(F.col(key).alias("k"), t.alias("t"), F.lit(0).alias("kind"),
                        F.lit(None).cast("long").alias("rid"), F.col(ent_id).cast("long").alias("eid"))
-    u = r.unionByName(e).withColumn("b", F.floor(F.col("t") / w_us).cast("long"))
     ent = F.when(F.col("kind") == 0, F.struct(F.col("t").alias("et"), F.col("eid").alias("eid")))
-    w = Window.partitionBy("k", "b").orderBy("t", "kind", "eid").rowsBetween(Window.unboundedPreceding, 0)
-    inside = u.withColumn("cur", F.last(ent, ignorenulls=True).over(w)).where(F.col("kind") == 1)
-    prev = e.withColumn("b", F.floor(F.col("t") / w_us).cast("long") + 1).groupBy("k", "b").agg(
-        F.max(F.struct(F.col("t").alias("et"), F.col("eid").alias("eid"))).alias("prev"))
-    j = inside.join(prev, ["k", "b"], "left")
-    cand = F.coalesce(F.col("cur"), F.col("prev"))
-    hit = cand.isNotNull() & (F.col("t") - cand["et"] < w_us)
-    return j.select(F.col("rid").alias(req_id), hit.alias("hit"),
-                    F.when(hit, cand["eid"]).alias("origin_id"))
+    x = last_before(r.unionByName(e), ["k"], "t", ["kind", "eid"], ent, "cand", inclusive=True) \
+        .where(F.col("kind") == 1)
+    hit = F.col("cand").isNotNull() & (F.col("t") - F.col("cand.et") < w_us)
+    return x.select(F.col("rid").alias(req_id), hit.alias("hit"), F.when(hit, F.col("cand.eid")).alias("origin_id"))

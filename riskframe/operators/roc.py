@@ -15,7 +15,7 @@ costs the same as evaluating everything.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 4096
@@ -177,3 +177,43 @@ def roc_trapezoid(table: DataFrame, keys=None) -> DataFrame:
     prev_tpr = tpr - F.col("pos") / F.col("P")
     seg = (F.col("neg") / F.col("N")) * (tpr + prev_tpr) / 2.0
     return _done(t.groupBy(*ks).agg(F.sum(seg).alias("area")))
+
+
+def last_before(df: DataFrame, keys, time_col: str, tie_cols: list[str], value: Column, out: str,
+                inclusive: bool = True, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Adds ``out``: the last non-null ``value`` of the same key at or before
+    each row (strictly before when ``inclusive`` is false) in
+    ``(time_col, *tie_cols)`` order — a running "last value" without a
+    window over a whole key.
+
+    Each key's time range is cut into ``buckets`` buckets (rows with equal
+    times share a bucket).  Inside a (key, bucket) a window gives the running
+    last value; the last value of every earlier bucket comes from one
+    summary row per (key, bucket) and a running last over at most
+    ``buckets`` rows per key."""
+    ks = _keys(keys)
+    x = df.withColumn("__v", value)
+    if ks == [ALL]:
+        x = x.withColumn(ALL, F.lit(0))
+        sc = x.agg(F.struct(F.min(time_col).alias("lo"), F.max(time_col).alias("hi")).alias("s")).scalar()
+        x = x.withColumns({"__lo": sc["lo"], "__hi": sc["hi"]})
+    else:
+        x = x.join(x.groupBy(*ks).agg(F.min(time_col).alias("__lo"), F.max(time_col).alias("__hi")), ks)
+    span = (F.col("__hi") - F.col("__lo")).cast("double")
+    x = x.withColumn("__lb", F.when(span <= 0, F.lit(0)).otherwise(
+        F.least(F.lit(buckets - 1),
+                F.floor((F.col(time_col) - F.col("__lo")).cast("double") / span * buckets).cast("int"))))
+    order = [time_col, *tie_cols]
+    frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*ks, "__lb").orderBy(*order).rowsBetween(*frame)
+    x = x.withColumn("__in", F.last("__v", ignorenulls=True).over(inside))
+    summ = x.where(F.col("__v").isNotNull()).groupBy(*ks, "__lb").agg(
+        F.max_by("__v", F.struct(*order)).alias("__bl"))
+    # every bucket of a key (at most `buckets` rows) takes the last value of
+    # the buckets before it
+    carry = Window.partitionBy(*ks).orderBy("__lb").rowsBetween(Window.unboundedPreceding, -1)
+    allb = x.select(*ks, "__lb").distinct().join(summ, ks + ["__lb"], "left")
+    allb = allb.select(*ks, "__lb", F.last("__bl", ignorenulls=True).over(carry).alias("__carry2"))
+    x = x.join(allb, ks + ["__lb"], "left")
+    res = x.withColumn(out, F.coalesce(F.col("__in"), F.col("__carry2")))
+    return _done(res.drop("__v", "__lo", "__hi", "__lb", "__in", "__carry2"))

@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from riskframe.operators import roc
 
 
@@ -111,3 +113,21 @@ def test_slices_keep_keys_apart(spark):
     t = roc.score_table(_df(spark, scores, labels, keys), "score", "label", ["k"])
     got = {r["k"]: r["auc"] for r in roc.auc(t, ["k"]).collect()}
     assert got == {"a": 1.0, "b": 0.0, "c": 1.0}
+
+
+@pytest.mark.parametrize("inclusive,buckets", [(True, 3), (False, 3), (True, 4096), (False, 1)])
+def test_last_before_matches_bruteforce(spark, inclusive, buckets):
+    rng = random.Random(21)
+    rows = []
+    for i in range(300):
+        k = rng.choice("ab")
+        t = rng.randint(0, 60)
+        v = rng.randint(0, 9) if rng.random() < 0.3 else None
+        rows.append((i, k, t, v))
+    df = spark.createDataFrame(rows, "id long, k string, t long, v int")
+    got = {r.id: r.lv for r in roc.last_before(df, ["k"], "t", ["id"], F.col("v"), "lv", inclusive, buckets).collect()}
+    for i, k, t, _ in rows:
+        prior = [(tt, ii, vv) for ii, kk, tt, vv in rows if kk == k and vv is not None and
+                 ((tt, ii) <= (t, i) if inclusive else (tt, ii) < (t, i))]
+        exp = max(prior)[2] if prior else None
+        assert got[i] == exp
