@@ -145,24 +145,27 @@ def sliding_rate(df: DataFrame, ts: str, keys: list[str], window: str = "5 minut
     return g.select(F.col("w.start").alias("window_start"), *keys, "n", (F.col("n") / float(seconds)).alias("rate"))
 
 
-def concurrency_peaks(df: DataFrame, start: str, duration_s: str, id_col: str, bucket: str = "1 hour") -> DataFrame:
+def concurrency_peaks(df: DataFrame, start: str, duration_s: str, bucket: str = "1 hour") -> DataFrame:
     """Peak number of in-flight requests per time bucket.
 
     Each request adds +1 at its start and -1 at its end (ends sort before
-    starts at equal times).  The level entering a bucket is the net delta
-    of all earlier buckets (a running sum over one row per bucket); inside a
-    bucket a running sum over that bucket's deltas only — no global order."""
+    starts at equal times).  Deltas at the same (time, sign) are summed
+    first: within such a group the level moves monotonically, so the peak is
+    reached at a group boundary.  The level entering each bucket and the
+    running level inside it are bucketed prefix sums — no window over a
+    whole bucket or over all time."""
     st = F.col(start).cast("timestamp")
     end = st + F.make_dt_interval(secs=F.col(duration_s).cast("decimal(18,6)"))
-    d = df.select(F.col(id_col).alias("rid"), F.explode(F.array(
+    d = df.select(F.explode(F.array(
         F.struct(st.alias("t"), F.lit(1).alias("d")), F.struct(end.alias("t"), F.lit(-1).alias("d")))).alias("e"))
-    d = d.select("rid", "e.t", "e.d").withColumn("b", F.date_trunc(bucket.split()[-1], "t"))
+    d = d.select("e.t", "e.d").withColumn("b", F.date_trunc(bucket.split()[-1], "t"))
     per_b = d.groupBy("b").agg(F.sum("d").alias("net"), F.count_if(F.col("d") == 1).alias("n_starts"))
-    # level entering each bucket: running sum over buckets (bucketed prefix, no global window)
     per_b = roc.prefix_before(per_b.withColumn("__all", F.lit(0)).withColumn("__bt", F.unix_micros("b")),
-                              ["__all"], "__bt", ["net"]).withColumn("level_in", F.col("net_lt"))
-    wi = Window.partitionBy("b").orderBy("t", "d", "rid").rowsBetween(Window.unboundedPreceding, 0)
-    inside = d.withColumn("run", F.sum("d").over(wi)).groupBy("b").agg(F.max("run").alias("max_run"))
+                              ["__all"], "__bt", ["net"]).select("b", "n_starts", F.col("net_lt").alias("level_in"))
+    g = d.groupBy("b", "t", "d").agg(F.sum("d").alias("gnet")) \
+        .withColumn("__o", F.unix_micros("t") * 2 + (F.col("d") == 1).cast("long"))
+    inside = roc.prefix_before(g, ["b"], "__o", ["gnet"]).groupBy("b").agg(
+        F.max(F.col("gnet_lt") + F.col("gnet")).alias("max_run"))
     out = per_b.join(inside, "b")
     return out.select(F.col("b").alias("bucket_start"), "n_starts",
                       F.greatest(F.col("level_in"), F.col("level_in") + F.col("max_run")).alias("peak"))

@@ -152,7 +152,7 @@ def rate_5m(spark, sf_dir):
 
 def concurrency_peak(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
-    return metrics.concurrency_peaks(ev, "ts", "value", "event_id").select(
+    return metrics.concurrency_peaks(ev, "ts", "value").select(
         F.col("bucket_start").cast("timestamp").alias("bucket_start"), "n_starts", "peak")
 
 

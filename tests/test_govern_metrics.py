@@ -100,5 +100,5 @@ def test_concurrency_peaks(spark):
     rows = [(1, "2024-01-01 00:10:00", 600.0), (2, "2024-01-01 00:15:00", 60.0), (3, "2024-01-01 00:20:00", 1.0),
             (4, "2024-01-01 00:50:00", 1200.0)]
     df = spark.createDataFrame(rows, "id long, ts string, d double").select("id", F.to_timestamp("ts").alias("ts"), "d")
-    got = {str(r.bucket_start)[-8:]: (r.n_starts, r.peak) for r in metrics.concurrency_peaks(df, "ts", "d", "id").collect()}
+    got = {str(r.bucket_start)[-8:]: (r.n_starts, r.peak) for r in metrics.concurrency_peaks(df, "ts", "d").collect()}
     assert got == {"00:00:00": (4, 2), "01:00:00": (0, 1)}
