@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskframe.operators import screening
-from riskframe.sources.tables import table, text_table
+from riskframe.sources.tables import text_table
 
 
 def symbolic_veto_by_source(spark, sf_dir):
