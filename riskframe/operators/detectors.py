@@ -140,7 +140,8 @@ def incremental_score(suite: DataFrame, store_path: str, id_col: str, det: Detec
                                 "score": pd.Series(scores, dtype="float64")})
 
     src = work.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = src.mapInPandas(run, "detector string, id long, score double")
+    out = src.mapInPandas(run, "detector string, id long, score double") \
+        .withColumn("scored_at", F.current_timestamp())
     from riskframe.session import cut_lineage
     out = cut_lineage(out)            # scored once, then counted and appended
     n = out.count()
@@ -187,6 +188,20 @@ def coverage(store: DataFrame, suite: DataFrame, id_col: str, registry: DataFram
     return out.select("detector", "done", "total", F.try_divide(F.col("done"), F.col("total")).alias("rate"))
 
 
+def coverage_eta(store: DataFrame, suite: DataFrame, id_col: str) -> DataFrame:
+    """Per detector rows done, total, rate, observed throughput (rows
+    per second between the first and last append) and the estimated seconds
+    to finish the rest at that throughput (null until two appends exist)."""
+    total = suite.agg(F.countDistinct(id_col)).scalar()
+    g = store.join(suite.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi").groupBy("detector").agg(
+        F.countDistinct("id").alias("done"),
+        (F.unix_micros(F.max("scored_at")) - F.unix_micros(F.min("scored_at"))).alias("__span_us"))
+    per_s = F.try_divide(F.col("done") * 1e6, F.col("__span_us"))
+    return g.select("detector", "done", total.alias("total"), F.try_divide(F.col("done"), total).alias("rate"),
+                    per_s.alias("rows_per_sec"),
+                    F.try_divide(total - F.col("done"), per_s).alias("eta_seconds"))
+
+
 # --- reports ---------------------------------------------------------------------------
 
 def comparison(scored: DataFrame, registry: DataFrame, budget: float = C.DEFAULT_FPR_BUDGET,

@@ -104,3 +104,13 @@ def test_incremental_scoring_retries_and_resumes(spark, tmp_path):
         raise RuntimeError("server down")
     assert D.incremental_score(suite, str(tmp_path / "s2"), "doc_id", D.Detector("d", batch_fn=down),
                                abort_after=3) == 0
+
+
+def test_coverage_eta(spark):
+    import datetime as dt
+    store = spark.createDataFrame([("m", 1, 0.1, dt.datetime(2024, 1, 1, 0, 0, 0)),
+                                   ("m", 2, 0.2, dt.datetime(2024, 1, 1, 0, 0, 10))],
+                                  "detector string, id long, score double, scored_at timestamp")
+    suite = spark.createDataFrame([(i,) for i in range(12)], "doc_id long")
+    r = D.coverage_eta(store, suite, "doc_id").first()
+    assert (r.done, r.total) == (2, 12) and abs(r.rows_per_sec - 0.2) < 1e-12 and abs(r.eta_seconds - 50.0) < 1e-9
