@@ -142,6 +142,18 @@ WITH w AS (SELECT time_bucket(INTERVAL '1 minute', ts) - to_minutes(k) AS window
 SELECT window_start, event_type, CAST(count(*) AS BIGINT) AS n, round(count(*) / 300.0, 9) AS rate
 FROM w GROUP BY ALL"""
 
+RATE_DIM = f"""
+WITH {VLOG},
+s AS (SELECT *, CASE WHEN source IN {KNOWN} THEN source ELSE 'other' END AS ssource FROM v),
+w AS (SELECT time_bucket(INTERVAL '1 minute', ts) - to_minutes(k) AS ws, decision, ssource, tenant
+      FROM s, (SELECT unnest(range(0, 5)) AS k)),
+g AS (SELECT ws, decision, ssource, tenant, GROUPING(ws, decision, ssource, tenant) AS gid, count(*) AS n
+      FROM w GROUP BY GROUPING SETS ((ws, decision), (ws, ssource), (ws, tenant)))
+SELECT ws AS window_start,
+       CASE WHEN gid = 3 THEN 'decision' WHEN gid = 5 THEN 'source' ELSE 'tenant' END AS dimension,
+       CASE WHEN gid = 3 THEN decision WHEN gid = 5 THEN ssource ELSE tenant END AS value,
+       CAST(n AS BIGINT) AS n, round(n / 300.0, 9) AS rate FROM g"""
+
 CONC = """
 WITH d AS (SELECT event_id AS rid, ts AS t, 1 AS d FROM events
            UNION ALL
@@ -237,6 +249,7 @@ ORACLE = {
     "stage_histogram": HIST,
     "stage_histogram_quantile": HQ,
     "rate_5m": RATE,
+    "rate_5m_by_dimension": RATE_DIM,
     "concurrency_peak": CONC,
     "quota_token_bucket": QUOTA,
     "quota_by_principal": QUOTA_PRINCIPAL,
