@@ -34,6 +34,15 @@ def _micros(ts: str):
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+def _compact(x: DataFrame) -> DataFrame:
+    """The fold input — a few narrow columns — is read by several branches
+    (segmentation scan, prefix count, the fold itself): write it once to
+    the checkpoint folder instead of re-deriving its lineage (scans, joins)
+    in every branch."""
+    from riskframe.session import cut_lineage
+    return cut_lineage(x)
+
+
 def sorted_fold(df: DataFrame, keys: list[str], order: list[str], step: Callable, schema: str,
                 partitions: int | None = None) -> DataFrame:
     """Runs ``step(state, row) -> (state, out_row)`` over each key's rows in
@@ -145,8 +154,8 @@ def ttl_reuse(df: DataFrame, key: str, ts: str, id_col: str, ttl_seconds: float
     Returns ``(id, key, hit, origin_id)``; ``origin_id`` is the request whose
     verdict is served."""
     ttl_us = int(round(ttl_seconds * 1_000_000))
-    x = df.select(F.col(id_col).cast("long").alias("rid"), F.col(key).cast("string").alias("k"),
-                  _micros(ts).alias("t"))
+    x = _compact(df.select(F.col(id_col).cast("long").alias("rid"), F.col(key).cast("string").alias("k"),
+                           _micros(ts).alias("t")))
     x = _segments(x, "k", "t", lambda g: g >= ttl_us)
     out = sorted_fold(x, ["k", "seg"], ["t", "rid"], ttl_step(ttl_us), TTL_SCHEMA)
     return out.select(F.col("rid").alias(id_col), F.col("k").alias(key), "hit", "origin_id")
@@ -179,7 +188,7 @@ def token_bucket(df: DataFrame, identity: str, ts: str, id_col: str, capacity, r
     unlimited = (F.col("cap") <= 0) | (F.col("rate") <= 0)
     free = x.where(unlimited).select(F.col("rid").alias(id_col), F.col("k").alias(identity),
                                      F.lit(True).alias("allowed"), F.lit(0.0).alias("retry_after"))
-    lim = x.where(~unlimited)
+    lim = _compact(x.where(~unlimited))
     # any gap of at least `width` refills the bucket (2 µs of slack over cap/rate
     # keeps the float test true there); shorter gaps are tested exactly
     lim = _segments(lim, "k", "t", lambda g: (g / F.lit(1e6)) * F.col("rate") >= F.col("cap"))
@@ -226,8 +235,8 @@ def circuit_breaker(df: DataFrame, backend: str, ts: str, id_col: str, ok: str,
     into independent segments at successful calls that follow a pause of at
     least one cooldown."""
     cd_us = int(round(cooldown_seconds * 1_000_000))
-    x = df.select(F.col(id_col).cast("long").alias("rid"), F.col(backend).cast("string").alias("k"),
-                  _micros(ts).alias("t"), F.col(ok).cast("boolean").alias("ok"))
+    x = _compact(df.select(F.col(id_col).cast("long").alias("rid"), F.col(backend).cast("string").alias("k"),
+                           _micros(ts).alias("t"), F.col(ok).cast("boolean").alias("ok")))
 
     out = sorted_fold(x, ["k"], ["t", "rid"], breaker_step(threshold, cd_us), BREAKER_SCHEMA)
     return out.select(F.col("rid").alias(id_col), F.col("k").alias(backend), "skipped", "open_after",
@@ -277,8 +286,8 @@ def ttl_reuse_doubling(df: DataFrame, key: str, ts: str, id_col: str, ttl_second
     from riskframe.operators.lookup import asof_cache_lookup
     from riskframe.session import cut_lineage
     w_us = int(round(ttl_seconds * 1_000_000))
-    x = df.select(F.col(id_col).cast("long").alias("rid"), F.col(key).cast("string").alias("k"),
-                  _micros(ts).alias("t"))
+    x = _compact(df.select(F.col(id_col).cast("long").alias("rid"), F.col(key).cast("string").alias("k"),
+                           _micros(ts).alias("t")))
     tables = [cut_lineage(_next_pointer(x, w_us))]
     for _ in range(max_levels):
         j = tables[-1]
