@@ -358,7 +358,7 @@ def kfold(df: DataFrame, id_col: str, label: str, k: int = 5, seed: int = 42) ->
     large stratum is never sorted in one task."""
     u = hash_uniform(F.col(id_col), F.lit(seed))
     base = df.withColumn("__u", u).withColumn("__y", F.col(label).cast("int"))
-    g = base.groupBy("__y", "__u").agg(F.count(F.lit(1)).alias("__c"))
+    g = cut_lineage(base.groupBy("__y", "__u").agg(F.count(F.lit(1)).alias("__c")))
     pre = roc.prefix_before(g, ["__y"], "__u", ["__c"]).select("__y", "__u", "__c_lt")
     ranked = base.join(pre, ["__y", "__u"], "inner")
     return ranked.withColumn("fold", (F.col("__c_lt") % k).cast("int")).drop("__y", "__u", "__c_lt")

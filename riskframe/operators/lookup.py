@@ -27,7 +27,9 @@ def asof_cache_lookup(requests: DataFrame, entries: DataFrame, key: str, ts: str
     e = entries.select(F.col(key).alias("k"), t.alias("t"), F.lit(0).alias("kind"),
                        F.lit(None).cast("long").alias("rid"), F.col(ent_id).cast("long").alias("eid"))
     ent = F.when(F.col("kind") == 0, F.struct(F.col("t").alias("et"), F.col("eid").alias("eid")))
-    x = last_before(r.unionByName(e), ["k"], "t", ["kind", "eid"], ent, "cand", inclusive=True) \
+    from riskframe.session import cut_lineage
+    u = cut_lineage(r.unionByName(e))     # narrow rows, read by several branches of the scan
+    x = last_before(u, ["k"], "t", ["kind", "eid"], ent, "cand", inclusive=True) \
         .where(F.col("kind") == 1)
     hit = F.col("cand").isNotNull() & (F.col("t") - F.col("cand.et") < w_us)
     return x.select(F.col("rid").alias(req_id), hit.alias("hit"), F.when(hit, F.col("cand.eid")).alias("origin_id"))

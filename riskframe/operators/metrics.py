@@ -31,8 +31,9 @@ def value_at_ranks(df: DataFrame, keys: list[str], value: str, ranks: DataFrame)
     collapsed to ``(keys, value) -> count`` (ties merge), the running count
     comes from the bucketed prefix sum, and each rank picks the value group
     with ``c_lt <= r < c_lt + c``."""
-    g = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")) \
-        .agg(F.count(F.lit(1)).alias("__c"))
+    from riskframe.session import cut_lineage
+    g = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v"))
+                    .agg(F.count(F.lit(1)).alias("__c")))
     t = roc.prefix_before(g, keys, "__v", ["__c"])
     j = t.join(ranks, keys).where((F.col("__c_lt") <= F.col("r")) & (F.col("r") < F.col("__c_lt") + F.col("__c")))
     return j.select(*keys, "rank_name", F.col("__v").alias("value"))

@@ -86,8 +86,11 @@ def prefix_before(g: DataFrame, keys, order_col: str, value_cols, buckets: int =
 
 def score_table(df: DataFrame, score: str, label: str, keys=None, weight: str | None = None,
                 buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """``(keys, score, pos, neg, pos_lt, neg_lt, P, N)``."""
-    g = score_groups(df, score, label, keys, weight)
+    """``(keys, score, pos, neg, pos_lt, neg_lt, P, N)``.  The score groups
+    are read by three branches of the prefix sum: they are written once to
+    the checkpoint folder rather than re-derived from the input each time."""
+    from riskframe.session import cut_lineage
+    g = cut_lineage(score_groups(df, score, label, keys, weight))
     t = prefix_before(g, keys, "score", ["pos", "neg"], buckets)
     return t.withColumnRenamed("pos_total", "P").withColumnRenamed("neg_total", "N")
 
