@@ -262,7 +262,7 @@ best AS (SELECT coalesce(max(k) FILTER (WHERE flagged <= {C.DEFAULT_FPR_BUDGET}
 {", ".join(f"o_{c} AS (SELECT {c} AS v, row_number() OVER (ORDER BY {c} DESC) - 1 AS rk FROM neg)" for c in UCLS)}
 SELECT best.k, CAST(nn.n AS BIGINT) AS n_neg, best.k / nn.n AS alpha,
        (SELECT count(*) FROM mm WHERE m <= best.k) / nn.n AS union_fpr,
-       {", ".join(f"(SELECT v FROM o_{c} WHERE rk = least(best.k, nn.n - 1)) AS thr_{c}" for c in UCLS)}
+       {", ".join(f"round((SELECT v FROM o_{c} WHERE rk = least(best.k, nn.n - 1)), 9) AS thr_{c}" for c in UCLS)}
 FROM best, nn"""
 
 ORACLE = {

@@ -193,8 +193,10 @@ def best_grid_point(spark, sf_dir):
 
 def union_fpr_budget(spark, sf_dir):
     s = signals(spark, sf_dir)
-    return EV.union_fpr_budget(s, ["harmful_content_score", "prompt_injection_score", "jailbreak_score"],
-                               "attack", "vec_id", C.DEFAULT_FPR_BUDGET)
+    cls = ["harmful_content_score", "prompt_injection_score", "jailbreak_score"]
+    u = EV.union_fpr_budget(s, cls, "attack", "vec_id", C.DEFAULT_FPR_BUDGET)
+    # thresholds are cosine values: rounded like every other cosine output
+    return u.select("k", "n_neg", "alpha", "union_fpr", *[F.round(f"thr_{c}", 9).alias(f"thr_{c}") for c in cls])
 
 
 QUERIES = {
