@@ -103,26 +103,34 @@ def _run(df: DataFrame, factory, schema: str) -> DataFrame:
         outputMode="Append", timeMode="EventTime")
 
 
+def _named(out: DataFrame, id_col: str, key: str) -> DataFrame:
+    """Same column names as the batch fold."""
+    return out.withColumnRenamed("rid", id_col).withColumnRenamed("k", key)
+
+
 def stream_ttl_reuse(df: DataFrame, key: str, ts: str, id_col: str, ttl_seconds: float = C.CACHE_TTL_SECONDS,
                      delay: str = "10 minutes") -> DataFrame:
-    """T1 on a stream: ``(rid, k, hit, origin_id)``."""
+    """T1 on a stream: ``(id, key, hit, origin_id)`` as :func:`folds.ttl_reuse`."""
     ttl_us = int(round(ttl_seconds * 1_000_000))
-    return _run(_prepare(df, key, ts, id_col, None, delay), lambda: folds.ttl_step(ttl_us), folds.TTL_SCHEMA)
+    return _named(_run(_prepare(df, key, ts, id_col, None, delay), lambda: folds.ttl_step(ttl_us),
+                       folds.TTL_SCHEMA), id_col, key)
 
 
 def stream_token_bucket(df: DataFrame, identity: str, ts: str, id_col: str, capacity: float, refill: float,
                         delay: str = "10 minutes") -> DataFrame:
-    """T3 on a stream: ``(rid, k, allowed, retry_after)``."""
+    """T3 on a stream: ``(id, identity, allowed, retry_after)`` as
+    :func:`folds.token_bucket`."""
     cap, rate = float(capacity), float(refill)
-    return _run(_prepare(df, identity, ts, id_col, None, delay), lambda: folds.bucket_step(cap, rate),
-                folds.BUCKET_SCHEMA)
+    return _named(_run(_prepare(df, identity, ts, id_col, None, delay), lambda: folds.bucket_step(cap, rate),
+                       folds.BUCKET_SCHEMA), id_col, identity)
 
 
 def stream_circuit_breaker(df: DataFrame, backend: str, ts: str, id_col: str, ok: str,
                            threshold: int = C.BREAKER_FAILURE_THRESHOLD,
                            cooldown_seconds: float = C.BREAKER_COOLDOWN_SECONDS,
                            delay: str = "10 minutes") -> DataFrame:
-    """T4 on a stream: ``(rid, k, skipped, open_after, failures_after)``."""
+    """T4 on a stream: ``(id, backend, skipped, open_after, failures_after)``
+    as :func:`folds.circuit_breaker`."""
     cd_us = int(round(cooldown_seconds * 1_000_000))
-    return _run(_prepare(df, backend, ts, id_col, ok, delay), lambda: folds.breaker_step(threshold, cd_us),
-                folds.BREAKER_SCHEMA)
+    return _named(_run(_prepare(df, backend, ts, id_col, ok, delay), lambda: folds.breaker_step(threshold, cd_us),
+                       folds.BREAKER_SCHEMA), id_col, backend)

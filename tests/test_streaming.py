@@ -40,8 +40,8 @@ def test_stream_token_bucket_equals_batch(spark, tmp_path):
     stream = windows.read_stream(spark, src, SCHEMAS["events"])
     cap, refill = folds.bucket_parameters(1.0 / 720.0, 86400.0)
     out = stateful.stream_token_bucket(stream, "user_id", "ts", "event_id", cap, refill, delay="1 hour")
-    got = {r.rid: (r.allowed, r.retry_after) for r in _run_to_end(out, "tb_out", str(tmp_path / "ck")).collect()
-           if r.k not in ("-1", "-2")}
+    got = {r.event_id: (r.allowed, r.retry_after) for r in _run_to_end(out, "tb_out", str(tmp_path / "ck")).collect()
+           if r.user_id not in ("-1", "-2")}
     exp = {r.event_id: (r.allowed, r.retry_after)
            for r in folds.token_bucket(ev, "user_id", "ts", "event_id", cap, refill).collect()}
     assert got == exp
@@ -53,14 +53,14 @@ def test_stream_ttl_and_breaker_equal_batch(spark, tmp_path):
     stream = windows.read_stream(spark, src, SCHEMAS["events"]).withColumn(
         "h", F.concat_ws(":", F.col("user_id").cast("string"), "event_type")).withColumn("ok", F.col("event_type") != "error")
     ttl = stateful.stream_ttl_reuse(stream, "h", "ts", "event_id", 3 * 86400.0, delay="1 hour")
-    got = {r.rid: (r.hit, r.origin_id) for r in _run_to_end(ttl, "ttl_out", str(tmp_path / "ck1")).collect()
-           if not r.k.startswith("-")}
+    got = {r.event_id: (r.hit, r.origin_id) for r in _run_to_end(ttl, "ttl_out", str(tmp_path / "ck1")).collect()
+           if not r.h.startswith("-")}
     evh = ev.withColumn("h", F.concat_ws(":", F.col("user_id").cast("string"), "event_type"))
     exp = {r.event_id: (r.hit, r.origin_id) for r in folds.ttl_reuse(evh, "h", "ts", "event_id", 3 * 86400.0).collect()}
     assert got == exp and any(h for h, _ in exp.values())
     br = stateful.stream_circuit_breaker(stream, "user_id", "ts", "event_id", "ok", 2, 86400.0, delay="1 hour")
-    got_b = {r.rid: tuple(r)[2:] for r in _run_to_end(br, "br_out", str(tmp_path / "ck2")).collect()
-             if not r.k.startswith("-")}
+    got_b = {r.event_id: tuple(r)[2:] for r in _run_to_end(br, "br_out", str(tmp_path / "ck2")).collect()
+             if not r.user_id.startswith("-")}
     exp_b = {r.event_id: tuple(r)[2:] for r in folds.circuit_breaker(
         ev.withColumn("ok", F.col("event_type") != "error"), "user_id", "ts", "event_id", "ok", 2, 86400.0).collect()}
     assert got_b == exp_b
@@ -138,6 +138,6 @@ def test_streaming_assessment_chain(spark, tmp_path):
     screened = screening.screen_prompts(stream)
     quota = stateful.stream_token_bucket(screened.where(F.col("violation").isNull()), "identity", "ts",
                                          "request_id", 2.0, 0.1, delay="1 minute")
-    got = {r.rid: r.allowed for r in _run_to_end(quota, "chain_out", str(tmp_path / "ck")).collect()}
+    got = {r.request_id: r.allowed for r in _run_to_end(quota, "chain_out", str(tmp_path / "ck")).collect()}
     assert 3 not in got                                  # vetoed before the quota
     assert got[1] and got[5] and not got[7]              # u1: 2 tokens, refill 0.1/s -> third in 6 s refused
