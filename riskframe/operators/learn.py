@@ -49,7 +49,7 @@ def _fit_linear(df: DataFrame, features: list[str], label: str, C: float = 1.0,
     x = _sized(x, n)
     lr = LogisticRegression(featuresCol="features", labelCol="y", regParam=1.0 / (C * max(n, 1)),
                             elasticNetParam=0.0, standardization=False, fitIntercept=True,
-                            maxIter=max_iter, tol=1e-8)
+                            maxIter=max_iter, tol=1e-6)
     m = lr.fit(x)
     return {"scaler_mean": means, "scaler_scale": scales,
             "coefficients": [float(c) for c in m.coefficients.toArray()], "intercept": float(m.intercept)}
