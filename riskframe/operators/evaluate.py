@@ -158,44 +158,77 @@ def bootstrap_auc(df: DataFrame, id_col: str, score: str, label: str, keys=None,
     R = int(replicates)
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*gk).schema.fields)
 
-    def per_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__s", kind="stable")
-        s = pdf["__s"].to_numpy()
-        y = pdf["__y"].to_numpy().astype(np.int64)
-        ids = pdf["__id"].tolist()
-        A = np.zeros(R, dtype=np.int64)
-        cum_neg = np.zeros(R, dtype=np.int64)
-        pos_tot = np.zeros(R, dtype=np.int64)
-        pos_g = np.zeros(R, dtype=np.int64)
-        neg_g = np.zeros(R, dtype=np.int64)
+    key_cols = list(gk) + ["__b"]
+
+    class _Bucket:
+        """Running fold of one (key, bucket) in score order."""
+
+        def __init__(self, keyvals):
+            self.keyvals = keyvals
+            self.A = np.zeros(R, dtype=np.int64)
+            self.cum_neg = np.zeros(R, dtype=np.int64)
+            self.pos_tot = np.zeros(R, dtype=np.int64)
+            self.pos_g = np.zeros(R, dtype=np.int64)
+            self.neg_g = np.zeros(R, dtype=np.int64)
+            self.cur = None
+
+        def add(self, s, y, ids):
+            for lo in range(0, len(s), chunk_rows):
+                W = _poisson_weights(ids[lo:lo + chunk_rows], seed, R, cdf)
+                sv = s[lo:lo + chunk_rows]
+                yv = y[lo:lo + chunk_rows][:, None]
+                starts = np.flatnonzero(np.r_[True, sv[1:] != sv[:-1]])
+                P = np.add.reduceat(W * yv, starts, axis=0)
+                N = np.add.reduceat(W * (1 - yv), starts, axis=0)
+                self.pos_tot += P.sum(axis=0)
+                for g in range(len(starts)):
+                    val = sv[starts[g]]
+                    if self.cur is not None and val != self.cur:    # close the previous tie group
+                        self.A += self.pos_g * (2 * self.cum_neg + self.neg_g)
+                        self.cum_neg += self.neg_g
+                        self.pos_g[:] = 0
+                        self.neg_g[:] = 0
+                    self.cur = val
+                    self.pos_g += P[g]
+                    self.neg_g += N[g]
+
+        def row(self):
+            A = self.A + self.pos_g * (2 * self.cum_neg + self.neg_g)
+            return (*self.keyvals, A.tolist(), (self.cum_neg + self.neg_g).tolist(), self.pos_tot.tolist())
+
+    def per_partition(batches):
+        """Rows arrive hash-partitioned by (key, bucket) and sorted by score
+        within it; a bucket may span batches, so its fold state is carried —
+        memory stays O(chunk x R) however large a bucket (a tie block) is."""
         cur = None
-        for lo in range(0, len(s), chunk_rows):
-            W = _poisson_weights(ids[lo:lo + chunk_rows], seed, R, cdf)
-            sv = s[lo:lo + chunk_rows]
-            yv = y[lo:lo + chunk_rows][:, None]
-            starts = np.flatnonzero(np.r_[True, sv[1:] != sv[:-1]])
-            P = np.add.reduceat(W * yv, starts, axis=0)
-            N = np.add.reduceat(W * (1 - yv), starts, axis=0)
-            pos_tot += P.sum(axis=0)
-            for g in range(len(starts)):
-                val = sv[starts[g]]
-                if cur is not None and val != cur:         # close the previous tie group
-                    A += pos_g * (2 * cum_neg + neg_g)
-                    cum_neg += neg_g
-                    pos_g[:] = 0
-                    neg_g[:] = 0
-                cur = val
-                pos_g += P[g]
-                neg_g += N[g]
-        A += pos_g * (2 * cum_neg + neg_g)
-        cum_neg += neg_g
-        out = {k: [pdf[k].iloc[0]] for k in gk}
-        out.update({"__b": [int(pdf["__b"].iloc[0])], "A": [A.tolist()], "NEG": [cum_neg.tolist()],
-                    "POS": [pos_tot.tolist()]})
-        return pd.DataFrame(out)
-
-    part = base.groupBy(*gk, "__b").applyInPandas(
-        per_bucket, f"{key_schema}, __b int, A array<long>, NEG array<long>, POS array<long>")
+        out = []
+        for pdf in batches:
+            kv = list(pdf[key_cols].itertuples(index=False, name=None))
+            s_all = pdf["__s"].to_numpy()
+            y_all = pdf["__y"].to_numpy().astype(np.int64)
+            ids_all = pdf["__id"].tolist()
+            i = 0
+            while i < len(kv):
+                j = i
+                while j < len(kv) and kv[j] == kv[i]:
+                    j += 1
+                if cur is None or cur.keyvals != kv[i]:
+                    if cur is not None:
+                        out.append(cur.row())
+                    cur = _Bucket(kv[i])
+                cur.add(s_all[i:j], y_all[i:j], ids_all[i:j])
+                i = j
+            if out:
+                yield pd.DataFrame(out, columns=key_cols + ["A", "NEG", "POS"])
+                out = []
+        if cur is not None:
+            yield pd.DataFrame([cur.row()], columns=key_cols + ["A", "NEG", "POS"])
+
+    par = df.sparkSession.sparkContext.defaultParallelism
+    ordered = base.select(*gk, "__b", "__id", "__s", "__y").repartition(par, *gk, "__b") \
+        .sortWithinPartitions(*gk, "__b", "__s")
+    part = ordered.mapInPandas(
+        per_partition, f"{key_schema}, __b int, A array<long>, NEG array<long>, POS array<long>")
     lo_f, hi_f = alpha / 2.0, 1.0 - alpha / 2.0
 
     def per_key(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -149,3 +149,11 @@ def test_holdout_and_kfold_are_stable(spark):
     f = EV.kfold(df, "id", "y", 5)
     counts = {(r.y, r.fold): r["count"] for r in f.groupBy("y", "fold").count().collect()}
     assert all(counts[(1, k)] == 50 for k in range(5)) and all(counts[(0, k)] == 150 for k in range(5))
+
+
+def test_bootstrap_streams_a_large_tie_block(spark):
+    """One score for every row: the bucket spans Arrow batches and chunks;
+    every replicate must give exactly 0.5."""
+    df = spark.range(25000).select(F.col("id"), F.lit(0.0).alias("score"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    r = EV.bootstrap_auc(df, "id", "score", "label", replicates=20, chunk_rows=3000).first()
+    assert r.point == 0.5 and r.ci_lo == 0.5 and r.ci_hi == 0.5 and r.n_boot_effective == 20
