@@ -64,3 +64,23 @@ def cut_lineage(df, spark: SparkSession | None = None):
     spark = spark or df.sparkSession
     checkpoint_dir(spark)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes ``riskframe`` importable in the Python workers, whatever their
+    working directory: the package is zipped once and added with
+    ``addPyFile`` (once per application).  Helpers defined at module level
+    (weights, fold steps, UDF bodies) are pickled by reference and need it."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import shutil
+    pkg_root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = tempfile.mkdtemp(prefix="riskframe-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "riskframe"), "zip", root_dir=pkg_root, base_dir="riskframe")
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)
