@@ -151,9 +151,11 @@ def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def row_key(text: str = "text", doc: str = "doc_id") -> list:
-    """Key columns of a document row.  Rows that agree in id and text are
-    interchangeable; two texts under one id (or a null id) stay apart."""
-    return [F.col(doc).alias("k_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k_text")]
+    """``k_row, k_text``: the key of a document row, 128 bits over id and
+    text, never null.  Rows that agree in both are interchangeable; two
+    texts under one id (or under a null id) stay apart."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return [F.xxhash64(F.col(doc), t).alias("k_row"), F.xxhash64(t).alias("k_text")]
 
 
 def saved(df: DataFrame) -> DataFrame:

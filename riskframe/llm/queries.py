@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import packing, quality, secret_scan, token_counts, urls
+from riskframe.llm import jaccard, packing, quality, secret_scan, token_counts, urls
 from riskframe.sources.tables import table
 
 
@@ -22,6 +22,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.spans_text("spans").alias("spans"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return d.select(F.col("k_id").alias("doc_id"), "class_id", "n_links", "n_copies")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet").select("page_id", "url")
     return urls.judge(pages, urls.train(urls.LABELLED))
@@ -35,4 +40,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_table(token_counts.histogram(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_secret_scan, op7_url_filter, op9_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_secret_scan, op6_ngram_jaccard, op7_url_filter, op9_packing, op10_token_counts)}
