@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import jaccard, packing, quality, secret_scan, token_counts, urls
+from riskframe.llm import jaccard, packing, quality, secret_scan, suffix_dedup, token_counts, urls
 from riskframe.sources.tables import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return d.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                    F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rows(table(spark, sf_dir, "documents"))
 
@@ -40,4 +47,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_table(token_counts.histogram(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_secret_scan, op6_ngram_jaccard, op7_url_filter, op9_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op4_secret_scan, op6_ngram_jaccard, op7_url_filter, op9_packing, op10_token_counts)}
