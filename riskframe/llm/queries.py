@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import jaccard, packing, quality, secret_scan, suffix_dedup, token_counts, urls
+from riskframe.llm import decontam, html_extract, jaccard, packing, quality, secret_scan, suffix_dedup, token_counts, urls
 from riskframe.sources.tables import table
 
 
@@ -20,6 +20,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rows(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = secret_scan.scan(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
@@ -29,6 +33,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.spans_text("spans").alias("spans"))
 
 
+def op5_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = jaccard.near_duplicates(table(spark, sf_dir, "documents"))
     return d.select(F.col("k_id").alias("doc_id"), "class_id", "n_links", "n_copies")
@@ -47,4 +55,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_table(token_counts.histogram(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op4_secret_scan, op6_ngram_jaccard, op7_url_filter, op9_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_html_text, op4_secret_scan, op5_benchmark_templates, op6_ngram_jaccard, op7_url_filter, op9_packing, op10_token_counts)}
