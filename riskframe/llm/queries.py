@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import decontam, html_extract, jaccard, packing, quality, secret_scan, suffix_dedup, token_counts, urls
+from riskframe.llm import decontam, html_extract, jaccard, lm_score, packing, quality, secret_scan, suffix_dedup, token_counts, urls
 from riskframe.sources.tables import table
 
 
@@ -47,6 +47,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.train(urls.LABELLED))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = lm_score.backoff_scores(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_words", "n_top", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -55,4 +60,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_table(token_counts.histogram(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_html_text, op4_secret_scan, op5_benchmark_templates, op6_ngram_jaccard, op7_url_filter, op9_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_html_text, op4_secret_scan, op5_benchmark_templates, op6_ngram_jaccard, op7_url_filter, op8_lm_score, op9_packing, op10_token_counts)}
