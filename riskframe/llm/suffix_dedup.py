@@ -225,7 +225,8 @@ def repeat_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     may overlap."""
     text = docs.select(*row_key(text_col, id_col), F.col(text_col).cast("string").alias("text"))
     a = saved(text.mapInArrow(anchor_rows(length), ANCHORS))
-    often = a.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    # a hot hash is split over tasks by the join: both its sides are plain tables
+    often = saved(a.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
     a = saved(a.join(often, "h"))
     by_digest = saved(a.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k_row", "k_text", "place")).alias("rep")))
     far = F.shiftright("place", 9).bitwiseAND(511)
@@ -234,14 +235,14 @@ def repeat_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
              .select("k_row", "k_text", (p - far).alias("s"), (p - F.col("place").bitwiseAND(511) + length).alias("e")))
 
     # borders: under one hash several digests, one of them found once
-    mixed = by_digest.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("h")
+    mixed = saved(by_digest.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("h"))
     wanted = (by_digest.join(mixed, "h").select("rep.*", "n")
               .groupBy("k_row", "k_text").agg(F.collect_list(F.struct("place", "n")).alias("want")))
     held = (text.join(wanted, ["k_row", "k_text"]).groupBy("k_row", "k_text")
             .agg(F.first("text").alias("text"), F.first("want").alias("want")))
     b = held.select("k_row", "k_text", "text", "want").mapInArrow(border_rows(length), BORDERS)
     b = saved(b)
-    shared = b.groupBy("q1", "q2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("q1", "q2")
+    shared = saved(b.groupBy("q1", "q2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("q1", "q2"))
     b = saved(b.join(shared, ["q1", "q2"]))
     members = b.groupBy("q1", "q2", "l", "r").agg(F.sum(F.when(F.col("known"), 2).otherwise(1)).alias("n"))
     sizes = members.groupBy("q1", "q2").agg(F.count(F.lit(1)).alias("size"))
