@@ -24,6 +24,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskframe.llm.common import saved
+
 # fixed values: kind, version, pattern, group whose length counts, least length
 RULES = [
     ("assign", 1, r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
@@ -107,7 +109,8 @@ def findings(docs: DataFrame, path: str, rules=RULES, text_col: str = "text") ->
     """``docs`` (all columns, as the struct ``row``) with the sorted spans of
     the given rule versions from the ledger."""
     led = open_ledger(docs.sparkSession, path).select("blob", F.explode_outer("spans").alias("s")).where("s is not null")
-    led = led.groupBy("blob").agg(F.array_sort(F.collect_set("s")).alias("spans"))
+    # written first, so that the join can split a blob that many rows share
+    led = saved(led.groupBy("blob").agg(F.array_sort(F.collect_set("s")).alias("spans")))
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), blob_of(text_col).alias("blob"))
     return d.join(led, "blob", "left").select("row", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
