@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskframe.llm import tokens
+from riskframe.llm.common import saved
 
 RANGE = 512
 
@@ -41,9 +42,10 @@ def encoded_length(text_col: str = "text", tokenizer: str | None = None):
 
 
 def histogram(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """(n_tokens, n_docs): one row per encoded length that occurs."""
-    return (docs.select(encoded_length(text_col, tokenizer).alias("n_tokens"))
-            .groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")))
+    """(n_tokens, n_docs): one row per encoded length that occurs, written
+    once, as its users read it more than once."""
+    return saved(docs.select(encoded_length(text_col, tokenizer).alias("n_tokens"))
+                 .groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")))
 
 
 def context_table(hist: DataFrame, range_size: int = RANGE) -> DataFrame:
