@@ -251,8 +251,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id
 def leaked_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document and item it leaks."""
     found = leaks(docs, benchmark, text_col, **options)
-    d = docs.select(F.col(id_col).alias("doc_id"), found.alias("found")).where(F.size("found") > 0)
-    return d.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.explode(found).alias("f"))
+    return d.select("doc_id", "f.*")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
