@@ -7,6 +7,7 @@ partition.
 """
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: its memory stays with the process
+    _LIBC = None
+
 U = np.uint64
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 # bytes that separate words: space, \t \n \v \f \r
 SPACE = np.zeros(256, bool)
@@ -150,6 +156,17 @@ def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return twice, later
 
 
+def frugal(batches: Iterator) -> Iterator:
+    """The batches of a task; memory freed while one was worked on goes back
+    to the system before the next, so that idle workers stay small."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if _LIBC is not None:
+            _LIBC.malloc_trim(0)
+
+
 def row_key(text: str = "text", doc: str = "doc_id") -> list:
     """``k_row, k_text``: the key of a document row, 128 bits over id and
     text, never null.  Rows that agree in both are interchangeable; two

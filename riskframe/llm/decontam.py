@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import U, Rolling, grams, mix, text_blocks
+from riskframe.llm.common import U, Rolling, frugal, grams, mix, text_blocks
 
 WINDOW = 8
 LITERALS = 4
@@ -233,7 +233,7 @@ def _search(held, cover: int):
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = Index(held.value)
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("covered", pa.int32()), ("item_words", pa.int32()), ("exact", pa.bool_())]))
-        for text in batches:
+        for text in frugal(batches):
             yield pa.array(_leaks(index, text, cover), kind)
     return search
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.llm.common import U, Rolling, grams, mix, row_key, saved, text_blocks, word_spans
+from riskframe.llm.common import U, Rolling, frugal, grams, mix, row_key, saved, text_blocks, word_spans
 from riskframe.llm.graph import components
 
 WORDS = 5
@@ -116,7 +116,7 @@ def signatures(docs: DataFrame, threshold: float, recall: float, depth: int, wor
     seeds = run_seeds(runs_needed(recall, depth))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in frugal(batches):
             dig, size, sk, keys = [], [], [], []
             for s in shingle_sets(batch.column(3), words):
                 size.append(len(s))
@@ -146,7 +146,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple
             new[1:] |= code[1:] != code[:-1]
         return np.flatnonzero(new)
 
-    for batch in batches:
+    for batch in frugal(batches):
         t = pa.Table.from_batches([batch])
         held = t if held is None else pa.concat_tables([held, t])
         if not held.num_rows:
@@ -221,7 +221,7 @@ def set_rows(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_c
     schema = T.StructType([*wanted.select(*rest).schema.fields, T.StructField("tokens", T.ArrayType(T.LongType()))])
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in frugal(batches):
             sets = list(shingle_sets(batch.column(len(rest)), words))
             off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = (np.concatenate(sets) if sets else np.zeros(0, U)).view(np.int64)
@@ -261,7 +261,7 @@ def candidate_edges(docs: DataFrame, classes: DataFrame, threshold: float, recal
         wanted = over.select("digest").distinct().join(classes.select("digest", "k_row", "k_text"), "digest")
 
         def again(batches: Iterator[pa.RecordBatch], seeds=seeds, depth=depth) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in frugal(batches):
                 for dig, tok in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     k = chosen_paths(tok.values.to_numpy().view(U), seeds, depth, threshold).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(k), pa.array([dig] * len(k), pa.binary())], ["key", "digest"])

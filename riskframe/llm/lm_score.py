@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import U, Rolling, grams, mix, row_key, saved, text_blocks, word_spans
+from riskframe.llm.common import U, Rolling, frugal, grams, mix, row_key, saved, text_blocks, word_spans
 
 ORDER = 2
 ALPHA = 0.4
@@ -93,7 +93,7 @@ def read_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int):
         return (part << 32) | seq, pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held]), Block(words, bounds)
 
     part = 0
-    for batch in batches:
+    for batch in frugal(batches):
         if not batch.num_rows:
             continue
         part = batch.column(0)[0].as_py()
@@ -208,7 +208,7 @@ def score_block(b: Block, order: int, alpha: float, lookup) -> tuple[np.ndarray,
 
 def scored(order: int, alpha: float, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in frugal(batches):
             for r in range(batch.num_rows):
                 get = lambda c, r=r, batch=batch: batch.column(batch.schema.get_field_index(c))[r]
                 u = unpack(get("words").as_py())

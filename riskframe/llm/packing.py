@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm import tokens
-from riskframe.llm.common import U, mix, saved
+from riskframe.llm.common import U, frugal, mix, saved
 
 SEQUENCE = 2048
 GROUP_PIECES = 8192
@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(path)
         seen = 0
-        for batch in batches:
+        for batch in frugal(batches):
             for a, b, ids, off in enc.blocks(batch.column(1)):
                 n = np.diff(off) + 1
                 # the ids with one end id after each document

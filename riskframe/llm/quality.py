@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.llm.common import U, Rolling, grams, mix, per_doc, repeated, text_blocks, word_spans
+from riskframe.llm.common import U, Rolling, frugal, grams, mix, per_doc, repeated, text_blocks, word_spans
 
 # fixed values: n-gram length -> largest share of word characters that may
 # lie in repeated n-grams of that length
@@ -99,7 +99,7 @@ def repetition(text_col: str = "text"):
     """Struct column with the counts of :data:`FIELDS`."""
     @F.arrow_udf(SCHEMA)
     def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for text in batches:
+        for text in frugal(batches):
             yield _measured(text)
     return measured(F.col(text_col).cast("string"))
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import U, Rolling, row_key, saved, text_blocks
+from riskframe.llm.common import U, Rolling, frugal, row_key, saved, text_blocks
 from riskframe.llm.jaccard import whole_groups
 from riskframe.llm.suffix_array import common_prefixes, suffix_array
 
@@ -94,7 +94,7 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
 
 def anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in frugal(batches):
             for r0, r1, data, off in text_blocks(batch.column(2)):
                 doc, p, lo, hi, h = anchors(data, off, length)
                 if not len(doc):
@@ -119,7 +119,7 @@ def border_rows(length: int):
     """For each wanted anchor of a document, one row per 32 offsets: digest
     of the core, the bytes on either side, where the core starts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in frugal(batches):
             rows: list[tuple] = []
             size = 0
             for k_row, k_text, text, want in zip(*(batch.column(c) for c in range(4)), strict=True):
@@ -257,7 +257,7 @@ def repeat_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merges a document's ranges and cuts them out."""
-    for batch in batches:
+    for batch in frugal(batches):
         for r0, r1, data, off in text_blocks(batch.column(1)):
             raw = memoryview(np.ascontiguousarray(data))
             spans, kept = [], []

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskframe.llm import tokens
-from riskframe.llm.common import saved
+from riskframe.llm.common import frugal, saved
 
 RANGE = 512
 
@@ -35,7 +35,7 @@ def encoded_length(text_col: str = "text", tokenizer: str | None = None):
     @F.arrow_udf("long")
     def lengths(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = tokens.encoder(path)
-        for text in batches:
+        for text in frugal(batches):
             parts = [np.diff(off) for _, _, _, off in enc.blocks(text)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
     return lengths(F.col(text_col).cast("string"))

@@ -19,7 +19,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 # chunks kept per task; a full store is emptied, never consulted partly
 STORE_CHUNKS = 700_000
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 # chunks of these letters only are one word to the tokenizer, whatever their case
 ONE_WORD = re.compile(r"[a-zA-Zà-öø-ÿÀ-ÖØ-Þß]+").fullmatch
 JOINED = 2_000
