@@ -95,8 +95,9 @@ def judge_arbitration(verdict, threat_present, may_clear_to_low: bool = False) -
 
 
 def hazard_arbitration(verdict, threat_present, may_clear_to_low: bool = False) -> Column:
-    """Hazard-classifier verdict ('safe'/'unsafe'); null = unavailable
-    (the caller then falls back to :func:`judge_arbitration`)."""
+    """Hazard-classifier verdict (SAFE / DANGEROUS; any other value fails
+    closed as DANGEROUS); null = unavailable (the caller then falls back to
+    :func:`judge_arbitration`)."""
     v = _col(verdict)
     tp = F.coalesce(_col(threat_present), F.lit(False))
 
@@ -105,7 +106,7 @@ def hazard_arbitration(verdict, threat_present, may_clear_to_low: bool = False)
     safe = F.when(tp, rs("MEDIUM", "llama_guard_override_restricted"))
     safe = safe.otherwise(rs("LOW", "llama_guard_override") if may_clear_to_low
                           else rs("MEDIUM", "llama_guard_override_capped"))
-    return F.when(v == "unsafe", rs("HIGH", "llama_guard_arbitration")).when(v == "safe", safe)
+    return F.when(v == "SAFE", safe).when(v.isNotNull(), rs("HIGH", "llama_guard_arbitration"))
 
 
 # --- C11/C12/C13 fusion policy ------------------------------------------------------------------
@@ -231,9 +232,10 @@ def parse_chat_verdict(raw) -> Column:
 
 
 def parse_hazard_verdict(raw) -> Column:
-    """First line 'safe'/'unsafe' (else DANGEROUS) and S1..S13 codes."""
+    """SAFE or DANGEROUS (first line 'safe'; anything else fails closed)
+    and the S1..S13 codes — the vocabulary of every arbitration."""
     first = F.lower(F.trim(F.split(F.coalesce(_col(raw), F.lit("")), "\n")[0]))
-    verdict = F.when(first.isin("safe", "unsafe"), first).otherwise(F.lit("DANGEROUS"))
+    verdict = F.when(first == "safe", F.lit("SAFE")).otherwise(F.lit("DANGEROUS"))
     cats = F.regexp_extract_all(F.coalesce(_col(raw), F.lit("")), F.lit(C.HAZARD_CATEGORY_PATTERN), 0)
     return F.struct(verdict.alias("verdict"), cats.alias("categories"))
 

@@ -65,18 +65,36 @@ def score_long(df: DataFrame, id_col: str, detectors: list[Detector], text_col:
     return out.select("detector", "id", "score", *keep)
 
 
+def _score_texts(fn, texts: pd.Series, tries: int = 1) -> pd.Series:
+    """Scores of a batch; when the batch call fails, or leaves rows without a
+    score, those rows are scored one by one (up to ``tries`` calls each).  A
+    row that still fails has NaN."""
+    try:
+        s = pd.to_numeric(pd.Series(list(fn(texts)), index=texts.index), errors="coerce").astype("float64")
+    except Exception:  # noqa: BLE001 - the rows are tried one by one
+        s = pd.Series(float("nan"), index=texts.index, dtype="float64")
+    for i in s.index[s.isna()]:
+        for _ in range(tries):
+            try:
+                v = float(next(iter(fn(texts.loc[[i]]))))
+            except Exception:  # noqa: BLE001 - retried, then left unscored
+                continue
+            if v == v:
+                s.loc[i] = v
+                break
+    return s
+
+
 def model_scores(df: DataFrame, id_col: str, text_col: str, det: Detector) -> DataFrame:
-    """U-1: run a pluggable batch scorer over Arrow batches.  Rows whose
-    score is NaN/None (the model failed on them) are dropped so they stay
-    'to do' for the next incremental run (K4)."""
+    """U-1: run a pluggable batch scorer over Arrow batches.  A row whose
+    score is NaN/None, or on which the model fails, is left out and stays
+    'to do' for the next incremental run (K4); the other rows of its batch
+    are scored, so the result does not depend on batches or partitions."""
     fn, name = det.batch_fn, det.name
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            try:
-                s = pd.Series(fn(pdf["text"]), index=pdf.index, dtype="float64")
-            except Exception:  # noqa: BLE001 - the whole batch stays unscored
-                continue
+            s = _score_texts(fn, pdf["text"])
             ok = s.notna()
             yield pd.DataFrame({"detector": name, "id": pdf["id"][ok].astype("int64"), "score": s[ok]})
 
@@ -96,52 +114,43 @@ def feature_matrix(store: DataFrame, detectors: list[str]):
     return complete, dropped
 
 
+class ModelDown(RuntimeError):
+    """Every probe row failed: nothing was scored or appended."""
+
+
 def incremental_score(suite: DataFrame, store_path: str, id_col: str, det: Detector, text_col: str = "text",
                       max_tries: int = 3, abort_after: int = 15) -> int:
     """K4: score the rows of ``suite`` the store lacks for ``det`` and append
     them (partitioned by detector).  Each row gets up to ``max_tries``
-    attempts; a row that keeps failing stays unscored (never 0).  A task that
-    sees ``abort_after`` consecutive failed rows stops scoring — the model is
-    down — and its remaining rows stay to-do for the next run.  Returns the
-    number of rows appended."""
+    attempts; a row that keeps failing stays unscored (never 0).
+
+    Before the run, the ``abort_after`` to-do rows with the smallest id hash
+    are scored as probes; if there are that many and all fail, the model is
+    down and :class:`ModelDown` is raised with nothing appended.  Otherwise
+    every row is attempted, so the result does not depend on partitioning.
+    A missing store is an empty one; any other read error is raised.
+    Returns the number of rows appended."""
     from riskframe.sources import io
     spark = suite.sparkSession
-    try:
-        store = io.read_scores(spark, store_path, [det.name])
-        work = todo(suite, store, id_col, det.name)
-    except Exception:  # noqa: BLE001 - empty store: everything is to do
-        work = suite
+    work = suite
+    if io.path_exists(spark, store_path):
+        work = todo(suite, io.read_scores(spark, store_path, [det.name]), id_col, det.name)
     fn, name = det.batch_fn, det.name
 
     def run(batches):
-        streak = 0
         for pdf in batches:
-            ids, scores = [], []
-            for i, t in zip(pdf["id"], pdf["text"]):
-                if streak >= abort_after:
-                    break
-                val = None
-                for _ in range(max_tries):
-                    try:
-                        r = fn(pd.Series([t]))
-                        v = r.iloc[0] if hasattr(r, "iloc") else r[0]
-                    except Exception:  # noqa: BLE001 - retried, then left unscored
-                        v = None
-                    if v is not None and v == v:
-                        val = float(v)
-                        break
-                if val is None:
-                    streak += 1
-                    continue
-                streak = 0
-                ids.append(int(i))
-                scores.append(val)
-            yield pd.DataFrame({"detector": name, "id": pd.Series(ids, dtype="int64"),
-                                "score": pd.Series(scores, dtype="float64")})
+            s = _score_texts(fn, pdf["text"], max_tries)
+            ok = s.notna()
+            yield pd.DataFrame({"detector": name, "id": pdf["id"][ok].astype("int64"), "score": s[ok]})
 
     src = work.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = src.mapInPandas(run, "detector string, id long, score double") \
-        .withColumn("scored_at", F.current_timestamp())
+    schema = "detector string, id long, score double"
+    probes = src.orderBy(F.xxhash64("id"), "id").limit(abort_after)
+    # a handful of rows: scored in one task, counted on the way
+    tried = probes.count()
+    if tried >= abort_after and probes.mapInPandas(run, schema).isEmpty():
+        raise ModelDown(f"{name}: all {tried} probe rows failed after {max_tries} attempts each")
+    out = src.mapInPandas(run, schema).withColumn("scored_at", F.current_timestamp())
     from riskframe.session import cut_lineage
     out = cut_lineage(out)            # scored once, then counted and appended
     n = out.count()

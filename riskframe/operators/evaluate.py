@@ -102,7 +102,7 @@ def hash_uniform(*parts: Column) -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / float(2 ** 52)
 
 
-def poisson1_draw(u: Column, kmax: int = 12) -> Column:
+def poisson1_draw(u: Column, kmax: int = 20) -> Column:
     """Inverse CDF of Poisson(1): the number of cumulative probabilities
     below ``u``."""
     cdf = C.poisson1_cdf(kmax)
@@ -142,19 +142,11 @@ def bootstrap_auc(df: DataFrame, id_col: str, score: str, label: str, keys=None,
     ks = [] if not keys else ([keys] if isinstance(keys, str) else list(keys))
     point = roc.auc(roc.score_table(df, score, label, ks or None), ks or None)
     gk = ks or [ALL]
-    base = df.where(F.col(score).isNotNull()).select(
+    base = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).select(
         *(ks or [F.lit(0).alias(ALL)]), F.col(id_col).alias("__id"), F.col(score).cast("double").alias("__s"),
         (F.col(label).cast("int") == 1).cast("int").alias("__y"))
-    stats = [F.min("__s").alias("__lo"), F.max("__s").alias("__hi")]
-    if ks:
-        base = base.join(base.groupBy(*gk).agg(*stats), gk)
-    else:
-        sc = base.agg(F.struct(*stats).alias("s")).scalar()
-        base = base.withColumns({"__lo": sc["__lo"], "__hi": sc["__hi"]})
-    span = F.col("__hi") - F.col("__lo")
-    base = base.withColumn("__b", F.when(span <= 0, F.lit(0)).otherwise(
-        F.least(F.lit(buckets - 1), F.floor((F.col("__s") - F.col("__lo")) / span * buckets).cast("int"))))
-    cdf = C.poisson1_cdf(12)
+    base = roc.range_buckets(base, gk, ["__s"], buckets)
+    cdf = C.poisson1_cdf(20)   # the tail beyond is below the 52-bit grid of the draw
     R = int(replicates)
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*gk).schema.fields)
 

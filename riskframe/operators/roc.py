@@ -4,9 +4,10 @@ A global ``Window.orderBy(score)`` sends a whole slice to one task.  Instead:
 
 1. collapse rows to score groups ``(keys, score) -> pos, neg`` (map-side
    partial aggregation; ties become one row),
-2. split each key's score range into ``K`` equal-width buckets, total each
-   bucket (at most K rows per key) and turn the totals into offsets with a
-   small window,
+2. range-partition the groups by (keys, score): the cut points are sampled
+   quantiles, so buckets hold about as many rows each whatever the values
+   (an outlier, a peak or a burst does not empty the others); total each
+   bucket and turn the totals into offsets with a small window,
 3. run the running sum inside ``(keys, bucket)`` only and add the offset.
 
 Every statistic below reads the resulting *score table*
@@ -38,18 +39,29 @@ def _done(df: DataFrame) -> DataFrame:
 
 def score_groups(df: DataFrame, score: str, label: str, keys=None, weight: str | None = None) -> DataFrame:
     """``(keys, score) -> pos, neg`` (weighted counts when ``weight`` given).
-    Rows with a null score are not scored and are left out."""
+    Rows with a null or NaN score are not scored and are left out."""
     ks = _keys(keys)
     w = F.col(weight) if weight else F.lit(1)
     is_pos = F.col(label).cast("int") == 1
     if ks == [ALL]:
         df = df.withColumn(ALL, F.lit(0))
-    return (df.where(F.col(score).isNotNull())
+    return (df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
             .groupBy(*ks, F.col(score).cast("double").alias("score"))
             .agg(F.sum(F.when(is_pos, w).otherwise(0)).cast("long").alias("pos"),
                  F.sum(F.when(is_pos, 0).otherwise(w)).cast("long").alias("neg")))
 
 
+def range_buckets(df: DataFrame, keys: list[str], order_cols: list[str], buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """``df`` with ``__b``, its range partition by (keys, order columns): the
+    order of ``__b`` follows the order of the columns inside each key, equal
+    values share a bucket, and buckets are cut at sampled quantiles.  There
+    are as many as shuffle partitions, ``buckets`` at most.  Written once, as
+    sampling again could cut elsewhere."""
+    from riskframe.session import cut_lineage
+    n = max(1, min(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return cut_lineage(df.repartitionByRange(n, *keys, *order_cols).withColumn("__b", F.spark_partition_id()))
+
+
 def prefix_before(g: DataFrame, keys, order_col: str, value_cols, buckets: int = DEFAULT_BUCKETS,
                   ) -> DataFrame:
     """For each value column ``v`` adds ``v_lt``: the sum of ``v`` over rows of
@@ -57,40 +69,25 @@ def prefix_before(g: DataFrame, keys, order_col: str, value_cols, buckets: int =
     unique per key).  Also adds per-key totals ``v_total``."""
     ks = _keys(keys)
     vals = list(value_cols)
-    x = F.col(order_col)
-    stats = [F.min(order_col).alias("__lo"), F.max(order_col).alias("__hi"),
-             *[F.sum(v).alias(f"{v}_total") for v in vals]]
-    glob = ks == [ALL]
-    if glob:
-        # one global range: a scalar subquery (computed once), no join
-        sc = g.agg(F.struct(*stats).alias("s")).scalar()
-        gb = g.withColumns({"__lo": sc["__lo"], "__hi": sc["__hi"],
-                            **{f"{v}_total": sc[f"{v}_total"] for v in vals}})
-    else:
-        # one row per key; AQE picks the join from the measured size
-        gb = g.join(g.groupBy(*ks).agg(*stats), ks, "inner")
-    span = F.col("__hi") - F.col("__lo")
-    bucket = F.when(span <= 0, F.lit(0)).otherwise(
-        F.least(F.lit(buckets - 1), F.floor((x - F.col("__lo")) / span * buckets).cast("int")))
-    gb = gb.withColumn("__b", bucket.cast("int"))
+    gb = range_buckets(g, ks, [order_col], buckets)
     bt = gb.groupBy(*ks, "__b").agg(*[F.sum(v).alias(f"__bt_{v}") for v in vals])
     w_off = Window.partitionBy(*ks).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.select(*ks, "__b", *[F.coalesce(F.sum(f"__bt_{v}").over(w_off), F.lit(0)).alias(f"__off_{v}")
-                                 for v in vals])
+    w_all = Window.partitionBy(*ks)
+    bt = bt.select(*ks, "__b", *[F.coalesce(F.sum(f"__bt_{v}").over(w_off), F.lit(0)).alias(f"__off_{v}") for v in vals],
+                   *[F.sum(f"__bt_{v}").over(w_all).alias(f"{v}_total") for v in vals])
     w_in = Window.partitionBy(*ks, "__b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    out = gb.join(F.broadcast(bt) if glob else bt, ks + ["__b"], "inner")
+    # without keys ``bt`` has one row per partition: a bounded side
+    out = gb.join(F.broadcast(bt) if ks == [ALL] else bt, ks + ["__b"], "inner")
     for v in vals:
         out = out.withColumn(f"{v}_lt", F.col(f"__off_{v}") + F.coalesce(F.sum(v).over(w_in), F.lit(0)))
-    return out.drop("__lo", "__hi", "__b", *[f"__off_{v}" for v in vals])
+    return out.drop("__b", *[f"__off_{v}" for v in vals])
 
 
 def score_table(df: DataFrame, score: str, label: str, keys=None, weight: str | None = None,
                 buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """``(keys, score, pos, neg, pos_lt, neg_lt, P, N)``.  The score groups
-    are read by three branches of the prefix sum: they are written once to
-    the checkpoint folder rather than re-derived from the input each time."""
-    from riskframe.session import cut_lineage
-    g = cut_lineage(score_groups(df, score, label, keys, weight))
+    are read by several branches of the prefix sum, which writes them once."""
+    g = score_groups(df, score, label, keys, weight)
     t = prefix_before(g, keys, "score", ["pos", "neg"], buckets)
     return t.withColumnRenamed("pos_total", "P").withColumnRenamed("neg_total", "N")
 
@@ -189,23 +186,15 @@ def last_before(df: DataFrame, keys, time_col: str, tie_cols: list[str], value:
     ``(time_col, *tie_cols)`` order — a running "last value" without a
     window over a whole key.
 
-    Each key's time range is cut into ``buckets`` buckets (rows with equal
-    times share a bucket).  Inside a (key, bucket) a window gives the running
-    last value; the last value of every earlier bucket comes from one
-    summary row per (key, bucket) and a running last over at most
-    ``buckets`` rows per key."""
+    Rows are range-partitioned by (key, time) at sampled quantiles (rows with
+    equal times share a bucket).  Inside a (key, bucket) a window gives the
+    running last value; the last value of every earlier bucket comes from
+    one summary row per (key, bucket) and a running last over them."""
     ks = _keys(keys)
     x = df.withColumn("__v", value)
     if ks == [ALL]:
         x = x.withColumn(ALL, F.lit(0))
-        sc = x.agg(F.struct(F.min(time_col).alias("lo"), F.max(time_col).alias("hi")).alias("s")).scalar()
-        x = x.withColumns({"__lo": sc["lo"], "__hi": sc["hi"]})
-    else:
-        x = x.join(x.groupBy(*ks).agg(F.min(time_col).alias("__lo"), F.max(time_col).alias("__hi")), ks)
-    span = (F.col("__hi") - F.col("__lo")).cast("double")
-    x = x.withColumn("__lb", F.when(span <= 0, F.lit(0)).otherwise(
-        F.least(F.lit(buckets - 1),
-                F.floor((F.col(time_col) - F.col("__lo")).cast("double") / span * buckets).cast("int"))))
+    x = range_buckets(x, ks, [time_col], buckets).withColumnRenamed("__b", "__lb")
     order = [time_col, *tie_cols]
     frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*ks, "__lb").orderBy(*order).rowsBetween(*frame)
@@ -219,4 +208,4 @@ def last_before(df: DataFrame, keys, time_col: str, tie_cols: list[str], value:
     allb = allb.select(*ks, "__lb", F.last("__bl", ignorenulls=True).over(carry).alias("__carry2"))
     x = x.join(allb, ks + ["__lb"], "left")
     res = x.withColumn(out, F.coalesce(F.col("__in"), F.col("__carry2")))
-    return _done(res.drop("__v", "__lo", "__hi", "__lb", "__in", "__carry2"))
+    return _done(res.drop("__v", "__lb", "__in", "__carry2"))

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -12,6 +13,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -45,12 +47,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Returns the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     The cluster's setting always wins.  Only when it is unset (local tests)
-    is a fresh private folder created and registered.
+    is a fresh private folder created and registered; on any other master
+    an unset folder is an error, as executors cannot see the driver's disk.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="riskframe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     sc_dir = spark.sparkContext.getCheckpointDir()

@@ -26,6 +26,24 @@ CACHE_SCHEMA = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType()))])
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any Hadoop file system exists; errors other than
+    its absence are raised, so a failed read never passes for an empty one."""
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any Hadoop file system (none if it is missing)."""
+    fs, p = _file_system(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
 # --- S5 tolerant JSONL -------------------------------------------------------------
 
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: T.StructType = SCORE_SCHEMA) -> DataFrame:
@@ -61,10 +79,9 @@ def read_anchor_pack(spark: SparkSession, path: str) -> DataFrame:
     legacy flat ``threat_anchors`` list (class 'unclassified').  A missing
     file gives an empty pack."""
     schema = "set string, class string, anchor_id int, text string"
-    try:
-        raw = spark.read.option("multiLine", True).json(path)
-    except Exception:  # noqa: BLE001 - absent pack == empty pack
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
+    raw = spark.read.option("multiLine", True).json(path)
     parts = []
     cols = set(raw.columns)
     if "safe_anchors" in cols:
@@ -97,11 +114,10 @@ def read_keyed_config(spark: SparkSession, path: str, entry_schema: str) -> Data
     """Reads a JSON object ``{key: {...}}`` into ``(key, entry struct)``
     rows; an entry that does not parse into ``entry_schema`` yields a null
     struct (reject it with a predicate) without affecting its siblings.  A
-    wholly unreadable file gives no rows."""
-    try:
-        txt = spark.read.option("wholetext", True).text(path)
-    except Exception:  # noqa: BLE001
+    missing file gives no rows; any other read error is raised."""
+    if not path_exists(spark, path):
         return spark.createDataFrame([], f"key string, entry struct<{_struct_body(entry_schema)}>")
+    txt = spark.read.option("wholetext", True).text(path)
     m = txt.select(F.from_json("value", "map<string, string>").alias("m"))
     return m.select(F.explode("m").alias("key", "raw")).select(
         "key", F.from_json("raw", entry_schema).alias("entry"), "raw")
@@ -158,10 +174,9 @@ def write_audit(audit: DataFrame, path: str) -> None:
 
 def load_cache(spark: SparkSession, path: str, now_epoch: float, ttl: float = C.CACHE_TTL_SECONDS) -> DataFrame:
     """Entries still alive at ``now_epoch`` (``now - written < ttl``)."""
-    try:
-        df = spark.read.schema(CACHE_SCHEMA).parquet(path)
-    except Exception:  # noqa: BLE001 - no snapshot yet
+    if not path_exists(spark, path):
         return spark.createDataFrame([], CACHE_SCHEMA)
+    df = spark.read.schema(CACHE_SCHEMA).parquet(path)
     return df.where(F.lit(float(now_epoch)) - F.col("timestamp_epoch") < ttl)
 
 

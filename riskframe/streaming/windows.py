@@ -2,13 +2,11 @@
 escalate-only verdict upsert (T5, T9 and the watermark plumbing)."""
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
+from riskframe.sources.io import child_names, path_exists
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
     """File-source stream with a declared schema (streams never infer)."""
@@ -34,19 +32,19 @@ class LateRowRouter:
     """``foreachBatch`` writer splitting each micro-batch at the watermark the
     engine would apply to it (max event time of earlier batches minus the
     delay): on-time rows go to ``on_time_path``, older rows to
-    ``late_path``.  The running maximum is stored per epoch next to the
-    outputs, so a replayed epoch recomputes the same split (idempotent)."""
+    ``late_path``.  Each epoch owns one folder in the three places and
+    overwrites it, so a replayed epoch recomputes the same split and leaves
+    the same rows."""
 
     def __init__(self, ts: str, delay_seconds: float, on_time_path: str, late_path: str, state_path: str):
         self.ts, self.delay = ts, float(delay_seconds)
         self.on_time, self.late, self.state = on_time_path, late_path, state_path
 
     def _prior_max(self, spark: SparkSession, epoch: int):
-        if not os.path.exists(self.state):
+        if not path_exists(spark, self.state):
             return None
-        st = spark.read.parquet(self.state).where(F.col("epoch") < epoch)
-        r = st.agg(F.max("max_ts")).first()
-        return r[0] if r else None
+        st = spark.read.schema("max_ts timestamp, epoch long").parquet(self.state).where(F.col("epoch") < epoch)
+        return st.agg(F.max("max_ts")).first()[0]
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -55,44 +53,54 @@ class LateRowRouter:
             late_cond = F.lit(False)
         else:
             wm = F.lit(prior).cast("timestamp") - F.make_dt_interval(secs=F.lit(self.delay))
-            late_cond = F.col(self.ts).cast("timestamp") < wm
-        tagged = batch.withColumn("__late", late_cond).withColumn("epoch", F.lit(epoch))
-        tagged.where(~F.col("__late")).drop("__late").write.mode("append").partitionBy("epoch").parquet(self.on_time)
-        tagged.where(F.col("__late")).drop("__late").write.mode("append").partitionBy("epoch").parquet(self.late)
-        mx = batch.agg(F.max(F.col(self.ts).cast("timestamp")).alias("max_ts")).withColumn("epoch", F.lit(epoch))
-        if prior is not None:
-            mx = mx.select(F.greatest("max_ts", F.lit(prior).cast("timestamp")).alias("max_ts"), "epoch")
-        mx.write.mode("append").parquet(self.state)
+            late_cond = F.coalesce(F.col(self.ts).cast("timestamp") < wm, F.lit(False))
+        tagged = batch.withColumn("__late", late_cond)
+        for path, rows in ((self.on_time, ~F.col("__late")), (self.late, F.col("__late"))):
+            tagged.where(rows).drop("__late").write.mode("overwrite").parquet(f"{path.rstrip('/')}/epoch={epoch}")
+        batch.agg(F.max(F.col(self.ts).cast("timestamp")).alias("max_ts")).write.mode("overwrite").parquet(
+            f"{self.state.rstrip('/')}/epoch={epoch}")
+
+
+# fixed values: what an escalation writes
+ESCALATION_SCORE = 1.0
+ESCALATION_SOURCE = "llama_guard_async_escalation"
 
 
 def escalate_verdicts(current: DataFrame, updates: DataFrame, key: str = "prompt_hash",
-                      risk: str = "risk", source: str = "source") -> DataFrame:
-    """Keyed merge in which a later verdict replaces the stored one
-    only when it is strictly more severe (HIGH upgrades, nothing downgrades).
-    Both sides are grouped by key: a map-side partial ``max_by`` per key."""
-    sev = F.when(F.col(risk) == "HIGH", 2).when(F.col(risk) == "MEDIUM", 1).otherwise(0)
-    both = current.withColumn("__o", F.lit(0)).unionByName(updates.withColumn("__o", F.lit(1)),
-                                                           allowMissingColumns=True)
+                      risk: str = "risk", source: str = "source", score: str = "score") -> DataFrame:
+    """Keyed merge in which only a HIGH update changes a stored
+    verdict that is not HIGH, writing the escalation's score and source; all
+    other stored verdicts stay.  A key without a stored verdict takes its
+    most severe update (of equals the smallest row).  Both sides are grouped
+    by key with a map-side partial."""
     cols = [c for c in current.columns if c != key]
-    best = both.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(sev.alias("s"), -F.col("__o"))).alias("b"))
-    return best.select(key, "b.*")
+    sev = lambda r: F.when(r == "HIGH", 2).when(r == "MEDIUM", 1).otherwise(0)
+    rank = F.struct((-sev(F.col(risk))).alias("s"), F.struct(*cols).alias("v"))
+    both = (current.withColumn("__stored", F.lit(True))
+            .unionByName(updates.withColumn("__stored", F.lit(False)), allowMissingColumns=True))
+    g = both.groupBy(key).agg(F.min(F.when(F.col("__stored"), rank)).alias("old"), F.min(F.when(~F.col("__stored"), rank)).alias("new"))
+    raised = (F.col("old.s") != -2) & F.coalesce(F.col("new.s") == -2, F.lit(False))
+    fixed = {risk: F.lit("HIGH"), source: F.lit(ESCALATION_SOURCE), score: F.lit(ESCALATION_SCORE)}
+    kept = F.coalesce("old.v", "new.v")
+    return g.select(key, *[F.when(raised, fixed[c].cast(current.schema[c].dataType) if c in fixed else kept[c]).otherwise(kept[c]).alias(c)
+                           for c in cols])
 
 
 def upsert_writer(table_path: str, key: str = "prompt_hash"):
     """``foreachBatch`` function applying :func:`escalate_verdicts` to a
-    parquet table; each epoch writes a new version directory, so a replayed
-    epoch overwrites its own output only."""
+    Parquet table on any Hadoop file system; each epoch writes a new version
+    folder from the version before it, so a replayed epoch overwrites its
+    own output only.  The first epoch merges its own duplicate keys."""
+    base = table_path.rstrip("/")
+
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        versions = sorted(int(d.split("=")[1]) for d in os.listdir(table_path)
-                          if d.startswith("v=")) if os.path.exists(table_path) else []
-        prev = [v for v in versions if v < epoch]
-        if prev:
-            cur = spark.read.parquet(os.path.join(table_path, f"v={prev[-1]}"))
-            merged = escalate_verdicts(cur, batch.select(*cur.columns), key)
-        else:
-            merged = batch
-        merged.write.mode("overwrite").parquet(os.path.join(table_path, f"v={epoch}"))
+        # a version counts once its write has been committed
+        prev = [v for v in sorted(int(d[2:]) for d in child_names(spark, base) if d.startswith("v=") and d[2:].isdigit())
+                if v < epoch and path_exists(spark, f"{base}/v={v}/_SUCCESS")]
+        cur = spark.read.parquet(f"{base}/v={prev[-1]}") if prev else batch.limit(0)
+        merged = escalate_verdicts(cur, batch.select(*cur.columns), key)
+        merged.write.mode("overwrite").parquet(f"{base}/v={epoch}")
     return write
 
 
@@ -130,10 +138,9 @@ def fuzzy_reuse_writer(cache_path: str, out_path: str, threshold: float = 0.99,
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         from riskframe.sources.io import CACHE_SCHEMA
-        try:
-            cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
-        except Exception:  # noqa: BLE001 - no snapshot yet: every request misses
-            cache = spark.createDataFrame([], CACHE_SCHEMA)
+        # without a snapshot every request misses
+        cache = (spark.read.schema(CACHE_SCHEMA).parquet(cache_path) if path_exists(spark, cache_path)
+                 else spark.createDataFrame([], CACHE_SCHEMA))
         out = fuzzy_reuse(batch, cache, threshold, ttl_seconds, id_col, vec, ts)
-        out.write.mode("overwrite").parquet(os.path.join(out_path, f"epoch={epoch}"))
+        out.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/epoch={epoch}")
     return write

@@ -56,7 +56,7 @@ def test_judge_arbitration(spark, verdict, tp, exp):
 
 
 def test_hazard_preferred_then_judge(spark):
-    df = spark.createDataFrame([("unsafe", "SAFE", False), (None, "DANGEROUS", False), ("safe", None, True)],
+    df = spark.createDataFrame([("DANGEROUS", "SAFE", False), (None, "DANGEROUS", False), ("SAFE", None, True)],
                                "hv string, jv string, tp boolean")
     c = F.coalesce(K.hazard_arbitration("hv", "tp"), K.judge_arbitration("jv", "tp"))
     got = [tuple(r.r) for r in df.select(c.alias("r")).collect()]
@@ -112,7 +112,7 @@ def test_verdict_parsers(spark):
     assert [r[0] for r in df.select(K.parse_chat_verdict("raw")).collect()] == ["SAFE", "DANGEROUS", "DANGEROUS"]
     hz = spark.createDataFrame([("unsafe\nS1,S10",), ("Safe",), ("weird",)], "raw string")
     got = [(r.v.verdict, list(r.v.categories)) for r in hz.select(K.parse_hazard_verdict("raw").alias("v")).collect()]
-    assert got == [("unsafe", ["S1", "S10"]), ("safe", []), ("DANGEROUS", [])]
+    assert got == [("DANGEROUS", ["S1", "S10"]), ("SAFE", []), ("DANGEROUS", [])]
 
 
 def test_output_checks_and_combined(spark):

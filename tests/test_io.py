@@ -2,6 +2,7 @@
 audit rows, cache snapshots, score store and fixture checks."""
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from riskframe.operators import detectors as D
@@ -102,8 +103,25 @@ def test_incremental_scoring_retries_and_resumes(spark, tmp_path):
 
     def down(texts):
         raise RuntimeError("server down")
-    assert D.incremental_score(suite, str(tmp_path / "s2"), "doc_id", D.Detector("d", batch_fn=down),
-                               abort_after=3) == 0
+    with pytest.raises(D.ModelDown):
+        D.incremental_score(suite, str(tmp_path / "s2"), "doc_id", D.Detector("d", batch_fn=down), abort_after=3)
+    assert not io.path_exists(spark, str(tmp_path / "s2"))
+    # a store that cannot be read is an error, not an empty store
+    (tmp_path / "bad" / "detector=m").mkdir(parents=True)
+    (tmp_path / "bad" / "detector=m" / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):  # noqa: B017
+        D.incremental_score(suite, str(tmp_path / "bad"), "doc_id", det)
+
+
+def test_one_bad_row_leaves_the_rest_of_its_batch(spark):
+    def fn(texts):
+        if (texts == "bad").any():
+            raise RuntimeError("cannot score")
+        return [float(len(t)) for t in texts]
+    df = spark.createDataFrame([(i, "bad" if i == 7 else "x" * i) for i in range(100)], "id long, text string")
+    for parts in (1, 5):
+        got = D.model_scores(df.repartition(parts), "id", "text", D.Detector("m", batch_fn=fn)).collect()
+        assert sorted(r.id for r in got) == [i for i in range(100) if i != 7]
 
 
 def test_coverage_eta(spark):

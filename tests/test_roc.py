@@ -131,3 +131,16 @@ def test_last_before_matches_bruteforce(spark, inclusive, buckets):
                  ((tt, ii) <= (t, i) if inclusive else (tt, ii) < (t, i))]
         exp = max(prior)[2] if prior else None
         assert got[i] == exp
+
+
+def test_an_outlier_does_not_collapse_the_buckets(spark):
+    """10 000 scores in [0, 1] and one of 1e9 still fill all range buckets."""
+    df = spark.range(10_000).select((F.col("id") / 10_000.0).alias("s")).union(spark.createDataFrame([(1e9,)], "s double"))
+    n = roc.range_buckets(df, [], ["s"], 4096).groupBy("__b").count().collect()
+    assert len(n) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(r["count"] for r in n) < 3 * 10_001 / len(n)
+
+
+def test_nan_scores_are_left_out(spark):
+    df = spark.createDataFrame([(0.1, 0), (0.9, 1), (float("nan"), 0)], "score double, y int")
+    assert roc.auc(roc.score_table(df, "score", "y")).first().auc == 1.0

@@ -103,6 +103,34 @@ def test_escalate_only(spark):
                    "h3": ("LOW", "clean_pass")}
 
 
+def test_only_high_escalates(spark):
+    schema = "prompt_hash string, risk string, score double, source string"
+    cur = spark.createDataFrame([("a", "LOW", 0.1, "x"), ("b", "MEDIUM", 0.5, "x"), ("c", "HIGH", 0.9, "x")], schema)
+    upd = spark.createDataFrame([("a", "MEDIUM", 0.6, "y"), ("b", "HIGH", 0.8, "y"), ("c", "HIGH", 0.7, "y"),
+                                 ("d", "LOW", 0.2, "q"), ("d", "LOW", 0.2, "p")], schema)
+    got = {r.prompt_hash: (r.risk, r.score, r.source) for r in windows.escalate_verdicts(cur, upd).collect()}
+    assert got == {"a": ("LOW", 0.1, "x"), "b": ("HIGH", 1.0, "llama_guard_async_escalation"), "c": ("HIGH", 0.9, "x"),
+                   "d": ("LOW", 0.2, "p")}
+
+
+def test_writers_on_a_uri_path_and_replayed(spark, tmp_path):
+    schema = "prompt_hash string, risk string, source string"
+    table = f"file://{tmp_path}/verdicts"
+    w = windows.upsert_writer(table)
+    w(spark.createDataFrame([("h1", "LOW", "a"), ("h1", "HIGH", "b"), ("h0", "LOW", "c")], schema), 0)
+    for _ in range(2):
+        w(spark.createDataFrame([("h2", "LOW", "d")], schema), 1)
+    got = sorted((r.prompt_hash, r.risk) for r in spark.read.parquet(f"{table}/v=1").collect())
+    assert got == [("h0", "LOW"), ("h1", "HIGH"), ("h2", "LOW")]
+
+    out = f"file://{tmp_path}/late"
+    router = windows.LateRowRouter("ts", 60, f"{out}/ok", f"{out}/late", f"{out}/state")
+    for epoch, times in ((0, [1000, 2000]), (0, [1000, 2000]), (1, [100, 2100]), (1, [100, 2100])):
+        router(spark.createDataFrame([(t,) for t in times], "t long").select("t", F.timestamp_seconds("t").alias("ts")), epoch)
+    assert sorted(r.t for r in spark.read.parquet(f"{out}/ok").collect()) == [1000, 2000, 2100]
+    assert [r.t for r in spark.read.parquet(f"{out}/late").collect()] == [100]
+
+
 def test_fuzzy_reuse_threshold_and_ttl(spark):
     import math
     base = [1.0, 0.0, 0.0]
