@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries of this package that SQL can express."""
 from __future__ import annotations
 
-from riskframe.llm import quality, secret_scan
+from riskframe.llm import jaccard, lm_score, quality, secret_scan
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -68,4 +68,44 @@ def _secrets() -> str:
     FROM d LEFT JOIN a USING (rid)"""
 
 
-ORACLE = {"op2_quality_rules": _quality(), "op4_secret_scan": _secrets()}
+def _near() -> str:
+    return rf"""
+    WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+    s AS (SELECT DISTINCT rid, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {jaccard.WORDS} THEN [ws]
+        ELSE list_transform(range(1, len(ws) - {jaccard.WORDS - 2}), lambda i: ws[i:i + {jaccard.WORDS - 1}]) END) AS g FROM d),
+    n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+    p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY a.rid, b.rid),
+    l AS (SELECT p.a, p.b, p.c = x.n AND p.c = y.n AS same FROM p JOIN n x ON x.rid = p.a JOIN n y ON y.rid = p.b
+        WHERE p.c >= {jaccard.THRESHOLD} * (x.n + y.n - p.c) - 1e-9),
+    r AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+    cls AS (SELECT r.a AS rid, min(d.doc_id) AS class_id FROM r JOIN d ON d.rid = r.b GROUP BY r.a),
+    k AS (SELECT l.a AS rid, count(DISTINCT y.text) FILTER (y.text <> x.text) AS n_links, count(*) FILTER (l.same) AS copies
+        FROM l JOIN d x ON x.rid = l.a JOIN d y ON y.rid = l.b GROUP BY l.a)
+    SELECT d.doc_id, cls.class_id, coalesce(k.n_links, 0)::BIGINT AS n_links, (1 + coalesce(k.copies, 0))::BIGINT AS n_copies
+    FROM d JOIN cls USING (rid) LEFT JOIN k USING (rid)"""
+
+
+def _backoff() -> str:
+    return rf"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+    w AS (SELECT rid, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d),
+    b AS (SELECT rid, i, w, lag(w) OVER (PARTITION BY rid ORDER BY i) AS h FROM w),
+    own1 AS (SELECT rid, w, count(*) AS c FROM w GROUP BY rid, w),
+    all1 AS (SELECT w, sum(c) AS c FROM own1 GROUP BY w),
+    own2 AS (SELECT rid, h, w, count(*) AS c FROM b WHERE h IS NOT NULL GROUP BY rid, h, w),
+    all2 AS (SELECT h, w, sum(c) AS c FROM own2 GROUP BY h, w),
+    m AS (SELECT rid, count(*) AS n FROM w GROUP BY rid),
+    c AS (SELECT b.rid, b.h IS NOT NULL AS has, a1.c - o1.c AS c1, ah.c - oh.c AS ch, a2.c - o2.c AS c2,
+            (SELECT sum(n) FROM m) - m.n AS rest
+        FROM b JOIN m USING (rid) JOIN own1 o1 ON o1.rid = b.rid AND o1.w = b.w JOIN all1 a1 ON a1.w = b.w
+        LEFT JOIN own1 oh ON oh.rid = b.rid AND oh.w = b.h LEFT JOIN all1 ah ON ah.w = b.h
+        LEFT JOIN own2 o2 ON o2.rid = b.rid AND o2.h = b.h AND o2.w = b.w LEFT JOIN all2 a2 ON a2.h = b.h AND a2.w = b.w),
+    s AS (SELECT rid, has AND c2 > 0 AS top, CASE WHEN has AND c2 > 0 THEN ln(c2::DOUBLE / ch) ELSE
+        (CASE WHEN has THEN ln({lm_score.ALPHA}) ELSE 0 END) + (CASE WHEN c1 > 0 THEN ln(c1::DOUBLE / rest) ELSE -ln(rest + 1) END) END AS x FROM c),
+    f AS (SELECT rid, count(*) AS n, count(*) FILTER (top) AS n_top, sum(x) AS x FROM s GROUP BY rid)
+    SELECT doc_id, coalesce(f.n, 0)::BIGINT AS n_words, coalesce(f.n_top, 0)::BIGINT AS n_top, round(coalesce(f.x, 0), 4) AS log_score,
+        round(f.x / f.n, 6) AS mean_log_score FROM d LEFT JOIN f USING (rid)"""
+
+
+ORACLE = {"op2_quality_rules": _quality(), "op4_secret_scan": _secrets(), "op6_ngram_jaccard": _near(), "op8_lm_score": _backoff()}
