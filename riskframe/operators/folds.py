@@ -238,7 +238,10 @@ def circuit_breaker(df: DataFrame, backend: str, ts: str, id_col: str, ok: str,
     x = _compact(df.select(F.col(id_col).cast("long").alias("rid"), F.col(backend).cast("string").alias("k"),
                            _micros(ts).alias("t"), F.col(ok).cast("boolean").alias("ok")))
 
-    out = sorted_fold(x, ["k"], ["t", "rid"], breaker_step(threshold, cd_us), BREAKER_SCHEMA)
+    # such a call finds the breaker closed or past its cooldown, and leaves it
+    # closed without failures
+    x = _segments(x, "k", "t", lambda g: (g >= cd_us) & F.coalesce(F.col("ok"), F.lit(False)))
+    out = sorted_fold(x, ["k", "seg"], ["t", "rid"], breaker_step(threshold, cd_us), BREAKER_SCHEMA)
     return out.select(F.col("rid").alias(id_col), F.col("k").alias(backend), "skipped", "open_after",
                       "failures_after")
 

@@ -209,3 +209,13 @@ def test_breaker_segments_equal_sequential(spark):
         mine = [r for r in rows if r[1] == k]
         exp = _sim_breaker([(r[2], r[3]) for r in mine], 3, 30.0)
         assert [got[r[0]] for r in mine] == exp
+
+
+def test_breaker_plan_is_cut_into_segments(spark):
+    df = spark.createDataFrame([(i, "b", 1000.0 + 40 * i, True) for i in range(50)], "id long, k string, s double, ok boolean") \
+        .withColumn("ts", F.timestamp_seconds("s"))
+    out = folds.circuit_breaker(df, "k", "ts", "id", "ok", 3, 30.0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    import re
+    assert re.search(r"hashpartitioning\(k#\d+, seg#\d+L?,", plan)
+    assert out.count() == 50 and out.where("skipped").count() == 0
