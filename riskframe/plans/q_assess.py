@@ -4,15 +4,14 @@ Binding: every document is a prompt from the default tenant with GENERAL
 capability.  The pipeline masks PII, normalises and applies the rule pack
 (vetoed prompts leave the cascade here: filter-and-route), embeds the
 remaining clean text with the hashed TF-IDF embedder fitted on the corpus,
-scores it against the benchmark passages as the threat-anchor pack (a
-broadcast matrix, size-checked), runs the fast path and the anchors-only
+scores it against the benchmark passages as the threat-anchor pack (in
+blocks of bounded size), runs the fast path and the anchors-only
 decision bands, arbitrates the ambiguous band from a judge-verdict table
 (none here: the judge is offline, so the band fails closed), maps risk to
 the tenant policy and projects the audit row.
 """
 from __future__ import annotations
 
-import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -36,11 +35,10 @@ def assess_prompts(spark, sf_dir):
     rest = s.where(F.col("violation").isNull())
     emb = learn.hashed_tfidf_embedder("clean_text", DIMS).fit(s.select("clean_text"))
     bench = table(spark, sf_dir, "benchmark").select(F.col("text").alias("clean_text"))
-    anchors = V.collect_small(emb.transform(bench).select(vector_to_array("embedding_vec").alias("v")))
-    A = np.array([r.v for r in anchors]) if anchors else np.zeros((0, DIMS))
+    anchors = emb.transform(bench).select(vector_to_array("embedding_vec").alias("a"))
     x = emb.transform(rest).withColumn("v", vector_to_array("embedding_vec")).drop(
         "embedding_vec", "__tok", "__tf", "__tfidf")
-    x = V.anchor_max_arrow(x, "v", A, "threat_score").drop("v")
+    x = V.anchor_max_blocks(x, "v", anchors, "a", "threat_score").drop("v")
     x = x.withColumn("meta_intent_score", F.lit(0.0)).withColumn("is_educational", F.lit(False))
     fast = K.fast_path("meta_intent_score", "threat_score")
     fused = K.fuse_signals("meta_intent_score", "threat_score", "is_educational")

@@ -22,12 +22,14 @@ from riskframe.sources.tables import table
 CLASS_LABELS = {"harmful_content": [0, 1], "prompt_injection": [2, 3], "jailbreak": [4, 5, 6]}
 META_LABELS = [7, 8]
 EDU_LABELS = [9]
+ANCHOR_LABELS = sorted({x for labs in CLASS_LABELS.values() for x in labs} | {*META_LABELS, *EDU_LABELS})
 DOMAIN_LABEL = 9
 ROUND = 6
 
 
 def _anchors(spark, sf_dir) -> dict:
-    emb = table(spark, sf_dir, "embeddings")
+    # the labels that name anchor sets: a fixed list, whatever the table holds
+    emb = table(spark, sf_dir, "embeddings").where(F.col("label").isin(ANCHOR_LABELS))
     rows = V.collect_small(V.first_per_group(emb, "label", "vec_id", "embedding"))
     return {int(r["label"]): [float(x) for x in r["embedding"]] for r in rows}
 

@@ -108,6 +108,21 @@ def test_collect_small_refuses_large(spark):
         V.collect_small(spark.range(10), limit=5)
 
 
+def test_anchor_blocks_take_any_number_of_anchors(spark):
+    import numpy as np
+    r = np.random.default_rng(5)
+    A, X = r.normal(size=(5000, 8)), r.normal(size=(40, 8))
+    anchors = spark.createDataFrame([(x.tolist(),) for x in A], "a array<double>")
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, v array<double>")
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = (unit(X) @ unit(A).T).max(axis=1)
+    for block in (4096, 700, 10_000):
+        got = {x.id: x.s for x in V.anchor_max_blocks(df, "v", anchors, "a", "s", block).collect()}
+        assert np.allclose([got[i] for i in range(40)], want)
+    empty = V.anchor_max_blocks(df, "v", anchors.limit(0), "a", "s").collect()
+    assert {x.s for x in empty} == {0.0}
+
+
 def test_capped_sample_matches_bruteforce(spark):
     import hashlib
     rows = [(i, "big" if i % 3 else f"s{i % 7}") for i in range(3000)]
