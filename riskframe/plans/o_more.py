@@ -23,7 +23,7 @@ WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embedding
 p AS (SELECT x.vec_id, y.vec_id AS nn_id, list_cosine_similarity(x.v, y.v) AS sim,
              row_number() OVER (PARTITION BY x.vec_id ORDER BY list_cosine_similarity(x.v, y.v) DESC, y.vec_id) AS rn
       FROM e x JOIN e y ON x.label >= 5 AND y.label < 5)
-SELECT vec_id, nn_id, round(sim, 6) AS sim, sim > {C.CACHE_SIMILARITY_THRESHOLD} AS hit FROM p WHERE rn = 1"""
+SELECT vec_id, nn_id, round(sim, 6) AS sim, sim > {Q.FUZZY_THRESHOLD} AS hit FROM p WHERE rn = 1"""
 
 SPEEDUP = f"""
 {o_ops.REUSE.replace("SELECT event_id, h AS prompt_hash, hit, origin AS origin_id FROM r", ", res AS (SELECT event_id, hit, origin AS origin_id FROM r)").replace("WITH RECURSIVE", "WITH RECURSIVE", 1)}

@@ -193,8 +193,8 @@ WITH RECURSIVE p0 AS (
               ELSE {C.ANONYMOUS_RPM!r} END AS rpm
   FROM events e LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) c ON e.user_id = c.c_custkey
   LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey),
-ev AS (SELECT *, CAST(rpm AS DOUBLE) / 60.0 AS rate,
-              greatest(CAST(1.0 AS DOUBLE), (CAST(rpm AS DOUBLE) / 60.0) * {float(C.BURST_SECONDS)!r}) AS cap,
+ev AS (SELECT *, CAST(rpm AS DOUBLE) / CAST({Q.QUOTA_SLOWDOWN!r} AS DOUBLE) / 60.0 AS rate,
+              greatest(CAST(1.0 AS DOUBLE), (CAST(rpm AS DOUBLE) / CAST({Q.QUOTA_SLOWDOWN!r} AS DOUBLE) / 60.0) * {float(C.BURST_SECONDS)!r}) AS cap,
               row_number() OVER (PARTITION BY identity ORDER BY t, event_id) AS rn FROM p0),
 r AS (SELECT identity, rn, event_id, t AS last, cap - 1.0 AS tokens, true AS allowed, CAST(0.0 AS DOUBLE) AS retry
       FROM ev WHERE rn = 1

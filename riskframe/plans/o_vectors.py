@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from riskframe import config as C
 from riskframe.operators.cascade import load_policy
-from riskframe.plans.q_vectors import CLASS_LABELS, DOMAIN_LABEL, EDU_LABELS, META_LABELS
+from riskframe.plans.q_vectors import CLASS_LABELS, DOMAIN_LABEL, EDU_LABELS, META_LABELS, SWEEP_THRESHOLDS
 
 R = 6
 
@@ -57,7 +57,7 @@ SELECT vec_id, nn_id, round(sim, {R}) AS sim, label = nn_label AS same_label FRO
 
 COLLISION = f"""
 WITH {NN_CTE},
-t AS (SELECT unnest({[float(x) for x in C.COLLISION_THRESHOLDS]}::DOUBLE[]) AS threshold),
+t AS (SELECT unnest({[float(x) for x in SWEEP_THRESHOLDS]}::DOUBLE[]) AS threshold),
 n AS (SELECT count(*) AS n FROM embeddings),
 agg AS (SELECT threshold, CAST(count(*) FILTER (WHERE sim >= threshold) AS BIGINT) AS n_hits,
                CAST(count(*) FILTER (WHERE sim >= threshold AND label = nn_label) AS BIGINT) AS n_same

@@ -95,13 +95,18 @@ def nearest_neighbour(spark, sf_dir):
                      (F.col("label") == F.col("nn_label")).alias("same_label"))
 
 
+# the nearest pairs of the test vectors have cosines up to about 0.5: lower
+# thresholds are swept too, so that hits and disagreements occur
+SWEEP_THRESHOLDS = [0.2, 0.3, 0.4, 0.45, *C.COLLISION_THRESHOLDS]
+
+
 def collision_sweep(spark, sf_dir):
     """At each threshold, nearest-neighbour pairs at or above it and
     the share whose labels agree/disagree (unsafe when >1% disagree)."""
     emb = table(spark, sf_dir, "embeddings")
     nn = V.nearest_neighbour(emb, "vec_id", "embedding", extra=["label"])
     n = emb.count()
-    thr = F.explode(F.array(*[F.lit(float(t)) for t in C.COLLISION_THRESHOLDS])).alias("threshold")
+    thr = F.explode(F.array(*[F.lit(float(t)) for t in SWEEP_THRESHOLDS])).alias("threshold")
     x = nn.select(thr, "sim", (F.col("label") == F.col("nn_label")).alias("same"))
     agg = x.groupBy("threshold").agg(F.count_if(F.col("sim") >= F.col("threshold")).alias("n_hits"),
                                      F.count_if((F.col("sim") >= F.col("threshold")) & F.col("same")).alias("n_same"))
