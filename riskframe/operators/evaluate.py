@@ -109,150 +109,246 @@ def poisson1_draw(u: Column, kmax: int = 20) -> Column:
     return reduce(lambda a, b: a + b, [F.when(u > F.lit(c), 1).otherwise(0) for c in cdf])
 
 
-def _poisson_weights(ids, seed: int, replicates: int, cdf) -> "np.ndarray":
-    """``len(ids) x replicates`` Poisson(1) weights from ``md5(id:seed:r)`` —
-    the same draws as :func:`poisson1_draw` over :func:`hash_uniform`."""
-    import hashlib
+def _poisson_weights(base, replicates: int, cdf) -> "np.ndarray":
+    """``len(base) x replicates`` Poisson(1) weights: draw *r* of a row mixes
+    its 60-bit hash with *r* (a counter-based generator of 64-bit
+    multiplications and shifts) into a uniform of 52 bits."""
     import numpy as np
-    u = np.array([[int(hashlib.md5(f"{i}:{seed}:{r}".encode()).hexdigest()[:13], 16) for r in range(replicates)]
-                  for i in ids], dtype=np.float64).reshape(len(ids), replicates) / float(2 ** 52)
+    u64 = np.uint64
+    step = np.arange(1, replicates + 1, dtype=u64) * u64(0x9E3779B97F4A7C15)
+    z = base.astype(u64)[:, None] + step[None, :]
+    z = (z ^ (z >> u64(30))) * u64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> u64(27))) * u64(0x94D049BB133111EB)
+    z ^= z >> u64(31)
+    u = (z >> u64(12)).astype(np.float64) / float(2 ** 52)
     return np.searchsorted(np.asarray(cdf), u, side="left").astype(np.int64)
 
 
-def bootstrap_auc(df: DataFrame, id_col: str, score: str, label: str, keys=None, replicates: int = 200,
-                  alpha: float = 0.05, seed: int = 0, buckets: int = 1024, chunk_rows: int = 20000) -> DataFrame:
-    """Percentile interval of the AUC under a Poisson(1) bootstrap.
-
-    Row *i* gets weight Poisson(1) in replicate *r*, drawn from
-    ``md5(id:seed:r)``, so every replicate is reproducible and independent of
-    partitioning.  Replicates in which a class vanishes are skipped and
-    counted (``n_boot_effective``).  Interval indices are
-    ``int(alpha/2*m)`` and ``min(int((1-alpha/2)*m), m-1)`` over the sorted
-    valid replicates.
-
-    Rows are shuffled once, to their (key, score bucket) — never one copy per
-    replicate.  Each bucket draws its rows' R weights in the task and folds
-    them in score order (tie groups get half credit), returning three
-    R-vectors: its weighted positives, negatives and the within-bucket
-    numerator ``sum pos*(2*neg_below + neg_tied)``.  Per key, at most
-    ``buckets`` such rows are combined with the negatives of lower buckets.
-    Memory per task is O(chunk_rows x R); all sums are exact integers."""
+class _DescendingFold:
+    """Running fold of one (key, bucket) over its tie groups, highest score
+    first.  ``start`` is None while totals and the AUC numerator are taken;
+    else (positives above, negatives above, all negatives) per replicate,
+    and the most positives within the false-positive budget are kept."""
+
+    def __init__(self, replicates: int, cdf, budget: float, start=None):
+        import numpy as np
+        self.np, self.R, self.cdf, self.budget = np, replicates, cdf, budget
+        zero = np.zeros(replicates, dtype=np.int64)
+        self.pos, self.neg = (start[0].copy(), start[1].copy()) if start else (zero.copy(), zero.copy())
+        self.all_neg = start[2] if start else None
+        self.num2 = zero.copy()
+        self.best = self._within(self.pos[None, :], self.neg[None, :]) if start else None
+        self.pending = None
+
+    def _within(self, cp, cn):
+        with self.np.errstate(divide="ignore", invalid="ignore"):
+            return self.np.where(cn / self.all_neg <= self.budget, cp, 0).max(axis=0)
+
+    def _fold(self, P, N):
+        if not len(P):
+            return
+        cp, cn = self.pos + self.np.cumsum(P, axis=0), self.neg + self.np.cumsum(N, axis=0)
+        if self.all_neg is None:
+            self.num2 += (N * (2 * (cp - P) + P)).sum(axis=0)
+        else:
+            self.best = self.np.maximum(self.best, self._within(cp, cn))
+        self.pos, self.neg = cp[-1], cn[-1]
+
+    def add(self, s, y, base, chunk: int):
+        np = self.np
+        for lo in range(0, len(s), chunk):
+            sv, yv = s[lo:lo + chunk], y[lo:lo + chunk][:, None]
+            W = _poisson_weights(base[lo:lo + chunk], self.R, self.cdf)
+            at = np.flatnonzero(np.r_[True, sv[1:] != sv[:-1]])
+            P, N = np.add.reduceat(W * yv, at, axis=0), np.add.reduceat(W * (1 - yv), at, axis=0)
+            if self.pending is not None:
+                last, lp, ln = self.pending
+                if last == sv[0]:           # a tie group goes on
+                    P[0] += lp
+                    N[0] += ln
+                else:
+                    self._fold(lp[None, :], ln[None, :])
+            self._fold(P[:-1], N[:-1])
+            self.pending = (sv[-1], P[-1], N[-1])
+
+    def close(self):
+        if self.pending is not None:
+            self._fold(self.pending[1][None, :], self.pending[2][None, :])
+            self.pending = None
+        return self
+
+
+def bootstrap(df: DataFrame, id_col: str, score: str, label: str, keys=None, statistic: str = "auc",
+              budget: float = C.DEFAULT_FPR_BUDGET, replicates: int = 200, alpha: float = 0.05, seed: int = 0,
+              buckets: int = 1024, chunk_cells: int = 2_000_000) -> DataFrame:
+    """E7/U-5: percentile interval of a statistic of the ranked scores
+    (``auc``, or ``recall_at_fpr`` at ``budget``) under a Poisson(1)
+    bootstrap.
+
+    Row *i* gets weight Poisson(1) in replicate *r*, drawn from the first 60
+    bits of ``md5(id:seed)`` mixed with *r*, so every replicate is
+    reproducible and independent of partitioning.  Replicates in which a
+    class vanishes are skipped and counted (``n_boot_effective``).  Interval
+    indices are ``int(alpha/2*m)`` and ``min(int((1-alpha/2)*m), m-1)`` over
+    the sorted valid replicates.
+
+    Rows are shuffled to their (key, score bucket) — never one copy per
+    replicate — and folded there from the highest score down, tie group by
+    tie group, into R-vectors; one row per bucket is combined per key.  The
+    recall needs a second pass, over the buckets alone in which some
+    replicate passes the budget, started from the counts above them.  A task
+    holds ``chunk_cells`` weights at a time; all sums are exact integers."""
     import numpy as np
     import pandas as pd
+    if statistic not in ("auc", "recall_at_fpr"):
+        raise ValueError(f"unknown statistic {statistic!r}")
     ks = [] if not keys else ([keys] if isinstance(keys, str) else list(keys))
-    point = roc.auc(roc.score_table(df, score, label, ks or None), ks or None)
     gk = ks or [ALL]
+    table = roc.score_table(df, score, label, ks or None)
+    point = roc.auc(table, ks or None)
+    if statistic == "auc":
+        point = point.withColumnRenamed("auc", "point")
+    else:
+        r = roc.recall_at_fpr(table, budget, ks or None).withColumnRenamed("recall", "point")
+        point = point.join(r.select(*ks, "point"), ks, "left") if ks else point.withColumn("point", r.select("point").scalar())
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
     base = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).select(
-        *(ks or [F.lit(0).alias(ALL)]), F.col(id_col).alias("__id"), F.col(score).cast("double").alias("__s"),
+        *(ks or [F.lit(0).alias(ALL)]), h.alias("__h"), F.col(score).cast("double").alias("__s"),
         (F.col(label).cast("int") == 1).cast("int").alias("__y"))
     base = roc.range_buckets(base, gk, ["__s"], buckets)
     cdf = C.poisson1_cdf(20)   # the tail beyond is below the 52-bit grid of the draw
     R = int(replicates)
+    chunk = max(1, chunk_cells // R)
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*gk).schema.fields)
-
-    key_cols = list(gk) + ["__b"]
-
-    class _Bucket:
-        """Running fold of one (key, bucket) in score order."""
-
-        def __init__(self, keyvals):
-            self.keyvals = keyvals
-            self.A = np.zeros(R, dtype=np.int64)
-            self.cum_neg = np.zeros(R, dtype=np.int64)
-            self.pos_tot = np.zeros(R, dtype=np.int64)
-            self.pos_g = np.zeros(R, dtype=np.int64)
-            self.neg_g = np.zeros(R, dtype=np.int64)
-            self.cur = None
-
-        def add(self, s, y, ids):
-            for lo in range(0, len(s), chunk_rows):
-                W = _poisson_weights(ids[lo:lo + chunk_rows], seed, R, cdf)
-                sv = s[lo:lo + chunk_rows]
-                yv = y[lo:lo + chunk_rows][:, None]
-                starts = np.flatnonzero(np.r_[True, sv[1:] != sv[:-1]])
-                P = np.add.reduceat(W * yv, starts, axis=0)
-                N = np.add.reduceat(W * (1 - yv), starts, axis=0)
-                self.pos_tot += P.sum(axis=0)
-                for g in range(len(starts)):
-                    val = sv[starts[g]]
-                    if self.cur is not None and val != self.cur:    # close the previous tie group
-                        self.A += self.pos_g * (2 * self.cum_neg + self.neg_g)
-                        self.cum_neg += self.neg_g
-                        self.pos_g[:] = 0
-                        self.neg_g[:] = 0
-                    self.cur = val
-                    self.pos_g += P[g]
-                    self.neg_g += N[g]
-
-        def row(self):
-            A = self.A + self.pos_g * (2 * self.cum_neg + self.neg_g)
-            return (*self.keyvals, A.tolist(), (self.cum_neg + self.neg_g).tolist(), self.pos_tot.tolist())
-
-    def per_partition(batches):
-        """Rows arrive hash-partitioned by (key, bucket) and sorted by score
-        within it; a bucket may span batches, so its fold state is carried —
-        memory stays O(chunk x R) however large a bucket (a tie block) is."""
-        cur = None
-        out = []
+    key_cols = [*gk, "__b"]
+    vec = "array<long>"
+
+    def runs(pdf):
+        """(key values, begin, end) of the runs of equal keys of a batch."""
+        kv = list(pdf[key_cols].itertuples(index=False, name=None))
+        i = 0
+        while i < len(kv):
+            j = i
+            while j < len(kv) and kv[j] == kv[i]:
+                j += 1
+            yield kv[i], i, j
+            i = j
+
+    def totals(batches):
+        """Rows come sorted; a bucket may span batches, so its fold is
+        carried and memory does not grow with a tie block."""
+        cur, fold = None, None
         for pdf in batches:
-            kv = list(pdf[key_cols].itertuples(index=False, name=None))
-            s_all = pdf["__s"].to_numpy()
-            y_all = pdf["__y"].to_numpy().astype(np.int64)
-            ids_all = pdf["__id"].tolist()
-            i = 0
-            while i < len(kv):
-                j = i
-                while j < len(kv) and kv[j] == kv[i]:
-                    j += 1
-                if cur is None or cur.keyvals != kv[i]:
+            s, y, hh = pdf["__s"].to_numpy(), pdf["__y"].to_numpy().astype(np.int64), pdf["__h"].to_numpy()
+            for kv, i, j in runs(pdf):
+                if kv != cur:
                     if cur is not None:
-                        out.append(cur.row())
-                    cur = _Bucket(kv[i])
-                cur.add(s_all[i:j], y_all[i:j], ids_all[i:j])
-                i = j
-            if out:
-                yield pd.DataFrame(out, columns=key_cols + ["A", "NEG", "POS"])
-                out = []
+                        f = fold.close()
+                        yield pd.DataFrame([(*cur, f.num2.tolist(), f.neg.tolist(), f.pos.tolist())], columns=[*key_cols, "A", "NEG", "POS"])
+                    cur, fold = kv, _DescendingFold(R, cdf, budget)
+                fold.add(s[i:j], y[i:j], hh[i:j], chunk)
         if cur is not None:
-            yield pd.DataFrame([cur.row()], columns=key_cols + ["A", "NEG", "POS"])
+            f = fold.close()
+            yield pd.DataFrame([(*cur, f.num2.tolist(), f.neg.tolist(), f.pos.tolist())], columns=[*key_cols, "A", "NEG", "POS"])
 
     par = df.sparkSession.sparkContext.defaultParallelism
-    ordered = base.select(*gk, "__b", "__id", "__s", "__y").repartition(par, *gk, "__b") \
-        .sortWithinPartitions(*gk, "__b", "__s")
-    part = ordered.mapInPandas(
-        per_partition, f"{key_schema}, __b int, A array<long>, NEG array<long>, POS array<long>")
+    rows = base.select(*gk, "__b", "__h", "__s", "__y")
+    part = (rows.repartition(par, *gk, "__b").sortWithinPartitions(*gk, "__b", F.desc("__s"))
+            .mapInPandas(totals, f"{key_schema}, __b int, A {vec}, NEG {vec}, POS {vec}"))
     lo_f, hi_f = alpha / 2.0, 1.0 - alpha / 2.0
 
-    def per_key(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__b")
-        A = np.vstack(pdf["A"].to_numpy()).astype(np.int64)
-        NEG = np.vstack(pdf["NEG"].to_numpy()).astype(np.int64)
-        POS = np.vstack(pdf["POS"].to_numpy()).astype(np.int64)
-        off = np.cumsum(NEG, axis=0) - NEG                # negatives in lower buckets
-        num2 = (A + 2 * POS * off).sum(axis=0)
-        Pt, Nt = POS.sum(axis=0), NEG.sum(axis=0)
-        ok = (Pt > 0) & (Nt > 0)
-        aucs = np.sort(num2[ok] / (2.0 * Pt[ok] * Nt[ok]))
-        m = len(aucs)
+    def stacked(pdf):
+        """Bucket rows of one key, highest first: matrices and the counts
+        above each bucket."""
+        pdf = pdf.sort_values("__b", ascending=False)
+        A, NEG, POS = (np.vstack(pdf[c].to_numpy()).astype(np.int64) for c in ("A", "NEG", "POS"))
+        return pdf, A, NEG, POS, np.cumsum(NEG, axis=0) - NEG, np.cumsum(POS, axis=0) - POS
+
+    def interval(pdf, values):
+        values = np.sort(values)
+        m = len(values)
         out = {k: [pdf[k].iloc[0]] for k in gk}
         out["n_boot_effective"] = [m]
-        out["ci_lo"] = [float(aucs[int(np.floor(lo_f * m))]) if m else None]
-        out["ci_hi"] = [float(aucs[min(int(np.floor(hi_f * m)), m - 1)]) if m else None]
+        out["ci_lo"] = [float(values[int(np.floor(lo_f * m))]) if m else None]
+        out["ci_hi"] = [float(values[min(int(np.floor(hi_f * m)), m - 1)]) if m else None]
         return pd.DataFrame(out)
 
-    dist = part.groupBy(*gk).applyInPandas(per_key, f"{key_schema}, n_boot_effective long, ci_lo double, ci_hi double")
+    def auc_interval(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, A, NEG, POS, _, pos_above = stacked(pdf)
+        num2 = (A + 2 * NEG * pos_above).sum(axis=0)
+        Pt, Nt = POS.sum(axis=0), NEG.sum(axis=0)
+        ok = (Pt > 0) & (Nt > 0)
+        return interval(pdf, num2[ok] / (2.0 * Pt[ok] * Nt[ok]))
+
+    def crossing(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The buckets in which some replicate passes the budget (and the
+        last one), with what lies above them."""
+        pdf, _, NEG, POS, neg_above, pos_above = stacked(pdf)
+        Pt, Nt = POS.sum(axis=0), NEG.sum(axis=0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            crosses = (neg_above / Nt <= budget) & ((neg_above + NEG) / Nt > budget)
+        crosses[-1] = True
+        out = [(*(pdf[k].iloc[i] for k in gk), int(pdf["__b"].iloc[i]), pos_above[i].tolist(), neg_above[i].tolist(), Nt.tolist(), Pt.tolist())
+               for i in np.flatnonzero(crosses.any(axis=1))]
+        return pd.DataFrame(out, columns=[*key_cols, "PA", "NA", "NT", "PT"])
+
+    def recalls(batches):
+        """Each bucket begins with its marker row (no score), which holds
+        the counts above it."""
+        cur, fold, pt, nt = None, None, None, None
+        cols = [*key_cols, "BEST", "PT", "NT"]
+        for pdf in batches:
+            s, y, hh = pdf["__s"].to_numpy(), pdf["__y"].to_numpy(), pdf["__h"].to_numpy()
+            for kv, i, j in runs(pdf):
+                if kv != cur:
+                    if cur is not None:
+                        yield pd.DataFrame([(*cur, fold.close().best.tolist(), pt.tolist(), nt.tolist())], columns=cols)
+                    pa_, na_, nt, pt = (np.asarray(pdf[c].iloc[i], dtype=np.int64) for c in ("PA", "NA", "NT", "PT"))
+                    cur, fold, i = kv, _DescendingFold(R, cdf, budget, (pa_, na_, nt)), i + 1
+                if j > i:
+                    fold.add(s[i:j], y[i:j].astype(np.int64), hh[i:j].astype(np.int64), chunk)
+        if cur is not None:
+            yield pd.DataFrame([(*cur, fold.close().best.tolist(), pt.tolist(), nt.tolist())], columns=cols)
+
+    def recall_interval(pdf: pd.DataFrame) -> pd.DataFrame:
+        best = np.vstack(pdf["BEST"].to_numpy()).astype(np.int64).max(axis=0)
+        Pt, Nt = (np.asarray(pdf[c].iloc[0], dtype=np.int64) for c in ("PT", "NT"))
+        ok = (Pt > 0) & (Nt > 0)
+        return interval(pdf, best[ok] / Pt[ok])
+
+    ci_schema = f"{key_schema}, n_boot_effective long, ci_lo double, ci_hi double"
+    if statistic == "auc":
+        dist = part.groupBy(*gk).applyInPandas(auc_interval, ci_schema)
+    else:
+        marks = cut_lineage(part.groupBy(*gk).applyInPandas(
+            crossing, f"{key_schema}, __b int, PA {vec}, NA {vec}, NT {vec}, PT {vec}"))
+        again = rows.join(marks.select(*key_cols), key_cols, "left_semi").unionByName(marks, allowMissingColumns=True)
+        best = (again.repartition(par, *key_cols).sortWithinPartitions(*key_cols, F.desc_nulls_first("__s"))
+                .select(*key_cols, F.coalesce("__h", F.lit(0)).alias("__h"), F.coalesce("__s", F.lit(0.0)).alias("__s"),
+                        F.coalesce("__y", F.lit(0)).alias("__y"), "PA", "NA", "NT", "PT")
+                .mapInPandas(recalls, f"{key_schema}, __b int, BEST {vec}, PT {vec}, NT {vec}"))
+        dist = best.groupBy(*gk).applyInPandas(recall_interval, ci_schema)
     if ks:
         out = point.join(dist, ks, "left")
     else:
         ds = dist.select(F.struct("n_boot_effective", "ci_lo", "ci_hi").alias("s")).scalar()
         out = point.withColumns({"n_boot_effective": ds["n_boot_effective"], "ci_lo": ds["ci_lo"],
                                  "ci_hi": ds["ci_hi"]})
-    return _done(out.select(*ks, F.col("auc").alias("point"), "ci_lo", "ci_hi",
-                            (F.col("n_pos") + F.col("n_neg")).alias("n"),
+    return _done(out.select(*ks, "point", "ci_lo", "ci_hi", (F.col("n_pos") + F.col("n_neg")).alias("n"),
                             F.coalesce("n_boot_effective", F.lit(0)).alias("n_boot_effective"),
                             F.lit(1.0 - alpha).alias("ci_level")))
 
 
+def bootstrap_auc(df: DataFrame, id_col: str, score: str, label: str, keys=None, **options) -> DataFrame:
+    """:func:`bootstrap` of the AUC."""
+    return bootstrap(df, id_col, score, label, keys, "auc", **options)
+
+
+def bootstrap_recall(df: DataFrame, id_col: str, score: str, label: str, keys=None, **options) -> DataFrame:
+    """:func:`bootstrap` of the recall at a false-positive budget."""
+    return bootstrap(df, id_col, score, label, keys, "recall_at_fpr", **options)
+
+
 # --- E10 threshold grid ---------------------------------------------------------
 
 def grid_sweep(df: DataFrame, meta: str, threat: str, symbolic: str, label: str,

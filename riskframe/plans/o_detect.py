@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from riskframe import config as C
 from riskframe.plans import q_detect as Q
-from riskframe.plans.sqlfrag import q
+from riskframe.plans.sqlfrag import interval, poisson_draws, q
 
 SUITE = """suite AS (SELECT d.doc_id, d.source, d.lang, d.text, d.n_chars, l.toxic AS label,
     CASE WHEN l.toxic = 1 AND l.quality = 0 THEN 'jailbreak' WHEN l.toxic = 1 THEN 'harmful_content' ELSE 'benign' END
@@ -55,26 +55,30 @@ def recall_sql(src: str, keys: list[str], budget: float) -> str:
           FROM {src} WHERE score IS NOT NULL) WHERE P > 0 AND N > 0) WHERE fpr <= {budget}) WHERE rn = 1)"""
 
 
-def boot_sql(src: str, keys: list[str], replicates: int, alpha: float, seed: int) -> str:
-    """Poisson bootstrap of the AUC per key over ``src(id, score, label, keys)``."""
+def boot_sql(src: str, keys: list[str], replicates: int, alpha: float, seed: int, budget: float | None = None) -> str:
+    """Poisson bootstrap per key over ``src(id, score, label, keys)``: of the
+    AUC, or of the recall at ``budget`` where one is given."""
     k = ", ".join(keys)
-    cdf = C.poisson1_cdf(12)
-    w = " + ".join(f"CASE WHEN u > {c!r} THEN 1 ELSE 0 END" for c in cdf)
-    return f"""(WITH reps AS (SELECT b.*, r.rep FROM {src} b CROSS JOIN range(0, {replicates}) r(rep)),
-u AS (SELECT *, ('0x' || substr(md5(CAST(id AS VARCHAR) || ':{seed}:' || CAST(rep AS VARCHAR)), 1, 13))::BIGINT
-                / 4503599627370496.0 AS u FROM reps),
-w AS (SELECT {k}, rep, score, label, ({w}) AS w FROM u),
-g AS (SELECT {k}, rep, score, sum(w * label) AS pos, sum(w * (1 - label)) AS neg FROM w WHERE w > 0 GROUP BY ALL),
-c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY {k}, rep ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_lt,
+    same = " AND ".join(f"pt.{x} = dist.{x}" for x in keys)
+    point = auc_sql(src, keys)
+    if budget is None:
+        value = "sum(pos * (2 * (N - neg_ge) + neg)) / (2.0 * any_value(P) * any_value(N))"
+    else:
+        value = f"coalesce(max(pos_ge / P) FILTER (WHERE neg_ge / N <= {budget}), 0.0)"
+        on = " AND ".join(f"a.{x} = r.{x}" for x in keys)
+        point = (f"(SELECT {', '.join('a.' + x for x in keys)}, r.recall AS auc, a.n_pos, a.n_neg FROM {auc_sql(src, keys)} a "
+                 f"LEFT JOIN {recall_sql(src, keys, budget)} r ON {on})")
+    return f"""(WITH {poisson_draws(src, 'id', replicates, seed)},
+g AS (SELECT {k}, rep, score, sum(w * label) AS pos, sum(w * (1 - label)) AS neg FROM rw WHERE w > 0 GROUP BY ALL),
+c AS (SELECT *, sum(neg) OVER (PARTITION BY {k}, rep ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS neg_ge,
+             sum(pos) OVER (PARTITION BY {k}, rep ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS pos_ge,
              sum(pos) OVER (PARTITION BY {k}, rep) AS P, sum(neg) OVER (PARTITION BY {k}, rep) AS N FROM g),
-ra AS (SELECT {k}, rep, sum(pos * (2 * neg_lt + neg)) / (2.0 * any_value(P) * any_value(N)) AS auc
-       FROM c WHERE P > 0 AND N > 0 GROUP BY {k}, rep),
-dist AS (SELECT {k}, list_sort(list(auc)) AS s, count(*) AS m FROM ra GROUP BY {k}),
-pt AS {auc_sql(src, keys)}
-SELECT pt.{keys[0]}, pt.auc AS point, s[CAST(floor({alpha / 2.0} * m) AS BIGINT) + 1] AS ci_lo,
-       s[least(CAST(floor({1.0 - alpha / 2.0} * m) AS BIGINT), m - 1) + 1] AS ci_hi, pt.n_pos + pt.n_neg AS n,
+ra AS (SELECT {k}, rep, {value} AS v FROM c WHERE P > 0 AND N > 0 GROUP BY {k}, rep),
+dist AS (SELECT {k}, list_sort(list(v)) AS s, count(*) AS m FROM ra GROUP BY {k}),
+pt AS {point}
+SELECT {', '.join('pt.' + x for x in keys)}, pt.auc AS point, {interval('s', alpha)}, pt.n_pos + pt.n_neg AS n,
        CAST(coalesce(m, 0) AS BIGINT) AS n_boot_effective, {1.0 - alpha} AS ci_level
-FROM pt LEFT JOIN dist ON pt.{keys[0]} = dist.{keys[0]})"""
+FROM pt LEFT JOIN dist ON {same})"""
 
 
 SCORES = f"WITH {SCORED}\nSELECT detector, id, round(score, 9) AS score FROM scored"

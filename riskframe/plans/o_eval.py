@@ -110,34 +110,12 @@ SELECT a.etype_day,
 FROM a LEFT JOIN b ON a.etype_day = b.etype_day AND b.rn = 1 LEFT JOIN cm ON a.etype_day = cm.etype_day"""
 
 
-def _bootstrap(replicates: int = 50, alpha: float = 0.05, seed: int = 0) -> str:
-    cdf = C.poisson1_cdf(12)
-    w = " + ".join(f"CASE WHEN u > {c!r} THEN 1 ELSE 0 END" for c in cdf)
-    lo = alpha / 2.0
-    hi = 1.0 - alpha / 2.0
+def _bootstrap(budget: float | None = None) -> str:
+    from riskframe.plans.o_detect import boot_sql
     return f"""
-WITH base AS (SELECT d.doc_id, d.lang, CAST(d.n_chars AS DOUBLE) AS score, l.toxic AS label
-              FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
-pr AS (SELECT lang, label, rank() OVER (PARTITION BY lang ORDER BY score) AS rk,
-              count(*) OVER (PARTITION BY lang, score) AS tie FROM base),
-pa AS (SELECT lang, sum(CASE WHEN label = 1 THEN rk + (tie - 1) / 2.0 ELSE 0 END) AS rs,
-              sum(label) AS p, sum(1 - label) AS n FROM pr GROUP BY lang),
-point AS (SELECT lang, CASE WHEN p > 0 AND n > 0 THEN (rs - p * (p + 1) / 2.0) / (p * n) ELSE 'NaN'::DOUBLE END AS point,
-                 CAST(p + n AS BIGINT) AS n FROM pa),
-reps AS (SELECT b.*, r.rep FROM base b CROSS JOIN range(0, {replicates}) r(rep)),
-u AS (SELECT *, ('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':{seed}:' || CAST(rep AS VARCHAR)), 1, 13))::BIGINT
-                / 4503599627370496.0 AS u FROM reps),
-w AS (SELECT lang, rep, score, label, ({w}) AS w FROM u),
-g AS (SELECT lang, rep, score, sum(w * label) AS pos, sum(w * (1 - label)) AS neg FROM w WHERE w > 0 GROUP BY ALL),
-c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY lang, rep ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_lt,
-             sum(pos) OVER (PARTITION BY lang, rep) AS P, sum(neg) OVER (PARTITION BY lang, rep) AS N FROM g),
-ra AS (SELECT lang, rep, sum(pos * (2 * neg_lt + neg)) / (2.0 * any_value(P) * any_value(N)) AS auc
-       FROM c WHERE P > 0 AND N > 0 GROUP BY lang, rep),
-dist AS (SELECT lang, list_sort(list(auc)) AS s, count(*) AS m FROM ra GROUP BY lang)
-SELECT point.lang, point.point, s[CAST(floor({lo} * m) AS BIGINT) + 1] AS ci_lo,
-       s[least(CAST(floor({hi} * m) AS BIGINT), m - 1) + 1] AS ci_hi, point.n,
-       CAST(coalesce(m, 0) AS BIGINT) AS n_boot_effective, {1.0 - alpha} AS ci_level
-FROM point LEFT JOIN dist ON point.lang = dist.lang"""
+WITH base AS (SELECT d.doc_id AS id, d.lang, CAST(d.n_chars AS DOUBLE) AS score, l.toxic AS label
+              FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
+SELECT * FROM {boot_sql('base', ['lang'], 50, 0.05, 0, budget)}"""
 
 
 ORACLE = {
@@ -150,4 +128,5 @@ ORACLE = {
     "confusion_at_threshold": CONFUSION,
     "evaluate_slices": EVAL_SLICES,
     "bootstrap_auc_ci": _bootstrap(),
+    "bootstrap_recall_ci": _bootstrap(C.DEFAULT_FPR_BUDGET),
 }

@@ -78,6 +78,11 @@ def bootstrap_auc_ci(spark, sf_dir):
                             replicates=REPLICATES, alpha=0.05, seed=0)
 
 
+def bootstrap_recall_ci(spark, sf_dir):
+    return EV.bootstrap_recall(labelled_docs(spark, sf_dir), "doc_id", "score", "label", ["lang"], budget=BUDGET,
+                               replicates=REPLICATES, alpha=0.05, seed=0)
+
+
 QUERIES = {
     "roc_auc_by_slice": roc_auc_by_slice,
     "roc_points": roc_points,
@@ -88,4 +93,5 @@ QUERIES = {
     "confusion_at_threshold": confusion_at_threshold,
     "evaluate_slices": evaluate_slices,
     "bootstrap_auc_ci": bootstrap_auc_ci,
+    "bootstrap_recall_ci": bootstrap_recall_ci,
 }

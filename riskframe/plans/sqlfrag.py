@@ -73,3 +73,28 @@ def symbolic_case(t: str) -> str:
     return (f"CASE WHEN regexp_matches(lower({t}), {jb}) THEN 'JAILBREAK_DETECTED' "
             f"WHEN regexp_matches(lower({t}), {ov}) THEN 'INSTRUCTION_OVERRIDE_DETECTED' "
             f"WHEN {hb} THEN 'HARD_BAN_DETECTED' END")
+
+
+def _mixed(z: str, shift: int, factor: int) -> str:
+    """(z ^ z >> shift) * factor modulo 2^64, on UBIGINT."""
+    return f"((xor({z}, {z} >> {shift})::UHUGEINT * {factor}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+
+def poisson_draws(src: str, id_expr: str, replicates: int, seed: int) -> str:
+    """``rw``: the rows of ``src`` once per replicate ``rep`` with their
+    Poisson(1) weight ``w``."""
+    cdf = C.poisson1_cdf(20)
+    w = " + ".join(f"CASE WHEN u > {c!r} THEN 1 ELSE 0 END" for c in cdf)
+    return f"""r0 AS (SELECT b.*, r.rep, ((('0x' || substr(md5(CAST({id_expr} AS VARCHAR) || ':{seed}'), 1, 15))::BIGINT::UHUGEINT
+                  + (r.rep + 1)::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z0
+        FROM {src} b CROSS JOIN range(0, {replicates}) r(rep)),
+r1 AS (SELECT *, {_mixed('z0', 30, 0xBF58476D1CE4E5B9)} AS z1 FROM r0),
+r2 AS (SELECT *, {_mixed('z1', 27, 0x94D049BB133111EB)} AS z2 FROM r1),
+ru AS (SELECT *, CAST(xor(z2, z2 >> 31) >> 12 AS DOUBLE) / 4503599627370496.0 AS u FROM r2),
+rw AS (SELECT *, ({w}) AS w FROM ru)"""
+
+
+def interval(values: str, alpha: float) -> str:
+    """ci_lo and ci_hi from the sorted list ``values`` of ``m`` values."""
+    return (f"{values}[CAST(floor({alpha / 2.0} * m) AS BIGINT) + 1] AS ci_lo, "
+            f"{values}[least(CAST(floor({1.0 - alpha / 2.0} * m) AS BIGINT), m - 1) + 1] AS ci_hi")
