@@ -51,12 +51,12 @@ def _quote(literal: str) -> str:
     return "".join("\\" + ch if not ch.isalnum() and ch != " " else ch for ch in literal)
 
 
-def phrase_intent(text, rules: RulePack | None = None) -> Column:
-    """HIGH on a suspicious phrase, MEDIUM on 'how to'/'steps', else LOW."""
+def phrase_intent(text, rules: RulePack | None = None, medium=("how to", "steps")) -> Column:
+    """HIGH on a suspicious phrase, MEDIUM on one of ``medium``, else LOW."""
     rules = rules or RulePack()
     t = F.lower(_col(text))
     return (F.when(any_substring(t, rules.suspicious), "HIGH")
-            .when(any_substring(t, ["how to", "steps"]), "MEDIUM")
+            .when(any_substring(t, medium), "MEDIUM")
             .otherwise("LOW"))
 
 

@@ -109,6 +109,13 @@ def hazard_arbitration(verdict, threat_present, may_clear_to_low: bool = False)
     return F.when(v == "SAFE", safe).when(v.isNotNull(), rs("HIGH", "llama_guard_arbitration"))
 
 
+def arbitrate(hazard, judge, threat_present, may_clear_to_low: bool = False) -> Column:
+    """C6 then C5: the hazard classifier decides where it answered (a null
+    verdict means it was unavailable), else the chat judge."""
+    return F.coalesce(hazard_arbitration(hazard, threat_present, may_clear_to_low),
+                      judge_arbitration(judge, threat_present, may_clear_to_low))
+
+
 # --- C11/C12/C13 fusion policy ------------------------------------------------------------------
 
 def load_policy(path: str = EXAMPLE_POLICY) -> dict:
@@ -250,16 +257,17 @@ def severity(decision) -> Column:
     return F.when(d == "BLOCK", 2).when(d == "RESTRICT", 1).when(d == "ALLOW", 0)
 
 
-def assess_output(pii_found, judge_verdict=None, grounding_score=None) -> Column:
-    """PII leak -> BLOCK; judge DANGEROUS -> BLOCK; grounding below 0.15
-    -> BLOCK; else ALLOW.  Returns struct(decision, source)."""
+def assess_output(pii_found, judge_verdict=None, grounding_score=None,
+                  least_grounding: float = C.GROUNDING_THRESHOLD) -> Column:
+    """PII leak -> BLOCK; judge DANGEROUS -> BLOCK; grounding below
+    ``least_grounding`` -> BLOCK; else ALLOW.  Returns struct(decision, source)."""
     def rs(d, s):
         return F.struct(F.lit(d).alias("decision"), F.lit(s).alias("source"))
     c = F.when(F.coalesce(_col(pii_found), F.lit(False)), rs("BLOCK", "pii_leakage"))
     if judge_verdict is not None:
         c = c.when(_col(judge_verdict) == "DANGEROUS", rs("BLOCK", "semantic_judge_output"))
     if grounding_score is not None:
-        c = c.when(_col(grounding_score) < C.GROUNDING_THRESHOLD, rs("BLOCK", "semantic_grounding_check"))
+        c = c.when(_col(grounding_score) < least_grounding, rs("BLOCK", "semantic_grounding_check"))
     return c.otherwise(rs("ALLOW", "clean_pass"))
 
 

@@ -253,6 +253,38 @@ def class_vs_benign(scored: DataFrame, classes: list[str], cls: str = "attack_cl
     return roc.auc(t, ["detector", "vs_class"])
 
 
+def class_vs_benign_at_budget(scored: DataFrame, classes: list[str], budget: float = C.DEFAULT_FPR_BUDGET,
+                              cls: str = "attack_class") -> DataFrame:
+    """E26 in full: the AUC of :func:`class_vs_benign` with the recall at the
+    budget and its threshold."""
+    keys = ["detector", "vs_class"]
+    t = roc.score_table(_explode_benign(scored, classes, cls), "score", "label", keys)
+    return roc.auc(t, keys).join(roc.recall_at_fpr(t, budget, keys), keys, "left")
+
+
+def report(scored: DataFrame, registry: DataFrame, classes: list[str], budget: float = C.DEFAULT_FPR_BUDGET,
+           min_rows: int = C.MIN_LANGUAGE_ROWS, id_col: str = "id", source: str = "source", lang: str = "lang",
+           cls: str = "attack_class", replicates: int = 200, seed: int = 0) -> DataFrame:
+    """Per detector, after contamination exclusion, the AUC and the
+    recall at the budget with bootstrap intervals — over all rows, per
+    language and per attack class against benign.  Slices below ``min_rows``
+    rows or with one class only are left out (the minimum is the report's
+    own rule)."""
+    kept = exclude_contaminated(scored, registry, source)
+    cols = ["detector", "slice", "id", "score", "label"]
+    row = lambda d, s: d.select("detector", s.alias("slice"), F.col(id_col).alias("id"), "score", "label")
+    x = (row(kept, F.lit("all")).unionByName(row(kept, F.concat(F.lit("lang="), lang)))
+         .unionByName(row(_explode_benign(kept, classes, cls), F.concat(F.lit("class="), "vs_class"))))
+    x = cut_lineage(x.select(*cols))
+    keys = ["detector", "slice"]
+    options = {"replicates": replicates, "seed": seed}
+    a = EV.bootstrap_auc(x, "id", "score", "label", keys, **options)
+    r = EV.bootstrap_recall(x, "id", "score", "label", keys, budget=budget, **options)
+    a = a.select(*keys, "n", F.col("point").alias("auc"), F.col("ci_lo").alias("auc_lo"), F.col("ci_hi").alias("auc_hi"))
+    r = r.select(*keys, F.col("point").alias("recall"), F.col("ci_lo").alias("recall_lo"), F.col("ci_hi").alias("recall_hi"))
+    return a.join(r, keys).where((F.col("n") >= min_rows) & ~F.isnan("auc"))
+
+
 def _explode_benign(scored: DataFrame, classes: list[str], cls: str) -> DataFrame:
     arr = F.array(*[F.lit(c) for c in classes])
     benign = scored.where(F.col("label") == 0).withColumn("vs_class", F.explode(arr))
@@ -305,6 +337,26 @@ def run_diff(old: DataFrame, new: DataFrame, id_col: str, label: str = "label")
     return j.groupBy("old", "new", label).agg(F.count(F.lit(1)).alias("n"))
 
 
+def flipped_rows(old: DataFrame, new: DataFrame, id_col: str, label: str = "label") -> DataFrame:
+    """The rows whose prediction changed and whether the change put
+    them right."""
+    j = old.select(id_col, label, F.col("pred").alias("old")).join(
+        new.select(id_col, F.col("pred").alias("new")), id_col)
+    return j.where(F.col("old") != F.col("new")).withColumn("fixed", F.col("new") == (F.col(label) == 1))
+
+
+def confusion_change(old: DataFrame, new: DataFrame, id_col: str, label: str = "label") -> DataFrame:
+    """One row with TP/FP/TN/FN of both runs over the rows they share,
+    their change and the number of flipped rows."""
+    j = old.select(id_col, label, F.col("pred").alias("old")).join(
+        new.select(id_col, F.col("pred").alias("new")), id_col)
+    y = F.col(label) == 1
+    cell = {"TP": lambda p: y & p, "FP": lambda p: ~y & p, "TN": lambda p: ~y & ~p, "FN": lambda p: y & ~p}
+    g = j.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("old") != F.col("new")).alias("n_flipped"),
+              *[F.count_if(f(F.col(run))).alias(f"{c}_{run}") for run in ("old", "new") for c, f in cell.items()])
+    return g.withColumns({f"{c}_change": F.col(f"{c}_new") - F.col(f"{c}_old") for c in cell})
+
+
 def quantiles_by(df: DataFrame, keys: list[str], value: str, qs=(0.25, 0.5, 0.75)) -> DataFrame:
     """Linear-interpolated quantiles ``x[lo] + (x[hi]-x[lo])*(pos-lo)``
     with ``pos = (n-1)*q`` — exact, via order statistics (no per-group sort)."""

@@ -36,10 +36,11 @@ def veto_tally(screened: DataFrame, key: str = "source") -> DataFrame:
         F.count_if(v.isNotNull()).alias("n_vetoed")))
 
 
-def validate_requests(df: DataFrame, text_col: str = "text") -> DataFrame:
+def validate_requests(df: DataFrame, text_col: str = "text", lo: int = C.MIN_PROMPT_CHARS,
+                      hi: int = C.MAX_PROMPT_CHARS) -> DataFrame:
     """accepted/rejected split as a ``reason`` column (null = accepted)."""
     n = F.length(F.col(text_col))
     reason = (F.when(F.col(text_col).isNull(), "missing")
-              .when(n < C.MIN_PROMPT_CHARS, "too_short")
-              .when(n > C.MAX_PROMPT_CHARS, "too_long"))
+              .when(n < lo, "too_short")
+              .when(n > hi, "too_long"))
     return df.withColumn("reject_reason", reason)

@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 from riskframe import config as C
+from riskframe.plans import bound
+from riskframe.plans.q_corpus import REQUEST_CHARS
 from riskframe.plans.sqlfrag import q, str_list
 
 
@@ -47,14 +49,14 @@ SELECT doc_id, source FROM (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42')) AS rn
   FROM documents) WHERE rn <= 20"""
 
-INTENT = ("CASE WHEN " + " OR ".join(f"contains(lower(text), {q(p)})" for p in C.SUSPICIOUS_PHRASES)
-          + " THEN 'HIGH' WHEN contains(lower(text), 'how to') OR contains(lower(text), 'steps') THEN 'MEDIUM' "
-          "ELSE 'LOW' END")
+INTENT = ("CASE WHEN " + " OR ".join(f"contains(lower(text), {q(p)})" for p in bound.RULES.suspicious)
+          + " THEN 'HIGH' WHEN " + " OR ".join(f"contains(lower(text), {q(p)})" for p in bound.MEDIUM_PHRASES)
+          + " THEN 'MEDIUM' ELSE 'LOW' END")
 
 SLICES = f"""
 WITH x AS (SELECT d.source, {lang_expr('d.text')} AS language,
                   CASE WHEN l.toxic = 1 THEN 'harmful' ELSE 'benign' END AS attack_class, l.toxic AS label,
-                  ({INTENT.replace('text', 'd.text')}) <> 'LOW' AS flagged
+                  ({INTENT.replace('(text)', '(d.text)')}) <> 'LOW' AS flagged
            FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
 m AS (SELECT attack_class, language, source, GROUPING(attack_class, language, source) AS gid,
              CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE label = 1) AS BIGINT) AS n_attack,
@@ -64,10 +66,13 @@ SELECT CASE WHEN gid = 3 THEN 'attack_class' WHEN gid = 5 THEN 'language' WHEN g
        CASE WHEN gid = 3 THEN attack_class WHEN gid = 5 THEN language WHEN gid = 6 THEN source END AS slice_value,
        n, n_attack, n_flagged FROM m"""
 
-VALIDATION = """
-SELECT source, CASE WHEN text IS NULL THEN 'missing' WHEN length(text) < 1 THEN 'too_short'
-                    WHEN length(text) > 50000 THEN 'too_long' ELSE 'accepted' END AS status,
-       CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY ALL"""
+VALIDATION = f"""
+WITH x AS (SELECT source, text FROM documents UNION ALL
+           SELECT 'conversation', r.text FROM conversations p LEFT JOIN conversations r
+           ON r.conv_id = p.conv_id AND r.turn = p.turn + 1 AND r.role = 'assistant' WHERE p.role = 'user')
+SELECT source, CASE WHEN text IS NULL THEN 'missing' WHEN length(text) < {REQUEST_CHARS[0]} THEN 'too_short'
+                    WHEN length(text) > {REQUEST_CHARS[1]} THEN 'too_long' ELSE 'accepted' END AS status,
+       CAST(count(*) AS BIGINT) AS n FROM x GROUP BY ALL"""
 
 TODO_SQL = "SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)"
 
@@ -88,6 +93,14 @@ bc AS (SELECT * FROM kept WHERE label <> 0
        WHERE r3 <= 120)
 SELECT id, doc_id, source, label, language, md5(id || ':42') AS shuffle_key FROM bc"""
 
+UNCAPPED = f"""
+WITH k AS (SELECT d.*, coalesce(l.toxic, 0) AS label, CAST(regexp_extract(d.source, '(\\d+)$', 1) AS INTEGER) AS priority, {KEY} AS dedup_key
+           FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+w AS (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY priority, doc_id) AS rn FROM k
+      WHERE length(trim(text)) >= 3 AND length(dedup_key) > 0)
+SELECT substr(sha1(dedup_key), 1, 16) AS id, doc_id, source, label, {lang_expr('text')} AS language,
+       md5(substr(sha1(dedup_key), 1, 16) || ':42') AS shuffle_key FROM w WHERE rn = 1"""
+
 REQUEST_IDS = """
 WITH p AS (SELECT page_id, trim(regexp_extract(url, '[^/]*$', 0)) AS raw,
                   substr(sha256('page:' || CAST(page_id AS VARCHAR)), 1, 32) AS minted FROM pages),
@@ -97,6 +110,7 @@ SELECT page_id, request_id, request_id = minted AS minted FROM q"""
 
 ORACLE = {
     "request_ids": REQUEST_IDS,
+    "build_suite_uncapped": UNCAPPED,
     "build_suite": BUILD_SUITE,
     "language_tag_crosstab": LANG_CROSSTAB,
     "dedup_first_wins": DEDUP,

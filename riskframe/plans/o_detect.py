@@ -168,6 +168,53 @@ WITH {SCORED}
 SELECT score >= 0.05 AS old, score >= 0.04 AS new, label, CAST(count(*) AS BIGINT) AS n
 FROM scored WHERE detector = 'upper' GROUP BY ALL"""
 
+MATRIX = f"""
+WITH {SUITE}
+SELECT doc_id AS id, {", ".join(f"round({e}, 9) AS {n}" for n, e in EXPR.items())} FROM suite WHERE lang = 'en'"""
+
+MODEL_SCORES = """
+SELECT 'vowels' AS detector, doc_id AS id, round(length(regexp_replace(text, '[^aeiou]', '', 'g')) / length(text), 9) AS score
+FROM documents WHERE contains(text, '.')"""
+
+RUNS = f"""{SCORED},
+j AS (SELECT id, label, score >= 0.05 AS old, score >= 0.04 AS new FROM scored WHERE detector = 'upper')"""
+
+FLIPPED = f"""
+WITH {RUNS}
+SELECT id, label, old, new, (label = 1) = new AS fixed FROM j WHERE old <> new"""
+
+
+def _cells(run: str) -> str:
+    rule = {"TP": f"label = 1 AND {run}", "FP": f"label = 0 AND {run}", "TN": f"label = 0 AND NOT {run}", "FN": f"label = 1 AND NOT {run}"}
+    return ", ".join(f"CAST(count(*) FILTER (WHERE {r}) AS BIGINT) AS {c}_{run}" for c, r in rule.items())
+
+
+CHANGE = f"""
+WITH {RUNS},
+k AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE old <> new) AS BIGINT) AS n_flipped, {_cells('old')}, {_cells('new')} FROM j)
+SELECT *, {", ".join(f"{c}_new - {c}_old AS {c}_change" for c in ("TP", "FP", "TN", "FN"))} FROM k"""
+
+CLASS_BUDGET = f"""
+WITH {SCORED},
+x AS ({VS}),
+a AS {auc_sql('x', ['detector', 'vs_class'])},
+r AS {recall_sql('x', ['detector', 'vs_class'], Q.BUDGET)}
+SELECT a.*, r.recall, round(r.threshold, 9) AS threshold FROM a LEFT JOIN r ON a.detector = r.detector AND a.vs_class = r.vs_class"""
+
+_COLS = "id, score, label"
+REPORT_SLICES = f"""x AS (SELECT detector, 'all' AS slice, {_COLS} FROM kept
+  UNION ALL SELECT detector, 'lang=' || lang, {_COLS} FROM kept
+  """ + " ".join(f"UNION ALL SELECT detector, {q('class=' + c)}, {_COLS} FROM kept WHERE label = 0 OR attack_class = {q(c)}" for c in Q.CLASSES) + ")"
+
+REPORT = f"""
+WITH {SCORED},
+{KEPT},
+{REPORT_SLICES},
+a AS (SELECT * FROM {boot_sql('x', ['detector', 'slice'], Q.REPORT_REPLICATES, 0.05, 0)}),
+r AS (SELECT * FROM {boot_sql('x', ['detector', 'slice'], Q.REPORT_REPLICATES, 0.05, 0, Q.BUDGET)})
+SELECT a.detector, a.slice, a.n, a.point AS auc, a.ci_lo AS auc_lo, a.ci_hi AS auc_hi, r.point AS recall, r.ci_lo AS recall_lo, r.ci_hi AS recall_hi
+FROM a JOIN r ON a.detector = r.detector AND a.slice = r.slice WHERE a.n >= {C.MIN_LANGUAGE_ROWS} AND NOT isnan(a.point)"""
+
 FLAG_UNION = f"""
 WITH {SCORED},
 r AS {recall_sql('scored', ['detector'], Q.BUDGET)},
@@ -205,6 +252,12 @@ ORACLE = {
     "score_quantiles_by_class": QUANT,
     "recall_sweep": SWEEP_SQL,
     "run_diff": RUN_DIFF,
+    "feature_matrix": MATRIX,
+    "model_scores": MODEL_SCORES,
+    "flipped_rows": FLIPPED,
+    "confusion_change": CHANGE,
+    "class_vs_benign_at_budget": CLASS_BUDGET,
+    "detector_report": REPORT,
     "flag_union_rate": FLAG_UNION,
     "carry_over_scores": CARRY,
     "complete_detectors_on_sample": COMPLETE,

@@ -33,10 +33,11 @@ FROM res JOIN events w ON res.event_id = w.event_id JOIN events c ON res.origin_
 WHERE res.hit GROUP BY w.event_type"""
 
 HARBOUR = f"""
-WITH {o_vectors.SIG}
-SELECT attack, CAST(count(*) AS BIGINT) AS n_ambiguous, CAST(count(*) FILTER (WHERE is_educational) AS BIGINT) AS n_flipped
-FROM sig WHERE meta_intent_score < {C.META_INTENT_THRESHOLD} AND threat_score >= {C.SEMANTIC_THRESHOLD_MEDIUM}
-  AND threat_score < {C.SEMANTIC_THRESHOLD_HIGH} GROUP BY attack"""
+WITH {o_vectors.SIG},
+{o_vectors._PC}
+SELECT CASE {" ".join(f"WHEN label IN {tuple(labs)} THEN '{c}'" for c, labs in o_vectors.CLASS_LABELS.items())} ELSE 'benign' END AS attack_class,
+       CAST(count(*) AS BIGINT) AS n_ambiguous, CAST(count(*) FILTER (WHERE educational_score > {Q.HARBOUR_EDUCATIONAL}) AS BIGINT) AS n_flipped
+FROM pc WHERE w_score >= w_md AND w_score < w_hi GROUP BY 1"""
 
 
 def _in(labs):

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from riskframe import config as C
 from riskframe.operators.folds import bucket_parameters
+from riskframe.plans import bound
 from riskframe.plans import q_ops as Q
 from riskframe.plans.sqlfrag import normalize_ctes, q, redaction_ctes, symbolic_case
 
@@ -42,24 +43,28 @@ FROM x GROUP BY ALL"""
 
 
 def _combined() -> str:
-    pa, pa_out = redaction_ctes("pairs", "prompt", "conv_id, turn, response", prefix="pa")
-    pb, pb_out = redaction_ctes("pa_mid", "response", "conv_id, turn, clean_prompt, prompt_items, response", prefix="pb")
+    pa, pa_out = redaction_ctes("pairs", "prompt", "conv_id, turn, prompt, response", prefix="pa")
+    pb, pb_out = redaction_ctes("pa_mid", "response", "conv_id, turn, prompt, clean_prompt, prompt_items, response", prefix="pb")
     nz, nz_out = normalize_ctes(pb_out, "clean_prompt")
     return f"""
 WITH pairs AS (SELECT p.conv_id, p.turn, p.text AS prompt, r.text AS response
                FROM conversations p LEFT JOIN conversations r
                ON r.conv_id = p.conv_id AND r.turn = p.turn + 1 AND r.role = 'assistant' WHERE p.role = 'user'),
 {pa},
-pa_mid AS (SELECT conv_id, turn, response, clean_text AS clean_prompt, redacted_items AS prompt_items FROM {pa_out}),
+pa_mid AS (SELECT conv_id, turn, prompt, response, clean_text AS clean_prompt, redacted_items AS prompt_items FROM {pa_out}),
 {pb},
 {nz},
-d AS (SELECT conv_id, turn, response, redacted_items AS response_items,
-             CASE WHEN ({symbolic_case('normalized')}) IS NOT NULL THEN 'BLOCK' ELSE 'ALLOW' END AS prompt_decision
-      FROM {nz_out}),
+g AS (SELECT *, list_distinct(regexp_extract_all(lower(response), '[a-z]+')) AS said,
+             list_distinct(regexp_extract_all(lower(prompt), '[a-z]+')) AS asked FROM {nz_out}),
+d AS (SELECT conv_id, turn, response,
+             CASE WHEN len(redacted_items) > 0 THEN 'pii_leakage' WHEN contains(lower(response), 'ing the') THEN 'semantic_judge_output'
+                  WHEN len(said) > 0 AND len(list_intersect(said, asked)) / len(said) < {Q.OUTPUT_GROUNDING} THEN 'semantic_grounding_check'
+                  ELSE 'clean_pass' END AS found,
+             CASE WHEN ({symbolic_case('normalized', bound.RULES)}) IS NOT NULL THEN 'BLOCK' ELSE 'ALLOW' END AS prompt_decision
+      FROM g),
 o AS (SELECT *, CASE WHEN prompt_decision <> 'BLOCK' AND response IS NOT NULL THEN
-                  CASE WHEN len(response_items) > 0 THEN 'BLOCK' ELSE 'ALLOW' END END AS output_decision,
-                CASE WHEN prompt_decision <> 'BLOCK' AND response IS NOT NULL THEN
-                  CASE WHEN len(response_items) > 0 THEN 'pii_leakage' ELSE 'clean_pass' END END AS output_source FROM d)
+                  CASE WHEN found <> 'clean_pass' THEN 'BLOCK' ELSE 'ALLOW' END END AS output_decision,
+                CASE WHEN prompt_decision <> 'BLOCK' AND response IS NOT NULL THEN found END AS output_source FROM d)
 SELECT conv_id, turn, prompt_decision, output_decision, output_source,
        CASE WHEN output_decision IS NULL THEN prompt_decision
             WHEN (CASE output_decision WHEN 'BLOCK' THEN 2 WHEN 'RESTRICT' THEN 1 ELSE 0 END)

@@ -20,6 +20,7 @@ sims AS (SELECT e.vec_id, a.alabel, list_cosine_similarity(e.v, a.av) AS cs FROM
 ms AS (SELECT vec_id,
    coalesce(max(cs) FILTER (WHERE alabel IN {_in(THREAT)}), 0.0) AS threat_score,
    greatest(coalesce(max(cs) FILTER (WHERE alabel IN {_in(META_LABELS)}), 0.0), 0.0) AS meta_intent_score,
+   coalesce(max(cs) FILTER (WHERE alabel IN {_in(EDU_LABELS)}), 0.0) AS educational_score,
    coalesce(max(cs) FILTER (WHERE alabel IN {_in(EDU_LABELS)}), 0.0) > {C.EDUCATIONAL_THRESHOLD} AS is_educational,
    {", ".join(f"coalesce(max(cs) FILTER (WHERE alabel IN {_in(labs)}), 0.0) AS {cls}_score" for cls, labs in CLASS_LABELS.items())}
    FROM sims GROUP BY vec_id),

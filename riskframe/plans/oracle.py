@@ -1,6 +1,7 @@
 """DuckDB formulations of the registered queries (the correctness gate)."""
 from __future__ import annotations
 
+from riskframe.plans import bound
 from riskframe.plans import sqlfrag as S
 
 
@@ -10,7 +11,7 @@ def _symbolic_veto_by_source() -> str:
     return f"""
 WITH {red},
 {nz},
-v AS (SELECT source, redacted_items, {S.symbolic_case('normalized')} AS violation FROM {nz_out})
+v AS (SELECT source, redacted_items, {S.symbolic_case('normalized', bound.RULES)} AS violation FROM {nz_out})
 SELECT source,
        CAST(count(*) AS BIGINT) AS n_docs,
        CAST(sum(CASE WHEN len(redacted_items) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_pii_docs,
@@ -62,3 +63,7 @@ ORACLE.update(o_detect.ORACLE)
 from riskframe.plans import o_more  # noqa: E402
 
 ORACLE.update(o_more.ORACLE)
+
+from riskframe.plans import o_fields  # noqa: E402
+
+ORACLE.update(o_fields.ORACLE)

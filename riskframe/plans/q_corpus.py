@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskframe.functions import rules as R
 from riskframe.functions import text as X
 from riskframe.operators import corpus
+from riskframe.plans import bound
 from riskframe.sources.tables import table, text_table
 
 CAP_PER_SOURCE = 20
@@ -50,7 +51,7 @@ def slice_report(spark, sf_dir):
         "source", X.detect_language("text").alias("language"),
         F.when(F.col("toxic") == 1, "harmful").otherwise("benign").alias("attack_class"),
         F.col("toxic").alias("label"),
-        (R.phrase_intent("text") != "LOW").alias("flagged"))
+        (R.phrase_intent("text", bound.RULES, bound.MEDIUM_PHRASES) != "LOW").alias("flagged"))
     return corpus.slice_counts(x, ["attack_class", "language", "source"], {
         "n": F.count(F.lit(1)),
         "n_attack": F.count_if(F.col("label") == 1),
@@ -58,9 +59,18 @@ def slice_report(spark, sf_dir):
     })
 
 
+# bound so that short and long documents are rejected
+REQUEST_CHARS = (100, 10_000)
+
+
 def request_validation(spark, sf_dir):
+    """Prompts are the documents; a response that never came (a prompt
+    turn without one) is a missing text of the source ``conversation``."""
+    from riskframe.operators import govern
     from riskframe.operators.screening import validate_requests
-    d = validate_requests(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    d = table(spark, sf_dir, "documents").select("source", "text")
+    c = govern.pair_turns(table(spark, sf_dir, "conversations")).select(F.lit("conversation").alias("source"), F.col("response").alias("text"))
+    d = validate_requests(d.unionByName(c), "text", *REQUEST_CHARS)
     status = F.coalesce(F.col("reject_reason"), F.lit("accepted"))
     return d.groupBy("source", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -96,7 +106,16 @@ def build_suite(spark, sf_dir):
     return out.select("id", "doc_id", "source", "label", "language", "shuffle_key")
 
 
+def build_suite_uncapped(spark, sf_dir):
+    """K2 over every document, labelled or not (an unlabelled one is
+    benign): no caps, so deduplication sees the whole table."""
+    d = _docs(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id", "left")
+    out = corpus.build_suite(d.fillna(0, ["label"]), "priority", "doc_id", seed=SEED)
+    return out.select("id", "doc_id", "source", "label", "language", "shuffle_key")
+
+
 QUERIES = {
+    "build_suite_uncapped": build_suite_uncapped,
     "build_suite": build_suite,
     "language_tag_crosstab": language_tag_crosstab,
     "dedup_first_wins": dedup_first_wins,

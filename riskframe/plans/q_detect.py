@@ -109,11 +109,63 @@ def recall_sweep(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.avg((F.col("score") >= F.col("threshold")).cast("double")).alias("detected"))
 
 
+def _two_runs(spark, sf_dir):
+    """The predictions of one detector at two thresholds."""
+    s = D.score_long(suite(spark, sf_dir), "doc_id", [d for d in DETECTORS if d.name == "upper"], keep=KEEP)
+    return (s.select("id", "label", (F.col("score") >= 0.05).alias("pred")),
+            s.select("id", (F.col("score") >= 0.04).alias("pred")))
+
+
 def run_diff(spark, sf_dir):
-    s = scored(spark, sf_dir).where(F.col("detector") == "upper")
-    old = s.select("id", "label", (F.col("score") >= 0.05).alias("pred"))
-    new = s.select("id", (F.col("score") >= 0.04).alias("pred"))
-    return D.run_diff(old, new, "id")
+    return D.run_diff(*_two_runs(spark, sf_dir), "id")
+
+
+def flipped_rows(spark, sf_dir):
+    return D.flipped_rows(*_two_runs(spark, sf_dir), "id")
+
+
+def confusion_change(spark, sf_dir):
+    return D.confusion_change(*_two_runs(spark, sf_dir), "id")
+
+
+def class_vs_benign_at_budget(spark, sf_dir):
+    c = D.class_vs_benign_at_budget(scored(spark, sf_dir), CLASSES, BUDGET)
+    return c.select("detector", "vs_class", "auc", "n_pos", "n_neg", "recall", F.round("threshold", 9).alias("threshold"))
+
+
+REPORT_REPLICATES = 50
+
+
+def detector_report(spark, sf_dir):
+    return D.report(scored(spark, sf_dir), registry(spark), CLASSES, BUDGET, replicates=REPORT_REPLICATES)
+
+
+def feature_matrix(spark, sf_dir):
+    """One row per document that all four detectors scored; ``punct``
+    scored the English ones only."""
+    x = suite(spark, sf_dir)
+    store = D.score_long(x, "doc_id", DETECTORS[:3]).unionByName(D.score_long(x.where(F.col("lang") == "en"), "doc_id", DETECTORS[3:]))
+    names = [d.name for d in DETECTORS]
+    matrix, _ = D.feature_matrix(cut_lineage(store), names)
+    return matrix.select("id", *[F.round(n, 9).alias(n) for n in names])
+
+
+def vowel_share(texts):
+    """A model standing in for a remote scorer: it fails on a text without a
+    full stop."""
+    out = []
+    for t in texts:
+        if "." not in t:
+            raise ValueError("no sentence")
+        out.append(sum(t.count(v) for v in "aeiou") / len(t))
+    return out
+
+
+def model_scores(spark, sf_dir):
+    """U-1: rows the model fails on stay unscored, their batch does not."""
+    d = text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
+    s = D.model_scores(d, "doc_id", "text", D.Detector("vowels", batch_fn=vowel_share))
+    return s.select("detector", "id", F.round("score", 9).alias("score"))
 
 
 def flag_union_rate(spark, sf_dir):
@@ -157,6 +209,12 @@ QUERIES = {
     "score_quantiles_by_class": score_quantiles_by_class,
     "recall_sweep": recall_sweep,
     "run_diff": run_diff,
+    "feature_matrix": feature_matrix,
+    "model_scores": model_scores,
+    "flipped_rows": flipped_rows,
+    "confusion_change": confusion_change,
+    "class_vs_benign_at_budget": class_vs_benign_at_budget,
+    "detector_report": detector_report,
     "flag_union_rate": flag_union_rate,
     "carry_over_scores": carry_over_scores,
     "complete_detectors_on_sample": complete_detectors_on_sample,

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from riskframe import config as C
+from riskframe.operators import cascade as K
 from riskframe.operators import folds, lookup, metrics, roc
 from riskframe.operators import vectors as V
 from riskframe.plans import q_detect, q_ops, q_vectors
@@ -58,13 +59,26 @@ def cache_speedup(spark, sf_dir):
                     F.round(F.try_divide(F.col("avg_cold"), F.col("avg_warm")), 9).alias("speedup"))
 
 
+# bound below the production threshold, which only the anchor itself passes
+HARBOUR_EDUCATIONAL = 0.10
+
+
+def attack_class(label):
+    """The class whose anchors carry the label, else benign."""
+    c = F.lit("benign")
+    for name, labs in q_vectors.CLASS_LABELS.items():
+        c = F.when(label.isin(*labs), name).otherwise(c)
+    return c
+
+
 def safe_harbour_impact(spark, sf_dir):
-    s = q_vectors.signals(spark, sf_dir)
-    amb = s.where((F.col("meta_intent_score") < C.META_INTENT_THRESHOLD)
-                  & (F.col("threat_score") >= C.SEMANTIC_THRESHOLD_MEDIUM)
-                  & (F.col("threat_score") < C.SEMANTIC_THRESHOLD_HIGH))
-    return amb.groupBy("attack").agg(F.count(F.lit(1)).alias("n_ambiguous"),
-                                     F.count_if("is_educational").alias("n_flipped"))
+    """C14: rows in the fusion policy's ambiguous band by attack class, and
+    how many the educational safe harbour keeps from the judge."""
+    pol, f = K.load_policy(), q_vectors._features()
+    s = q_vectors.signals(spark, sf_dir).withColumn("w", K.per_class_verdict(f, pol))
+    amb = s.where(K.fusion_available(f, pol) & (F.col("w.score") >= F.col("w.threshold_medium")) & (F.col("w.score") < F.col("w.threshold_high")))
+    return amb.groupBy(attack_class(F.col("label")).alias("attack_class")).agg(
+        F.count(F.lit(1)).alias("n_ambiguous"), F.count_if(F.col("educational_score") > HARBOUR_EDUCATIONAL).alias("n_flipped"))
 
 
 def anchor_set_ablation(spark, sf_dir):

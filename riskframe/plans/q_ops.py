@@ -21,6 +21,7 @@ from riskframe.functions import rules as R
 from riskframe.functions import text as X
 from riskframe.operators import cascade as K
 from riskframe.operators import folds, govern, metrics
+from riskframe.plans import bound
 from riskframe.sources.tables import table, text_table
 
 OVERRIDE_POLICY = {
@@ -71,10 +72,16 @@ def policy_decision(spark, sf_dir):
 
 
 def _screen(col):
-    return R.symbolic_violation(X.normalize_prompt(col))
+    return R.symbolic_violation(X.normalize_prompt(col), bound.RULES)
+
+
+# bound above the production threshold: overlaps of invented words are high
+OUTPUT_GROUNDING = 0.25
 
 
 def combined_output_decision(spark, sf_dir):
+    """C9 + C10: the judge's verdict is DANGEROUS for a response with "ing
+    the", and its grounding is the share of its words that the prompt has."""
     conv = text_table(spark, sf_dir, "conversations", "conv_id")
     pairs = govern.pair_turns(conv)
     pairs = X.with_redaction(pairs, "prompt", "clean_prompt", "prompt_items")
@@ -83,7 +90,11 @@ def combined_output_decision(spark, sf_dir):
     pairs = pairs.withColumn("risk", risk).withColumn("capability", F.lit("GENERAL")) \
         .withColumn("tenant", F.lit("default"))
     d = govern.policy_decision(pairs)
-    out = K.assess_output(F.size("response_items") > 0)
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))
+    said = words("response")
+    grounding = F.try_divide(F.size(F.array_intersect(said, words("prompt"))), F.size(said))
+    judge = F.when(F.lower("response").contains("ing the"), "DANGEROUS").otherwise("SAFE")
+    out = K.assess_output(F.size("response_items") > 0, judge, grounding, OUTPUT_GROUNDING)
     checked = (F.col("action") != "BLOCK") & F.col("response").isNotNull()
     d = d.withColumn("o", F.when(checked, out))
     return d.select("conv_id", "turn", F.col("action").alias("prompt_decision"),

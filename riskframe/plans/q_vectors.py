@@ -51,7 +51,7 @@ def signals(spark, sf_dir):
         "vec_id", "label",
         V.max_anchor_similarity(v, pick(threat_labels)).alias("threat_score"),
         V.max_anchor_similarity(v, pick(META_LABELS), clamp_at_zero=True).alias("meta_intent_score"),
-        (V.max_anchor_similarity(v, pick(EDU_LABELS)) > C.EDUCATIONAL_THRESHOLD).alias("is_educational"),
+        V.max_anchor_similarity(v, pick(EDU_LABELS)).alias("educational_score"),
     ]
     for cls, labs in CLASS_LABELS.items():
         cols.append(V.max_anchor_similarity(v, pick(labs)).alias(f"{cls}_score"))
@@ -59,7 +59,8 @@ def signals(spark, sf_dir):
     dscore = V.cosine(v, F.lit(cen)) if cen else F.lit(None).cast("double")
     cols += [dscore.alias("domain_score"), (F.col("label") <= 6).cast("int").alias("attack"),
              F.lit(False).alias("symbolic")]
-    s = emb.select(*cols).withColumn("domain_aligned", F.col("domain_score") >= C.DOMAIN_THRESHOLD)
+    s = emb.select(*cols).withColumn("domain_aligned", F.col("domain_score") >= C.DOMAIN_THRESHOLD) \
+        .withColumn("is_educational", F.col("educational_score") > C.EDUCATIONAL_THRESHOLD)
     # Signals are a stage output consumed by several operators: write them
     # once (reliable checkpoint in the shared folder) instead of re-deriving
     # the anchor arithmetic in every branch of a downstream plan.

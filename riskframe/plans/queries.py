@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskframe.operators import screening
+from riskframe.plans import bound
 from riskframe.sources.tables import text_table
 
 
 def symbolic_veto_by_source(spark, sf_dir):
     docs = text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "source", "text")
-    return screening.veto_tally(screening.screen_prompts(docs), "source")
+    return screening.veto_tally(screening.screen_prompts(docs, rules=bound.RULES), "source")
 
 
 def pii_redact_regex(spark, sf_dir):
@@ -65,3 +66,7 @@ QUERIES.update(q_learn.QUERIES)
 from riskframe.plans import q_assess  # noqa: E402
 
 QUERIES.update(q_assess.QUERIES)
+
+from riskframe.plans import q_fields  # noqa: E402
+
+QUERIES.update(q_fields.QUERIES)

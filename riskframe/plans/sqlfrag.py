@@ -66,10 +66,11 @@ def normalize_ctes(src: str, text: str, out: str = "norm", prefix: str = "nz") -
     return ",\n".join([c1, c2, c2b, c3]), out
 
 
-def symbolic_case(t: str) -> str:
-    jb = q(alternation(C.JAILBREAK_PATTERNS))
-    ov = q(alternation(C.INSTRUCTION_OVERRIDE_PATTERNS))
-    hb = " OR ".join(f"contains(lower({t}), {q(k)})" for k in C.HARD_BAN_KEYWORDS)
+def symbolic_case(t: str, pack: C.RulePack | None = None) -> str:
+    pack = pack or C.RulePack()
+    jb = q(alternation(pack.jailbreak))
+    ov = q(alternation(pack.override))
+    hb = " OR ".join(f"contains(lower({t}), {q(k)})" for k in pack.hard_ban)
     return (f"CASE WHEN regexp_matches(lower({t}), {jb}) THEN 'JAILBREAK_DETECTED' "
             f"WHEN regexp_matches(lower({t}), {ov}) THEN 'INSTRUCTION_OVERRIDE_DETECTED' "
             f"WHEN {hb} THEN 'HARD_BAN_DETECTED' END")
