@@ -75,8 +75,8 @@ def _screen(col):
     return R.symbolic_violation(X.normalize_prompt(col), bound.RULES)
 
 
-# bound above the production threshold: overlaps of invented words are high
-OUTPUT_GROUNDING = 0.25
+# bound below the production threshold: answers repeat few words of a prompt
+OUTPUT_GROUNDING = 0.1
 
 
 def combined_output_decision(spark, sf_dir):
