@@ -1,12 +1,15 @@
 """Token ids of whole texts with a public tokenizer, word by word.
 
-The tokenizer drops white space and never merges across it, so a text's ids
-are the ids of its space-separated chunks in order.  Each task encodes a
-chunk once and gathers ids by index; chunks are split at ASCII white space
-only, other white space stays inside a chunk and is the tokenizer's affair.
+The default tokenizer drops white space and never merges across it, so a
+text's ids are the ids of its space-separated chunks in order.  Each task
+encodes a chunk once and gathers ids by index; chunks are split at ASCII
+white space only, other white space stays inside a chunk and is the
+tokenizer's affair.  A vocabulary file that does not declare this behaviour
+encodes whole texts.
 """
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -41,12 +44,24 @@ def _loosened(text: pa.Array) -> pa.Array:
     return text
 
 
+def drops_space(path: str) -> bool:
+    """Whether a vocabulary file lowers letters, folds white space, cuts at
+    it and ends words with ``</w>``, which encoding by chunks relies on."""
+    with open(path, encoding="utf-8") as f:
+        j = json.load(f)
+    steps = (j.get("normalizer") or {}).get("normalizers") or []
+    cuts = (j.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    return (j["model"].get("end_of_word_suffix") == "</w>" and [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
+            and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"].get("Regex", "").endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"))
+
+
 class ChunkEncoder:
     """Encodes string columns; holds one tokenizer and its chunk store."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
+        self.by_chunk = drops_space(path)
         vocab = self.tok.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -95,6 +110,11 @@ class ChunkEncoder:
         if text.null_count:
             text = pc.fill_null(text, "")
         for a, b, _, _ in text_blocks(text, ENCODE_BYTES):
+            if not self.by_chunk:
+                got = [e.ids for e in self.tok.encode_batch(text.slice(a, b - a).to_pylist(), add_special_tokens=False)]
+                bounds = np.cumsum([0, *map(len, got)], dtype=np.int64)
+                yield a, b, np.array([i for ids in got for i in ids], np.uint32), bounds
+                continue
             lists = pc.ascii_split_whitespace(_loosened(text.slice(a, b - a)))
             chunks = lists.flatten()
             coded = chunks.dictionary_encode()

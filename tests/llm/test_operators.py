@@ -464,3 +464,15 @@ def test_digests_of_the_queries(spark):
         base = ",".join(s for s in brute_spans(text[r.doc_id]).split(",") if s.split(":")[0] in secret_scan.BASE)
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(base.count(f"{k}:") for k in secret_scan.BASE)
+
+
+def test_other_vocabularies_encode_whole_texts(rows):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    texts = [r[1] for r in rows if r[1] is None or len(r[1]) < 3000] + ["A.b, c  D\t'S é <|endoftext|>x.", "x.y,z", "İ ΑΣ.", "e ́"]
+    for name, chunks in (("byte_bpe_50k.json", False), (tokens.TOKENIZER, True)):
+        path = tokens.tokenizer_path(name)
+        enc, tok = tokens.ChunkEncoder(path), Tokenizer.from_file(path)
+        assert enc.by_chunk == chunks
+        got = [ids[a:b].tolist() for _, _, ids, off in enc.blocks(pa.array(texts)) for a, b in zip(off[:-1], off[1:])]
+        assert got == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
