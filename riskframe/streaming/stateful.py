@@ -6,7 +6,10 @@ Rows of a key are buffered in list state and folded in ``(event time, id)``
 order only once the watermark has passed them (an event-time timer per key
 at the oldest buffered row), so out-of-order arrival inside the watermark
 delay gives exactly the batch answer.  The fold state itself is one small
-value per key.
+value per key, and a timer clears it at the event time from which it equals
+a fresh start (an entry past its TTL, a full bucket, a breaker past its
+cooldown), so the keys held are those of recent rows; only a breaker with
+uncleared failures stays until its next call.
 """
 from __future__ import annotations
 
@@ -32,11 +35,14 @@ def _ceil_ms(t_us: int) -> int:
 
 class EventTimeFold(StatefulProcessor):
     """Buffers (rid, t, ok) per key; on each expired timer folds every
-    buffered row with ``t <= watermark`` in order and emits the outputs."""
+    buffered row with ``t <= watermark`` in order and emits the outputs.
+    ``fresh_at(state)`` is the event time (µs) from which the state equals
+    no state, or None if it never does."""
 
-    def __init__(self, step_factory, out_columns: list[str]):
+    def __init__(self, step_factory, out_columns: list[str], fresh_at):
         self._factory = step_factory
         self._cols = out_columns
+        self._fresh_at = fresh_at
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -68,12 +74,23 @@ class EventTimeFold(StatefulProcessor):
         for rid, t, ok in ready:
             state, o = self.step(state, _Row(rid, str(k), t, ok))
             out.append(o)
-        if ready:
-            self.state.update((json.dumps(state),))
+        due = self._fresh_at(state) if state is not None else None
+        if due is not None and due <= wm_us:
+            # no later row can be older than the watermark
+            state = due = None
+        if state is not None:
+            if ready:
+                self.state.update((json.dumps(state),))
+        elif self.state.exists():
+            self.state.clear()
         self.buf.clear()
+        wake = [_ceil_ms(min(t for _, t, _ in rest))] if rest else []
         if rest:
             self.buf.put(rest)
-            self.handle.registerTimer(_ceil_ms(min(t for _, t, _ in rest)))
+        if due is not None:
+            wake.append(_ceil_ms(due))
+        if wake:
+            self.handle.registerTimer(min(wake))
         if out:
             yield pd.DataFrame(out, columns=self._cols)
 
@@ -93,13 +110,31 @@ def _prepare(df: DataFrame, key: str, ts: str, id_col: str, ok: str | None, dela
                     (F.col(ok).cast("boolean") if ok else F.lit(True)).alias("ok"), F.col(ts)))
 
 
-def _run(df: DataFrame, factory, schema: str) -> DataFrame:
+def ttl_fresh_at(ttl_us: int):
+    return lambda state: state[0] + ttl_us
+
+
+def bucket_fresh_at(cap: float, rate: float):
+    # 2 µs of slack keep the float test of the refill true there
+    return lambda state: state[1] + int(max(0.0, (cap - state[0]) / rate) * 1e6) + 2 if rate > 0 else None
+
+
+def breaker_fresh_at(cd_us: int):
+    def at(state):
+        fails, opened = state
+        if opened is not None:
+            return opened + cd_us
+        return None if fails else 0
+    return at
+
+
+def _run(df: DataFrame, factory, schema: str, fresh_at) -> DataFrame:
     spark = df.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     cols = [c.split()[0] for c in schema.split(",")]
     return df.groupBy("k").transformWithStateInPandas(
-        statefulProcessor=EventTimeFold(factory, cols), outputStructType=schema,
+        statefulProcessor=EventTimeFold(factory, cols, fresh_at), outputStructType=schema,
         outputMode="Append", timeMode="EventTime")
 
 
@@ -113,7 +148,7 @@ def stream_ttl_reuse(df: DataFrame, key: str, ts: str, id_col: str, ttl_seconds:
     """T1 on a stream: ``(id, key, hit, origin_id)`` as :func:`folds.ttl_reuse`."""
     ttl_us = int(round(ttl_seconds * 1_000_000))
     return _named(_run(_prepare(df, key, ts, id_col, None, delay), lambda: folds.ttl_step(ttl_us),
-                       folds.TTL_SCHEMA), id_col, key)
+                       folds.TTL_SCHEMA, ttl_fresh_at(ttl_us)), id_col, key)
 
 
 def stream_token_bucket(df: DataFrame, identity: str, ts: str, id_col: str, capacity: float, refill: float,
@@ -122,7 +157,7 @@ def stream_token_bucket(df: DataFrame, identity: str, ts: str, id_col: str, capa
     :func:`folds.token_bucket`."""
     cap, rate = float(capacity), float(refill)
     return _named(_run(_prepare(df, identity, ts, id_col, None, delay), lambda: folds.bucket_step(cap, rate),
-                       folds.BUCKET_SCHEMA), id_col, identity)
+                       folds.BUCKET_SCHEMA, bucket_fresh_at(cap, rate)), id_col, identity)
 
 
 def stream_circuit_breaker(df: DataFrame, backend: str, ts: str, id_col: str, ok: str,
@@ -133,4 +168,4 @@ def stream_circuit_breaker(df: DataFrame, backend: str, ts: str, id_col: str, ok
     as :func:`folds.circuit_breaker`."""
     cd_us = int(round(cooldown_seconds * 1_000_000))
     return _named(_run(_prepare(df, backend, ts, id_col, ok, delay), lambda: folds.breaker_step(threshold, cd_us),
-                       folds.BREAKER_SCHEMA), id_col, backend)
+                       folds.BREAKER_SCHEMA, breaker_fresh_at(cd_us)), id_col, backend)

@@ -46,6 +46,9 @@ def test_stream_token_bucket_equals_batch(spark, tmp_path):
            for r in folds.token_bucket(ev, "user_id", "ts", "event_id", cap, refill).collect()}
     assert got == exp
     assert any(not a for a, _ in exp.values())        # the limiter actually fires on this data
+    # full buckets are cleared: of all callers only the flush rows' may be held
+    held = spark.read.format("statestore").option("stateVarName", "fold").load(str(tmp_path / "ck"))
+    assert {r.key[0] for r in held.select("key").collect()} <= {"-1", "-2"}
 
 
 def test_stream_ttl_and_breaker_equal_batch(spark, tmp_path):
