@@ -11,7 +11,7 @@ import json
 
 import os
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe import config as C
@@ -195,6 +195,52 @@ def per_class_verdict(features: dict, pol: dict) -> Column:
     return F.array_max(F.array(*cands))
 
 
+# --- C8 the whole decision ------------------------------------------------------------------------
+
+def assess(df: DataFrame, features: dict, pol: dict, meta, threat, is_educational, domain_aligned=None, cached=None,
+           violation=None, hazard=None, judge=None, domain_mode: str = "advisory", may_clear_to_low: bool = False,
+           th: C.Thresholds = C.Thresholds()) -> DataFrame:
+    """The stages in order, each only where those before it left a row
+    open — cached verdict, symbolic veto, fast path, fusion of all signals
+    (per-class policy where every detector answered, else the anchor bands),
+    and for the ambiguous band the hazard classifier, then the judge.
+
+    ``cached`` is a struct (risk, score) or null, ``violation`` the veto kind
+    or null, ``hazard``/``judge`` verdicts or null (did not answer).  Adds
+    risk, source, semantic_score, topicality, judge_invoked,
+    symbolic_triggered and triggering_class; the score is the one that drove
+    the decision, and a row without signals scores 0.  Row-local; the shared
+    intermediate results are columns of their own projections."""
+    names = df.columns
+    none = F.lit(None).cast("string")
+    d = df.withColumns({
+        "__c": _col(cached) if cached is not None else F.lit(None).cast("struct<risk:string,score:double>"),
+        "__v": _col(violation) if violation is not None else none,
+        "__w": per_class_verdict(features, pol), "__ok": fusion_available(features, pol), "__fast": fast_path(meta, threat, th)})
+    w = {c: F.col(f"__w.{c}") for c in ("score", "threshold_high", "threshold_medium", "triggering_class")}
+    ok = F.col("__ok")
+    d = d.withColumn("__fused", fuse_signals(meta, threat, is_educational, domain_aligned if domain_mode != "off" else None, ok,
+                                             w["score"], w["threshold_high"], w["threshold_medium"], domain_mode, th))
+    d = d.withColumn("__upper", F.when(ok, upper_ambiguous_band(w["score"], w["threshold_medium"], w["threshold_high"])).otherwise(
+        upper_ambiguous_band(threat, F.lit(th.medium), F.lit(th.high))))
+    d = d.withColumn("__arb", arbitrate(hazard if hazard is not None else none, judge if judge is not None else none, "__upper", may_clear_to_low))
+    is_cached, is_vetoed, is_fast = F.col("__c.risk").isNotNull(), F.col("__v").isNotNull(), F.col("__fast").isNotNull()
+    d = d.withColumn("__stage", F.when(is_cached, "cache").when(is_vetoed, "veto").when(is_fast, "fast")
+                     .when(F.col("__fused.judge_required"), "judge").otherwise("fused"))
+    at = F.col("__stage")
+    deep = at.isin("judge", "fused")
+    locked = F.when(F.col("__c.risk") == "HIGH", "cache_locked_high").otherwise("cache")
+    return d.select(
+        *names,
+        F.when(at == "cache", F.col("__c.risk")).when(at == "judge", F.col("__arb.risk")).when(at == "fused", F.col("__fused.risk")).otherwise("HIGH").alias("risk"),
+        F.when(at == "cache", locked).when(at == "veto", "symbolic_rule").when(at == "fast", F.col("__fast.source"))
+        .when(at == "judge", F.col("__arb.source")).otherwise(F.col("__fused.source")).alias("source"),
+        F.when(at == "cache", F.col("__c.score")).when(~deep, 1.0).otherwise(F.coalesce(F.when(ok, w["score"]).otherwise(_col(threat)), F.lit(0.0)))
+        .alias("semantic_score"),
+        F.when(deep, F.col("__fused.topicality")).otherwise("UNKNOWN").alias("topicality"), (at == "judge").alias("judge_invoked"),
+        (at == "veto").alias("symbolic_triggered"), F.when(deep & ok, w["triggering_class"]).alias("triggering_class"))
+
+
 # --- C16, N17, N18, N15, N16 -----------------------------------------------------------------
 
 def anchor_detector(symbolic, threat, meta) -> Column:

@@ -67,3 +67,7 @@ ORACLE.update(o_more.ORACLE)
 from riskframe.plans import o_fields  # noqa: E402
 
 ORACLE.update(o_fields.ORACLE)
+
+from riskframe.plans import o_assess  # noqa: E402
+
+ORACLE.update(o_assess.ORACLE)

@@ -1,6 +1,7 @@
-"""End-to-end assessment of the prompt table (C8, rows-only check).
+"""End-to-end assessment of the prompt table.
 
-Binding: every document is a prompt from the default tenant with GENERAL
+``assess_cascade`` composes every stage over stored vectors.
+``assess_prompts`` (rows-only check) embeds the text itself: every document is a prompt from the default tenant with GENERAL
 capability.  The pipeline masks PII, normalises and applies the rule pack
 (vetoed prompts leave the cascade here: filter-and-route), embeds the
 remaining clean text with the hashed TF-IDF embedder fitted on the corpus,
@@ -17,9 +18,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskframe import config as C
+from riskframe.functions import text as X
 from riskframe.operators import cascade as K
 from riskframe.operators import govern, learn, screening
 from riskframe.operators import vectors as V
+from riskframe.plans import bound, q_vectors
 from riskframe.sources import io
 from riskframe.sources.tables import table, text_table
 
@@ -61,6 +64,35 @@ def assess_prompts(spark, sf_dir):
                     "judge_invoked", "symbolic_triggered", F.col("action").alias("decision"))
 
 
+def stored_verdicts(spark, sf_dir):
+    """The verdict cache by text hash: labelled documents, toxic ones HIGH,
+    good ones LOW, the rest not stored; the most severe of equal texts."""
+    lab = table(spark, sf_dir, "labels").where("toxic = 1 or quality = 1").select("doc_id", "toxic")
+    d = table(spark, sf_dir, "documents").select("doc_id", X.prompt_hash("text").alias("prompt_hash")).join(lab, "doc_id")
+    return d.groupBy("prompt_hash").agg(F.max("toxic").alias("t")).select(
+        "prompt_hash", F.struct(F.when(F.col("t") == 1, "HIGH").otherwise("LOW").alias("risk"),
+                                F.when(F.col("t") == 1, 1.0).otherwise(0.05).alias("score")).alias("cached"))
+
+
+def assess_cascade(spark, sf_dir):
+    """C8 in one composition.  Prompts are the documents; their stored
+    vector (same id) gives the signals, and none leaves them open; the veto
+    pack is the bound one; a third of the vectors' labels each gets a SAFE,
+    a DANGEROUS and no answer of the hazard classifier, the judge answers by
+    label; the default tenant's policy decides."""
+    docs = text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
+    s = screening.screen_prompts(docs, rules=bound.RULES).select("doc_id", "violation", X.prompt_hash("text").alias("prompt_hash"))
+    sig = q_vectors.signals(spark, sf_dir).join(q_vectors.judge_verdicts(spark, sf_dir), "vec_id", "left").withColumnRenamed("vec_id", "doc_id")
+    hazard = F.when(F.col("label") % 3 == 0, "SAFE").when(F.col("label") % 3 == 1, "DANGEROUS")
+    x = s.join(stored_verdicts(spark, sf_dir), "prompt_hash", "left").join(sig, "doc_id", "left").withColumn("hazard", hazard)
+    x = K.assess(x, q_vectors._features(), K.load_policy(), "meta_intent_score", "threat_score", "is_educational", "domain_aligned",
+                 "cached", "violation", "hazard", "judge_verdict")
+    x = x.withColumn("tenant", F.lit("default")).withColumn("capability", F.lit("GENERAL"))
+    return govern.policy_decision(x).select(
+        "doc_id", "risk", "source", F.round("semantic_score", 6).alias("semantic_score"), "topicality", "judge_invoked",
+        "symbolic_triggered", "triggering_class", F.col("action").alias("decision"))
+
+
 def audit_log(spark, sf_dir):
     """S9 projection of the assessment: hashes, never the prompt text."""
     a = assess_prompts(spark, sf_dir)
@@ -74,5 +106,6 @@ def audit_log(spark, sf_dir):
 
 QUERIES = {
     "assess_prompts": assess_prompts,
+    "assess_cascade": assess_cascade,
     "audit_log": audit_log,
 }
