@@ -9,6 +9,7 @@ only its per-query best match).
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -178,6 +179,38 @@ def nearest_between(queries: DataFrame, candidates: DataFrame, id_col: str, vec:
     return res.withColumnRenamed("id", id_col)
 
 
+# --- J11 several anchor sets in one matrix product ---------------------------------------
+
+def anchor_cosines(vec, anchors: list) -> Column:
+    """Array column with the cosine of ``vec`` to each anchor, one
+    Arrow matrix product a batch (0.0 for a vector of zero norm; null for a
+    null vector).  The anchors travel with the function: they must come from
+    :func:`collect_small` or another fixed list."""
+    A = np.asarray(anchors, dtype=np.float64).reshape(len(anchors), -1)
+    n = np.linalg.norm(A, axis=1, keepdims=True)
+    A = np.divide(A, n, out=np.zeros_like(A), where=n > 0)
+
+    @F.pandas_udf("array<double>")
+    def cosines(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for v in batches:
+            out: list = [None] * len(v)
+            some = np.flatnonzero(v.notna().to_numpy())
+            if len(some):
+                X = np.vstack(v.iloc[some].to_numpy()).astype(np.float64)
+                norm = np.linalg.norm(X, axis=1, keepdims=True)
+                for i, row in zip(some, np.divide(X, norm, out=np.zeros_like(X), where=norm > 0) @ A.T, strict=True):
+                    out[i] = row
+            yield pd.Series(out, dtype=object)
+    return cosines(_col(vec))
+
+
+def best_cosine(cosines, places: list[int], empty_value: float = 0.0) -> Column:
+    """The largest of the cosines at ``places`` (an empty set scores
+    ``empty_value``)."""
+    c = [_col(cosines)[i] for i in places]
+    return F.greatest(*c) if len(c) > 1 else c[0] if c else F.lit(float(empty_value))
+
+
 # --- J11 broadcast-matrix anchor scores ----------------------------------------------
 
 def anchor_max_arrow(df: DataFrame, vec: str, anchors: np.ndarray, out_col: str = "threat_score",

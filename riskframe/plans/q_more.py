@@ -84,10 +84,10 @@ def safe_harbour_impact(spark, sf_dir):
 def anchor_set_ablation(spark, sf_dir):
     a = q_vectors._anchors(spark, sf_dir)
     emb = table(spark, sf_dir, "embeddings")
-    v = V.as_double_array("embedding")
-    wide = emb.select("vec_id", (F.col("label") <= 6).cast("int").alias("attack"),
-                      *[V.max_anchor_similarity(v, [a[x] for x in labs if x in a]).alias(name)
-                        for name, labs in ABLATION_SETS.items()])
+    labels = sorted(a)
+    wide = emb.withColumn("cos", V.anchor_cosines("embedding", [a[x] for x in labels]) if a else F.array().cast("array<double>")).select(
+        "vec_id", (F.col("label") <= 6).cast("int").alias("attack"),
+        *[V.best_cosine("cos", [labels.index(x) for x in labs if x in a]).alias(name) for name, labs in ABLATION_SETS.items()])
     stack = ", ".join(f"'{n}', `{n}`" for n in ABLATION_SETS)
     long = wide.selectExpr("vec_id", "attack", f"stack({len(ABLATION_SETS)}, {stack}) AS (anchor_set, score)")
     t = roc.score_table(long, "score", "attack", ["anchor_set"])

@@ -41,25 +41,23 @@ def _domain_centroid(spark, sf_dir):
 
 
 def signals(spark, sf_dir):
-    """One row of detector signals per vector (all JVM-side expressions)."""
+    """One row of detector signals per vector: the cosines to all anchors and
+    the domain centroid come from one matrix product a batch."""
     a = _anchors(spark, sf_dir)
-    emb = table(spark, sf_dir, "embeddings")
-    v = V.as_double_array("embedding")
-    threat_labels = [lab for labs in CLASS_LABELS.values() for lab in labs]
-    pick = lambda labs: [a[x] for x in labs if x in a]
-    cols = [
-        "vec_id", "label",
-        V.max_anchor_similarity(v, pick(threat_labels)).alias("threat_score"),
-        V.max_anchor_similarity(v, pick(META_LABELS), clamp_at_zero=True).alias("meta_intent_score"),
-        V.max_anchor_similarity(v, pick(EDU_LABELS)).alias("educational_score"),
-    ]
-    for cls, labs in CLASS_LABELS.items():
-        cols.append(V.max_anchor_similarity(v, pick(labs)).alias(f"{cls}_score"))
+    labels = sorted(a)
     cen = _domain_centroid(spark, sf_dir)
-    dscore = V.cosine(v, F.lit(cen)) if cen else F.lit(None).cast("double")
-    cols += [dscore.alias("domain_score"), (F.col("label") <= 6).cast("int").alias("attack"),
-             F.lit(False).alias("symbolic")]
-    s = emb.select(*cols).withColumn("domain_aligned", F.col("domain_score") >= C.DOMAIN_THRESHOLD) \
+    matrix = [a[x] for x in labels] + ([cen] if cen else [])
+    best = lambda labs: V.best_cosine("cos", [labels.index(x) for x in labs if x in a])
+    emb = table(spark, sf_dir, "embeddings").withColumn(
+        "cos", V.anchor_cosines("embedding", matrix) if matrix else F.array().cast("array<double>"))
+    threat_labels = [lab for labs in CLASS_LABELS.values() for lab in labs]
+    s = emb.select(
+        "vec_id", "label", best(threat_labels).alias("threat_score"),
+        F.greatest(best(META_LABELS), F.lit(0.0)).alias("meta_intent_score"), best(EDU_LABELS).alias("educational_score"),
+        *[best(labs).alias(f"{cls}_score") for cls, labs in CLASS_LABELS.items()],
+        (F.col("cos")[len(labels)] if cen else F.lit(None).cast("double")).alias("domain_score"),
+        (F.col("label") <= 6).cast("int").alias("attack"), F.lit(False).alias("symbolic"))
+    s = s.withColumn("domain_aligned", F.col("domain_score") >= C.DOMAIN_THRESHOLD) \
         .withColumn("is_educational", F.col("educational_score") > C.EDUCATIONAL_THRESHOLD)
     # Signals are a stage output consumed by several operators: write them
     # once (reliable checkpoint in the shared folder) instead of re-deriving
