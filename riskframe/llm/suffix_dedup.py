@@ -62,13 +62,14 @@ def window_minima(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:n], left[w - 1:w - 1 + n])
 
 
-def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM, starts: int = SLICE):
     """(document, anchor, first start, last start, gram hash) of all strings
-    of ``length`` bytes in a block; long blocks go slice by slice."""
+    of ``length`` bytes in a block; long blocks go in slices of ``starts``
+    starts, and a run of one anchor that a slice ends in stays one row."""
     docs = []
     total = len(data)
-    for lo in range(0, max(total - length + 1, 0), SLICE):
-        part = data[lo:lo + SLICE + length - 1]
+    for lo in range(0, max(total - length + 1, 0), starts):
+        part = data[lo:lo + starts + length - 1]
         n = len(part) - length + 1
         h = Rolling(part).windows(gram)
         key = (h & ~PLACE) | np.arange(len(h), dtype=U)
@@ -89,14 +90,17 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     if not docs:
         z = np.zeros(0, np.int64)
         return z, z, z, z, np.zeros(0, U)
-    return tuple(np.concatenate([d[k] for d in docs]) for k in range(5))
+    doc, p, a, b, g = (np.concatenate([d[k] for d in docs]) for k in range(5))
+    first = np.ones(len(a), bool)
+    first[1:] = (doc[1:] != doc[:-1]) | (p[1:] != p[:-1]) | (a[1:] != b[:-1] + 1)
+    return doc[first], p[first], a[first], b[np.append(first[1:], True)], g[first]
 
 
-def anchor_rows(length: int):
+def anchor_rows(length: int, starts: int = SLICE):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frugal(batches):
             for r0, r1, data, off in text_blocks(batch.column(2)):
-                doc, p, lo, hi, h = anchors(data, off, length)
+                doc, p, lo, hi, h = anchors(data, off, length, starts=starts)
                 if not len(doc):
                     continue
                 raw = memoryview(np.ascontiguousarray(data))
@@ -220,11 +224,12 @@ def counted_ranges(members: DataFrame) -> DataFrame:
     return m.join(twice, ["q1", "q2", "x0", "string"]).select("q1", "q2", "l", "r", "x0", F.col("x0").alias("x1"))
 
 
-def repeat_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
+def repeat_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP,
+                  starts: int = SLICE) -> DataFrame:
     """(k_row, k_text, s, e): byte ranges covered by repeated strings; they
     may overlap."""
     text = docs.select(*row_key(text_col, id_col), F.col(text_col).cast("string").alias("text"))
-    a = saved(text.mapInArrow(anchor_rows(length), ANCHORS))
+    a = saved(text.mapInArrow(anchor_rows(length, starts), ANCHORS))
     # a hot hash is split over tasks by the join: both its sides are plain tables
     often = saved(a.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
     a = saved(a.join(often, "h"))
@@ -284,10 +289,11 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["doc_id", "n_bytes", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP,
+                   starts: int = SLICE) -> DataFrame:
     """One row per document: id, size in bytes, the maximal removed spans
     (byte offsets) and the remaining bytes."""
-    ranges = (repeat_ranges(docs, id_col, text_col, length, group).groupBy("k_row", "k_text")
+    ranges = (repeat_ranges(docs, id_col, text_col, length, group, starts).groupBy("k_row", "k_text")
               .agg(F.collect_set(F.struct("s", "e")).alias("ranges")))
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(text_col, id_col), F.col(text_col).cast("string").alias("text"))
     return (text.join(ranges, ["k_row", "k_text"], "left").select("doc_id", "text", "ranges")

@@ -114,6 +114,19 @@ def test_suffix_dedup_on_given_rows(given):
         assert (r.n_bytes, tuple((s.start, s.end) for s in r.spans), bytes(r.kept)) == want[r.doc_id]
 
 
+@pytest.mark.parametrize("starts", [401, 1500])
+def test_suffix_dedup_in_slices_is_exact(spark, starts):
+    # unique texts over many slices keep every byte, repeats are still found
+    shared = passage(31, 150)
+    texts = [passage(21, 2_500), passage(22, 2_500) + shared, "short", shared + passage(23, 900), None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.n_bytes, tuple((s.start, s.end) for s in r.spans), bytes(r.kept))
+           for r in suffix_dedup.remove_repeats(docs, starts=starts).collect()}
+    want = brute_repeats(texts, 400)
+    assert not want[0][1] and len(want[1][1]) == 1
+    assert got == dict(enumerate(want))
+
+
 # -- quality --------------------------------------------------------------
 
 def brute_quality(t):
