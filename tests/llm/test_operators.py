@@ -372,6 +372,16 @@ def test_backoff_scores(docs, rows, order):
         assert g[0] == w[0] and g[1][1] == pytest.approx(w[1][1], rel=1e-6, abs=1e-4)
 
 
+def test_registered_scores_have_trigram_terms(spark):
+    from riskframe.llm.queries import QUERIES
+    src = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    got = {r.doc_id: (r.n_words, r.log_score) for r in QUERIES["op8_lm_score_order3"](spark, SF).collect()}
+    want = {r.doc_id: b for r, b in zip(src, brute_lm([r.text for r in src], 3))}
+    assert got.keys() == want.keys()
+    for i, (n, s) in want.items():
+        assert got[i][0] == n and abs(got[i][1] - s) < 1e-3
+
+
 # -- tokens ---------------------------------------------------------------
 
 def reference_ids(t):
