@@ -115,7 +115,7 @@ def feature_matrix(store: DataFrame, detectors: list[str]):
 
 
 class ModelDown(RuntimeError):
-    """Every probe row failed: nothing was scored or appended."""
+    """No row of the whole job succeeded: nothing was appended."""
 
 
 def incremental_score(suite: DataFrame, store_path: str, id_col: str, det: Detector, text_col: str = "text",
@@ -124,10 +124,9 @@ def incremental_score(suite: DataFrame, store_path: str, id_col: str, det: Detec
     them (partitioned by detector).  Each row gets up to ``max_tries``
     attempts; a row that keeps failing stays unscored (never 0).
 
-    Before the run, the ``abort_after`` to-do rows with the smallest id hash
-    are scored as probes; if there are that many and all fail, the model is
-    down and :class:`ModelDown` is raised with nothing appended.  Otherwise
-    every row is attempted, so the result does not depend on partitioning.
+    Every row is attempted, so the result does not depend on partitioning,
+    and what succeeded is appended; if none of ``abort_after`` to-do rows or
+    more succeeded, the model is down and :class:`ModelDown` is raised.
     A missing store is an empty one; any other read error is raised.
     Returns the number of rows appended."""
     from riskframe.sources import io
@@ -145,17 +144,14 @@ def incremental_score(suite: DataFrame, store_path: str, id_col: str, det: Detec
 
     src = work.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "detector string, id long, score double"
-    probes = src.orderBy(F.xxhash64("id"), "id").limit(abort_after)
-    # a handful of rows: scored in one task, counted on the way
-    tried = probes.count()
-    if tried >= abort_after and probes.mapInPandas(run, schema).isEmpty():
-        raise ModelDown(f"{name}: all {tried} probe rows failed after {max_tries} attempts each")
     out = src.mapInPandas(run, schema).withColumn("scored_at", F.current_timestamp())
     from riskframe.session import cut_lineage
     out = cut_lineage(out)            # scored once, then counted and appended
     n = out.count()
     if n:
         io.append_scores(out, store_path)
+    elif (tried := src.count()) >= abort_after:
+        raise ModelDown(f"{name}: all {tried} rows failed after {max_tries} attempts each")
     return n
 
 

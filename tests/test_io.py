@@ -113,6 +113,20 @@ def test_incremental_scoring_retries_and_resumes(spark, tmp_path):
         D.incremental_score(suite, str(tmp_path / "bad"), "doc_id", det)
 
 
+def test_incremental_scoring_passes_rows_that_always_fail(spark, tmp_path):
+    # the rows with the smallest id hashes always fail, one good row comes last
+    ids = [r.id for r in spark.range(20).orderBy(F.xxhash64("id"), "id").collect()]
+    suite = spark.createDataFrame([(i, "good" if i == ids[-1] else "bad") for i in ids], "doc_id long, text string")
+
+    def fn(texts):
+        if (texts == "bad").any():
+            raise RuntimeError("cannot score")
+        return [1.0] * len(texts)
+    store = str(tmp_path / "store")
+    assert D.incremental_score(suite, store, "doc_id", D.Detector("m", batch_fn=fn)) == 1
+    assert [r.id for r in io.read_scores(spark, store, ["m"]).collect()] == [ids[-1]]
+
+
 def test_one_bad_row_leaves_the_rest_of_its_batch(spark):
     def fn(texts):
         if (texts == "bad").any():
