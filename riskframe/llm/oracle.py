@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries of this package that SQL can express."""
 from __future__ import annotations
 
-from riskframe.llm import jaccard, lm_score, quality, secret_scan
+from riskframe.llm import filter_audit, fim, jaccard, lm_score, quality, secret_scan
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -136,5 +136,45 @@ def _backoff3() -> str:
         round(f.x / f.n, 6) AS mean_log_score FROM d LEFT JOIN f USING (rid)"""
 
 
+def _audit() -> str:
+    return rf"""
+    WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+    g AS (SELECT text, min(doc_id) AS least FROM d GROUP BY text),
+    l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+    m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        (CASE WHEN len(ws) < {filter_audit.MIN_WORDS} THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(ws)) < {filter_audit.MIN_DISTINCT_PERCENT} * len(ws) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > {filter_audit.MAX_CAPITAL_PERCENT} * length(d.text) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN g.least < d.doc_id THEN 16 ELSE 0 END) AS mask
+      FROM d JOIN g ON g.text = d.text LEFT JOIN l ON l.doc_id = d.doc_id),
+    f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+    o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+      FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+    s AS (SELECT filter_order, k AS step, bits[k] AS bit, coalesce(list_sum(bits[1:k - 1]), 0)::INTEGER AS earlier FROM o, (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS k)),
+    r AS (SELECT part, filter_order, step, bit,
+        count(*) FILTER (mask & earlier = 0 AND mask & bit = 0) AS kept, count(*) FILTER (mask & earlier = 0 AND mask & bit <> 0) AS removed,
+        count(*) FILTER (mask & earlier <> 0 AND mask & bit <> 0) AS redundant, count(*) FILTER (mask = bit) AS unique_fails,
+        count(*) FILTER (mask & earlier = 0 AND mask & bit <> 0 AND good = 1) AS good_lost,
+        count(*) FILTER (mask & earlier = 0 AND mask & bit <> 0 AND toxic = 1) AS toxic_lost
+      FROM m, s GROUP BY part, filter_order, step, bit)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+        (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r"""
+
+
+def _middle() -> str:
+    return rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('{fim.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h,
+        regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u FROM documents),
+    k AS (SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+    c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= {fim.RATE} THEN 'plain'
+             WHEN h4 % 100 < {fim.SPM} THEN 'spm' ELSE 'psm' END AS form FROM k),
+    p AS (SELECT *, array_to_string(u[1:a], '') AS head, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:n], '') AS tail FROM c),
+    o AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || mid ELSE '<S>' || tail || '<P>' || head || '<M>' || mid END AS output FROM p)
+    SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(head) END::BIGINT AS prefix_chars,
+        CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars, sha256(output) AS output_sha256, sha256(text) AS restored_sha256 FROM o"""
+
+
 ORACLE = {"op2_quality_rules": _quality(), "op4_secret_scan": _secrets(), "op6_ngram_jaccard": _near(), "op8_lm_score_order3": _backoff3(),
-          "op8_lm_score": _backoff()}
+          "op8_lm_score": _backoff(), "op11_filter_audit": _audit(), "op12_fill_in_middle": _middle()}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import decontam, html_extract, jaccard, lm_score, packing, quality, secret_scan, suffix_dedup, token_counts, urls
+from riskframe.llm import (decontam, filter_audit, fim, genetic_packing, html_extract, jaccard, lm_score, packing, quality, secret_scan,
+                           suffix_dedup, token_counts, urls)
 from riskframe.sources.tables import table
 
 
@@ -65,4 +66,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_table(token_counts.histogram(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_html_text, op4_secret_scan, op5_benchmark_templates, op6_ngram_jaccard, op7_url_filter, op8_lm_score_order3, op8_lm_score, op9_packing, op10_token_counts)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fim.transform(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                    F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
+
+def op13_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return genetic_packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_html_text, op4_secret_scan, op5_benchmark_templates, op6_ngram_jaccard, op7_url_filter, op8_lm_score_order3, op8_lm_score, op9_packing, op10_token_counts,
+                                op11_filter_audit, op12_fill_in_middle, op13_genetic_packing)}
