@@ -1,58 +1,39 @@
 """Fitting: fusion policies (E14/E15), out-of-fold scores (E12/E24), the
 default text embedder (U-2) and text classifier (U-6).
 
-All fits are ``pyspark.ml`` jobs (L-BFGS iterations are distributed tree
-aggregates over the partitions); only coefficients — a few numbers per
-feature — come back to the driver, where they are written into a policy
+Fusion fits run together as grouped Newton rounds (:mod:`newton`), the text
+classifier is a ``pyspark.ml`` job; only sums and coefficients — a few numbers
+per feature — come back to the driver, where they are written into a policy
 artifact that compiles to a plain column expression for scoring.
 """
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.operators import cascade as K
 from riskframe.operators import evaluate as EV
+from riskframe.operators import newton as NW
 from riskframe.operators import roc
 from riskframe.session import cut_lineage
 
-FIT_PARALLELISM = 4     # independent fits submitted concurrently (as CrossValidator does)
 HIGH_FPR_BUDGET = 0.05
 MEDIUM_FPR_BUDGET = 0.20
 PER_CLASS_HIGH_FPR_BUDGET = 0.0224
 PER_CLASS_MEDIUM_FPR_BUDGET = 0.0895
 
 
-def _fit_linear(df: DataFrame, features: list[str], label: str, C: float = 1.0, max_iter: int = 200) -> dict:
-    """Standardise with the *population* std (scale 0 -> feature dropped)
-    and fit an L2 logistic regression whose objective matches
-    ``1/2||w||^2 + C * sum(loss)``: Spark minimises mean loss + reg/2 ||w||^2,
-    so ``reg = 1 / (C * n)``."""
-    stats = df.agg(F.count(F.lit(1)).alias("n"),
-                   *[F.avg(f).alias(f"m_{f}") for f in features],
-                   *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
-    n = int(stats["n"])
-    means = [float(stats[f"m_{f}"]) for f in features]
-    scales = [float(stats[f"s_{f}"] or 0.0) for f in features]
-    z = [F.when(F.lit(sc) > 0, (F.col(f) - F.lit(mu)) / F.lit(sc if sc else 1.0)).otherwise(F.lit(0.0)).alias(f"z_{f}")
-         for f, mu, sc in zip(features, means, scales)]
-    x = df.select(*z, F.col(label).cast("double").alias("y"))
-    x = VectorAssembler(inputCols=[f"z_{f}" for f in features], outputCol="features").transform(x)
-    x = _sized(x, n)
-    lr = LogisticRegression(featuresCol="features", labelCol="y", regParam=1.0 / (C * max(n, 1)),
-                            elasticNetParam=0.0, standardization=False, fitIntercept=True,
-                            maxIter=max_iter, tol=1e-6)
-    m = lr.fit(x)
-    return {"scaler_mean": means, "scaler_scale": scales,
-            "coefficients": [float(c) for c in m.coefficients.toArray()], "intercept": float(m.intercept)}
+def _fit_linear(df: DataFrame, features: list[str], label: str, C: float = 1.0) -> dict:
+    """One L2 logistic regression (``1/2||w||^2 + C * sum(loss)``) over
+    features standardised with the population std (scale 0 -> dropped)."""
+    fits = NW.fit_groups(df, features, F.array(NW.member(0, label)), C=C)
+    if 0 not in fits:
+        raise ValueError("a fit needs rows of both labels")
+    return fits[0].policy()
 
 
 ROWS_PER_FIT_PARTITION = 100_000
@@ -67,76 +48,75 @@ def _sized(df: DataFrame, n_rows: int) -> DataFrame:
     return df.coalesce(want) if df.rdd.getNumPartitions() > want else df
 
 
-def _thresholds(df: DataFrame, prob: F.Column, label: str, budgets: tuple[float, float]) -> tuple[float, float]:
-    """ROC-rule thresholds for two FPR budgets from one score table and one
-    aggregate: the feasible point with the largest (tpr, threshold), the
-    origin (0, +inf) included."""
-    t = roc.score_table(df.select(prob.alias("p"), F.col(label).alias("y")), "p", "y")
-    t = t.where((F.col("P") > 0) & (F.col("N") > 0))
+def _thresholds(scored: DataFrame, budgets: list[float]) -> dict[int, list[float]]:
+    """ROC-rule thresholds of every group at each budget from one score
+    table and one aggregate: the feasible point with the largest (tpr,
+    threshold), the origin (0, +inf) included."""
+    t = roc.score_table(scored, "score", "__y", ["__g"]).where((F.col("P") > 0) & (F.col("N") > 0))
     fpr = (F.col("N") - F.col("neg_lt")) / F.col("N")
     pt = F.struct(((F.col("P") - F.col("pos_lt")) / F.col("P")).alias("tpr"), F.col("score").alias("thr"))
     origin = F.struct(F.lit(0.0).alias("tpr"), F.lit(float("inf")).alias("thr"))
-    r = t.agg(*[F.greatest(F.max(F.when(fpr <= b, pt)), origin).alias(f"b{i}") for i, b in enumerate(budgets)]).first()
-    return float(r["b0"]["thr"]), float(r["b1"]["thr"])
+    r = t.groupBy("__g").agg(*[F.greatest(F.max(F.when(fpr <= b, pt)), origin)["thr"].alias(f"b{i}") for i, b in enumerate(budgets)]).collect()
+    return {x["__g"]: [float(x[f"b{i}"]) for i in range(len(budgets))] for x in r}
 
 
 def fit_fusion_policy(df: DataFrame, features: list[str], label: str, class_col: str | None = None,
                       classes: list[str] | None = None) -> dict:
-    """E14 (+E15 when ``classes`` are given): the policy artifact.  Rows
-    missing any feature are dropped first (their count is reported)."""
-    usable = df.dropna(subset=features)
+    """E14 (+E15 when ``classes`` are given): the policy artifact.  The
+    global fit and the class-against-benign fits run together.  Rows missing
+    any feature are dropped first (their count is reported)."""
+    usable = cut_lineage(df.dropna(subset=features).select(*features, F.col(label).cast("int").alias("__y"),
+                                                           (F.col(class_col) if class_col else F.lit(None)).cast("string").alias("__cls")))
     dropped = df.count() - usable.count()
-    pol = {"version": 2, "feature_order": list(features), "rows_dropped_missing_feature": int(dropped)}
-    pol.update(_fit_linear(usable, features, label))
-    fmap = {f: f for f in features}
-    prob = K.fused_score(fmap, pol)
-    pol["threshold_high"], pol["threshold_medium"] = _thresholds(usable, prob, label,
-                                                                 (HIGH_FPR_BUDGET, MEDIUM_FPR_BUDGET))
-    if class_col and classes:
-        def fit_class(c):
-            part = usable.where((F.col(label) == 0) | (F.col(class_col) == c)) \
-                .withColumn("__y", (F.col(class_col) == c).cast("int"))
-            if part.where("__y = 1").limit(1).count() == 0:
-                return c, None
-            p = _fit_linear(part, features, "__y")
-            pc_prob = K.fused_score(fmap, dict(pol, **p))
-            hi, md = _thresholds(part, pc_prob, "__y", (PER_CLASS_HIGH_FPR_BUDGET, PER_CLASS_MEDIUM_FPR_BUDGET))
-            return c, dict(p, threshold_high=hi, threshold_medium=md)
-        with ThreadPoolExecutor(FIT_PARALLELISM) as ex:
-            fitted = list(ex.map(fit_class, classes))
-        pol["per_class"] = {c: p for c, p in fitted if p is not None}
+    names = list(classes or []) if class_col else []
+    one = lambda i, c: F.when((F.col("__y") == 0) | (F.col("__cls") == c), NW.member(i, F.coalesce(F.col("__cls") == c, F.lit(False))))
+    members = F.array_compact(F.array(NW.member(0, "__y"), *[one(i + 1, c) for i, c in enumerate(names)]))
+    fits = NW.fit_groups(usable, features, members)
+    if 0 not in fits:
+        raise ValueError("a fit needs rows of both labels")
+    thr = _thresholds(NW.member_scores(usable, fits, features, members, []),
+                      [HIGH_FPR_BUDGET, MEDIUM_FPR_BUDGET, PER_CLASS_HIGH_FPR_BUDGET, PER_CLASS_MEDIUM_FPR_BUDGET])
+    describe = lambda f: {"n_rows": f.n, "n_positive": f.n_pos, "gradient_norm": f.gradient, "rounds": f.rounds}
+    pol = {"version": 2, "feature_order": list(features), "rows_dropped_missing_feature": int(dropped), **fits[0].policy(),
+           "threshold_high": thr[0][0], "threshold_medium": thr[0][1], "training": describe(fits[0])}
+    if names:
+        pol["per_class"] = {c: {**fits[i + 1].policy(), "threshold_high": thr[i + 1][2], "threshold_medium": thr[i + 1][3], "training": describe(fits[i + 1])}
+                            for i, c in enumerate(names) if i + 1 in fits}
     return pol
 
 
-def oof_scores(df: DataFrame, features: list[str], label: str, id_col: str, k: int = 5, seed: int = 42,
-               folded: DataFrame | None = None) -> DataFrame:
+def oof_table(df: DataFrame, configs: list[tuple[str, list[str]]], label: str, id_col: str, k: int = 5, seed: int = 42) -> tuple[DataFrame, dict]:
+    """Out-of-fold scores of several feature sets.  Group ``c * k + j``
+    is set ``c`` trained without fold ``j``; all of them are fitted together
+    and one table ``(config, id, label, fold, score)`` holds their scores.
+    Returns it with the fits."""
+    features = sorted({f for _, fs in configs for f in fs})
+    folded = cut_lineage(EV.kfold(df.dropna(subset=features), id_col, label, k, seed).select(id_col, label, "fold", *features))
+    groups = [(c, j) for c in range(len(configs)) for j in range(k)]
+    train = F.filter(F.array(*[NW.member(c * k + j, label) for c, j in groups]), lambda m: F.pmod(m["g"], F.lit(k)) != F.col("fold"))
+    fits = NW.fit_groups(folded, features, train, {c * k + j: [f for f in features if f not in configs[c][1]] for c, j in groups})
+    test = F.transform(F.array(*[F.lit(c) for c in range(len(configs))]),
+                       lambda c: F.struct((c * k + F.col("fold")).cast("int").alias("g"), F.col(label).cast("int").alias("y")))
+    s = NW.member_scores(folded, fits, features, test, [id_col, label, "fold"])
+    name = F.element_at(F.array(*[F.lit(n) for n, _ in configs]), (F.floor(F.col("__g") / k) + 1).cast("int"))
+    return s.select(name.alias("config"), id_col, label, "fold", "score"), fits
+
+
+def oof_scores(df: DataFrame, features: list[str], label: str, id_col: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Stratified hash folds; each fold is scored by a model fitted on
-    the other folds (compiled to a column expression).  Returns
-    ``(id, label, fold, score)``."""
-    if folded is None:
-        folded = EV.kfold(df.dropna(subset=features), id_col, label, k, seed)
-    fmap = {f: f for f in features}
+    the other folds.  Returns ``(id, label, fold, score)``."""
+    return oof_table(df, [("all", features)], label, id_col, k, seed)[0].drop("config")
+
 
-    def fold(i):
-        pol = dict(feature_order=features, **_fit_linear(folded.where(F.col("fold") != i), features, label))
-        return folded.where(F.col("fold") == i).select(id_col, label, "fold", K.fused_score(fmap, pol).alias("score"))
-    with ThreadPoolExecutor(FIT_PARALLELISM) as ex:
-        parts = list(ex.map(fold, range(k)))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+def feature_sets(features: list[str]) -> list[tuple[str, list[str]]]:
+    """All features, and all without each one."""
+    return [("all", list(features))] + [(f"without_{f}", [g for g in features if g != f]) for f in features]
 
 
 def marginal_value(df: DataFrame, features: list[str], label: str, id_col: str, k: int = 5) -> DataFrame:
     """Out-of-fold AUC with every feature, and without each one."""
-    configs = [("all", features)] + [(f"without_{f}", [g for g in features if g != f]) for f in features]
-    # one fold assignment for every configuration, written once
-    folded = cut_lineage(EV.kfold(df.dropna(subset=features), id_col, label, k))
-    def one(cfg):
-        name, fs = cfg
-        s = oof_scores(df, fs, label, id_col, k, folded=folded)
-        return roc.auc(roc.score_table(s, "score", label)).select(F.lit(name).alias("config"), "auc", "n_pos", "n_neg")
-    with ThreadPoolExecutor(2) as ex:
-        parts = list(ex.map(one, configs))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    scores, _ = oof_table(df, feature_sets(features), label, id_col, k)
+    return roc.auc(roc.score_table(scores, "score", label, ["config"]), ["config"]).select("config", "auc", "n_pos", "n_neg")
 
 
 def hashed_tfidf_embedder(text_col: str = "text", num_features: int = 1 << 14, ngram_pattern: str = r"\W+"

@@ -19,11 +19,16 @@ SELECT rid AS event_id, coalesce(epoch_us(ts) - epoch_us(lt) < {TTL_US}, false)
        CASE WHEN epoch_us(ts) - epoch_us(lt) < {TTL_US} THEN le END AS origin_id FROM w WHERE kind = 1"""
 
 FUZZY = f"""
-WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-p AS (SELECT x.vec_id, y.vec_id AS nn_id, list_cosine_similarity(x.v, y.v) AS sim,
-             row_number() OVER (PARTITION BY x.vec_id ORDER BY list_cosine_similarity(x.v, y.v) DESC, y.vec_id) AS rn
-      FROM e x JOIN e y ON x.label >= 5 AND y.label < 5)
-SELECT vec_id, nn_id, round(sim, 6) AS sim, sim > {Q.FUZZY_THRESHOLD} AS hit FROM p WHERE rn = 1"""
+WITH {o_vectors.PHRASES_CTE},
+c AS (SELECT f.vec_id, f.v, ev.ts FROM ph f JOIN events ev ON ev.event_id = f.vec_id WHERE f.vec_id >= 0),
+q AS (SELECT f.vec_id, f.v, ev.ts + to_hours(CAST(((-1 - f.vec_id) * {Q.ASK_STEP}) % {Q.ASK_HOURS} - {Q.ASK_BEFORE} AS INTEGER)) AS ts
+      FROM ph f JOIN events ev ON ev.event_id = -1 - f.vec_id WHERE f.vec_id < 0),
+p AS (SELECT q.vec_id, c.vec_id AS nn_id, c.ts AS cached_at, q.ts, list_cosine_similarity(q.v, c.v) AS sim,
+             row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, c.v) DESC, c.vec_id) AS rn
+      FROM q JOIN c ON c.ts <= q.ts AND list_cosine_similarity(q.v, c.v) > {C.CACHE_SIMILARITY_THRESHOLD}),
+b AS (SELECT * FROM p WHERE rn = 1)
+SELECT q.vec_id, b.nn_id, round(b.sim, 6) AS sim, coalesce(epoch_us(b.ts) - epoch_us(b.cached_at) < {TTL_US}, false) AS hit,
+       coalesce(epoch_us(b.ts) - epoch_us(b.cached_at) >= {TTL_US}, false) AS expired FROM q LEFT JOIN b ON b.vec_id = q.vec_id"""
 
 SPEEDUP = f"""
 {o_ops.REUSE.replace("SELECT event_id, h AS prompt_hash, hit, origin AS origin_id FROM r", ", res AS (SELECT event_id, hit, origin AS origin_id FROM r)").replace("WITH RECURSIVE", "WITH RECURSIVE", 1)}
@@ -129,8 +134,10 @@ SELECT doc_id, attack_class FROM (
   FROM suite) WHERE attack_class NOT IN ('benign', 'harmful_content') OR rn <= 40"""
 
 TOP_COLLISIONS = f"""
-WITH {o_vectors.NN_CTE}
-SELECT vec_id, nn_id, round(sim, 6) AS sim FROM nn ORDER BY sim DESC, vec_id LIMIT 8"""
+WITH {o_vectors.PHRASES_CTE},
+{o_vectors.PHRASES_NN}
+SELECT vec_id, nn_id, round(sim, 6) AS sim, label, nn_label FROM nn WHERE sim >= {Q.COLLISION_REPORT} AND label <> nn_label
+ORDER BY round(sim, 6) DESC, vec_id LIMIT 8"""
 
 ORACLE = {
     "run_summary": RUN_SUMMARY,

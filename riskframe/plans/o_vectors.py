@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from riskframe import config as C
 from riskframe.operators.cascade import load_policy
-from riskframe.plans.q_vectors import CLASS_LABELS, DOMAIN_LABEL, EDU_LABELS, META_LABELS, SWEEP_THRESHOLDS
+from riskframe.plans.q_vectors import CLASS_LABELS, DOMAIN_LABEL, EDU_LABELS, META_LABELS, REWORDED
 
 R = 6
 
@@ -56,10 +56,21 @@ NN = f"""
 WITH {NN_CTE}
 SELECT vec_id, nn_id, round(sim, {R}) AS sim, label = nn_label AS same_label FROM nn"""
 
+PHRASES_CTE = f"""e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ph AS (SELECT vec_id, label, v FROM e UNION ALL
+       SELECT -1 - vec_id, CASE WHEN vec_id % 3 = 0 THEN (label + 1) % 10 ELSE label END,
+              list_transform(v, lambda x, i: x * (1 + {REWORDED}[CAST(vec_id % {len(REWORDED)} + 1 AS INTEGER)] * CASE WHEN i % 2 = 1 THEN 1.0 ELSE -1.0 END)) FROM e)"""
+
+PHRASES_NN = """p AS (SELECT x.vec_id, x.label, y.vec_id AS nn_id, y.label AS nn_label, list_cosine_similarity(x.v, y.v) AS sim,
+             row_number() OVER (PARTITION BY x.vec_id ORDER BY list_cosine_similarity(x.v, y.v) DESC, y.vec_id) AS rn
+      FROM ph x JOIN ph y ON x.vec_id <> y.vec_id),
+nn AS (SELECT * FROM p WHERE rn = 1)"""
+
 COLLISION = f"""
-WITH {NN_CTE},
-t AS (SELECT unnest({[float(x) for x in SWEEP_THRESHOLDS]}::DOUBLE[]) AS threshold),
-n AS (SELECT count(*) AS n FROM embeddings),
+WITH {PHRASES_CTE},
+{PHRASES_NN},
+t AS (SELECT unnest({[float(x) for x in C.COLLISION_THRESHOLDS]}::DOUBLE[]) AS threshold),
+n AS (SELECT count(*) AS n FROM ph),
 agg AS (SELECT threshold, CAST(count(*) FILTER (WHERE sim >= threshold) AS BIGINT) AS n_hits,
                CAST(count(*) FILTER (WHERE sim >= threshold AND label = nn_label) AS BIGINT) AS n_same
         FROM t CROSS JOIN nn GROUP BY threshold)

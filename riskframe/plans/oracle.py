@@ -71,3 +71,7 @@ ORACLE.update(o_fields.ORACLE)
 from riskframe.plans import o_assess  # noqa: E402
 
 ORACLE.update(o_assess.ORACLE)
+
+from riskframe.plans import o_learn  # noqa: E402
+
+ORACLE.update(o_learn.ORACLE)

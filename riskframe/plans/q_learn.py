@@ -1,4 +1,4 @@
-"""Fitting queries (rows-only checks: iterative optimisers have no SQL form).
+"""Fitting queries.
 
 Bindings: fusion features are the per-class anchor similarities of
 :mod:`q_vectors` with class = the anchor group of the vector's label; the
@@ -25,6 +25,11 @@ def _signals(spark, sf_dir):
     return s.withColumn("attack_class", cls)
 
 
+# a fit is done when no component of its penalised gradient exceeds this
+GRADIENT_LIMIT = 1e-6
+FOLDS = 5
+
+
 def fusion_policy_fit(spark, sf_dir):
     """The fitted artifact as rows (one per class and feature)."""
     s = _signals(spark, sf_dir)
@@ -32,15 +37,27 @@ def fusion_policy_fit(spark, sf_dir):
     rows = []
     parts = [("global", pol)] + list((pol.get("per_class") or {}).items())
     for name, p in parts:
-        for f, mu, sc, w in zip(FEATURES, p["scaler_mean"], p["scaler_scale"], p["coefficients"]):
-            rows.append((name, f, mu, sc, w, p["intercept"], p["threshold_high"], p["threshold_medium"]))
-    return spark.createDataFrame(rows, "policy string, feature string, mean double, scale double, coef double, "
-                                       "intercept double, threshold_high double, threshold_medium double")
+        t = p["training"]
+        for f, mu, sc, w in zip(FEATURES, p["scaler_mean"], p["scaler_scale"], p["coefficients"], strict=True):
+            rows.append((name, f, *[round(x, 6) for x in (mu, sc, w, p["intercept"], p["threshold_high"], p["threshold_medium"])],
+                         t["n_rows"], t["n_positive"], t["gradient_norm"] <= GRADIENT_LIMIT))
+    return spark.createDataFrame(rows, "policy string, feature string, mean double, scale double, coef double, intercept double, "
+                                       "threshold_high double, threshold_medium double, n_rows long, n_positive long, converged boolean")
 
 
 def oof_fusion_auc(spark, sf_dir):
     """E12 + E24: out-of-fold AUC with all features and without each one."""
-    return learn.marginal_value(_signals(spark, sf_dir), FEATURES, "attack", "vec_id", k=5)
+    m = learn.marginal_value(_signals(spark, sf_dir), FEATURES, "attack", "vec_id", k=FOLDS)
+    return m.select("config", F.round("auc", 6).alias("auc"), "n_pos", "n_neg")
+
+
+def oof_fit_report(spark, sf_dir):
+    """The training rows of every feature set and fold, and whether the
+    fits, made together, reached the optimum of their penalised loss."""
+    sets = learn.feature_sets(FEATURES)
+    _, fits = learn.oof_table(_signals(spark, sf_dir), sets, "attack", "vec_id", FOLDS)
+    rows = [(sets[g // FOLDS][0], g % FOLDS, f.n, f.n_pos, round(float(f.theta[0]), 6), f.gradient <= GRADIENT_LIMIT, f.rounds <= 15) for g, f in fits.items()]
+    return spark.createDataFrame(rows, "config string, fold int, n_rows long, n_positive long, intercept double, converged boolean, few_rounds boolean")
 
 
 def text_classifier_holdout_auc(spark, sf_dir):
@@ -57,5 +74,6 @@ def text_classifier_holdout_auc(spark, sf_dir):
 QUERIES = {
     "fusion_policy_fit": fusion_policy_fit,
     "oof_fusion_auc": oof_fusion_auc,
+    "oof_fit_report": oof_fit_report,
     "text_classifier_holdout_auc": text_classifier_holdout_auc,
 }

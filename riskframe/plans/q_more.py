@@ -1,8 +1,8 @@
 """Cache lookups, cascade impact reports and remaining counters.
 
 Bindings: ``events`` of type ``view`` are verdict-cache writes keyed by
-``user_id`` and the other events are lookups (J9); embeddings with labels
-0-4 form the cached prompt vectors and labels 5-9 the incoming ones (J10);
+``user_id`` and the other events are lookups (J9); embeddings are the cached
+prompt vectors and their reworded twins the incoming ones (J10);
 the TTL-reuse fold over ``events`` pairs warm hits with their cold origin
 (J13).  Other bindings are those of :mod:`q_vectors`, :mod:`q_ops` and
 :mod:`q_detect`.
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from riskframe import config as C
 from riskframe.operators import cascade as K
 from riskframe.operators import folds, lookup, metrics, roc
+from riskframe.operators import similar as S
 from riskframe.operators import vectors as V
 from riskframe.plans import q_detect, q_ops, q_vectors
 from riskframe.sources.tables import table
@@ -31,17 +32,33 @@ def exact_cache_lookup(spark, sf_dir):
     return lookup.asof_cache_lookup(reqs, writes, "user_id", "ts", "event_id", "event_id", C.CACHE_TTL_SECONDS)
 
 
-# bound below the production threshold (0.99), which no test pair reaches
-FUZZY_THRESHOLD = 0.3
+# asks of the reworded twins come this many hours after (or before) the
+# verdict of their vector was cached: in time, too late, or too early
+ASK_HOURS, ASK_STEP, ASK_BEFORE = 36, 7, 4
+
+
+def cache_entries(spark, sf_dir):
+    """``vec_id, embedding, ts``: a verdict per vector, cached at the time of
+    the event with its number."""
+    ev = table(spark, sf_dir, "events").select(F.col("event_id").alias("vec_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").join(ev, "vec_id")
 
 
 def fuzzy_cache_lookup(spark, sf_dir):
-    emb = table(spark, sf_dir, "embeddings")
-    cached = emb.where(F.col("label") < 5)
-    incoming = emb.where(F.col("label") >= 5)
-    nn = V.nearest_between(incoming, cached, "vec_id", "embedding")
-    return nn.select("vec_id", "nn_id", F.round("sim", 6).alias("sim"),
-                     (F.col("sim") > FUZZY_THRESHOLD).alias("hit"))
+    """The most similar verdict cached before the request is reused if
+    its cosine is above the threshold and it is within its TTL; an expired
+    best match is a miss."""
+    cached = cache_entries(spark, sf_dir)
+    hours = F.pmod(F.col("vec_id") * ASK_STEP, F.lit(ASK_HOURS)) - ASK_BEFORE
+    asked = cached.select((-1 - F.col("vec_id")).alias("vec_id"), (F.col("ts") + F.make_dt_interval(hours=hours.cast("int"))).alias("ts"))
+    asks = q_vectors.reworded(table(spark, sf_dir, "embeddings")).drop("label").join(asked, "vec_id")
+    index = S.sphere_index(S.unit_rows(cached, "vec_id", "embedding", "ts"))
+    nn = S.nearest_within(index, S.unit_rows(asks, "vec_id", "embedding", "ts"), C.CACHE_SIMILARITY_THRESHOLD, strict=True, as_of=True)
+    j = (asked.join(nn.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+         .join(cached.select(F.col("vec_id").alias("nn_id"), F.col("ts").alias("cached_at")), "nn_id", "left"))
+    live = F.unix_micros("ts") - F.unix_micros("cached_at") < int(round(C.CACHE_TTL_SECONDS * 1_000_000))
+    return j.select("vec_id", "nn_id", F.round("sim", 6).alias("sim"), F.coalesce(live, F.lit(False)).alias("hit"),
+                    F.coalesce(~live, F.lit(False)).alias("expired"))
 
 
 def cache_speedup(spark, sf_dir):
@@ -173,11 +190,16 @@ def stratified_sample(spark, sf_dir):
     return corpus.capped_sample(s, "attack_class", "doc_id", {"benign": 40, "harmful_content": 40}, seed=3)
 
 
+COLLISION_REPORT = 0.95
+
+
 def top_collisions(spark, sf_dir):
-    """L3: the eight most similar nearest-neighbour pairs (a top-k report)."""
-    emb = table(spark, sf_dir, "embeddings")
-    nn = V.nearest_neighbour(emb, "vec_id", "embedding")
-    return nn.orderBy(F.desc("sim"), "vec_id").limit(8).select("vec_id", "nn_id", F.round("sim", 6).alias("sim"))
+    """L3: the eight most similar nearest-neighbour pairs at or above 0.95
+    whose labels differ (a top-k report)."""
+    vectors = q_vectors.phrases(spark, sf_dir)
+    nn = q_vectors.with_label(S.nearest_other(vectors, "vec_id", "embedding", COLLISION_REPORT), vectors)
+    return nn.where("label <> nn_label").select("vec_id", "nn_id", F.round("sim", 6).alias("sim"), "label", "nn_label") \
+        .orderBy(F.desc("sim"), "vec_id").limit(8)
 
 
 QUERIES = {

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from riskframe import config as C
 from riskframe.operators import cascade as K
 from riskframe.operators import evaluate as EV
+from riskframe.operators import similar as S
 from riskframe.operators import vectors as V
 from riskframe.session import cut_lineage
 from riskframe.sources.tables import table
@@ -87,25 +88,47 @@ def centroid_similarity(spark, sf_dir):
                     F.round(V.dot(V.l2_normalize(v), "ncentroid"), ROUND).alias("unit_centroid_dot"))
 
 
+def with_label(nn, vectors):
+    """Adds the labels of both ends of ``vec_id, nn_id`` pairs."""
+    lab = vectors.select("vec_id", "label")
+    return nn.join(lab, "vec_id").join(lab.select(F.col("vec_id").alias("nn_id"), F.col("label").alias("nn_label")), "nn_id")
+
+
 def nearest_neighbour(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")
-    nn = V.nearest_neighbour(emb, "vec_id", "embedding", extra=["label"])
+    nn = with_label(S.nearest_other(emb, "vec_id", "embedding"), emb)
     return nn.select("vec_id", "nn_id", F.round("sim", ROUND).alias("sim"),
                      (F.col("label") == F.col("nn_label")).alias("same_label"))
 
 
-# the nearest pairs of the test vectors have cosines up to about 0.5: lower
-# thresholds are swept too, so that hits and disagreements occur
-SWEEP_THRESHOLDS = [0.2, 0.3, 0.4, 0.45, *C.COLLISION_THRESHOLDS]
+# a reworded twin of every vector: alternate components grow and shrink by an
+# amount chosen by the id, so that pairs lie above each threshold of the sweep
+REWORDED = [0.0, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.45]
+
+
+def reworded(emb):
+    """The twins, with ids ``-1 - vec_id``; one in three has another label."""
+    amount = F.element_at(F.array(*[F.lit(x) for x in REWORDED]), (F.pmod("vec_id", F.lit(len(REWORDED))) + 1).cast("int"))
+    # a column of its own: inside a lambda, ``vec_id`` would be the new one
+    x = emb.withColumn("amount", amount)
+    bent = F.transform(V.as_double_array("embedding"), lambda x, i: x * (1 + F.col("amount") * F.when(i % 2 == 0, 1.0).otherwise(-1.0)))
+    label = F.when(F.pmod("vec_id", F.lit(3)) == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return x.select((-1 - F.col("vec_id")).alias("vec_id"), bent.alias("embedding"), label.cast("long").alias("label"))
+
+
+def phrases(spark, sf_dir):
+    """All vectors and their twins."""
+    emb = table(spark, sf_dir, "embeddings")
+    return emb.select("vec_id", V.as_double_array("embedding").alias("embedding"), F.col("label").cast("long").alias("label")).unionByName(reworded(emb))
 
 
 def collision_sweep(spark, sf_dir):
     """At each threshold, nearest-neighbour pairs at or above it and
     the share whose labels agree/disagree (unsafe when >1% disagree)."""
-    emb = table(spark, sf_dir, "embeddings")
-    nn = V.nearest_neighbour(emb, "vec_id", "embedding", extra=["label"])
-    n = emb.count()
-    thr = F.explode(F.array(*[F.lit(float(t)) for t in SWEEP_THRESHOLDS])).alias("threshold")
+    vectors = phrases(spark, sf_dir)
+    nn = with_label(S.nearest_other(vectors, "vec_id", "embedding", min(C.COLLISION_THRESHOLDS)), vectors)
+    n = vectors.count()
+    thr = F.explode(F.array(*[F.lit(float(t)) for t in C.COLLISION_THRESHOLDS])).alias("threshold")
     x = nn.select(thr, "sim", (F.col("label") == F.col("nn_label")).alias("same"))
     agg = x.groupBy("threshold").agg(F.count_if(F.col("sim") >= F.col("threshold")).alias("n_hits"),
                                      F.count_if((F.col("sim") >= F.col("threshold")) & F.col("same")).alias("n_same"))
