@@ -66,23 +66,34 @@ def score_long(df: DataFrame, id_col: str, detectors: list[Detector], text_col:
 
 
 def _score_texts(fn, texts: pd.Series, tries: int = 1) -> pd.Series:
-    """Scores of a batch; when the batch call fails, or leaves rows without a
-    score, those rows are scored one by one (up to ``tries`` calls each).  A
+    """Scores of a batch.  When the call fails the batch is halved, down to
+    single rows, so a few bad rows cost a few extra calls; a single row, and
+    a row that a call left without a score, gets up to ``tries`` calls.  A
     row that still fails has NaN."""
-    try:
-        s = pd.to_numeric(pd.Series(list(fn(texts)), index=texts.index), errors="coerce").astype("float64")
-    except Exception:  # noqa: BLE001 - the rows are tried one by one
-        s = pd.Series(float("nan"), index=texts.index, dtype="float64")
-    for i in s.index[s.isna()]:
-        for _ in range(tries):
-            try:
-                v = float(next(iter(fn(texts.loc[[i]]))))
-            except Exception:  # noqa: BLE001 - retried, then left unscored
-                continue
-            if v == v:
-                s.loc[i] = v
-                break
-    return s
+    out = pd.Series(float("nan"), index=texts.index, dtype="float64")
+
+    def call(part: pd.Series):
+        try:
+            return pd.to_numeric(pd.Series(list(fn(part)), index=part.index), errors="coerce").astype("float64")
+        except Exception:  # noqa: BLE001 - smaller calls follow
+            return None
+
+    parts = [(texts, 1)] if len(texts) else []
+    while parts:
+        part, attempt = parts.pop()
+        s = call(part)
+        if s is None and len(part) > 1:
+            half = len(part) // 2
+            parts += [(part.iloc[half:], 1), (part.iloc[:half], 1)]
+            continue
+        if s is not None:
+            out.loc[part.index] = s
+        missing = part.index if s is None else s.index[s.isna()]
+        if len(part) > 1:
+            parts += [(part.loc[[i]], 1) for i in missing]
+        elif len(missing) and attempt < tries:
+            parts.append((part, attempt + 1))
+    return out
 
 
 def model_scores(df: DataFrame, id_col: str, text_col: str, det: Detector) -> DataFrame:
@@ -155,6 +166,46 @@ def incremental_score(suite: DataFrame, store_path: str, id_col: str, det: Detec
     return n
 
 
+CHUNK_ROWS = 1_000_000
+
+
+def incremental_run(suite: DataFrame, store, id_col: str, det: Detector, run: str, text_col: str = "text", max_tries: int = 3,
+                    abort_after: int = 15, chunk_rows: int = CHUNK_ROWS) -> int:
+    """K4 into a :class:`~riskframe.sources.runs.RunStore`: the rows the
+    store lacks are scored chunk by chunk (a chunk is a hash class of the
+    ids, so a retried run cuts the same chunks) and each chunk commits by
+    itself.  A run started again under its name skips committed chunks and
+    overwrites the others.  Rows that fail stay to do; when the last chunks
+    had ``abort_after`` rows or more and not one of them succeeded, the model
+    is down: :class:`ModelDown` is raised, earlier chunks stay committed.
+    Returns the rows committed by this call."""
+    import time
+    spark = suite.sparkSession
+    done = store.read(spark, [det.name])
+    work = suite.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(done.select("id"), "id", "left_anti")
+    chunks = store.chunks(spark, run, max(1, -(-work.count() // chunk_rows)))
+    fn = det.batch_fn
+
+    def score(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "score": _score_texts(fn, pdf["text"], max_tries)})
+
+    added = failed_in_a_row = 0
+    for k in range(chunks):
+        if store.committed(spark, run, k, det.name):
+            continue
+        started = time.time()
+        part = work.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == k).mapInPandas(score, "id long, score double")
+        ok, failed = store.write(part.withColumn("score", F.nanvl("score", F.lit(None).cast("double"))), run, k, det.name)
+        failed_in_a_row = 0 if ok else failed_in_a_row + failed
+        if ok:
+            store.commit(spark, run, k, det.name, ok, failed, started)
+            added += ok
+        elif failed_in_a_row >= abort_after:
+            raise ModelDown(f"{det.name}: the last {failed_in_a_row} rows failed after {max_tries} attempts each")
+    return added
+
+
 def todo(suite: DataFrame, store: DataFrame, id_col: str, detector: str) -> DataFrame:
     """Suite rows without a score from ``detector`` (left anti join)."""
     done = store.where(F.col("detector") == detector).select(F.col("id").alias(id_col))

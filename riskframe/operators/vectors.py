@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,13 +94,38 @@ def max_anchor_similarity(vec, anchors: list, clamp_at_zero: bool = False, empty
 def centroids(df: DataFrame, group: str, vec: str, normalize: bool = False) -> DataFrame:
     """Element-wise mean vector per group (``normalize`` -> unit length).
 
-    ``posexplode`` + ``groupBy(group, pos).avg`` is a partial aggregate (a hot
-    group is summed map-side); the per-group arrays are then reassembled
-    from at most ``dim`` rows each."""
-    e = df.select(group, F.posexplode(as_double_array(vec)).alias("pos", "x"))
-    comp = e.groupBy(group, "pos").agg(F.avg("x").alias("x"))
-    cen = comp.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("__c")) \
-        .select(group, F.transform("__c", lambda s: s["x"]).alias("centroid"))
+    Every task adds up its vectors by group with numpy and emits one partial
+    sum per group it saw; the partial sums of a group (one per task at most)
+    are added in a second step, so a hot group is summed where its rows are
+    and no row per component is made.  Rows with a null vector are left out."""
+    kind = df.schema[group].dataType.simpleString()
+    src = df.where(F.col(vec).isNotNull()).select(F.col(group).alias("__g"), as_double_array(vec).alias("__v"))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            coded = pa.compute.dictionary_encode(b.column(0), null_encoding="encode")
+            at = coded.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(at, kind="stable")
+            first = np.flatnonzero(np.diff(at[order], prepend=-1))
+            part = np.add.reduceat(x[order], first, axis=0)
+            n = np.diff(np.append(first, len(at)))
+            for i, g in enumerate(coded.dictionary.take(pa.array(at[order][first])).to_pylist()):
+                s, c = sums.get(g, (0.0, 0))
+                sums[g] = (s + part[i], c + int(n[i]))
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), coded.dictionary.type), pa.array([s.tolist() for s, _ in sums.values()], pa.list_(pa.float64())),
+                                              pa.array([c for _, c in sums.values()], pa.int64())], ["g", "s", "n"])
+
+    def total(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        mean = np.sum(np.vstack(rows["s"].to_numpy()), axis=0) / rows["n"].sum()
+        return pd.DataFrame({group: [key[0]], "centroid": [mean.tolist()]})
+
+    parts = src.mapInArrow(partial, f"g {kind}, s array<double>, n long")
+    cen = parts.groupBy("g").applyInPandas(total, f"`{group}` {kind}, centroid array<double>")
     if normalize:
         cen = cen.withColumn("centroid", l2_normalize("centroid"))
     return cen

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from riskframe import config as C
-from riskframe.plans import o_ops, o_vectors
+from riskframe.plans import o_ops, o_stores, o_vectors
 from riskframe.plans import q_more as Q
 from riskframe.plans.o_detect import SUITE, auc_sql, recall_sql
 
@@ -106,7 +106,9 @@ j AS (SELECT q.*, k.c_custkey IS NOT NULL AS authenticated FROM q LEFT JOIN k ON
 SELECT 'rate_limited' AS counter, CAST(authenticated AS VARCHAR) AS label, CAST(count(*) AS BIGINT) AS n FROM j WHERE NOT allowed GROUP BY authenticated
 UNION ALL SELECT 'requests', CAST(authenticated AS VARCHAR), CAST(count(*) AS BIGINT) FROM j GROUP BY authenticated
 UNION ALL SELECT 'unknown_source', substr(coalesce(source, 'None'), 1, {C.UNKNOWN_SOURCE_TRUNCATE}), CAST(count(*) AS BIGINT)
-  FROM v WHERE source IS NULL OR source NOT IN {o_ops.KNOWN} GROUP BY 2"""
+  FROM v WHERE source IS NULL OR source NOT IN {o_ops.KNOWN} GROUP BY 2
+UNION ALL SELECT 'timeouts', endpoint, n_timeouts FROM ({o_stores.TIMEOUTS})
+UNION ALL SELECT 'judge_invocations', 'judge', count(*) FROM ({o_stores.CONFIRMED}) WHERE confirmation <> 'unverified'"""
 
 RUN_SUMMARY = f"""
 WITH {o_vectors.SIG},

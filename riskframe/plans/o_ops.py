@@ -150,13 +150,13 @@ FROM w GROUP BY ALL"""
 RATE_DIM = f"""
 WITH {VLOG},
 s AS (SELECT *, CASE WHEN source IN {KNOWN} THEN source ELSE 'other' END AS ssource FROM v),
-w AS (SELECT time_bucket(INTERVAL '1 minute', ts) - to_minutes(k) AS ws, decision, ssource, tenant
+w AS (SELECT time_bucket(INTERVAL '1 minute', ts) - to_minutes(k) AS ws, decision, ssource, tenant, event_type
       FROM s, (SELECT unnest(range(0, 5)) AS k)),
-g AS (SELECT ws, decision, ssource, tenant, GROUPING(ws, decision, ssource, tenant) AS gid, count(*) AS n
-      FROM w GROUP BY GROUPING SETS ((ws, decision), (ws, ssource), (ws, tenant)))
+g AS (SELECT ws, decision, ssource, tenant, event_type, GROUPING(ws, decision, ssource, tenant, event_type) AS gid, count(*) AS n
+      FROM w GROUP BY GROUPING SETS ((ws, decision), (ws, ssource), (ws, tenant), (ws, event_type)))
 SELECT ws AS window_start,
-       CASE WHEN gid = 3 THEN 'decision' WHEN gid = 5 THEN 'source' ELSE 'tenant' END AS dimension,
-       CASE WHEN gid = 3 THEN decision WHEN gid = 5 THEN ssource ELSE tenant END AS value,
+       CASE gid WHEN 7 THEN 'decision' WHEN 11 THEN 'source' WHEN 13 THEN 'tenant' ELSE 'endpoint' END AS dimension,
+       CASE gid WHEN 7 THEN decision WHEN 11 THEN ssource WHEN 13 THEN tenant ELSE event_type END AS value,
        CAST(n AS BIGINT) AS n, round(n / 300.0, 9) AS rate FROM g"""
 
 CONC = """

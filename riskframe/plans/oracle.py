@@ -75,3 +75,7 @@ ORACLE.update(o_assess.ORACLE)
 from riskframe.plans import o_learn  # noqa: E402
 
 ORACLE.update(o_learn.ORACLE)
+
+from riskframe.plans import o_stores  # noqa: E402
+
+ORACLE.update(o_stores.ORACLE)

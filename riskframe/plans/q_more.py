@@ -19,6 +19,7 @@ from riskframe.operators import folds, lookup, metrics, roc
 from riskframe.operators import similar as S
 from riskframe.operators import vectors as V
 from riskframe.plans import q_detect, q_ops, q_vectors
+from riskframe.plans.q_stores import confirmed_verdicts, request_timeouts
 from riskframe.sources.tables import table
 
 BENIGN_CAP = 150
@@ -162,7 +163,10 @@ def event_counters(spark, sf_dir):
         .agg(F.count(F.lit(1)).alias("n")).withColumn("counter", F.lit("requests"))
     unk = metrics.unknown_sources(q_ops._verdict_log(spark, sf_dir)).select(
         F.col("source").alias("label"), "n").withColumn("counter", F.lit("unknown_source"))
-    return reduce(lambda a, b: a.unionByName(b), [limited, reqs, unk]).select("counter", "label", "n")
+    late = request_timeouts(spark, sf_dir).select(F.col("endpoint").alias("label"), F.col("n_timeouts").alias("n")).withColumn("counter", F.lit("timeouts"))
+    judged = confirmed_verdicts(spark, sf_dir).where("confirmation <> 'unverified'").groupBy(F.lit("judge").alias("label")) \
+        .agg(F.count(F.lit(1)).alias("n")).withColumn("counter", F.lit("judge_invocations"))
+    return reduce(lambda a, b: a.unionByName(b), [limited, reqs, unk, late, judged]).select("counter", "label", "n")
 
 
 def run_summary(spark, sf_dir):

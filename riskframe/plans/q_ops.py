@@ -163,13 +163,16 @@ def rate_5m(spark, sf_dir):
 
 def rate_5m_by_dimension(spark, sf_dir):
     """T5 dashboard rates: per sliding 5-minute window, events per second by
-    decision, by (bounded) source and by tenant — one grouping-sets pass."""
-    v = _verdict_log(spark, sf_dir).withColumn("source", metrics.safe_source("source")) \
+    decision, by (bounded) source, by tenant and by endpoint (the event
+    type) — one grouping-sets pass."""
+    v = _verdict_log(spark, sf_dir).withColumn("source", metrics.safe_source("source")).withColumn("endpoint", F.col("event_type")) \
         .withColumn("w", F.window("ts", "5 minutes", "1 minute").start)
-    g = v.groupingSets([["w", "decision"], ["w", "source"], ["w", "tenant"]], "w", "decision", "source", "tenant") \
-        .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
-    dim = F.when(F.col("gid") == 3, "decision").when(F.col("gid") == 5, "source").otherwise("tenant")
-    val = F.when(F.col("gid") == 3, F.col("decision")).when(F.col("gid") == 5, F.col("source")).otherwise(F.col("tenant"))
+    dims = ["decision", "source", "tenant", "endpoint"]
+    g = v.groupingSets([["w", d] for d in dims], "w", *dims).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
+    # the grouping id has a bit per column that is not grouped by
+    only = lambda i: F.col("gid") == 15 - (8 >> i)
+    dim = F.when(only(0), dims[0]).when(only(1), dims[1]).when(only(2), dims[2]).otherwise(dims[3])
+    val = F.when(only(0), F.col(dims[0])).when(only(1), F.col(dims[1])).when(only(2), F.col(dims[2])).otherwise(F.col(dims[3]))
     return g.select(F.col("w").cast("timestamp").alias("window_start"), dim.alias("dimension"), val.alias("value"),
                     "n", F.round(F.col("n") / 300.0, 9).alias("rate"))
 

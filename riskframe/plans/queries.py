@@ -70,3 +70,7 @@ QUERIES.update(q_assess.QUERIES)
 from riskframe.plans import q_fields  # noqa: E402
 
 QUERIES.update(q_fields.QUERIES)
+
+from riskframe.plans import q_stores  # noqa: E402
+
+QUERIES.update(q_stores.QUERIES)

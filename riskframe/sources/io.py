@@ -44,6 +44,26 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
 
 
+def read_small(spark: SparkSession, path: str) -> str:
+    """A small UTF-8 file (a manifest, a commit) of any Hadoop file system."""
+    fs, p = _file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small UTF-8 file, replacing an old one."""
+    fs, p = _file_system(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
 # --- S5 tolerant JSONL -------------------------------------------------------------
 
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: T.StructType = SCORE_SCHEMA) -> DataFrame:
