@@ -213,19 +213,20 @@ def test_progress_from_a_write_log(spark):
 
 # -- deadlines ------------------------------------------------------------
 
+START = 1_700_000_000
 REQ = [(1, 0, "a"), (2, 5, "a"), (3, 10, "b"), (4, 20, "b"), (5, 30, "c"), (6, 700, "c")]
 END = [(1, 30, "x"), (2, 66, "y"), (3, 70, "z"), (4, 10, "w"), (6, 701, "v")]
 
 
 def frames(spark):
-    r = spark.createDataFrame(REQ, "id long, t long, endpoint string").select("id", F.timestamp_seconds("t").alias("ts"), "endpoint")
-    e = spark.createDataFrame(END, "id long, t long, verdict string").select("id", F.timestamp_seconds("t").alias("ts"), "verdict")
+    r = spark.createDataFrame(REQ, "id long, t long, endpoint string").select("id", F.timestamp_seconds(F.col("t") + START).alias("ts"), "endpoint")
+    e = spark.createDataFrame(END, "id long, t long, verdict string").select("id", F.timestamp_seconds(F.col("t") + START).alias("ts"), "verdict")
     return r, e
 
 
 def test_outcomes_and_timeouts(spark):
     r, e = frames(spark)
-    o = O.outcomes(r, e.union(e.where("id = 1").withColumn("ts", F.timestamp_seconds(F.lit(40)))), "id", "ts", 60, ["verdict"])
+    o = O.outcomes(r, e.union(e.where("id = 1").withColumn("ts", F.timestamp_seconds(F.lit(START + 40)))), "id", "ts", 60, ["verdict"])
     got = {x.id: (x.outcome, x.verdict) for x in o.collect()}
     # 2 ends a second late, 4 before it began, 5 never
     assert got == {1: ("done", "x"), 2: ("timeout", None), 3: ("done", "z"), 4: ("timeout", None), 5: ("timeout", None), 6: ("done", "v")}
@@ -236,8 +237,8 @@ def test_stream_outcomes_equal_the_table(spark, tmp_path):
     r, e = frames(spark)
     # a last pair far ahead moves the watermark past every deadline
     far = spark.createDataFrame([(99, 100_000)], "id long, t long")
-    r = r.union(far.select("id", F.timestamp_seconds("t"), F.lit("z")))
-    e = e.union(far.select("id", F.timestamp_seconds("t"), F.lit("q")))
+    r = r.union(far.select("id", F.timestamp_seconds(F.col("t") + START), F.lit("z")))
+    e = e.union(far.select("id", F.timestamp_seconds(F.col("t") + START), F.lit("q")))
     order = lambda d, ids: d.where(F.col("id").isin(ids))
     for i, ids in enumerate(([3, 1], [2, 4, 5], [6], [99])):          # out of order within the watermark
         order(r, ids).coalesce(1).write.mode("append").parquet(str(tmp_path / "r"))
