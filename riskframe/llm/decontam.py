@@ -1,28 +1,34 @@
 """Benchmark decontamination on templates.
 
 A text becomes a sequence of words in which numbers, names and units are
-replaced by typed placeholders, their slots.  Windows of eight template
-words are looked up in the hash table of the benchmark's windows; hits on
-one alignment of a document and an item are followed as long as the slots
-are consistent: one value of the item always stands for one value of the
-document, and different values for different ones.  A document leaks an item
-when consistent windows cover ``COVER`` of the item's words (or all of a
-shorter item), so an item with other numbers or names in it is found and a
-chance phrase is not.
-
-The benchmark is the query set: it is read in blocks of bounded size, each
-block's table goes to all tasks, and every document is held against it in
-whole, in the task that reads it.  Nothing is shuffled.
+replaced by typed placeholders, their slots.  Windows of eight words of every
+item form a table by hash, of three kinds:
+
+* literal windows (words in lower case, numbers and names as they are), with
+  any words; an item under eight words is one window;
+* template windows, with at least ``LITERALS`` words that are no slots;
+* template windows with one word left out, whatever it is, so that a name is
+  found replaced whether or not capitals tell it from other words.
+
+Documents emit their windows whose hash may be in that table (a Bloom filter
+of fixed size travels to the tasks; it only saves rows), and the two tables
+meet in a join by hash.  Equal windows on one alignment of a document and an
+item are followed as long as the slots are consistent: one value of the item
+always stands for one value of the document.  A document leaks an item when
+consistent windows cover ``COVER`` of the item's words, or all of a shorter
+item.  Neither table is collected; hits of a window that many documents share
+are narrow rows, dealt by hash, and a hash that holds very many is split by
+the skew join.
 
 Words are runs of letters or of digits (with a point or comma between
 digits); other characters separate.  A unit is a unit word after a number; a
-name is a capitalised word that does not start a sentence.
+name is a capitalised word of two letters or more.
 
 Defined results: a null, empty or blank text leaks nothing and is never
-leaked; items under ``LEAST`` words are not searched for; repeated rows and
-repeated items each give their pairs; texts are taken whole; an empty table
-on either side gives an empty result; other columns are ignored or passed
-through.
+leaked, nor is an item without words; repeated rows and repeated items each
+give their pairs; texts are taken whole; an empty table on either side gives
+an empty result; item ids are cast to long; other columns are ignored or
+passed through.
 """
 from __future__ import annotations
 
@@ -33,13 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import U, Rolling, frugal, grams, mix, text_blocks
+from riskframe.llm.common import U, Rolling, frugal, grams, mix, row_key, saved, text_blocks
 
 WINDOW = 8
 LITERALS = 4
 COVER = 13
-LEAST = 5
-BLOCK_CHARS = 8_000_000
+BLOOM_BITS = 26
 
 # fixed values: unit words
 UNITS = ("mm cm m km in inch inches ft feet foot yd yard yards mile miles mg g kg gram grams kilogram kilograms ton tons oz lb lbs "
@@ -54,10 +59,10 @@ _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
 _LETTER[0x80:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-_STOP = np.zeros(256, bool)
-_STOP[list(b".!?\n:;")] = True
 
-NUMBER, UNIT, NAME = (mix(np.array([v], U))[0] for v in (101, 102, 103))
+
+NUMBER, UNIT, NAME, ANY = (mix(np.array([v], U))[0] for v in (101, 102, 103, 104))
+LITERAL, TEMPLATE, SKIP = 1, 2, 3
 _UNIT_HASHES: np.ndarray | None = None
 
 
@@ -71,12 +76,12 @@ def _unit_hashes() -> np.ndarray:
     return _UNIT_HASHES
 
 
-def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template words, slot values, document bounds) of a block.  The slot
-    value of a literal word is 0."""
+def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template words, literal words, is a slot, document bounds) of a
+    block."""
     n = len(data)
     if n == 0:
-        return np.zeros(0, U), np.zeros(0, U), np.zeros(len(off), np.int64)
+        return np.zeros(0, U), np.zeros(0, U), np.zeros(0, bool), np.zeros(len(off), np.int64)
     digit, letter = _DIGIT[data], _LETTER[data]
     point = (data == 0x2E) | (data == 0x2C)
     inner = np.zeros(n, bool)
@@ -103,160 +108,173 @@ def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     after = np.flatnonzero(number[:-1] & ~number[1:] & ~new_doc[1:]) + 1
     u = _unit_hashes()
     unit[after] = u[np.minimum(np.searchsorted(u, h[after]), len(u) - 1)] == h[after]
-    # names: capital, then a small letter, no stop since the word before
-    stops = np.zeros(n + 1, np.int64)
-    np.cumsum(_STOP[data], out=stops[1:])
     c0 = data[starts]
     c1 = data[np.minimum(starts + 1, n - 1)]
-    ascii_cap = (c0 >= 0x41) & (c0 <= 0x5A) & (((c1 >= 0x61) & (c1 <= 0x7A)) | (c1 >= 0x80))
+    ascii_cap = (c0 >= 0x41) & (c0 <= 0x5A)
     latin_cap = (c0 == 0xC3) & (c1 >= 0x80) & (c1 <= 0x9E)
-    name = np.zeros(len(h), bool)
-    name[1:] = (ascii_cap | latin_cap)[1:] & (stops[starts[1:]] == stops[ends[:-1]]) & ~new_doc[1:] & ~number[1:]
-    name &= (ends - starts > 1) & ~unit
+    name = (ascii_cap | latin_cap) & (ends - starts > 1) & ~unit & ~number
     slot = number | unit | name
-    words = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, h)))
-    return words, np.where(slot, h, U(0)), bounds
-
-
-class Index:
-    """The windows of a block of benchmark items, sorted by hash."""
-
-    def __init__(self, items: list[tuple[int | None, str]], window: int = WINDOW):
-        arr = pa.array([t for _, t in items], pa.string())
-        self.ids = [i for i, _ in items]
-        self.words: list[np.ndarray] = []
-        self.slots: list[np.ndarray] = []
-        for _, _, data, off in text_blocks(arr):
-            w, s, b = template(data, off)
-            for lo, hi in zip(b[:-1], b[1:], strict=True):
-                self.words.append(w[lo:hi])
-                self.slots.append(s[lo:hi])
-        self.sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        by: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for i, w in enumerate(self.words):
-            k = min(window, len(w))
-            if k < LEAST:
-                continue
-            g = grams(w, k)
-            lit = np.convolve(self.slots[i] == 0, np.ones(k, np.int64), "valid") >= min(LITERALS, k)
-            at = np.flatnonzero(lit)
-            by.setdefault(k, []).append((g[at], np.full(len(at), i), at))
-        for k, parts in by.items():
-            g, item, at = (np.concatenate(c) for c in zip(*parts, strict=True))
-            order = np.argsort(g, kind="stable")
-            bits = np.zeros(1 << 20, bool)
-            bits[(g >> U(44)).astype(np.int64)] = True
-            self.sizes[k] = (g[order], item[order], at[order], bits)
-
-    def hits(self, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in words, item, place in item) of equal windows."""
-        g, item, at, bits = self.sizes[k]
-        x = grams(words, k)
-        maybe = np.flatnonzero(bits[(x >> U(44)).astype(np.int64)])
-        lo = np.searchsorted(g, x[maybe], "left")
-        n = np.searchsorted(g, x[maybe], "right") - lo
-        maybe, lo, n = maybe[n > 0], lo[n > 0], n[n > 0]
-        j = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.repeat(maybe, n), item[j], at[j]
-
-
-def consistent_cover(starts: list[int], k: int, item: np.ndarray, doc: np.ndarray, shift: int) -> tuple[int, bool]:
-    """Most item words covered by windows of one alignment whose slots agree
-    throughout, and whether all those slots are equal.  A window that
-    contradicts the run before it begins a new one."""
+    return np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, h))), h, slot, bounds
+
+
+def window_hashes(words: np.ndarray, literal: np.ndarray, slot: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(word left out, -1 for none, -2 for a literal window; places; hashes)
+    for each kind of window of ``k`` words; a hash tells kind and length
+    apart."""
+    m = len(words) - k + 1
+    if m <= 0:
+        return
+    tag = lambda g, kind: mix(g ^ mix(np.array([kind * 64 + k], U))[0])
+    yield -2, np.arange(m), tag(grams(literal, k), LITERAL)
+    plain = np.concatenate([[0], np.cumsum(~slot)])
+    plain = plain[k:] - plain[:-k]
+    at = np.flatnonzero(plain >= LITERALS)
+    yield -1, at, tag(grams(words, k), TEMPLATE)[at]
+    if k < WINDOW:
+        return
+    masked = np.array(words)
+    for out in range(k):
+        # windows that differ from a template window: the word is no number or unit
+        at = np.flatnonzero((plain - ~slot[out:out + m] >= LITERALS) & ((words[out:out + m] == NAME) | ~slot[out:out + m]))
+        h = np.zeros(len(at), U)
+        for j in range(k):
+            h *= U(0x2545F4914F6CDD1D)
+            h += ANY if j == out else masked[at + j]
+        yield out, at, tag(mix(h), SKIP + out)
+
+
+def slot_values(literal: np.ndarray, slot: np.ndarray, at: np.ndarray, k: int, out: int) -> np.ndarray:
+    """The values of a window's slots, 0 for words that must be equal."""
+    if out == -2:
+        return np.zeros((len(at), k), U)
+    place = at[:, None] + np.arange(k)
+    v = np.where(slot[place], literal[place], U(0))
+    if out >= 0:
+        v[:, out] = literal[at + out]
+    return v
+
+
+WINDOWS = "k_row long, k_text long, hash long, place int, k int, words int, slots binary"
+
+
+def windows(sizes: list[int] | None, bits):
+    """Rows of :data:`WINDOWS` for the windows of texts (columns k_row,
+    k_text, text).  Without ``sizes`` the texts are items: a window of eight
+    words or of the whole item; with them, the windows of documents whose
+    hash passes the filter ``bits``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.frombuffer(bits.value, np.uint8) if bits is not None else None
+        for batch in frugal(batches):
+            for r0, _, data, off in text_blocks(batch.column(2)):
+                words, literal, slot, bounds = template(data, off)
+                length = np.diff(bounds)
+                for k in (sizes if sizes is not None else np.unique(np.minimum(length, WINDOW))):
+                    for out, at, h in (window_hashes(words, literal, slot, int(k)) if k else ()):
+                        doc = np.searchsorted(bounds, at, "right") - 1
+                        ok = at + k <= bounds[doc + 1]
+                        if sizes is None:
+                            ok &= np.minimum(length[doc], WINDOW) == k
+                        else:
+                            # two places of the filter
+                            x, y = h >> U(64 - BLOOM_BITS), (h >> U(8)) & U((1 << BLOOM_BITS) - 1)
+                            ok &= ((seen[x >> U(3)] >> (x & U(7)).astype(np.uint8)) & (seen[y >> U(3)] >> (y & U(7)).astype(np.uint8)) & 1).astype(bool)
+                        at, h, doc = at[ok], h[ok], doc[ok]
+                        if not len(at):
+                            continue
+                        v = np.ascontiguousarray(slot_values(literal, slot, at, int(k), out))
+                        take = pa.array(r0 + doc)
+                        yield pa.RecordBatch.from_arrays([
+                            batch.column(0).take(take), batch.column(1).take(take), pa.array(h.view(np.int64)), pa.array((at - bounds[doc]).astype(np.int32)),
+                            pa.array(np.full(len(at), k, np.int32)), pa.array(length[doc].astype(np.int32)),
+                            pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * int(k)), len(at), [None, pa.py_buffer(v.tobytes())]).cast(pa.binary())],
+                            ["k_row", "k_text", "hash", "place", "k", "words", "slots"])
+    return run
+
+
+def consistent_cover(windows_: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, bool]:
+    """Most item words covered by windows (place in the item, slot values of
+    item and document) of one alignment whose slots agree throughout, and
+    whether all those slots are equal.  A window that contradicts the run
+    before it begins a new one."""
     best, exact = 0, False
     to: dict[int, int] = {}
-    back: dict[int, int] = {}
     covered, upto, same = 0, -1, True
-    for a in starts:
-        pairs = [(int(item[a + x]), int(doc[a + shift + x])) for x in range(k) if item[a + x] or doc[a + shift + x]]
-        local_to: dict[int, int] = {}
-        local_back: dict[int, int] = {}
-        if not all(local_to.setdefault(p, q) == q and local_back.setdefault(q, p) == p for p, q in pairs):
+    for a, item, doc in windows_:
+        pairs = [(p, q) for p, q in zip(item.tolist(), doc.tolist(), strict=True) if p or q]
+        own: dict[int, int] = {}
+        if not all(own.setdefault(p, q) == q for p, q in pairs):
             continue
-        if not all(to.get(p, q) == q and back.get(q, p) == p for p, q in pairs):
-            to, back, covered, upto, same = {}, {}, 0, -1, True
-        to.update(local_to)
-        back.update(local_back)
+        if not all(to.get(p, q) == q for p, q in pairs):
+            to, covered, upto, same = {}, 0, -1, True
+        to.update(own)
         same = same and all(p == q for p, q in pairs)
-        covered += a + k - max(upto, a)
-        upto = a + k
-        if covered > best:
+        covered += max(0, a + len(item) - max(upto, a))
+        upto = max(upto, a + len(item))
+        if (covered, same) > (best, exact):
             best, exact = covered, same
     return best, exact
 
 
-LEAK = "array<struct<item_id:long,covered:int,item_words:int,exact:boolean>>"
-
-
-def _leaks(index: Index, text: pa.Array, cover: int) -> list[list[dict]]:
-    out: list[list[dict]] = []
-    for a, b, data, off in text_blocks(text):
-        words, slots, bounds = template(data, off)
-        found: dict[tuple[int, int, int], list[int]] = {}
-        size: dict[int, int] = {}
-        for k in index.sizes:
-            place, item, at = index.hits(words, k)
-            doc = np.searchsorted(bounds, place, "right") - 1
-            ok = place + k <= bounds[doc + 1]
-            for d, i, p, s in zip(doc[ok].tolist(), item[ok].tolist(), place[ok].tolist(), at[ok].tolist(), strict=True):
-                found.setdefault((d, i, p - s), []).append(s)
-                size[i] = k
-        best: dict[tuple[int, int], tuple[int, bool]] = {}
-        for (d, i, shift), starts in found.items():
-            got = consistent_cover(sorted(starts), size[i], index.slots[i], slots, shift)
-            best[d, i] = max(best.get((d, i), (0, False)), got)
-        rows: list[list[dict]] = [[] for _ in range(b - a)]
-        for (d, i), (n, exact) in sorted(best.items()):
-            total = len(index.words[i])
-            if n >= min(cover, total):
-                rows[d].append({"item_id": index.ids[i], "covered": n, "item_words": total, "exact": exact})
-        out.extend(rows)
-    return out
-
-
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list]:
-    """The items in blocks of about ``block_chars`` characters, dealt by a
-    hash of the item."""
-    b = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    total = b.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
-    for k in range(blocks):
-        part = b.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else b
-        rows = [(r[0], r[1]) for r in part.orderBy("i", "t").collect()]
-        if rows:
-            yield rows
-
-
-def _search(held, cover: int):
-    @F.arrow_udf(LEAK)
-    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = Index(held.value)
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("covered", pa.int32()), ("item_words", pa.int32()), ("exact", pa.bool_())]))
-        for text in frugal(batches):
-            yield pa.array(_leaks(index, text, cover), kind)
-    return search
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-          cover: int = COVER, block_chars: int = BLOCK_CHARS):
-    """Array column for ``docs``: the items that each text leaks."""
-    sc = docs.sparkSession.sparkContext
-    col = F.array().cast(LEAK)
-    for rows in benchmark_blocks(benchmark, item_id, item_text, block_chars):
-        col = F.concat(col, _search(sc.broadcast(rows), cover)(F.col(text_col).cast("string")))
-    return col
+def aligned(hits: str):
+    """:func:`consistent_cover` of each list of (place, item's slots,
+    document's slots)."""
+    @F.arrow_udf("struct<covered:int,exact:boolean>")
+    def cover(groups: pa.Array) -> pa.Array:
+        out = []
+        for group in groups.to_pylist():
+            rows = sorted({(x["place"], x["item"], x["doc"]) for x in group}, key=lambda r: (r[0], r[1] != r[2]))
+            out.append(consistent_cover([(a, np.frombuffer(i, U), np.frombuffer(d, U)) for a, i, d in rows]))
+        return pa.array([{"covered": c, "exact": e} for c, e in out], pa.struct([("covered", pa.int32()), ("exact", pa.bool_())]))
+    return cover(F.col(hits))
+
+
+def bloom(hashes: DataFrame, column: str) -> bytes:
+    """The filter of a column of hashes: ``2**BLOOM_BITS`` bits, whatever the
+    number of hashes."""
+    h = F.col(column)
+    first = F.shiftrightunsigned(h, 64 - BLOOM_BITS)
+    second = F.shiftrightunsigned(h, 8).bitwiseAND(F.lit((1 << BLOOM_BITS) - 1))
+    b = hashes.select(F.explode(F.array(first, second)).alias("b"))
+    rows = b.groupBy(F.shiftright("b", 3).alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(b & 7 AS int)))").alias("v"))
+    held = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
+    # at most one short row per byte of the filter
+    t = rows.toArrow()
+    held[t.column("byte").to_numpy()] = t.column("v").to_numpy().astype(np.uint8)
+    return held.tobytes()
+
+
+def leaking_keys(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
+                 item_text: str = "text", cover: int = COVER) -> DataFrame:
+    """``k_row, k_text, item_id, covered, item_words, exact``: a row per
+    document key and item (as often as the item is repeated)."""
+    # the item's id and text make its key, a document's id and text its own
+    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
+    items = items.select("item_id", *row_key("text", "item_id"), "text")
+    win = saved(items.drop("item_id").distinct().mapInArrow(windows(None, None), WINDOWS))
+    sizes = sorted(r.k for r in win.select("k").distinct().collect())
+    bits = docs.sparkSession.sparkContext.broadcast(bloom(win, "hash"))
+    d = docs.select(*row_key(text_col, id_col), F.col(text_col).cast("string").alias("text"))
+    seen = d.mapInArrow(windows(sizes, bits), WINDOWS)
+    w = win.select("hash", F.col("k_row").alias("i_row"), F.col("k_text").alias("i_text"), F.col("place").alias("at"), "words", F.col("slots").alias("item"))
+    hits = seen.select("k_row", "k_text", "hash", "place", F.col("slots").alias("doc")).join(w, "hash")
+    lines = (hits.groupBy("k_row", "k_text", "i_row", "i_text", "words", (F.col("place") - F.col("at")).alias("shift"))
+             .agg(F.collect_list(F.struct(F.col("at").alias("place"), "item", "doc")).alias("hits")))
+    lines = lines.select("k_row", "k_text", "i_row", "i_text", "words", aligned("hits").alias("a"))
+    best = lines.groupBy("k_row", "k_text", "i_row", "i_text", "words").agg(F.max("a").alias("a"))
+    best = best.where(F.col("a.covered") >= F.least(F.lit(cover), F.col("words")))
+    each = items.select(F.col("k_row").alias("i_row"), F.col("k_text").alias("i_text"), "item_id")
+    return best.join(each, ["i_row", "i_text"]).select("k_row", "k_text", "item_id", "a.covered", F.col("words").alias("item_words"), "a.exact")
 
 
 def leaked_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document and item it leaks."""
-    found = leaks(docs, benchmark, text_col, **options)
-    d = docs.select(F.col(id_col).alias("doc_id"), F.explode(found).alias("f"))
-    return d.select("doc_id", "f.*")
+    found = saved(leaking_keys(docs, benchmark, id_col, text_col, **options))
+    d = docs.select(F.col(id_col).alias("doc_id"), *row_key(text_col, id_col))
+    return d.join(found, ["k_row", "k_text"]).select("doc_id", "item_id", "covered", "item_words", "exact")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that leak nothing, all columns kept."""
-    found = leaks(docs, benchmark, text_col, **options)
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), found.alias("found"))
-    return d.where(F.size("found") == 0).select("row.*")
+    found = saved(leaking_keys(docs, benchmark, id_col, text_col, **options).select("k_row", "k_text").distinct())
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(text_col, id_col))
+    return d.join(found, ["k_row", "k_text"], "left_anti").select("row.*")

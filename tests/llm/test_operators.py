@@ -270,21 +270,117 @@ def test_private_keys_are_masked_whole(spark):
 def test_templates_find_other_numbers_and_names(spark):
     item = "A train leaves Paris at 9 hours and travels 120 km to Lyon, where Alice waits with 3 apples and 120 pears for Bob."
     other = "x y. A train leaves Rome at 7 hours and travels 300 miles to Milan, where Carol waits with 5 apples and 300 pears for Dave. z"
-    bench = spark.createDataFrame([(1, item), (2, "short one"), (3, None), (None, ""), (4, "five tiny words are here")], "item_id long, text string")
+    # the number that stands twice in the item takes two values
+    torn = other.replace("300 pears", "301 pears")
+    bench = spark.createDataFrame([(1, item), (2, "short one"), (3, None), (None, ""), (4, "five tiny words are here"), (4, "five tiny words are here")], "item_id long, text string")
     docs = spark.createDataFrame([(1, item), (2, other), (2, other), (3, passage(1, 400)), (4, None), (5, ""), (6, "so FIVE tiny words, are here!"),
-                                  (7, "A train leaves")], "doc_id long, text string")
+                                  (7, "A train leaves"), (8, item.lower()), (9, torn)], "doc_id long, text string")
     got = decontam.leaked_pairs(docs, bench).collect()
-    assert sorted((r.doc_id, r.item_id, r.exact) for r in got) == [(1, 1, True), (2, 1, False), (2, 1, False), (6, 4, True)]
-    many = decontam.leaked_pairs(docs, bench, block_chars=40).collect()
-    assert key(map(tuple, many)) == key(map(tuple, got))
-    assert sorted(r.doc_id for r in decontam.keep_clean(docs, bench).collect()) == [3, 4, 5, 7]
+    assert sorted((r.doc_id, r.item_id, r.exact) for r in got if r.doc_id != 9) == [(1, 1, True), (2, 1, False), (2, 1, False), (6, 4, True), (6, 4, True), (8, 1, True)]
+    assert all(r.covered < 24 for r in got if r.doc_id == 9)
+    assert sorted(r.doc_id for r in decontam.keep_clean(docs, bench).collect() if r.doc_id != 9) == [3, 4, 5, 7]
     assert decontam.leaked_pairs(docs, bench.limit(0)).count() == 0 and decontam.leaked_pairs(docs.limit(0), bench).count() == 0
+    assert decontam.keep_clean(docs, bench.limit(0)).count() == 10
+
+
+def test_short_slot_heavy_and_renamed_items_are_found(spark):
+    items = ["What is 7 times 8?", "Anna Bob Carol Dave Erin Frank Gina Hans", "Who wrote Faust?", "Tom has 5 apples and buys 3 more"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    docs = spark.createDataFrame([(0, "so. What is 7 times 8? yes"), (1, "the list: anna bob carol dave erin frank gina hans."), (2, "q: who WROTE faust"),
+                                  (3, "now Anna has 5 apples and buys 3 more"), (4, "now anna has 9 apples and buys 2 more"), (5, "What is 6 times 8?"),
+                                  (6, "Tom has five apples"), (7, passage(2, 3000) + " what is 7 times 8 " + passage(4, 3000))],
+                                 "doc_id int, text string").withColumn("hash", F.lit(1)).withColumn("row", F.lit("r")).withColumn("k_row", F.lit(2))
+    got = sorted((r.doc_id, r.item_id) for r in decontam.leaked_pairs(docs, bench).collect())
+    assert got == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 3), (7, 0)]
+    kept = decontam.keep_clean(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [5, 6]
+
+
+def brute_leaks(docs, items):
+    """Every alignment of every document and item, word by word: runs of
+    equal windows whose slots agree."""
+    import numpy as np
+
+    def read(t):
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        w, lit, slot, _ = decontam.template(raw, np.array([0, len(raw)]))
+        return [int(x) for x in w], [int(x) for x in lit], [bool(x) for x in slot]
+    out = set()
+    for d, t in docs:
+        dw, dl, ds = read(t)
+        for i, u in items:
+            iw, il, isl = read(u)
+            n, best = len(iw), 0
+            k = min(8, n)
+            for shift in range(-n + 1, len(dw)):
+                run, covered, to = -1, 0, {}
+                for a in range(n - k + 1) if n else ():
+                    if not 0 <= a + shift <= len(dw) - k:
+                        continue
+                    at = range(a, a + k)
+                    options = []
+                    if all(il[x] == dl[x + shift] for x in at):
+                        options.append([])
+                    if all(iw[x] == dw[x + shift] for x in at) and sum(not isl[x] for x in at) >= 4:
+                        options.append([(il[x], dl[x + shift]) for x in at if isl[x]])
+                    for o in at if k == 8 else ():
+                        free = lambda w, s, x: not s[x] or w[x] == int(decontam.NAME)
+                        if (free(iw, isl, o) and free(dw, ds, o + shift) and all(iw[x] == dw[x + shift] for x in at if x != o)
+                                and sum(not isl[x] for x in at if x != o) >= 4):
+                            options.append([(il[x], dl[x + shift]) for x in at if isl[x] or x == o])
+                    options = [p for p in options if len(dict(p)) == len(set(p))]
+                    if not options:
+                        continue
+                    pairs = options[0]
+                    if any(to.get(p, q) != q for p, q in pairs):
+                        run, covered, to = -1, 0, {}
+                    to.update(pairs)
+                    covered += a + k - max(run, a)
+                    run = a + k
+                    best = max(best, covered)
+            if n and best >= min(13, n):
+                out.add((d, i))
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    import random
+    r = random.Random(5)
+    names = ["Anna", "Bob", "Carl", "Dora", "Emil"]
+    items = []
+    for i in range(14):
+        w = [r.choice(["the", "cat", "sees", "a", "big", "dog", "near", "old", "town", str(r.randrange(30)), r.choice(names)]) for _ in range(r.choice([3, 6, 9, 16, 30]))]
+        items.append((i, " ".join(w)))
+    docs = []
+    for d in range(40):
+        _, u = r.choice(items)
+        w = u.split()
+        a = r.randrange(len(w))
+        part = w if r.random() < 0.6 else w[a:a + 15]
+        swap = dict(zip(names, r.sample(names, 5))) | {str(x): str(x + 40) for x in range(30)}
+        if r.random() < 0.5:
+            part = [swap.get(x, x) for x in part]
+        if r.random() < 0.3:
+            part = [x.lower() for x in part]
+        docs.append((d, passage(d, 5) + ". " + " ".join(part) + " " + passage(d + 99, 5)))
+    got = decontam.leaked_pairs(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == brute_leaks(docs, items) and len(got) > 25
+
+
+def test_benchmark_is_neither_collected_nor_broadcast_whole(spark):
+    bench = spark.createDataFrame([(i, passage(i, 12)) for i in range(50)], "item_id int, text string")
+    docs = spark.createDataFrame([(1, passage(3, 40))], "doc_id int, text string")
+    assert len(decontam.bloom(spark.range(1000), "id")) == 1 << (decontam.BLOOM_BITS - 3)
+    plan = decontam.leaking_keys(docs, bench)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "hash" in plan
 
 
 def test_slots_must_stay_consistent():
-    item, doc = [0, 5, 0, 0, 5, 0], [0, 7, 0, 0, 7, 0]
-    assert decontam.consistent_cover([0], 6, item, doc, 0)[0] == 6
-    assert decontam.consistent_cover([0], 6, item, [0, 7, 0, 0, 8, 0], 0)[0] == 0
+    import numpy as np
+    item = np.array([0, 5, 0, 0, 5, 0], np.uint64)
+    assert decontam.consistent_cover([(0, item, np.array([0, 7, 0, 0, 7, 0], np.uint64))]) == (6, False)
+    assert decontam.consistent_cover([(0, item, np.array([0, 7, 0, 0, 8, 0], np.uint64))]) == (0, False)
+    assert decontam.consistent_cover([(0, item, item), (3, item, item)]) == (9, True)
 
 
 # -- similarity join ------------------------------------------------------
