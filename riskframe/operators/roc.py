@@ -20,6 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 4096
+# up to so many rows in all, a running sum needs no buckets: one window per
+# key holds them.  The result is the same either way.
+WINDOW_ROWS = 100_000
 
 
 ALL = "__all"
@@ -67,8 +70,14 @@ def prefix_before(g: DataFrame, keys, order_col: str, value_cols, buckets: int =
     """For each value column ``v`` adds ``v_lt``: the sum of ``v`` over rows of
     the same key with a strictly smaller ``order_col`` (``order_col`` must be
     unique per key).  Also adds per-key totals ``v_total``."""
+    from riskframe.session import cut_lineage
     ks = _keys(keys)
     vals = list(value_cols)
+    g = cut_lineage(g)
+    if g.count() <= WINDOW_ROWS:
+        before = Window.partitionBy(*ks).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+        return g.select("*", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"{v}_lt") for v in vals],
+                        *[F.sum(v).over(Window.partitionBy(*ks)).alias(f"{v}_total") for v in vals])
     gb = range_buckets(g, ks, [order_col], buckets)
     bt = gb.groupBy(*ks, "__b").agg(*[F.sum(v).alias(f"__bt_{v}") for v in vals])
     w_off = Window.partitionBy(*ks).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -194,9 +203,12 @@ def last_before(df: DataFrame, keys, time_col: str, tie_cols: list[str], value:
     x = df.withColumn("__v", value)
     if ks == [ALL]:
         x = x.withColumn(ALL, F.lit(0))
-    x = range_buckets(x, ks, [time_col], buckets).withColumnRenamed("__b", "__lb")
     order = [time_col, *tie_cols]
     frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
+    if x.count() <= WINDOW_ROWS:
+        whole = Window.partitionBy(*ks).orderBy(*order).rowsBetween(*frame)
+        return _done(x.withColumn(out, F.last("__v", ignorenulls=True).over(whole)).drop("__v"))
+    x = range_buckets(x, ks, [time_col], buckets).withColumnRenamed("__b", "__lb")
     inside = Window.partitionBy(*ks, "__lb").orderBy(*order).rowsBetween(*frame)
     x = x.withColumn("__in", F.last("__v", ignorenulls=True).over(inside))
     summ = x.where(F.col("__v").isNotNull()).groupBy(*ks, "__lb").agg(

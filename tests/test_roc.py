@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 from riskframe.operators import roc
 
 
+@pytest.fixture(autouse=True, params=[0, roc.WINDOW_ROWS], ids=["buckets", "window"])
+def running_sums(request, monkeypatch):
+    """Every test runs with bucketed running sums and with plain windows."""
+    monkeypatch.setattr(roc, "WINDOW_ROWS", request.param)
+
+
 def _df(spark, scores, labels, keys=None):
     keys = keys or ["a"] * len(scores)
     return spark.createDataFrame([(float(s), int(y), k) for s, y, k in zip(scores, labels, keys)],
