@@ -1,13 +1,17 @@
 """Stupid-backoff scores of all documents under the corpus's own n-grams.
 
-Relational plan, with n-grams as 64-bit hashes: documents are read in blocks
+Relational plan, with n-grams as 60-bit hashes (two of a billion different
+ones are expected to meet about once): documents are read in blocks
 of whole documents; a block's distinct n-grams with their counts are dealt by
-hash range to buckets (one packed row per block and bucket, so an n-gram
-travels once per block); a bucket sums the counts of all blocks, which is its
-part of the count table, and joins them back to the rows it got; the answers
-meet their block's documents by block id, where each document's terms are
-summed.  A bucket holds a bounded share of the corpus: their number follows
-its size, and frequent n-grams are summed per block first, so none is hot.
+hash range to buckets (one packed row per block and bucket that it has
+n-grams in, so an n-gram travels once per block); a bucket, one task, sums
+the counts of all blocks, which is its part of the count table, and answers
+each row with the n-grams that also occur in other blocks: an n-gram without
+an answer has the block's own count.  The answers meet their block's
+documents, which travel compressed, by block id, where each document's terms
+are summed.  A bucket holds a bounded share of the corpus: their number
+follows its size, and frequent n-grams are summed per block first, so none is
+hot.
 
 Scores leave the document's own occurrences out: with ``c`` the corpus count
 less the count in the document, a word after context ``h`` scores
@@ -22,7 +26,8 @@ it first.  A difference raises an error.
 
 Defined results: a null, empty or blank text has no words, a sum of 0 and a
 null mean; repeated rows are documents of their own; texts are read whole;
-an empty table gives an empty result; other columns are ignored.
+an empty table gives an empty result; ids are cast to long; other columns
+are ignored.
 """
 from __future__ import annotations
 
@@ -34,12 +39,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import U, Rolling, frugal, grams, mix, row_key, saved, text_blocks, word_spans
+from riskframe.llm.common import U, Rolling, frugal, grams, mix, saved, text_blocks, word_spans
 
-ORDER = 2
+ORDER = 3
 ALPHA = 0.4
+KEY_BITS = 60
+TEXT_LEVEL = 5
 BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 16 << 20
+BLOCK_BYTES_AT_ONCE = 1 << 19
 TOTAL = U(0)  # the key under which blocks count all their words
 
 
@@ -79,39 +87,44 @@ class Block:
         if n > 1 and len(g):
             at = np.flatnonzero(self.doc[:len(g)] == self.doc[n - 1:])
         # no key is TOTAL, and the lengths do not meet
-        return at, (mix(g[at] + U((n * 0xD1342543DE82EF95) % (1 << 64))) | U(1))
+        return at, ((mix(g[at] + U((n * 0xD1342543DE82EF95) % (1 << 64))) >> U(64 - KEY_BITS)) | U(1))
 
 
-def read_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int):
-    """(block id, id column, row keys, Block) for each block of the task;
-    columns: part, id, k_row, text.  Documents are cut at the same places
-    whatever the batches are."""
-    seq, size = 0, 0
-    held: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]] = []
+def words_of(data: np.ndarray, off: np.ndarray) -> Block:
+    """The block's words, hashed a bounded piece of it at a time."""
+    words, counts, a, n = [np.zeros(0, U)], [np.zeros(0, np.int64)], 0, len(off) - 1
+    while a < n:
+        b = min(max(a + 1, int(np.searchsorted(off, off[a] + BLOCK_BYTES_AT_ONCE, "right")) - 1), n)
+        part, at = data[off[a]:off[b]], off[a:b + 1] - off[a]
+        s, e, _ = word_spans(part, at)
+        words.append(Rolling(part).spans(s, e))
+        counts.append(np.diff(np.searchsorted(s, at)))
+        a = b
+    return Block(np.concatenate(words), np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64))
+
+
+def cut_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int):
+    """(block id, ids, bytes, offsets) for each block of the task; columns:
+    part, id, text.  Documents are cut at the same places whatever the
+    batches are."""
+    part, seq, size = 0, 0, 0
+    held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
     def close():
-        words = np.concatenate([h[2] for h in held])
-        counts = np.concatenate([h[3] for h in held])
-        bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        return (part << 32) | seq, pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held]), Block(words, bounds)
+        off = np.concatenate([[0], np.cumsum(np.concatenate([h[2] for h in held]))]).astype(np.int64)
+        return (part << 32) | seq, pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held]), off
 
-    part = 0
     for batch in frugal(batches):
         if not batch.num_rows:
             continue
         part = batch.column(0)[0].as_py()
-        for r0, r1, data, off in text_blocks(batch.column(3)):
-            s, e, _ = word_spans(data, off)
-            wh = Rolling(data).spans(s, e)
-            woff = np.searchsorted(s, off)
-            ids, rows = batch.column(1), batch.column(2).to_numpy()
+        for r0, r1, data, off in text_blocks(batch.column(2)):
             a = 0
             while a < r1 - r0:
                 # documents up to the one that fills the block
-                room = block_bytes - size
-                b = min(int(np.searchsorted(off, off[a] + room, "left")), r1 - r0)
+                b = min(int(np.searchsorted(off, off[a] + block_bytes - size, "left")), r1 - r0)
                 b = max(b, a + 1)
-                held.append((ids.slice(r0 + a, b - a), rows[r0 + a:r0 + b], wh[woff[a]:woff[b]], np.diff(woff[a:b + 1])))
+                held.append((batch.column(1).slice(r0 + a, b - a), data[off[a]:off[b]].copy(), np.diff(off[a:b + 1])))
                 size += int(off[b] - off[a])
                 a = b
                 if size >= block_bytes:
@@ -122,32 +135,48 @@ def read_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int):
 
 
 def edges(buckets: int) -> np.ndarray:
-    return np.array([(i << 64) // buckets for i in range(1, buckets)], U)
+    return np.array([(i << KEY_BITS) // buckets for i in range(1, buckets)], U)
+
+
+def block_counts(b: Block, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block's distinct keys in order with its own counts; the first one
+    counts its words."""
+    keys, counts = np.unique(np.concatenate([b.keys(n)[1] for n in range(1, order + 1)]), return_counts=True)
+    return np.concatenate([[TOTAL], keys]), np.concatenate([[len(b.words)], counts]).astype(np.int64)
+
+
+def parts_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's keys begin, and the end."""
+    return np.concatenate([[0], np.searchsorted(keys, edges(buckets)), [len(keys)]])
+
+
+def check_of(keys: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(keys).astype(np.int64))
 
 
 def requests(order: int, buckets: int, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, _, b in read_blocks(batches, block_bytes):
-            keys, counts = np.unique(np.concatenate([b.keys(n)[1] for n in range(1, order + 1)]), return_counts=True)
-            cut = np.concatenate([[0], np.searchsorted(keys, edges(buckets)), [len(keys)]])
-            rows = []
-            for i in range(buckets):
-                k, c = keys[cut[i]:cut[i + 1]], counts[cut[i]:cut[i + 1]]
-                # every bucket also gets the block's number of words
-                k, c = np.concatenate([[TOTAL], k]), np.concatenate([[len(b.words)], c])
-                rows.append((i, block, pack(k), squeeze(c.astype(np.int64))))
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        for block, _, data, off in cut_blocks(batches, block_bytes):
+            keys, counts = block_counts(words_of(data, off), order)
+            cut = parts_of(keys, buckets)
+            rows = [(i, block, check_of(keys[a:b]), pack(keys[a:b]), squeeze(counts[a:b]))
+                    for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-                                             ["bucket", "block", "keys", "counts"])
+                                             ["bucket", "block", "check", "keys", "counts"])
     return run
 
 
+ANSWERS = "block long, bucket int, check long, places binary, sums binary"
+
+
 def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums each bucket's counts over its blocks (rows come sorted by bucket)
-    and answers every row in its own key order."""
+    and answers every row with the places of its keys whose sum is not the
+    block's own count, and the sums."""
     from riskframe.llm.jaccard import whole_groups
     for t, at in whole_groups(batches, 1):
-        bucket, block = t.column("bucket").to_pylist(), t.column("block").to_pylist()
+        block, bucket, check = (t.column(c).to_pylist() for c in ("block", "bucket", "check"))
         for lo, hi in zip(at, [*at[1:], t.num_rows], strict=True):
             keys = [unpack(t.column("keys")[i].as_py()) for i in range(lo, hi)]
             counts = [spread(t.column("counts")[i].as_py(), np.int64) for i in range(lo, hi)]
@@ -155,24 +184,24 @@ def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(len(table), np.int64)
             np.add.at(sums, inv, np.concatenate(counts))
             stop = np.cumsum([len(k) for k in keys])
-            for i, b, n in zip(range(lo, hi), stop, map(len, keys), strict=True):
+            for i, b, own in zip(range(lo, hi), stop, counts, strict=True):
+                total = sums[inv[b - len(own):b]]
+                places = np.flatnonzero(total != own)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([block[i]], pa.int64()), pa.array([bucket[i]], pa.int32()), pa.array([squeeze(sums[inv[b - n:b]])], pa.binary())],
-                    ["block", "bucket", "sums"])
+                    pa.array([block[i]], pa.int64()), pa.array([bucket[i]], pa.int32()), pa.array([check[i]], pa.int64()),
+                    pa.array([squeeze(np.diff(places, prepend=0).astype(np.int32))], pa.binary()), pa.array([squeeze(total[places])], pa.binary())],
+                    ["block", "bucket", "check", "places", "sums"])
 
 
-DOCS = "block long, ids array<long>, bounds array<int>, check long, words binary, at binary"
+DOCS = "block long, ids array<long>, off array<long>, texts binary"
 
 
 def documents_of(block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, _, b in read_blocks(batches, block_bytes):
-            u, inv = np.unique(b.words, return_inverse=True)
+        for block, ids, data, off in cut_blocks(batches, block_bytes):
             yield pa.RecordBatch.from_arrays([
-                pa.array([block]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                pa.array([b.bounds.tolist()], pa.list_(pa.int32())), pa.array([len(u)], pa.int64()),
-                pa.array([pack(u)], pa.binary()), pa.array([squeeze(inv.astype(np.int32))], pa.binary())],
-                ["block", "ids", "bounds", "check", "words", "at"])
+                pa.array([block]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([off.tolist()], pa.list_(pa.int64())),
+                pa.array([zstandard.ZstdCompressor(level=TEXT_LEVEL).compress(data.tobytes())], pa.binary())], ["block", "ids", "off", "texts"])
     return run
 
 
@@ -209,49 +238,47 @@ def score_block(b: Block, order: int, alpha: float, lookup) -> tuple[np.ndarray,
     return (np.bincount(b.doc, weights=score, minlength=docs), np.bincount(b.doc[level == order], minlength=docs))
 
 
+SCORED = "doc_id long, n_words long, n_top long, log_score double, mean_log_score double"
+
+
 def scored(order: int, alpha: float, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frugal(batches):
-            for r in range(batch.num_rows):
-                get = lambda c, r=r, batch=batch: batch.column(batch.schema.get_field_index(c))[r]
-                u = unpack(get("words").as_py())
-                b = Block(u[spread(get("at").as_py(), np.int32)], get("bounds").values.to_numpy().astype(np.int64))
-                table = np.unique(np.concatenate([b.keys(n)[1] for n in range(1, order + 1)]))
-                cut = np.concatenate([[0], np.searchsorted(table, edges(buckets)), [len(table)]])
-                got = {x["bucket"]: x["sums"] for x in get("answers").as_py()}
-                sums = [spread(got[i], np.int64) for i in range(buckets)]
-                total = int(sums[0][0])
-                if [len(s) - 1 for s in sums] != np.diff(cut).tolist():
-                    raise RuntimeError("the documents were not read again in the same order; pass stable=False")
-                counts = np.concatenate([s[1:] for s in sums])
-
-                def lookup(keys: np.ndarray, table=table, counts=counts, total=total) -> np.ndarray:
-                    if len(keys) == 1 and keys[0] == TOTAL:
-                        return np.array([total])
-                    return counts[np.searchsorted(table, keys)]
-
-                s, top = score_block(b, order, alpha, lookup)
-                n = np.diff(b.bounds)
-                mean = np.divide(s, n, out=np.zeros(len(n)), where=n > 0)
-                yield pa.RecordBatch.from_arrays([
-                    get("ids").values, pa.array(n), pa.array(top, pa.int64()), pa.array(s, pa.float64()),
-                    pa.array(mean, pa.float64(), mask=n == 0)], ["doc_id", "n_words", "n_top", "log_score", "mean_log_score"])
+    def run(block: pa.Table, told: pa.Table) -> pa.Table:
+        names = [f.split()[0] for f in SCORED.split(", ")]
+        if not block.num_rows:
+            raise RuntimeError(ANOTHER_ORDER)
+        off = block.column("off")[0].values.to_numpy()
+        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(block.column("texts")[0].as_py(), max_output_size=int(off[-1])), np.uint8)
+        b = words_of(data, off)
+        table, counts = block_counts(b, order)
+        cut = parts_of(table, buckets)
+        if told.num_rows != int((np.diff(cut) > 0).sum()):
+            raise RuntimeError(ANOTHER_ORDER)
+        for bucket, check, places, sums in zip(*(told.column(c).to_pylist() for c in ("bucket", "check", "places", "sums")), strict=True):
+            if check_of(table[cut[bucket]:cut[bucket + 1]]) != check:
+                raise RuntimeError(ANOTHER_ORDER)
+            counts[cut[bucket] + np.cumsum(spread(places, np.int32))] = spread(sums, np.int64)
+        s, top = score_block(b, order, alpha, lambda keys: counts[np.searchsorted(table, keys)])
+        n = np.diff(b.bounds)
+        mean = np.divide(s, n, out=np.zeros(len(n)), where=n > 0)
+        return pa.Table.from_arrays([block.column("ids")[0].values, pa.array(n), pa.array(top, pa.int64()), pa.array(s, pa.float64()),
+                                     pa.array(mean, pa.float64(), mask=n == 0)], names)
     return run
 
 
+ANOTHER_ORDER = "the documents were not read again in the same order; pass stable=False"
+
+
 def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA,
                    block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, stable: bool = True) -> DataFrame:
     """doc_id, n_words, ``n_top`` (words scored at the highest order), the
     summed log score and its mean per word."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(text_col, id_col)[:1], F.col(text_col).cast("string").alias("text"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if not stable:
         d = saved(d)
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
-    d = d.select(F.spark_partition_id().alias("part"), "doc_id", "k_row", "text")
-    asked = d.mapInArrow(requests(order, buckets, block_bytes), "bucket int, block long, keys binary, counts binary")
-    told = (asked.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(answers, "block long, bucket int, sums binary")
-            .groupBy("block").agg(F.collect_list(F.struct("bucket", "sums")).alias("answers")))
+    d = d.select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    asked = d.mapInArrow(requests(order, buckets, block_bytes), "bucket int, block long, check long, keys binary, counts binary")
+    told = asked.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "block").mapInArrow(answers, ANSWERS)
     blocks = d.mapInArrow(documents_of(block_bytes), DOCS)
-    return blocks.join(told, "block").mapInArrow(
-        scored(order, alpha, buckets), "doc_id long, n_words long, n_top long, log_score double, mean_log_score double")
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scored(order, alpha, buckets), SCORED)

@@ -87,28 +87,6 @@ def _near() -> str:
 
 
 def _backoff() -> str:
-    return rf"""
-    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
-    w AS (SELECT rid, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d),
-    b AS (SELECT rid, i, w, lag(w) OVER (PARTITION BY rid ORDER BY i) AS h FROM w),
-    own1 AS (SELECT rid, w, count(*) AS c FROM w GROUP BY rid, w),
-    all1 AS (SELECT w, sum(c) AS c FROM own1 GROUP BY w),
-    own2 AS (SELECT rid, h, w, count(*) AS c FROM b WHERE h IS NOT NULL GROUP BY rid, h, w),
-    all2 AS (SELECT h, w, sum(c) AS c FROM own2 GROUP BY h, w),
-    m AS (SELECT rid, count(*) AS n FROM w GROUP BY rid),
-    c AS (SELECT b.rid, b.h IS NOT NULL AS has, a1.c - o1.c AS c1, ah.c - oh.c AS ch, a2.c - o2.c AS c2,
-            (SELECT sum(n) FROM m) - m.n AS rest
-        FROM b JOIN m USING (rid) JOIN own1 o1 ON o1.rid = b.rid AND o1.w = b.w JOIN all1 a1 ON a1.w = b.w
-        LEFT JOIN own1 oh ON oh.rid = b.rid AND oh.w = b.h LEFT JOIN all1 ah ON ah.w = b.h
-        LEFT JOIN own2 o2 ON o2.rid = b.rid AND o2.h = b.h AND o2.w = b.w LEFT JOIN all2 a2 ON a2.h = b.h AND a2.w = b.w),
-    s AS (SELECT rid, has AND c2 > 0 AS top, CASE WHEN has AND c2 > 0 THEN ln(c2::DOUBLE / ch) ELSE
-        (CASE WHEN has THEN ln({lm_score.ALPHA}) ELSE 0 END) + (CASE WHEN c1 > 0 THEN ln(c1::DOUBLE / rest) ELSE -ln(rest + 1) END) END AS x FROM c),
-    f AS (SELECT rid, count(*) AS n, count(*) FILTER (top) AS n_top, sum(x) AS x FROM s GROUP BY rid)
-    SELECT doc_id, coalesce(f.n, 0)::BIGINT AS n_words, coalesce(f.n_top, 0)::BIGINT AS n_top, round(coalesce(f.x, 0), 4) AS log_score,
-        round(f.x / f.n, 6) AS mean_log_score FROM d LEFT JOIN f USING (rid)"""
-
-
-def _backoff3() -> str:
     return rf"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
     w AS (SELECT rid, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d),
@@ -176,5 +154,5 @@ def _middle() -> str:
         CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars, sha256(output) AS output_sha256, sha256(text) AS restored_sha256 FROM o"""
 
 
-ORACLE = {"op2_quality_rules": _quality(), "op4_secret_scan": _secrets(), "op6_ngram_jaccard": _near(), "op8_lm_score_order3": _backoff3(),
-          "op8_lm_score": _backoff(), "op11_filter_audit": _audit(), "op12_fill_in_middle": _middle()}
+ORACLE = {"op2_quality_rules": _quality(), "op4_secret_scan": _secrets(), "op6_ngram_jaccard": _near(), "op8_lm_score_order3": _backoff(),
+          "op11_filter_audit": _audit(), "op12_fill_in_middle": _middle()}

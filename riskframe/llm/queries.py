@@ -49,11 +49,6 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = lm_score.backoff_scores(table(spark, sf_dir, "documents"), order=3)
-    return d.select("doc_id", "n_words", "n_top", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
-
-
-def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = lm_score.backoff_scores(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_words", "n_top", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
@@ -80,5 +75,5 @@ def op13_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genetic_packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_html_text, op4_secret_scan, op5_benchmark_templates, op6_ngram_jaccard, op7_url_filter, op8_lm_score_order3, op8_lm_score, op9_packing, op10_token_counts,
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_html_text, op4_secret_scan, op5_benchmark_templates, op6_ngram_jaccard, op7_url_filter, op8_lm_score_order3, op9_packing, op10_token_counts,
                                 op11_filter_audit, op12_fill_in_middle, op13_genetic_packing)}
