@@ -79,3 +79,7 @@ ORACLE.update(o_learn.ORACLE)
 from riskframe.plans import o_stores  # noqa: E402
 
 ORACLE.update(o_stores.ORACLE)
+
+from riskframe.plans import o_reports  # noqa: E402
+
+ORACLE.update(o_reports.ORACLE)

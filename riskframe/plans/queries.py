@@ -74,3 +74,7 @@ QUERIES.update(q_fields.QUERIES)
 from riskframe.plans import q_stores  # noqa: E402
 
 QUERIES.update(q_stores.QUERIES)
+
+from riskframe.plans import q_reports  # noqa: E402
+
+QUERIES.update(q_reports.QUERIES)
