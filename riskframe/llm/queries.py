@@ -45,7 +45,7 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet").select("page_id", "url")
-    return urls.judge(pages, urls.train(urls.LABELLED))
+    return urls.judge(pages, urls.train(urls.labelled_rows(urls.labelled_table(spark))))
 
 
 def op8_lm_score_order3(spark: SparkSession, sf_dir: str) -> DataFrame:

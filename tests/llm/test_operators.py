@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -445,7 +446,7 @@ def test_url_rules_and_parts(spark):
             (5, None, "", "", None, None), (6, "no scheme.com/", "", "", None, None), (7, "a://notcom/", "notcom", "/", None, None),
             (8, "s://h.com?x=/", "h.com", "", None, None), (9, "x://É.COM/a://b", "É.com", "/a://b", "com/", "allow")]
     df = spark.createDataFrame([(r[0], r[1], 0) for r in rows], "page_id long, url string, host int")
-    got = {r.page_id: r for r in urls.judge(df, urls.train(urls.LABELLED)).collect()}
+    got = {r.page_id: r for r in urls.judge(df, urls.train(urls.labelled_rows(urls.labelled_table(spark)))).collect()}
     for i, _, host, path, rule, verdict in rows:
         r = got[i]
         assert (r.host, r.path, r.rule) == (host, path, rule)
@@ -453,16 +454,41 @@ def test_url_rules_and_parts(spark):
         assert r.verdict in ("allow", "block")
 
 
-def test_url_model_on_held_out_rows():
-    import numpy as np
-    hit = 0
-    for k in range(4):
-        held = [x for i, x in enumerate(urls.LABELLED) if i % 4 == k]
-        w = urls.train([x for i, x in enumerate(urls.LABELLED) if i % 4 != k])
-        for y, u in held:
-            f = urls.features(*urls.split_url(u))
-            hit += ((w[f].sum() / np.sqrt(max(len(f), 1)) + w[-1]) >= 0) == bool(y)
-    assert hit / len(urls.LABELLED) >= 0.7
+# written by hand: none is made by the rule of the labelled table
+KNOWN_CLEAN = """https://en.wikipedia.org/wiki/Suffix_array https://www.python.org/downloads/ https://arxiv.org/abs/1234.5678 https://www.bbc.co.uk/news/world
+https://github.com/apache/spark https://stackoverflow.com/questions/11 https://www.nature.com/articles/x https://www.mozilla.org/en-US/ https://www.nasa.gov/missions
+https://www.who.int/health-topics https://www.lemonde.fr/sciences/ https://www.spiegel.de/kultur/ https://elpais.com/cultura/ https://www.imdb.com/title/tt01
+https://www.gutenberg.org/ebooks/84 https://www.mit.edu/~people/ https://www.nytimes.com/2024/05/01/arts https://www.debian.org/doc/ https://www.openstreetmap.org/about
+https://www.amazon.com/dp/B00 https://www.goodreads.com/book/show/1 https://medium.com/@someone/story http://www.oxfam.org.uk/give https://www.ikea.com/se/""".split()
+KNOWN_BAD = """http://online-casino-bonus.xyz/slots https://www.free-poker-chips.biz/play http://buyviagra24.info/order https://cheap-cialis-online.top/
+http://xxx-tube.click/v/12 https://hot-escorts.ru/city http://paydayloansfast.biz/apply https://torrentwarez.top/crack/photoshop http://best-slots-jackpot.com/en/1
+http://win-prize-now.click/iphone https://adult-webcam-chat.net/live http://keygen-crack-serial.ru/dl https://betting-tips-bets.info/ http://popads-tracker.click/t?id=9
+https://replica-watches-shop.top/rolex http://diet-pills-weightloss.biz/buy""".split()
+
+
+def test_url_model_on_urls_outside_its_table(spark):
+    table = urls.labelled_rows(urls.labelled_table(spark))
+    assert 5_000 < len(table) <= urls.MAX_LABELLED and not {u for _, u in table} & {*KNOWN_CLEAN, *KNOWN_BAD}
+    w = urls.train(table)
+    score = lambda us: urls.linear_scores(w, *map(list, zip(*map(urls.split_url, us), strict=True)))
+    clean, bad = (score(KNOWN_CLEAN) < 0).mean(), (score(KNOWN_BAD) >= 0).mean()
+    assert clean >= 0.9 and bad >= 0.85, (clean, bad)
+    # rows of the rule that the model has not seen
+    other = urls.labelled_rows(urls.labelled_table(spark, 2_000, seed=5))
+    y = (score([u for _, u in other]) >= 0).astype(int)
+    assert (y == [v for v, _ in other]).mean() >= 0.95
+    assert urls.train([]).any() == False  # noqa: E712
+
+
+def test_url_features_are_the_different_grams_of_each_row():
+    long = "a" * 50_000
+    hosts, paths = ["abc", "", "abcabc", "é", long], ["/x", "", "/", "/abc", "/" + long]
+    row, col = urls.features(hosts, paths, 40)
+    for i, (h, p) in enumerate(zip(hosts, paths)):
+        grams = {(k, s[j:j + n]) for k, t in ((0, h), (1, p)) for s in [f"^{t}$".encode()] for n in urls.SIZES for j in range(len(s) - n + 1)}
+        assert len(col[row == i]) == len(grams)
+    one = urls.features(["abcabc"], ["/"], 40)[1]
+    assert (np.sort(one) == np.sort(col[row == 2])).all()
 
 
 # -- language model -------------------------------------------------------
