@@ -11,7 +11,7 @@ into the leftmost bin that has room.
 Defined results: a null or empty text is one piece holding the end id;
 repeated rows are packed one by one; ties in length are placed by document
 id and start; a text of any length is cut whole; an empty table gives an
-empty result; other columns are ignored.
+empty result; ids are cast to long; other columns are ignored.
 """
 from __future__ import annotations
 

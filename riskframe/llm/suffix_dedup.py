@@ -24,7 +24,7 @@ so it is built in pieces that are independent of each other:
 Defined results: a null text is empty; repeated rows are different documents,
 so a text of 400 bytes or more that occurs in two rows is removed from both;
 texts are taken whole; all strings are judged on the input; an empty table
-gives an empty result; other columns are ignored.
+gives an empty result; ids are cast to long; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -47,6 +47,8 @@ GROUP = 256
 SLICE = 1 << 22
 PLACE = U((1 << 24) - 1)
 
+# distances from the anchor take 9 bits of a place
+MOST_LENGTH = GRAM + (1 << 9) - 1
 # place: anchor << 18 | (anchor - first start) << 9 | (anchor - last start)
 ANCHORS = "k_row long, k_text long, h long, g long, place long"
 
@@ -292,7 +294,10 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP,
                    starts: int = SLICE) -> DataFrame:
     """One row per document: id, size in bytes, the maximal removed spans
-    (byte offsets) and the remaining bytes."""
+    (byte offsets) and the remaining bytes.  ``length`` is 64 to
+    ``MOST_LENGTH`` bytes."""
+    if not 2 * GRAM <= length <= MOST_LENGTH:
+        raise ValueError(f"length must be {2 * GRAM} to {MOST_LENGTH} bytes")
     ranges = (repeat_ranges(docs, id_col, text_col, length, group, starts).groupBy("k_row", "k_text")
               .agg(F.collect_set(F.struct("s", "e")).alias("ranges")))
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(text_col, id_col), F.col(text_col).cast("string").alias("text"))

@@ -128,6 +128,14 @@ def test_suffix_dedup_in_slices_is_exact(spark, starts):
     assert got == dict(enumerate(want))
 
 
+def test_suffix_dedup_refuses_lengths_it_cannot_hold(spark):
+    docs = spark.createDataFrame([(1, "ab" * 700)], "doc_id int, text string")
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(docs, length=suffix_dedup.MOST_LENGTH + 1)
+    got = suffix_dedup.remove_repeats(docs, length=suffix_dedup.MOST_LENGTH).first()
+    assert [(s.start, s.end) for s in got.spans] == [(0, 1400)]
+
+
 # -- quality --------------------------------------------------------------
 
 def brute_quality(t):
@@ -625,6 +633,22 @@ def test_pipeline_against_brute_force(spark):
     check_packing(masked, corpus_pipeline.run(spark, SF).collect())
 
 
+def test_pipeline_stages_on_nulls_repeats_and_clashing_names(spark, docs, tmp_path):
+    import corpus_pipeline
+    spark.createDataFrame([(1, passage(4, 90)), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    d = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, str(tmp_path))
+        assert out.columns == docs.columns
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        d = spark.createDataFrame(out.collect(), docs.schema)
+    kept = {r.doc_id for r in d.collect()}
+    assert kept and 10 not in kept                       # 900 times one letter: no ten words
+    packed = corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path))
+    assert {r.doc_id for r in packed.collect()} == kept
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_digests_of_the_queries(spark):
     from riskframe.llm.queries import QUERIES
     one = QUERIES["op1_suffix_dedup"](spark, SF).collect()
