@@ -17,7 +17,7 @@ from riskframe.operators import cascade as K
 from riskframe.operators import evaluate as EV
 from riskframe.operators import similar as S
 from riskframe.operators import vectors as V
-from riskframe.session import cut_lineage
+from riskframe.sources import io
 from riskframe.sources.tables import table
 
 CLASS_LABELS = {"harmful_content": [0, 1], "prompt_injection": [2, 3], "jailbreak": [4, 5, 6]}
@@ -42,8 +42,16 @@ def _domain_centroid(spark, sf_dir):
 
 
 def signals(spark, sf_dir):
-    """One row of detector signals per vector: the cosines to all anchors and
-    the domain centroid come from one matrix product a batch."""
+    """One row of detector signals per vector, written once per input and
+    read back by every query that needs it (K5)."""
+    emb = table(spark, sf_dir, "embeddings")
+    key = io.input_fingerprint(spark, emb, CLASS_LABELS, META_LABELS, EDU_LABELS, DOMAIN_LABEL, C.DOMAIN_THRESHOLD, C.EDUCATIONAL_THRESHOLD)
+    return io.stored(spark, "signals", key, lambda: extract_signals(spark, sf_dir))
+
+
+def extract_signals(spark, sf_dir):
+    """The cosines to all anchors and the domain centroid come from one
+    matrix product a batch."""
     a = _anchors(spark, sf_dir)
     labels = sorted(a)
     cen = _domain_centroid(spark, sf_dir)
@@ -60,10 +68,7 @@ def signals(spark, sf_dir):
         (F.col("label") <= 6).cast("int").alias("attack"), F.lit(False).alias("symbolic"))
     s = s.withColumn("domain_aligned", F.col("domain_score") >= C.DOMAIN_THRESHOLD) \
         .withColumn("is_educational", F.col("educational_score") > C.EDUCATIONAL_THRESHOLD)
-    # Signals are a stage output consumed by several operators: write them
-    # once (reliable checkpoint in the shared folder) instead of re-deriving
-    # the anchor arithmetic in every branch of a downstream plan.
-    return cut_lineage(s)
+    return s
 
 
 def _features():

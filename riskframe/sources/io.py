@@ -6,7 +6,10 @@ partitioned so later reads prune by partition (detector, date, tenant).
 """
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +67,35 @@ def write_small(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def input_fingerprint(spark: SparkSession, df: DataFrame, *params) -> str:
+    """Digest of the files a table is read from (path, size, time of change)
+    and of the parameters of what is made from it."""
+    h = hashlib.sha256()
+    for path in sorted(df.inputFiles()):
+        fs, p = _file_system(spark, path)
+        st = fs.getFileStatus(p)
+        h.update(f"{path}|{st.getLen()}|{st.getModificationTime()}\n".encode())
+    h.update(repr(params).encode())
+    return h.hexdigest()[:32]
+
+
+def stored(spark: SparkSession, name: str, fingerprint: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """K5: the table ``build`` makes, written once under its fingerprint in
+    the shared folder and read back by all later callers.  It is written
+    aside and renamed, so a reader never meets half of it; of two writers at
+    the same time one stays."""
+    from riskframe.session import checkpoint_dir
+    base = checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/{name}-{fingerprint}"
+    if not path_exists(spark, path):
+        aside = f"{base}/_{name}-{uuid.uuid4().hex}"
+        build().write.parquet(aside)
+        fs, p = _file_system(spark, path)
+        if not fs.exists(p):
+            fs.rename(_file_system(spark, aside)[1], p)
+    return spark.read.parquet(path)
+
+
 # --- S5 tolerant JSONL -------------------------------------------------------------
 
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: T.StructType = SCORE_SCHEMA) -> DataFrame:

@@ -314,3 +314,23 @@ def test_centroids_make_no_row_per_component(spark):
         at = [i for i in range(300) if i != 7 and ((i % 11 == 0) if g is None else (i % 11 and i % 3 == g))]
         assert np.allclose(got[g], x[at].mean(axis=0))
     assert json.dumps(sorted(got, key=str)) and V.centroids(df.limit(0), "g", "v").count() == 0
+
+
+# -- tables stored under a fingerprint ------------------------------------
+
+def test_stored_tables_follow_their_input(spark, tmp_path):
+    from riskframe.sources import io
+    at, made = str(tmp_path / "t"), []
+
+    def build():
+        made.append(1)
+        return spark.read.parquet(at).selectExpr("id * 2 AS x")
+    spark.range(3).write.parquet(at)
+    key = lambda *p: io.input_fingerprint(spark, spark.read.parquet(at), *p)
+    first = key("a")
+    for _ in range(2):
+        assert sorted(r.x for r in io.stored(spark, "twice", first, build).collect()) == [0, 2, 4]
+    assert len(made) == 1 and key("a") == first and key("b") != first
+    spark.range(4).write.mode("append").parquet(at)
+    assert key("a") != first
+    assert io.stored(spark, "twice", key("a"), build).count() == 7 and len(made) == 2
