@@ -8,7 +8,9 @@ path is a bucket key.  A pair at the threshold keeps one common child per
 node on average, which fixes the chance that it still meets at a given
 depth; runs are repeated until the chance of never meeting is below
 ``1 - recall``.  Members of buckets above ``BUCKET`` start again in deeper
-trees, with as many runs as those need; buckets up to it are compared by brute force on 128-byte sketches.
+trees, with as many runs as those need.  Sizes and 16 bytes of a 128-byte
+sketch travel with the keys and part most members that met by chance; what is
+left of a bucket is compared by brute force on the whole sketches.
 Pairs that pass give connected candidate groups, and inside each group every
 pair is verified exactly on its whole sets, in blocks of ``UNIT`` sets, so
 no link that met is lost and each is counted once.
@@ -16,7 +18,8 @@ no link that met is lost and each is counted once.
 Defined results: fewer than five words give one shingle of all of them; a
 null, empty or blank text has none, is alone in its class and has no links;
 repeated rows and equal sets share a class; texts are taken whole; an empty
-table gives an empty result; other columns are ignored or passed through.
+table gives an empty result; ids are cast to long; other columns are ignored or
+passed through.
 """
 from __future__ import annotations
 
@@ -40,6 +43,8 @@ MAX_DEPTH = 8
 BUCKET = 4096
 UNIT = 256
 SKETCH = 128
+# sketch bytes that travel with the bucket keys, and how many must agree of how many in use
+COARSE, COARSE_USED, COARSE_LEAST = 16, 14, 3
 # estimate a pair must reach to be verified: five standard deviations below
 SLACK = 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SKETCH)
 
@@ -194,6 +199,49 @@ def similar_pairs(sketch: np.ndarray, size: np.ndarray, threshold: float, slack:
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (z, z)
 
 
+def may_match(a: np.ndarray, size_a, b: np.ndarray, size_b, threshold: float) -> np.ndarray:
+    """Whether sets may be at the threshold, by their sizes and the first
+    bytes of their sketches: at the threshold a byte agrees four times in
+    five, so ``COARSE_LEAST`` agreeing bytes of ``COARSE_USED`` are missed
+    once in four million pairs.  With fewer bytes in use nothing is said."""
+    inked = (a != 0) | (b != 0)
+    both = ((a == b) & inked).sum(-1)
+    near = np.minimum(size_a, size_b) >= threshold * np.maximum(size_a, size_b)
+    return near & ((inked.sum(-1) < COARSE_USED) | (both >= COARSE_LEAST))
+
+
+def bucket_lists(threshold: float):
+    """The members of each bucket that may match another one, as lists: a
+    list is named by a hash of its members, so that the same ones meeting in
+    many buckets are one list."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in whole_groups(batches, 1):
+            size = t.column("size").to_numpy()
+            raw = np.frombuffer(b"".join(t.column("coarse").to_pylist()), np.uint8).reshape(-1, COARSE)
+            dig = t.column("digest").combine_chunks()
+            half = mix(np.frombuffer(b"".join(dig.to_pylist()), U).reshape(-1, 2)[:, 0])
+            ends = np.append(at[1:], t.num_rows)
+            n = ends - at
+            pair = at[n == 2]
+            pair = pair[may_match(raw[pair], size[pair], raw[pair + 1], size[pair + 1], threshold)]
+            rows = [np.stack([pair, pair + 1], 1).ravel()]
+            names = [np.repeat(mix(half[pair] + half[pair + 1]), 2)]
+            for lo, hi in zip(at[n > 2].tolist(), ends[n > 2].tolist(), strict=True):
+                i, j = [], []
+                for k in range(lo, hi - 1):
+                    ok = np.flatnonzero(may_match(raw[k + 1:hi], size[k + 1:hi], raw[k], size[k], threshold)) + k + 1
+                    i.append(np.full(len(ok), k - lo))
+                    j.append(ok - lo)
+                label = labels_from_pairs(hi - lo, np.concatenate(i), np.concatenate(j))
+                total = np.zeros(hi - lo, U)
+                np.add.at(total, label, half[lo:hi])
+                member = np.flatnonzero(np.bincount(label, minlength=hi - lo)[label] > 1)
+                rows.append(lo + member)
+                names.append(mix(total[label[member]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), dig.take(pa.array(np.concatenate(rows)))], ["bucket", "digest"])
+    return run
+
+
 def bucket_edges(threshold: float, slack: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in whole_groups(batches, 1):
@@ -235,21 +283,19 @@ def candidate_edges(docs: DataFrame, classes: DataFrame, threshold: float, recal
     """Edges between class digests whose closure joins every pair that met
     in a bucket and passed the sketches."""
     edges = []
-    rows = classes.select(F.explode("keys").alias("key"), "digest")
+    coarse = F.substring("sketch", 1, COARSE).alias("coarse")
+    rows = classes.select(F.explode("keys").alias("key"), "digest", "size", coarse)
     sketches = classes.select("digest", "size", "sketch")
     while True:
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        met = saved(rows.join(sizes, "key"))
-        small = met.where(F.col("n") <= bucket)
-        # the same members meet in many buckets: compare them once
-        lists = small.groupBy("key").agg(F.sort_array(F.collect_list("digest")).alias("m")).select("m").distinct()
-        lists = lists.select(F.xxhash64("m").alias("bucket"), F.explode("m").alias("digest"))
-        ready = lists.join(sketches, "digest").select("bucket", "digest", "size", "sketch")
+        large = saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("key"))
+        lists = (rows.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key", "digest").select("key", "digest", "size", "coarse")
+                 .mapInArrow(bucket_lists(threshold), "bucket long, digest binary"))
+        ready = lists.dropDuplicates(["bucket", "digest"]).join(sketches, "digest").select("bucket", "digest", "size", "sketch")
         edges.append(ready.repartition("bucket").sortWithinPartitions("bucket", "digest")
                      .mapInArrow(bucket_edges(threshold, SLACK), "a binary, b binary"))
-        over = met.where(F.col("n") > bucket)
-        if over.isEmpty():
+        if large.isEmpty():
             break
+        over = rows.join(large, "key").select("key", "digest")
         if depth >= MAX_DEPTH:
             # members agree in eight chosen shingles: one candidate group
             root = over.groupBy("key").agg(F.min("digest").alias("b"))
@@ -258,15 +304,17 @@ def candidate_edges(docs: DataFrame, classes: DataFrame, threshold: float, recal
         # those members start again in deeper trees, with the runs that need
         depth *= 2
         seeds = run_seeds(runs_needed(recall, depth))
-        wanted = over.select("digest").distinct().join(classes.select("digest", "k_row", "k_text"), "digest")
+        wanted = over.select("digest").distinct().join(classes.select("digest", "k_row", "k_text", "size", coarse), "digest")
 
         def again(batches: Iterator[pa.RecordBatch], seeds=seeds, depth=depth) -> Iterator[pa.RecordBatch]:
             for batch in frugal(batches):
-                for dig, tok in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for i, tok in enumerate(batch.column(3)):
                     k = chosen_paths(tok.values.to_numpy().view(U), seeds, depth, threshold).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array([dig] * len(k), pa.binary())], ["key", "digest"])
+                    same = pa.array(np.full(len(k), i))
+                    yield pa.RecordBatch.from_arrays([pa.array(k), *(batch.column(c).take(same) for c in range(3))], ["key", "digest", "size", "coarse"])
 
-        rows = set_rows(docs, wanted, words, id_col, text_col).mapInArrow(again, "key long, digest binary")
+        rows = saved(set_rows(docs, wanted.select("k_row", "k_text", "digest", "size", "coarse"), words, id_col, text_col)
+                     .mapInArrow(again, "key long, digest binary, size long, coarse binary"))
     out = edges[0]
     for e in edges[1:]:
         out = out.union(e)
