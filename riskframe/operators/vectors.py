@@ -275,19 +275,20 @@ def anchor_max_arrow(df: DataFrame, vec: str, anchors: np.ndarray, out_col: str
 def anchor_max_blocks(df: DataFrame, vec: str, anchors: DataFrame, anchor_vec: str, out_col: str = "threat_score",
                       block: int = MAX_INLINE_ANCHORS, empty_value: float = 0.0) -> DataFrame:
     """:func:`anchor_max_arrow` for an anchor table of any size: the anchors
-    are dealt by hash into blocks of about ``block`` rows, each block's matrix
-    is sent in turn, and a row keeps the best of its block maxima — the same
-    numbers at every size, with one bounded matrix in a task at a time."""
+    are dealt by hash into blocks of about ``block`` rows; each block's matrix
+    is sent, its maxima are taken and written, and only then the next one
+    follows, so one bounded matrix is alive at a time.  The numbers are the
+    same at every size."""
     from riskframe.session import cut_lineage
-    a = cut_lineage(anchors.select(F.col(anchor_vec).alias("a")))
+    a = cut_lineage(anchors.select(F.col(anchor_vec).alias("a")).distinct())
     blocks = max(1, math.ceil(a.count() / block))
-    best = []
+    if blocks == 1:
+        rows = a.collect()
+        return anchor_max_arrow(df, vec, np.array([r.a for r in rows]) if rows else np.zeros((0, 1)), out_col, empty_value)
+    df = df.withColumn(out_col, F.lit(None).cast("double"))
     for k in range(blocks):
-        part = a if blocks == 1 else a.where(F.pmod(F.xxhash64("a"), F.lit(blocks)) == k)
-        rows = part.collect()
-        if not rows and (best or k < blocks - 1):
-            continue
-        df = anchor_max_arrow(df, vec, np.array([r.a for r in rows]) if rows else np.zeros((0, 1)), f"__max_{k}", empty_value)
-        best.append(f"__max_{k}")
-    top = F.greatest(*best) if len(best) > 1 else F.col(best[0])
-    return df.withColumn(out_col, top).drop(*best)
+        rows = a.where(F.pmod(F.xxhash64("a"), F.lit(blocks)) == k).collect()
+        if rows:
+            df = anchor_max_arrow(df, vec, np.array([r.a for r in rows]), "__max", empty_value)
+            df = cut_lineage(df.withColumn(out_col, F.greatest(out_col, "__max")).drop("__max"))
+    return df

@@ -104,26 +104,31 @@ def upsert_writer(table_path: str, key: str = "prompt_hash"):
     return write
 
 
+def cache_index(cache: DataFrame):
+    """A cache snapshot as a :class:`~riskframe.operators.similar.SphereIndex`
+    with its entries: ``(index, entries)``.  Entry ids are a hash of the
+    prompt hash, whatever the layout of the snapshot."""
+    from riskframe.operators import similar
+    c = cache.select(F.xxhash64("prompt_hash").alias("nn_id"), "prompt_hash", "vector", "risk", "score", "timestamp_epoch")
+    return similar.sphere_index(similar.unit_rows(c, "nn_id", "vector")), c.drop("vector")
+
+
 def fuzzy_reuse(requests: DataFrame, cache: DataFrame, threshold: float = 0.99,
                 ttl_seconds: float = 24 * 3600.0, id_col: str = "request_id", vec: str = "vector",
-                ts: str = "ts") -> DataFrame:
-    """The nearest cached vector (exact blocked search) is reused
-    when its cosine is strictly above ``threshold`` *and* that entry is still
-    within its TTL; otherwise the request is a miss (an expired best match
-    is not replaced by a worse live one).  ``cache`` holds
-    ``prompt_hash, vector, risk, score, timestamp_epoch``."""
-    from riskframe.operators.vectors import nearest_between
-    # a stable integer id per cache entry, derived from its hash (not from
-    # partition layout, which may differ between recomputations)
-    c = cache.select(F.xxhash64("prompt_hash").alias("__cid"), "prompt_hash", F.col("vector").alias("__v"),
-                     "risk", "score", "timestamp_epoch")
+                ts: str = "ts", indexed=None) -> DataFrame:
+    """The nearest cached vector (exact search by pivot cells and
+    rings) is reused when its cosine is strictly above ``threshold`` *and*
+    that entry is still within its TTL; otherwise the request is a miss (an
+    expired best match is not replaced by a worse live one) and ``sim`` is
+    null if no entry is that similar.  ``cache`` holds ``prompt_hash, vector,
+    risk, score, timestamp_epoch``; ``indexed`` is its :func:`cache_index`,
+    where one is at hand."""
+    from riskframe.operators import similar
+    index, c = indexed or cache_index(cache)
     q = requests.select(F.col(id_col).cast("long").alias("__qid"), F.col(vec).alias("__v"), F.col(ts).alias("__ts"))
-    nn = nearest_between(q.withColumnRenamed("__qid", "__id"), c.withColumnRenamed("__cid", "__id"),
-                         "__id", "__v")
-    j = nn.withColumnRenamed("__id", "__qid").join(q.select("__qid", "__ts"), "__qid") \
-        .join(c.withColumnRenamed("__cid", "nn_id").drop("__v"), "nn_id")
-    live = (F.unix_micros(F.col("__ts").cast("timestamp")) / 1e6 - F.col("timestamp_epoch")) < ttl_seconds
-    hit = (F.col("sim") > threshold) & live
+    nn = similar.nearest_within(index, similar.unit_rows(q, "__qid", "__v"), threshold, strict=True)
+    j = nn.withColumnRenamed("id", "__qid").join(q.select("__qid", "__ts"), "__qid").join(c, "nn_id")
+    hit = (F.unix_micros(F.col("__ts").cast("timestamp")) / 1e6 - F.col("timestamp_epoch")) < ttl_seconds
     res = j.select(F.col("__qid").alias(id_col), hit.alias("hit"), F.when(hit, F.col("risk")).alias("cached_risk"),
                    F.when(hit, F.col("prompt_hash")).alias("cached_hash"), F.col("sim"))
     return requests.select(F.col(id_col).cast("long").alias(id_col)).join(res, id_col, "left") \
@@ -134,13 +139,20 @@ def fuzzy_reuse_writer(cache_path: str, out_path: str, threshold: float = 0.99,
                        id_col: str = "request_id", vec: str = "vector", ts: str = "ts"):
     """``foreachBatch`` function: each micro-batch is matched against the
     current cache snapshot and written under its epoch (replays overwrite
-    their own epoch only)."""
+    their own epoch only).  A snapshot is indexed once, when it is first
+    seen."""
+    held: dict = {}
+
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        from riskframe.sources.io import CACHE_SCHEMA
+        from riskframe.sources.io import CACHE_SCHEMA, input_fingerprint
         # without a snapshot every request misses
         cache = (spark.read.schema(CACHE_SCHEMA).parquet(cache_path) if path_exists(spark, cache_path)
                  else spark.createDataFrame([], CACHE_SCHEMA))
-        out = fuzzy_reuse(batch, cache, threshold, ttl_seconds, id_col, vec, ts)
+        key = input_fingerprint(spark, cache)
+        if key not in held:
+            held.clear()
+            held[key] = cache_index(cache)
+        out = fuzzy_reuse(batch, cache, threshold, ttl_seconds, id_col, vec, ts, held[key])
         out.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/epoch={epoch}")
     return write
