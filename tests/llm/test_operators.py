@@ -609,7 +609,7 @@ def test_empty_tables(spark, docs):
     assert token_counts.context_table(token_counts.histogram(none)).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_extract.extract(pages).count() == 0
-    assert urls.judge(pages, urls.train(urls.LABELLED)).count() == 0
+    assert urls.judge(pages, urls.train(urls.labelled_rows(urls.labelled_table(spark)))).count() == 0
 
 
 def test_pipeline_against_brute_force(spark):
