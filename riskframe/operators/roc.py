@@ -76,8 +76,11 @@ def prefix_before(g: DataFrame, keys, order_col: str, value_cols, buckets: int =
     g = cut_lineage(g)
     if g.count() <= WINDOW_ROWS:
         before = Window.partitionBy(*ks).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-        return g.select("*", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"{v}_lt") for v in vals],
-                        *[F.sum(v).over(Window.partitionBy(*ks)).alias(f"{v}_total") for v in vals])
+        # written, as the table is read by several branches: each would sort
+        # again, and a union of branches partitioned alike must find as many
+        # partitions on both sides
+        return cut_lineage(g.select("*", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"{v}_lt") for v in vals],
+                                    *[F.sum(v).over(Window.partitionBy(*ks)).alias(f"{v}_total") for v in vals]))
     gb = range_buckets(g, ks, [order_col], buckets)
     bt = gb.groupBy(*ks, "__b").agg(*[F.sum(v).alias(f"__bt_{v}") for v in vals])
     w_off = Window.partitionBy(*ks).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
