@@ -101,6 +101,25 @@ def test_empty_sides(spark, vectors):
     assert S.nearest_other(df.limit(0), "id", "v", 0.5).count() == 0
 
 
+def test_vectors_without_near_neighbours_are_sent_once_a_block(spark):
+    """Where nothing can be pruned, a query goes to blocks, not to each of
+    the rings in them."""
+    x = np.random.default_rng(3).normal(size=(1500, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(t) for t in v]) for i, v in enumerate(x)], "id long, v array<double>")
+    units = S.unit_rows(df, "id", "v")
+    index = S.sphere_index(units)
+    seen = S.ring_visits(index, units.withColumn("least", F.lit(0.4)))
+    zone, held = S.zones_of(index.rings["n"].to_numpy(), 500)
+    sent = S.zone_visits(seen, zone).select(F.sum(F.size("zones"))).first()[0]
+    assert held.sum() == 1500 and len(held) <= 6 and sent <= 1500 * len(held)
+    assert seen.select(F.sum(F.size("rings"))).first()[0] > 5 * sent
+    m = x @ x.T
+    np.fill_diagonal(m, -2)
+    got = {r.id: r.nn_id for r in S.nearest_other(df, "id", "v", block_rows=500).collect()}
+    assert got == dict(enumerate(m.argmax(axis=1).tolist()))
+
+
 # -- grouped fits ---------------------------------------------------------
 
 def solve(X, y, C=1.0, iters=60):
@@ -175,3 +194,13 @@ def test_policy_needs_both_labels(spark):
     df = spark.createDataFrame([(1.0, 1), (2.0, 1)], "a double, y int")
     with pytest.raises(ValueError):
         learn.fit_fusion_policy(df, ["a"], "y")
+
+
+def test_top_collisions_has_no_threshold(spark, tmp_path):
+    """Twins bent by 0.45 lie below 0.95: they are still the nearest."""
+    from riskframe.plans import q_more
+    r = np.random.default_rng(5)
+    spark.createDataFrame([(24 * i + 15, [float(t) for t in r.normal(size=8)], i % 10) for i in range(12)],
+                          "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = q_more.top_collisions(spark, str(tmp_path)).collect()
+    assert len(got) == 8 and all(row.sim < 0.95 and row.label != row.nn_label for row in got)
