@@ -138,7 +138,7 @@ SELECT doc_id, attack_class FROM (
 TOP_COLLISIONS = f"""
 WITH {o_vectors.PHRASES_CTE},
 {o_vectors.PHRASES_NN}
-SELECT vec_id, nn_id, round(sim, 6) AS sim, label, nn_label FROM nn WHERE sim >= {Q.COLLISION_REPORT} AND label <> nn_label
+SELECT vec_id, nn_id, round(sim, 6) AS sim, label, nn_label FROM nn WHERE label <> nn_label
 ORDER BY round(sim, 6) DESC, vec_id LIMIT 8"""
 
 ORACLE = {
