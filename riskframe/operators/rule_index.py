@@ -2,8 +2,12 @@
 
 An alternation of all patterns tests every pattern at every place of every
 text.  Here each pattern is filed under one byte gram that any match of it must
-contain, the rarest such gram in the texts; texts meet patterns by an
-equi-join on grams, and only those candidate pairs are checked exactly.
+contain, the rarest such gram in the texts.  The index of a pack of up to
+``INDEX_BROADCAST`` patterns and grams travels to the texts, which are read
+where they lie: literals are tested in the order of the verdict up to the
+first match, and a text moves on only for the regular expressions before it.
+Larger packs meet the texts by an equi-join on grams, and the candidate pairs
+are checked exactly.
 Patterns without a literal run as long as a gram have no such key and are
 tested by alternations of bounded length.
 
@@ -77,6 +81,68 @@ def pattern_frame(spark, rules: list[tuple[int, int, str, bool]]) -> DataFrame:
     return spark.createDataFrame(rules, "pattern_id long, priority int, pattern string, literal boolean")
 
 
+def different_grams(t: str | None, size: int) -> np.ndarray:
+    """The different grams of ``size`` bytes of a text, ascending."""
+    x = np.frombuffer((t or "").encode(), np.uint8).astype(np.int64)
+    m = len(x) - size + 1
+    if m <= 0:
+        return np.zeros(0, np.int64)
+    g = np.zeros(m, np.int64)
+    for j in range(size):
+        g = (g << 8) | x[j:j + m]
+    return np.unique(g)
+
+
+def places(u: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Places in the ascending ``among`` of those values of ``u`` that it has."""
+    if not len(among):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(among, u), len(among) - 1)
+    return at[among[at] == u]
+
+
+def gram_counts(texts: DataFrame, wanted: np.ndarray, size: int) -> DataFrame:
+    """``gram, c``: in how many rows of ``__id, __t`` each wanted gram
+    occurs; a task sends one row a gram that it met."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = np.zeros(len(wanted), np.int64)
+        for b in batches:
+            for t in b.column(0):
+                c[places(different_grams(t.as_py(), size), wanted)] += 1
+        met = np.flatnonzero(c)
+        yield pa.RecordBatch.from_arrays([pa.array(wanted[met]), pa.array(c[met])], ["gram", "c"])
+    return texts.where("__id is not null").select("__t").mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+
+
+def first_hits(texts: DataFrame, filed: list[tuple[int, int]], ranked: list[tuple[int, str, bool]], size: int) -> DataFrame:
+    """``__id, __t, pattern_id``: of every text of ``__id, __t`` its first
+    literal among the patterns filed under a gram it holds (text null: it is
+    a match), and each regular expression that goes before it and has yet to
+    be tested on the text.  ``filed``: ascending (gram, place in ``ranked``);
+    ``ranked``: (pattern id, pattern, literal) in the order of the verdict."""
+    keys, place = (np.array([f[k] for f in filed], np.int64) for k in (0, 1))
+    start = np.flatnonzero(np.diff(keys, prepend=-1))
+    own, groups = keys[start], np.split(place, start[1:])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple[int, str | None, int]] = []
+            for i, t in zip(b.column(0), b.column(1), strict=True):
+                text = t.as_py()
+                k = places(different_grams(text, size), own)
+                for r in np.unique(np.concatenate([groups[x] for x in k])) if len(k) else ():
+                    pattern_id, pattern, literal = ranked[r]
+                    if not literal:
+                        rows.append((i.as_py(), text, pattern_id))
+                    elif pattern in text:
+                        rows.append((i.as_py(), None, pattern_id))
+                        break
+            if rows:
+                ids, again, found = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(again, pa.string()), pa.array(found, pa.int64())], ["__id", "__t", "pattern_id"])
+    return texts.where("__id is not null").mapInArrow(run, "__id long, __t string, pattern_id long")
+
+
 def grams(df: DataFrame, id_col: str, text_col: str, size: int = GRAM) -> DataFrame:
     """``id, gram``: the different grams of ``size`` bytes of each text, as
     numbers (exact up to 7 bytes)."""
@@ -88,13 +154,8 @@ def grams(df: DataFrame, id_col: str, text_col: str, size: int = GRAM) -> DataFr
             for start in range(0, b.num_rows, 256):
                 ids, keys, n = [], [], []
                 for i, t in zip(b.column(0).slice(start, 256).to_pylist(), b.column(1).slice(start, 256).to_pylist(), strict=True):
-                    x = np.frombuffer((t or "").encode(), np.uint8).astype(np.int64)
-                    m = len(x) - size + 1
-                    if m > 0:
-                        g = np.zeros(m, np.int64)
-                        for j in range(size):
-                            g = (g << 8) | x[j:j + m]
-                        u = np.unique(g)
+                    u = different_grams(t, size)
+                    if len(u):
                         ids.append(i)
                         keys.append(u)
                         n.append(len(u))
@@ -113,18 +174,30 @@ def match(texts: DataFrame, patterns: DataFrame, id_col: str, text_col: str, siz
     filed = cut_lineage(grams(keep.select("pattern_id", F.explode("runs").alias("run")), "pattern_id", "run", size)
                         .select(F.col("id").alias("pattern_id"), "gram").distinct())
     t = texts.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__t"))
-    wanted = filed.select("gram").distinct()
-    # broadcast behind a count only; beyond it the join shuffles narrow rows
-    wanted = F.broadcast(wanted) if wanted.count() <= INDEX_BROADCAST else wanted
-    seen = cut_lineage(grams(t, "__id", "__t", size).withColumnRenamed("id", "__id").join(wanted, "gram", "left_semi"))
-    count = seen.groupBy("gram").agg(F.count("*").alias("c"))
-    rarest = (filed.join(count, "gram", "left").groupBy("pattern_id")
-              .agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "gram")).alias("g")).select("pattern_id", "g.gram", "g.c"))
-    pairs = seen.join(rarest.where("c > 0").select("gram", "pattern_id"), "gram").select("__id", "pattern_id")
+    wanted = cut_lineage(filed.select("gram").distinct())
     rules = keep.select("pattern_id", "priority", "pattern", "literal")
-    rules = F.broadcast(rules) if rules.count() <= INDEX_BROADCAST else rules
-    checked = (pairs.join(rules, "pattern_id").join(t, "__id")
-               .where(F.when(F.col("literal"), F.col("__t").contains(F.col("pattern"))).otherwise(F.expr("__t rlike pattern"))))
+    small = rules.count() <= INDEX_BROADCAST
+    rules = F.broadcast(rules) if small else rules
+    # the index travels with the tasks behind a count only; beyond it the join
+    # shuffles narrow rows
+    index = small and wanted.count() <= INDEX_BROADCAST
+    if index:
+        count = gram_counts(t, np.array(sorted(r.gram for r in wanted.collect()), np.int64), size)
+    else:
+        seen = cut_lineage(grams(t, "__id", "__t", size).withColumnRenamed("id", "__id").join(wanted, "gram", "left_semi"))
+        count = seen.groupBy("gram").agg(F.count("*").alias("c"))
+    rarest = (filed.join(count, "gram", "left").groupBy("pattern_id")
+              .agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "gram")).alias("g")).select("pattern_id", "g.gram", "g.c")).where("c > 0")
+    if index:
+        ranked = [(r.pattern_id, r.pattern, r.literal) for r in keep.orderBy("priority", "pattern_id").select("pattern_id", "pattern", "literal").collect()]
+        at: dict[int, list[int]] = {}
+        for i, r in enumerate(ranked):
+            at.setdefault(r[0], []).append(i)
+        checked = (first_hits(t, sorted((r.gram, i) for r in rarest.collect() for i in at[r.pattern_id]), ranked, size).join(rules, "pattern_id")
+                   .where(F.col("__t").isNull() | F.expr("__t rlike pattern")))
+    else:
+        pairs = seen.join(rarest.select("gram", "pattern_id"), "gram").select("__id", "pattern_id").join(rules, "pattern_id").join(t, "__id")
+        checked = pairs.where(F.when(F.col("literal"), F.col("__t").contains(F.col("pattern"))).otherwise(F.expr("__t rlike pattern")))
     hits = checked.select("__id", "priority", "pattern_id")
     rest = keep.where(F.size("runs") == 0).orderBy("priority", "pattern_id").limit(UNINDEXED + 1).collect()
     if len(rest) > UNINDEXED:
