@@ -31,16 +31,17 @@ DIMS = 1 << 10
 
 def assess_prompts(spark, sf_dir):
     docs = text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "source", "text")
-    # screened rows feed both routes and the embedder fit: keep them (lineage
-    # stays intact, so lost blocks are recomputed)
-    s = screening.screen_prompts(docs).persist(StorageLevel.MEMORY_AND_DISK)
+    # screened rows feed both routes and the embedder fit: keep the columns
+    # that those read, with one copy of the text (lineage stays intact, so
+    # lost blocks are recomputed)
+    s = screening.screen_prompts(docs).select("doc_id", "source", "pii_found", "violation", "clean_text").persist(StorageLevel.MEMORY_AND_DISK)
     vetoed = s.where(F.col("violation").isNotNull())
     rest = s.where(F.col("violation").isNull())
     emb = learn.hashed_tfidf_embedder("clean_text", DIMS).fit(s.select("clean_text"))
     bench = table(spark, sf_dir, "benchmark").select(F.col("text").alias("clean_text"))
     anchors = emb.transform(bench).select(vector_to_array("embedding_vec").alias("a"))
-    x = emb.transform(rest).withColumn("v", vector_to_array("embedding_vec")).drop(
-        "embedding_vec", "__tok", "__tf", "__tfidf")
+    # only the vector crosses into Python, not the text
+    x = emb.transform(rest).select("doc_id", "source", "pii_found", vector_to_array("embedding_vec").alias("v"))
     x = V.anchor_max_blocks(x, "v", anchors, "a", "threat_score").drop("v")
     x = x.withColumn("meta_intent_score", F.lit(0.0)).withColumn("is_educational", F.lit(False))
     fast = K.fast_path("meta_intent_score", "threat_score")
@@ -96,7 +97,8 @@ def assess_cascade(spark, sf_dir):
 def audit_log(spark, sf_dir):
     """S9 projection of the assessment: hashes, never the prompt text."""
     a = assess_prompts(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"))
+    # hashed before the join: the texts do not move
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.prompt_hash("text").alias("prompt_hash"))
     v = a.join(docs, "doc_id").withColumn("request_id", F.col("doc_id").cast("string")) \
         .withColumnRenamed("route", "source_route").withColumn("capability", F.lit("GENERAL")) \
         .withColumn("tenant", F.lit("default")).withColumn("timestamp", F.lit(None).cast("timestamp")) \

@@ -63,3 +63,9 @@ def test_arbitration_falls_back(spark):
     d = spark.createDataFrame([("SAFE", "DANGEROUS"), (None, "SAFE"), (None, None)], "h string, j string")
     got = [tuple(r.x) for r in d.select(K.arbitrate("h", "j", F.lit(False), True).alias("x")).collect()]
     assert got == [("LOW", "llama_guard_override"), ("LOW", "semantic_judge_override"), ("HIGH", "judge_failure_fail_closed")]
+
+
+def test_audit_rows_take_a_hash_for_the_prompt(spark):
+    from riskframe.sources import io
+    v = spark.createDataFrame([("a", "h1")], "request_id string, prompt_hash string")
+    assert [(r.request_id, r.prompt_hash) for r in io.audit_rows(v).collect()] == [("a", "h1")]
