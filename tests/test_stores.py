@@ -300,6 +300,18 @@ def test_rule_pack_equals_one_test_per_pattern(spark):
     assert got == want and len(want) > 60
 
 
+def test_grams_of_texts_are_not_written(spark, monkeypatch):
+    """Only the patterns' grams are kept; a match before a regular
+    expression ends the search, one after it does not."""
+    kept = []
+    monkeypatch.setattr(RI, "cut_lineage", lambda df: kept.append(df.columns) or df)
+    texts = spark.createDataFrame([(1, "one two three"), (2, "three four 55555"), (3, "one two 55555"), (None, "one two"), (4, None)], "doc long, body string")
+    rules = RI.pattern_frame(spark, [(0, 1, "one two", True), (1, 0, "55555?", False), (2, 0, "three four", True), (3, 2, "one two", True)])
+    got = {r.doc: r.pattern_id for r in RI.match(texts, rules, "doc", "body").collect()}
+    assert got == {1: 0, 2: 1, 3: 1}
+    assert not [c for c in kept if "__id" in c or "__t" in c]
+
+
 # -- vector means ---------------------------------------------------------
 
 def test_centroids_make_no_row_per_component(spark):
