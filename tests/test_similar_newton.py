@@ -200,7 +200,7 @@ def test_top_collisions_has_no_threshold(spark, tmp_path):
     """Twins bent by 0.45 lie below 0.95: they are still the nearest."""
     from riskframe.plans import q_more
     r = np.random.default_rng(5)
-    spark.createDataFrame([(24 * i + 15, [float(t) for t in r.normal(size=8)], i % 10) for i in range(12)],
+    spark.createDataFrame([(24 * i + 15, [float(t) for t in r.choice([-1.0, 1.0], size=16)], i % 10) for i in range(12)],
                           "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = q_more.top_collisions(spark, str(tmp_path)).collect()
     assert len(got) == 8 and all(row.sim < 0.95 and row.label != row.nn_label for row in got)
