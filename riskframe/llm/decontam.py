@@ -39,12 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import U, Rolling, frugal, grams, mix, row_key, saved, text_blocks
+from riskframe.llm.common import BLOOM_BITS, U, Rolling, bloom, frugal, grams, mix, row_key, saved, text_blocks
 
 WINDOW = 8
 LITERALS = 4
 COVER = 13
-BLOOM_BITS = 26
 
 # fixed values: unit words
 UNITS = ("mm cm m km in inch inches ft feet foot yd yard yards mile miles mg g kg gram grams kilogram kilograms ton tons oz lb lbs "
@@ -228,21 +227,6 @@ def aligned(hits: str):
     return cover(F.col(hits))
 
 
-def bloom(hashes: DataFrame, column: str) -> bytes:
-    """The filter of a column of hashes: ``2**BLOOM_BITS`` bits, whatever the
-    number of hashes."""
-    h = F.col(column)
-    first = F.shiftrightunsigned(h, 64 - BLOOM_BITS)
-    second = F.shiftrightunsigned(h, 8).bitwiseAND(F.lit((1 << BLOOM_BITS) - 1))
-    b = hashes.select(F.explode(F.array(first, second)).alias("b"))
-    rows = b.groupBy(F.shiftright("b", 3).alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(b & 7 AS int)))").alias("v"))
-    held = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
-    # at most one short row per byte of the filter
-    t = rows.toArrow()
-    held[t.column("byte").to_numpy()] = t.column("v").to_numpy().astype(np.uint8)
-    return held.tobytes()
-
-
 def leaking_keys(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
                  item_text: str = "text", cover: int = COVER) -> DataFrame:
     """``k_row, k_text, item_id, covered, item_words, exact``: a row per

@@ -435,6 +435,21 @@ def test_near_duplicates_match_brute_force(docs, rows, given, options):
             assert kept.count() == brute_near(src)[1]
 
 
+def test_texts_without_candidates_stay_where_they_are(spark):
+    from riskframe.llm import common
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a text of some words "), "id").alias("text"))
+    keyed = docs.select("doc_id", *common.row_key())
+    wanted = keyed.where("doc_id < 40").select("k_row", "k_text", F.col("doc_id").alias("n"))
+    held = {r.doc_id for r in common.only_held(keyed, wanted, "k_row").collect()}
+    assert set(range(40)) <= held and len(held) < 60
+    assert common.only_held(keyed, wanted.where("n < 0"), "k_row").count() == 0
+    rows = jaccard.set_rows(docs, wanted, 5, "doc_id", "text")
+    assert sorted(r.n for r in rows.collect()) == list(range(40))
+    # the filter stands below the exchange of the texts
+    plan = rows._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("Join") < plan.index("may_hold")
+
+
 def test_components_of_a_long_path(spark):
     e = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(500, 501)], "a long, b long"))
     got = components(e).groupBy("root").count().collect()
