@@ -4,12 +4,19 @@ array decides the rest.
 A page is read as a stream of blocks.  Elements that are menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles or comments by
 name, role or class are chrome.  What an ``article`` (else ``main``) element
-holds besides them is the main text.  The words of all other blocks, page by
-page of one host, are concatenated; the suffix array of that stream shows the
-strings of at least ``RUN`` words that occur on several pages, and words they
-cover are template text.  A page without an article keeps the unique runs of
-its open blocks (all of them, if it has none: it is a copy of a page then,
-not a template).
+holds besides them is the candidate for the main text.  The words of all other
+blocks, page by page of one host, are concatenated; the suffix array of that
+stream shows the strings of at least ``RUN`` words that occur on several pages,
+and words they cover are template text.  A page without an article keeps the
+unique runs of its open blocks (all of them, if it has none: it is a copy of a
+page then, not a template).
+
+Articles are held against the same strings, those that more than half of the
+host's pages have outside them: whole blocks in a row that such strings cover
+are an unmarked notice, and go, if they stand between different neighbours in
+articles of the host.  A passage that articles share is part of them, also if
+an advert or a menu here and there has it too, and one that always has the same
+neighbours (a headline that menus repeat, in an article and its copies) stays.
 
 Pages of one host go to groups of at most about ``GROUP`` pages.  A host of
 several groups passes one row for each different string of a group on, and
@@ -28,12 +35,13 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import saved
+from riskframe.llm.common import BLOOM_BITS, U, Rolling, bloom, grams, saved, word_spans
 from riskframe.llm.jaccard import whole_groups
 from riskframe.llm.suffix_array import common_prefixes, suffix_array
 from riskframe.llm.urls import host_path
@@ -144,9 +152,10 @@ def blocks(page: str) -> list[tuple[int, str, bool]]:
     return out
 
 
-def read_page(page: str | None) -> tuple[str | None, list[str], list[int], list[str]]:
+def read_page(page: str | None) -> tuple[str | None, list[str], list[int], list[str], list[int]]:
     """(main text or None, open words, their places in the stream, the stream
-    of words outside the main text)."""
+    of words outside the main text, words of the main text up to each block's
+    end)."""
     bs = blocks(page or "")
     kind = MAIN if any(k == MAIN for k, _, _ in bs) else None
     if kind is None and any(k == OPEN and m for k, _, m in bs):
@@ -164,7 +173,14 @@ def read_page(page: str | None) -> tuple[str | None, list[str], list[int], list[
             places.extend(range(len(stream), len(stream) + len(w)))
         stream.extend(w)
     text = " ".join(t for k, t, _ in bs if k == MAIN) if kind == MAIN else None
-    return text, words, places, stream
+    ends = np.cumsum([len(t.split()) for k, t, _ in bs if k == MAIN]).tolist() if kind == MAIN else []
+    return text, words, places, stream, ends
+
+
+def word_hashes(text: str) -> np.ndarray:
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    starts, ends, _ = word_spans(data, np.array([0, len(data)]))
+    return Rolling(data).spans(starts, ends)
 
 
 def page_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,6 +204,44 @@ def page_streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["k_row", "host", "stream"])
 
 
+HITS = "k_row long, host string, s1 long, place int, before long, after long, opens boolean, closes boolean"
+
+
+def article_hits(run: int, bits):
+    """The strings of a page's main text that may be template strings, with
+    the words before and after (0: none), and whether they open and close
+    blocks."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(bits.value, np.uint8)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                rows, cols = [], []
+                for r, x in enumerate(part.column(2)):
+                    text, _, _, _, ends = read_page(x.as_py())
+                    if text is None or ends[-1] < run:
+                        continue
+                    w = word_hashes(text)
+                    h = grams(w, run)
+                    at = np.arange(len(h))
+                    for b in (h >> U(64 - BLOOM_BITS), (h >> U(8)) & U((1 << BLOOM_BITS) - 1)):
+                        at = at[(held[b[at] >> U(3)] >> (b[at] & U(7)).astype(np.uint8)) & 1 == 1]
+                    if not len(at):
+                        continue
+                    w = np.concatenate([[U(0)], w, [U(0)]])
+                    edge = np.zeros(ends[-1] + 1, bool)
+                    edge[[0, *ends]] = True
+                    rows.append(np.full(len(at), r))
+                    cols.append((h[at].view(np.int64), at.astype(np.int32), w[at].view(np.int64), w[at + run + 1].view(np.int64), edge[at], edge[at + run]))
+                if not rows:
+                    continue
+                of = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.take(of) for c in part.columns[:2]), *(pa.array(np.concatenate(c)) for c in zip(*cols, strict=True))],
+                    ["k_row", "host", "s1", "place", "before", "after", "opens", "closes"])
+    return work
+
+
 def shared_strings(pages: list[list[str]], run: int) -> list[list[list[int]]]:
     """Classes of equal ``run``-word strings: for each class the (page,
     place) of its occurrences, in suffix order.  Classes of one page only
@@ -227,15 +281,17 @@ def group_strings(run: int):
             key, stream = t.column("k_row").to_pylist(), t.column("stream").to_pylist()
             rows = []
             for lo, hi in zip(at, [*at[1:], t.num_rows], strict=True):
+                own = [grams(word_hashes(" ".join(x)), run).view(np.int64) for x in stream[lo:hi]]
                 for cls in shared_strings(stream[lo:hi], run):
-                    known = len({p for p, _ in cls}) > 1
+                    n_pages = len({p for p, _ in cls})
+                    known = n_pages > 1
                     p, i = cls[0]
-                    d = hashlib.blake2b(" ".join(stream[lo + p][i:i + run]).encode("utf-8", "surrogatepass"), digest_size=16).digest() if many[lo] > 1 else b"\0" * 16
-                    s1, s2 = int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+                    d = hashlib.blake2b(" ".join(stream[lo + p][i:i + run]).encode("utf-8", "surrogatepass"), digest_size=8).digest() if many[lo] > 1 else b"\0" * 8
+                    s1, s2 = int(own[p][i]), int.from_bytes(d, "little", signed=True)
                     if known:
-                        rows.extend((key[lo + q], host[lo], j, True, s1, s2, 2 if n == 0 else 0) for n, (q, j) in enumerate(cls))
+                        rows.extend((key[lo + q], host[lo], j, True, s1, s2, 0 if n else n_pages) for n, (q, j) in enumerate(cls))
                     elif many[lo] > 1:
-                        rows.extend((key[lo + q], host[lo], j, False, s1, s2, 1 if n == 0 else 0) for n, (q, j) in enumerate(cls))
+                        rows.extend((key[lo + q], host[lo], j, False, s1, s2, 0 if n else 1) for n, (q, j) in enumerate(cls))
             cols = zip(*rows, strict=True) if rows else [[]] * 7
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
@@ -243,37 +299,67 @@ def group_strings(run: int):
     return work
 
 
+def notices(pages: DataFrame, strings: DataFrame, run: int) -> DataFrame:
+    """(k_row, notes): the words [start, end) of a main text that are whole
+    blocks covered by template ``strings`` (host, s1) of its host, between
+    different neighbours in different places."""
+    bits = pages.sparkSession.sparkContext.broadcast(bloom(strings, "s1"))
+    hits = (pages.select("k_row", "host", "html").mapInArrow(article_hits(run, bits), HITS)
+            .join(strings, ["host", "s1"]).dropDuplicates(["k_row", "place"]))
+    # windows one word apart are one run
+    hits = hits.withColumn("line", F.col("place") - F.row_number().over(Window.partitionBy("k_row").orderBy("place")))
+    first = lambda c: F.min_by(c, "place").alias(c)
+    last = lambda c: F.max_by(c, "place").alias(c)
+    runs = saved(hits.groupBy("k_row", "host", "line").agg(
+        F.min("place").alias("start"), (F.max("place") + run).alias("end"), first("s1"), F.max_by("s1", "place").alias("s_last"),
+        first("before"), last("after"), first("opens"), last("closes")).where("opens and closes"))
+    name = ["host", "s1", "s_last", (F.col("end") - F.col("start")).alias("n")]
+    often = runs.select(*name, "before", "after").distinct().groupBy("host", "s1", "s_last", "n").agg(F.count(F.lit(1)).alias("places")).where("places > 1")
+    return (runs.select("k_row", "start", "end", *name).join(often, ["host", "s1", "s_last", "n"])
+            .groupBy("k_row").agg(F.collect_list(F.struct("start", "end")).alias("notes")))
+
+
 def template_places(pages: DataFrame, run: int, group: int) -> DataFrame:
-    """(k_row, places): where strings shared with other pages of the host
-    begin in a page's stream.  ``pages``: k_row, host, html."""
+    """(k_row, starts, notes): where strings shared with other pages of the
+    host begin in a page's stream, and the :func:`notices` in its main text.
+    ``pages``: k_row, host, html."""
     st = saved(pages.select("k_row", "host", "html").mapInArrow(page_streams, "k_row long, host string, stream array<string>")
                .dropDuplicates(["k_row"]))
-    sizes = saved(st.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("groups")))
-    g = st.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("k_row"), F.col("groups")).cast("int"))
+    sizes = saved(st.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("groups"), F.count(F.lit(1)).alias("all")))
+    g = st.join(sizes.drop("all"), "host").withColumn("part", F.pmod(F.xxhash64("k_row"), F.col("groups")).cast("int"))
     found = (g.select("host", "part", "groups", "k_row", "stream").repartition("host", "part").sortWithinPartitions("host", "part", "k_row")
              .mapInArrow(group_strings(run), STRINGS))
     found = saved(found)
-    several = saved(found.where("s1 != 0 or s2 != 0").groupBy("host", "s1", "s2").agg(F.sum("pages").alias("n")).where("n > 1").select("host", "s1", "s2"))
+    counted = saved(found.where("pages > 0").groupBy("host", "s1", "s2").agg(F.sum("pages").alias("n")).where("n > 1"))
+    several = counted.where("s2 != 0").select("host", "s1", "s2")
     across = found.where("not known").join(several, ["host", "s1", "s2"]).select("k_row", "place")
-    return found.where("known").select("k_row", "place").union(across).groupBy("k_row").agg(F.collect_set("place").alias("starts"))
+    starts = found.where("known").select("k_row", "place").union(across).groupBy("k_row").agg(F.collect_set("place").alias("starts"))
+    strings = saved(counted.join(sizes, "host").where(2 * F.col("n") > F.col("all")).select("host", "s1").distinct())
+    return starts.join(notices(pages, strings, run), "k_row", "full")
 
 
-def final_text(main: str, words: str, places: str, covered: str):
-    """Column: the main text, which travels compressed; else the words whose
-    places are not covered, or all if none is left."""
+def final_text(main: str, words: str, places: str, covered: str, notes: str):
+    """Column: the main text, which travels compressed, without its notices;
+    else the words whose places are not covered.  All words if none is left."""
     @F.arrow_udf("string")
-    def runs(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def runs(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for columns in batches:
             out = []
-            for m, w, p, c in zip(*columns, strict=True):
+            for m, w, p, c, gone in zip(*columns, strict=True):
                 if m.is_valid:
-                    out.append(zstandard.decompress(m.as_py()).decode())
+                    text = zstandard.decompress(m.as_py()).decode()
+                    if gone.is_valid:
+                        own = text.split(" ")
+                        for x in gone.as_py():
+                            own[x["start"]:x["end"]] = [None] * (x["end"] - x["start"])
+                        text = " ".join(x for x in own if x is not None) or text
+                    out.append(text)
                     continue
                 w, c = w.as_py(), set(c.as_py())
                 kept = [x for x, i in zip(w, p.as_py(), strict=True) if i not in c]
                 out.append(" ".join(kept or w))
             yield pa.array(out, pa.string())
-    return runs(F.col(main), F.col(words), F.col(places), F.col(covered))
+    return runs(F.col(main), F.col(words), F.col(places), F.col(covered), F.col(notes))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -290,5 +376,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     d = parts.join(starts, "k_row", "left")
     covered = F.array_distinct(F.flatten(F.transform(F.coalesce("starts", F.array().cast("array<int>")), lambda x: F.sequence(x, x + (run - 1)))))
     d = d.withColumn("covered", covered)
-    d = d.withColumn("text", final_text("main", "words", "places", "covered"))
+    d = d.withColumn("text", final_text("main", "words", "places", "covered", "notes"))
     return d.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.size("covered").cast("long").alias("n_template"))

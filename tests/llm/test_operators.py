@@ -197,6 +197,38 @@ def test_html_template_runs_go(spark, group):
     assert got[10].text == "" and got[11].text == ""
 
 
+@pytest.mark.parametrize("group", [256, 2])
+def test_html_template_strings_decide_inside_articles(spark, group):
+    line = "read our free weekly letter with the best of all our writers"
+    title = "a very long headline that the menus of this site do repeat"
+    shared = "this paragraph of ten words or more stands in several articles"
+    chrome = f"<div>{line}</div><div class=sidebar><p>{title}</p></div>"
+    body = lambda i: f"<p>{passage(i, 15)}</p>"
+    rows = [(i, f"http://h.example/{i}", f"<body>{chrome}<article>{body(i)}<p>{line}</p><p>{shared}</p>{body(i + 50)}</article>") for i in range(4)]
+    # an article and its copy: the headline has the same neighbours in both
+    copied = f"<article><h1>{title}</h1>{body(90)}{body(91)}"
+    rows += [(7, "http://h.example/7", f"<body>{chrome}{copied}<p>today</p></article>"), (8, "http://h.example/8", f"<body>{chrome}{copied}<p>now</p></article>")]
+    # part of a sentence is not a notice, and another host has no such template
+    rows += [(9, "http://h.example/9", f"<body>{chrome}<article>{body(92)}<p>they say {line} here</p></article>"),
+             (10, "http://o.example/1", f"<article>{body(1)}<p>{line}</p></article>"), (11, "http://o.example/2", f"<article>{body(2)}<p>{line}</p></article>")]
+    # an advert on two of five pages has a paragraph that articles share
+    ad = f"<div class=ad>{shared}</div>"
+    rows += [(20 + i, f"http://p.example/{i}", f"{ad * (i < 2)}<article>{body(i)}<p>{shared}</p>{body(i + 50)}</article>") for i in range(5)]
+    rows.append(rows[0])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = collections.defaultdict(set)
+    out = html_extract.extract(df, group=group).collect()
+    for r in out:
+        got[r.page_id].add((r.text, r.n_chars))
+    text = lambda *parts: {(" ".join(parts), len(" ".join(parts)))}
+    assert len(out) == len(rows)
+    for i in range(4):
+        assert got[i] == got[20 + i] == text(passage(i, 15), shared, passage(i + 50, 15))
+    assert got[7] == text(title, passage(90, 15), passage(91, 15), "today") and got[8] == text(title, passage(90, 15), passage(91, 15), "now")
+    assert got[9] == text(passage(92, 15), "they say", line, "here")
+    assert got[10] == text(passage(1, 15), line) and got[11] == text(passage(2, 15), line)
+
+
 def test_html_on_given_pages(spark):
     df = spark.read.parquet(f"{SF}/pages.parquet")
     src = {r.page_id: r.html for r in df.collect()}
