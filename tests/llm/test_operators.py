@@ -136,6 +136,27 @@ def test_suffix_dedup_refuses_lengths_it_cannot_hold(spark):
     assert [(s.start, s.end) for s in got.spans] == [(0, 1400)]
 
 
+def test_suffix_dedup_long_passages_go_and_clean_documents_stay(spark, tmp_path):
+    # passages of 55 and 100 words, each planted in two texts: those of 400 bytes or
+    # more show in n_removed, shorter ones stay; n_bytes is the size of the input
+    from riskframe.llm.queries import QUERIES
+    shared = [""] * 8 + [passage(300 + k // 2, (55, 100)[k // 2 % 2]) for k in range(16)]
+    assert [len(p) >= 400 for p in shared[8:]] == [False, False, True, True] * 4
+    texts = [f"{passage(100 + k, 120 + k)}\n{p}\n{passage(200 + k, 90)}" for k, p in enumerate(shared)]
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+    (spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+     .write.parquet(f"{tmp_path}/documents.parquet"))
+    got = {r.doc_id: r for r in QUERIES["op1_suffix_dedup"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for k, p in enumerate(shared):
+        assert got[k].n_bytes == len(texts[k])
+        if len(p) < 400:
+            assert (got[k].n_removed, got[k].n_spans) == (0, 0)
+        else:
+            # with the line ends, and first letters that happen to be shared
+            assert got[k].n_spans == 1 and len(p) + 2 <= got[k].n_removed <= len(p) + 20
+
+
 # -- quality --------------------------------------------------------------
 
 def brute_quality(t):
